@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from archipelago.llm.decontaminate import contamination
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.quality_rules import quality_rules
+from archipelago.llm.token_count import token_counts
 from archipelago.llm.url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -31,12 +34,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_url_filter, op7_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_dedup, op4_url_filter, op6_token_counts, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

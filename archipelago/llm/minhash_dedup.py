@@ -1,20 +1,24 @@
 """Near-duplicate documents by MinHash (operator 3).
 
 1. One narrow pass: word shingles of each whole text, ``BANDS * ROWS`` minima
-   of universal hash functions, a key for each band, a byte of each minimum.
+   of universal hash functions, a key for each band.
 2. Texts with the same shingle set are one class; only classes go on.
-3. Banding: in each bucket every class is compared with the bucket's least
-   class.  Buckets that hold several components after that give the pairs
-   between different components, so no candidate is lost and a group of copies
-   costs links in proportion to its size.
-4. Candidates are dropped by set sizes and by signature, then confirmed on the
-   full shingle sets of the texts.
-5. Components by alternating large-star and small-star.
+3. Banding: in each bucket every class is paired with the bucket's least class,
+   its hub.  A group of copies so gives pairs in proportion to its size.
+4. Each hub is compared with its partners: sizes, signatures, then the full
+   shingle sets.  Confirmed links make components.
+5. Two partners of one hub may be linked although neither is linked to the
+   hub.  So the partners that are outside the largest component around a hub
+   are compared with all its partners in other components, in blocks of bounded
+   size; only links leave a block.  Any two classes that share a bucket share
+   its hub, so no candidate is lost.
+6. Components by alternating large-star and small-star.
 
 Defined results.  Null and word-less texts have an empty set, link with nothing
 and are kept.  A null ``doc_id`` cannot be linked to: the row comes back with a
-null component and is kept.  Rows that share a ``doc_id`` are one document.
-Columns of the input beyond ``doc_id`` and ``text`` are ignored.
+null component and is kept.  Rows that share a ``doc_id`` are one document, for
+which one of its texts is compared.  Columns of the input beyond ``doc_id`` and
+``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.llm.components import connected_components
-from archipelago.llm.storage import drop, store
+from archipelago.llm.storage import store
 from archipelago.llm.textkit import mix, rows_of, shingle_hashes, word_hashes
 
 #: A pair at the threshold 0.8 misses all bands with probability 1.2e-8.
@@ -39,7 +44,11 @@ _B = _RNG.integers(0, 1 << 32, _HASHES, dtype=np.uint64).astype(np.uint32)
 _BAND_KEY = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BLOCK = 1024
 
-FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig binary"
+#: Shingles on either side of a block of comparisons.
+BLOCK_SHINGLES = 1_500_000
+
+FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+SETS = "id long, sig binary, shingles array<long>"
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -68,9 +77,9 @@ def _features(size: int):
             if len(shingles):
                 least = minima(shingles)
                 bands = mix((least.astype(np.uint64).reshape(BANDS, ROWS) * _BAND_KEY).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                rows.append((doc_id, len(shingles), *_set_key(shingles), bands.view(np.int64), mix(least.astype(np.uint64)).astype(np.uint8).tobytes()))
+                rows.append((doc_id, len(shingles), *_set_key(shingles), bands.view(np.int64)))
             else:
-                rows.append((doc_id, 0, None, None, None, None))
+                rows.append((doc_id, 0, None, None, None))
             if len(rows) >= 2000:
                 yield _batch(rows)
                 rows = []
@@ -81,73 +90,83 @@ def _features(size: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-    names = ("doc_id", "n_shingles", "set_hi", "set_lo", "bands", "sig")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    names = ("doc_id", "n_shingles", "set_hi", "set_lo", "bands")
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _signature_check(percent: int):
-    """Pairs whose signatures agree in clearly fewer places than the threshold
-    are dropped: eight standard deviations below it."""
-    p = percent / 100
-    least = _HASHES * p - 8 * np.sqrt(_HASHES * p * (1 - p))
+def _sets(size: int):
+    """The signature (a byte of each minimum) and the full shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _HASHES) for c in ("sig_a", "sig_b"))
-                same = (one == two).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same))
+            ids, sigs, sets = [], [], []
+            for key, text in rows_of([batch]):
+                shingles = shingle_hashes(word_hashes(text)[0], size)
+                ids.append(key)
+                sigs.append(mix(minima(shingles).astype(np.uint64)).astype(np.uint8).tobytes())
+                sets.append(shingles.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "sig", "shingles"])
 
     return run
 
 
-def shingle_set(text: str, size: int) -> set:
-    """The exact shingles of a text, as tuples of words."""
-    words = text.encode().lower().split()
-    size = min(size, len(words))
-    return set(zip(*(words[k:] for k in range(size)), strict=False)) if size else set()
+def _compare(percent: int):
+    """The links between the two sides of a block.
 
+    A pair goes on if the set sizes allow a link and if its signatures agree in
+    no fewer places than eight standard deviations below the threshold; then
+    the full sets are intersected.
+    """
+    p = percent / 100
+    least = _HASHES * p - 8 * np.sqrt(_HASHES * p * (1 - p))
 
-def _confirm(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            keep = []
-            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if last[0] != a:
-                    last = a, shingle_set(one.as_py(), size)
-                other = shingle_set(two.as_py(), size)
-                both = len(last[1] & other)
-                keep.append(100 * both >= percent * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        one = table.filter(pa.compute.equal(table["side"], 0))
+        two = table.filter(pa.compute.equal(table["side"], 1))
+        found: list[tuple[int, int]] = []
+        if one.num_rows and two.num_rows:
+            ids, comps = (np.asarray(two[c]) for c in ("id", "comp"))
+            sigs = np.frombuffer(b"".join(two["sig"].to_pylist()), np.uint8).reshape(-1, _HASHES)
+            sets = two["shingles"].combine_chunks()
+            flat, offsets = np.asarray(sets.flatten()), np.asarray(sets.offsets) - sets.offsets[0].as_py()
+            sizes = np.diff(offsets)
+            for key, comp, sig, own in zip(one["id"].to_pylist(), one["comp"].to_pylist(), one["sig"], one["shingles"], strict=True):
+                mine = np.asarray(own.values)
+                n = len(mine)
+                may = (comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                at = np.flatnonzero(may)
+                at = at[(sigs[at] == np.frombuffer(sig.as_py(), np.uint8)).sum(axis=1) >= least]
+                for k in at:
+                    other = flat[offsets[k] : offsets[k + 1]]
+                    where = np.minimum(np.searchsorted(mine.view(np.uint64), other.view(np.uint64)), n - 1)
+                    both = int((mine[where] == other).sum())
+                    if 100 * both >= percent * (n + sizes[k] - both):
+                        found.append((min(key, int(ids[k])), max(key, int(ids[k]))))
+        a, b = zip(*set(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, written to the shared folder."""
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    near = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_signature_check(percent), "a long, b long")
-    )
-    near = store(near, "candidates")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    found = store(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "candidate-texts")
-    links = (
-        near.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm(size, percent), "a long, b long")
-    )
-    links = store(links, "links")
-    drop(near)
-    drop(found)
-    return links
+def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between side 0 and side 1 of each group, from different comps.
+
+    ``rows(hub, side, id, comp, n)``.  Both sides are dealt into blocks of about
+    ``BLOCK_SHINGLES`` shingles; every block of one side meets every one of the
+    other, so a group of any size is spread and nothing is left out.
+    """
+    load = rows.groupBy("hub").agg(*[F.sum(F.when(F.col("side") == k, F.col("n"))).alias(f"load{k}") for k in (0, 1)])
+    parts = load.where("load0 > 0 AND load1 > 0").select("hub", *[F.ceil(F.col(f"load{k}") / F.lit(BLOCK_SHINGLES)).cast("int").alias(f"parts{k}") for k in (0, 1)])
+    placed = rows.join(parts, "hub")
+    own = F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1"))
+    mine = F.pmod(F.xxhash64("id"), own).cast("int")
+    there = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1))
+    dealt = placed.select("hub", "side", "id", "comp", mine.alias("mine"), there.alias("there"))
+    block = [F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("mine", "there"), ("there", "mine"))]
+    full = dealt.join(sets, "id").select("hub", block[0].alias("block0"), block[1].alias("block1"), "side", "id", "comp", "sig", "shingles")
+    return full.groupBy("hub", "block0", "block1").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -156,7 +175,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Two texts are linked if ``100 * |intersection| >= percent * |union|`` of
     their sets of ``shingle_words``-word shingles (A-Z lower-cased).
     ``component_id`` is the least ``doc_id`` reachable; ``kept`` marks it;
-    ``links`` counts the confirmed links of the row's class.
+    ``links`` counts the links of the row's class that
+    were confirmed; those inside a component are only sought as far as needed.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = store(base.mapInArrow(_features(shingle_words), FEATURES), "minhash")
@@ -166,34 +186,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         "classes",
     )
     # the least document of a class stands for it
-    heads = (
-        real.join(members.select("set_hi", "set_lo", F.col("id").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
-        .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.expr("max_by(struct(n_shingles, sig, bands), struct(set_hi, set_lo))").alias("x"))
-        .select("id", "x.n_shingles", "x.sig", "x.bands")
-    )
-    heads = store(heads, "heads")
-    keys = heads.select("id", F.explode("bands").alias("key"))
+    heads = real.join(members.select("set_hi", "set_lo", F.col("id").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
+    keys = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    buckets = store(keys.join(shared, "key"), "buckets")
+    pairs = store(keys.join(shared, "key").where("id <> hub").select("hub", "id").distinct(), "candidates")
 
+    met = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     texts = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    first = buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(first, heads, texts, shingle_words, percent)
+    texts = texts.join(met, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    sets = store(texts.mapInArrow(_sets(shingle_words), SETS), "sets").where("size(shingles) > 0")
+    sized = sets.select("id", F.size("shingles").alias("n"))
+    around = store(pairs.unionByName(pairs.select("hub", F.col("hub").alias("id")).distinct()).join(sized, "id"), "around")
+    side = (F.col("id") != F.col("hub")).cast("int").alias("side")
+    links = store(_links(around.select("hub", side, "id", F.col("id").alias("comp"), "n"), sets, percent), "links")
+
     again = real.groupBy("doc_id").agg(F.min(F.struct("set_hi", "set_lo")).alias("lo"), F.max(F.struct("set_hi", "set_lo")).alias("hi")).where("lo <> hi").select("doc_id")
     split = real.join(again, "doc_id", "left_semi").join(members, ["set_hi", "set_lo"]).select("doc_id", "id").distinct()
     one_doc = split.join(split.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    one_doc = store(one_doc, "one-document")
     comp = store(connected_components(links.unionByName(one_doc)), "components")
 
-    # buckets in which components still meet
-    placed = buckets.join(comp, "id", "left").select("key", "hub", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = store(placed.join(mixed, "key", "left_semi"), "mixed")
-    one = open_.select("key", "hub", F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(two, "key").where("ca <> cb AND a < b AND a <> hub").select("a", "b").distinct()
-    more = _verified(rest, heads, texts, shingle_words, percent)
-    every = links.unionByName(more)
+    placed = around.join(comp, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"))
+    main = placed.groupBy("hub", "comp").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"))
+    open_ = store(placed.join(main.where("comps > 1").select("hub", F.col("x.comp").alias("main")), "hub"), "open")
+    rest = open_.select("hub", F.lit(1).alias("side"), "id", "comp", "n").unionByName(
+        open_.where("comp <> main").select("hub", F.lit(0).alias("side"), "id", "comp", "n")
+    )
+    more = store(_links(rest, sets, percent), "links")
+    every = links.unionByName(more).distinct()
     if more.head(1):
         comp = store(connected_components(every.unionByName(one_doc)), "components")
 

@@ -168,18 +168,25 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cutoffs"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Counts, ``base_failed``, the learned rule that rejects (or null) and ``kept``."""
-    measured = store(measures(docs, stratum), "measures")
-    cutoffs = certified_cutoffs(measured, labels, alpha, delta)
+def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``measured`` with ``base_failed``, ``rejected_by`` and ``kept``.
+
+    ``cutoffs`` has a row for each stratum, such as a language.
+    """
     rates = _rates()
     rejected = F.lit(None).cast("string")
     for rule in reversed(list(GRID)):
-        rejected = F.when(rates[rule] >= F.get(F.array(F.element_at("cutoffs", rule)), 0), F.lit(rule)).otherwise(rejected)
-    # a stratum is a word such as a language: this table has a row for each
+        rejected = F.when(rates[rule] >= F.element_at("cutoffs", rule), F.lit(rule)).otherwise(rejected)
     out = measured.join(cutoffs.withColumnRenamed("stratum", "certified"), measured["stratum"].eqNullSafe(F.col("certified")), "left")
     out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", F.when(~F.col("base_failed"), rejected))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Counts, ``base_failed``, the learned rule that rejects (or null) and ``kept``."""
+    measured = store(measures(docs, stratum), "measures")
+    out = judged(measured, certified_cutoffs(measured, labels, alpha, delta))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"), "rejected_by",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
     )
+

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from archipelago.llm.decontaminate import contamination
 from archipelago.llm.minhash_dedup import near_duplicates
+from archipelago.llm.mixing import mix_report, tempered_targets
 from archipelago.llm.quality_rules import quality_rules
 from archipelago.llm.token_count import token_counts
+from archipelago.llm.token_shards import token_sequences
 from archipelago.llm.url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -26,6 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -46,8 +52,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mix_report(docs, tempered_targets(docs, power=0.8), budget_share=0.6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_url_filter, op6_token_counts, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op2_token_shards, op3_minhash_dedup, op4_url_filter, op6_token_counts, op7_quality_rules, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from archipelago.llm.cotrain import quality_scores
 from archipelago.llm.decontaminate import contamination
+from archipelago.llm.line_dedup import line_dedup
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.mixing import mix_report, tempered_targets
 from archipelago.llm.quality_rules import quality_rules
@@ -28,6 +30,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,6 +46,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -58,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_shards, op3_minhash_dedup, op4_url_filter, op6_token_counts, op7_quality_rules, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -165,7 +165,7 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     there = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1))
     dealt = placed.select("hub", "side", "id", "comp", mine.alias("mine"), there.alias("there"))
     block = [F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("mine", "there"), ("there", "mine"))]
-    full = dealt.join(sets, "id").select("hub", block[0].alias("block0"), block[1].alias("block1"), "side", "id", "comp", "sig", "shingles")
+    full = dealt.join(sets.hint("shuffle_merge"), "id").select("hub", block[0].alias("block0"), block[1].alias("block1"), "side", "id", "comp", "sig", "shingles")
     return full.groupBy("hub", "block0", "block1").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     met = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
     texts = base.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    texts = texts.join(met, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    # the ids grow with the corpus, so neither they nor the sets are ever broadcast
+    texts = texts.join(met.hint("shuffle_merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = store(texts.mapInArrow(_sets(shingle_words), SETS), "sets").where("size(shingles) > 0")
     sized = sets.select("id", F.size("shingles").alias("n"))
     around = store(pairs.unionByName(pairs.select("hub", F.col("hub").alias("id")).distinct()).join(sized, "id"), "around")

@@ -13,6 +13,7 @@ from archipelago.llm.line_dedup import line_dedup
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.mixing import mix_report, tempered_targets
 from archipelago.llm.quality_rules import quality_rules
+from archipelago.llm.substring import repeated_passages
 from archipelago.llm.token_count import token_counts
 from archipelago.llm.token_shards import token_sequences
 from archipelago.llm.url_filter import Rule, filter_urls
@@ -58,6 +59,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,2 @@
+"""Streaming: the engine is a batch engine; builds are cancelled by a polled
+callable (see :mod:`archipelago.plans.build`), and there is no event time."""

@@ -185,5 +185,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (F.lit(100) * n_hit >= F.lit(percent) * F.col("n_words"))).alias("contaminated"),
-        names.alias("items"),
     )

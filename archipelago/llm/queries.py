@@ -12,6 +12,7 @@ from archipelago.llm.decontaminate import contamination
 from archipelago.llm.line_dedup import line_dedup
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.mixing import mix_report, tempered_targets
+from archipelago.llm.oracle import oracle_sql  # noqa: F401
 from archipelago.llm.quality_rules import quality_rules
 from archipelago.llm.substring import repeated_passages
 from archipelago.llm.token_count import token_counts
@@ -40,7 +41,7 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=2, percent=80).drop("links")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -39,19 +39,20 @@ def best_routes(requests: DataFrame, links: DataFrame) -> DataFrame:
     """``request_id, status, cost, edges`` for every request.
 
     ``requests``: ``request_id, start_island, end_island`` and the points
-    ``a*`` and ``b*``; ``links`` are priced traversals.  A label is the least
-    cost known to have gone through a traversal.  Each round only extends the
-    labels that fell in the last one and that no known route already beats.
+    ``a*`` and ``b*``; ``links`` are priced traversals.  Requests that start at
+    the same point share their labels.  A label is the least cost known to
+    arrive through a traversal.  Each round extends the labels that fell in the
+    last one, unless all requests of the start already have better routes.
     Ties go to the lesser edge list.
     """
-    name = ["request_id", "portal"]
-    hop = links.select(F.struct("edge_index", "from_island").alias("portal"), "edge_index", "from_island", "to_island", "cost", *[f"{p}{k}" for p in "st" for k in "xyz"])
-    hop = store(hop, "portals")
-    open_ = requests.where("start_island <> end_island")
-    first = open_.join(hop, F.col("start_island") == F.col("from_island")).select(
-        *name, (distance("a", "s") + F.col("cost")).alias("g"), F.array("edge_index").alias("edges"), F.lit(True).alias("fresh")
+    source = ["start_island", "ax", "ay", "az"]
+    asked = store(requests.withColumn("source", F.struct(*source)), "requests")
+    hop = store(
+        links.select(F.struct("edge_index", "from_island").alias("portal"), "edge_index", "from_island", "to_island", "cost", *[f"{p}{k}" for p in "st" for k in "xyz"]),
+        "portals",
     )
-    now = store(first, "routes")
+    first = asked.where("start_island <> end_island").select("source", *source).distinct().join(hop, F.col("start_island") == F.col("from_island"))
+    now = store(first.select("source", "portal", (distance("a", "s") + F.col("cost")).alias("g"), F.array("edge_index").alias("edges"), F.lit(True).alias("fresh")), "routes")
     step = store(
         hop.select(F.col("portal").alias("p"), F.col("to_island").alias("via"), *[F.col(f"t{k}").alias(f"e{k}") for k in "xyz"])
         .join(hop.withColumn("via", F.col("from_island")), "via")
@@ -60,22 +61,30 @@ def best_routes(requests: DataFrame, links: DataFrame) -> DataFrame:
     )
 
     def goals(labels: DataFrame) -> DataFrame:
-        ends = requests.select("request_id", "end_island", *[f"b{k}" for k in "xyz"])
-        at = labels.join(hop.select("portal", "to_island", *[f"t{k}" for k in "xyz"]), "portal").join(ends, "request_id").where("to_island = end_island")
-        return at.select("request_id", (F.col("g") + distance("t", "b")).alias("total"), "edges").groupBy("request_id").agg(F.min(F.struct("total", "edges")).alias("best"))
+        ends = asked.where("start_island <> end_island").select("request_id", "source", F.col("end_island").alias("to_island"), *[f"b{k}" for k in "xyz"])
+        at = labels.join(hop.select("portal", "to_island", *[f"t{k}" for k in "xyz"]), "portal").join(ends, ["source", "to_island"])
+        return at.groupBy("source", "request_id").agg(F.min(F.struct((F.col("g") + distance("t", "b")).alias("total"), "edges")).alias("best"))
 
+    want = asked.where("start_island <> end_island").groupBy("source").agg(F.count("*").alias("want"))
     while now.where("fresh").head(1):
-        limit = goals(now).select("request_id", F.col("best.total").alias("limit"))
-        grown = now.where("fresh").join(limit, "request_id", "left").where("limit IS NULL OR g < limit").withColumnRenamed("portal", "p").join(step, "p")
-        grown = grown.where("NOT array_contains(edges, edge_index)").select("request_id", F.col("next").alias("portal"), (F.col("g") + F.col("more")).alias("g"), F.concat("edges", F.array("edge_index")).alias("edges"))
-        best = grown.groupBy(*name).agg(F.min(F.struct("g", "edges")).alias("x")).select(*name, F.col("x.g").alias("g2"), F.col("x.edges").alias("edges2"))
-        joined = now.select(*name, "g", "edges").join(best, name, "full")
-        better = F.coalesce(F.col("g2") < F.col("g"), F.col("g").isNull())
-        after = joined.select(*name, F.when(better, F.col("g2")).otherwise(F.col("g")).alias("g"), F.when(better, F.col("edges2")).otherwise(F.col("edges")).alias("edges"), better.alias("fresh"))
+        limit = goals(now).groupBy("source").agg(F.max("best.total").alias("limit"), F.count("*").alias("got")).join(want, "source")
+        grown = now.where("fresh").join(limit, "source", "left").where("got IS NULL OR got < want OR g < limit")
+        grown = grown.withColumnRenamed("portal", "p").join(step, "p").select(
+            "source", F.col("next").alias("portal"), F.struct((F.col("g") + F.col("more")).alias("g"), F.concat("edges", F.array("edge_index")).alias("edges")).alias("x")
+        )
+        best = grown.groupBy("source", "portal").agg(F.min("x").alias("x"))
+        better = F.coalesce(F.col("x.g") < F.col("g"), F.col("g").isNull())
+        after = now.select("source", "portal", "g", "edges").join(best, ["source", "portal"], "full").select(
+            "source",
+            "portal",
+            F.when(better, F.col("x.g")).otherwise(F.col("g")).alias("g"),
+            F.when(better, F.col("x.edges")).otherwise(F.col("edges")).alias("edges"),
+            better.alias("fresh"),
+        )
         after = store(after, "routes")
         drop(now)
         now = after
-    out = requests.select("request_id", "start_island", "end_island").join(goals(now), "request_id", "left")
+    out = asked.select("request_id", "start_island", "end_island").join(goals(now).select("request_id", "best"), "request_id", "left")
     same = F.col("start_island") == F.col("end_island")
     return out.select(
         "request_id",

@@ -1,34 +1,37 @@
 """Token-ID output in training order (operator 2).
 
-The token stream of the documents, in order of ``doc_id`` with an end mark
-after each, is cut into sequences of ``length`` tokens.  A keyed Feistel
-permutation with cycle-walking gives every sequence its slot in training order.
-Slots are dealt out by range, ``shard_rows`` to a shard, and each sequence
-takes the same number of bytes: slot ``s`` is at byte
-``(s % shard_rows) * stride`` of shard ``s // shard_rows``, so a run resumes
-anywhere with one seek.
-
-Count tokens; number the documents' first tokens by a range sort of the counts
-and prefix sums of partition totals; tokenise again with those offsets and send
-each piece to its slot's range.  The texts move once, the tokens once.
-
-Defined results.  Null and empty texts give only their end mark.  Documents
-with equal or null ids are ordered by their text's hash; null ids come first.
-The last sequence is filled up with ``pad``.  An empty table gives no
-sequences.  Columns beyond ``doc_id`` and ``text`` are ignored.
+The token stream of the documents, each followed by an end mark, is cut into
+sequences of ``length`` tokens.  A keyed Feistel permutation with cycle-walking
+gives every sequence its slot in training order.  Slots are dealt out by range,
+``shard_rows`` to a shard, and each sequence takes the same number of bytes:
+slot ``s`` is at byte ``(s % shard_rows) * stride`` of shard ``s // shard_rows``,
+so a run resumes anywhere with one seek.
+
+The texts are tokenised once, where they are read, and the ids written to the
+shared folder with their place in their partition; prefix sums of the
+partitions' totals make that a place in the whole stream.  Then each piece goes
+to its slot's range: the only shuffle.  The stream runs in the order in which
+the table's partitions are read; the permutation hides it, and the written ids
+fix it for the rest of the run.
+
+Defined results.  Null and empty texts give only their end mark.  Repeated rows
+and repeated or null ids are documents like any other.  The last sequence is
+filled up with ``pad``.  An empty table gives no sequences.  Special strings
+inside texts are ordinary text.  Columns beyond ``doc_id`` and ``text`` are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.llm.storage import store
@@ -37,78 +40,63 @@ from archipelago.llm.textkit import mix
 LENGTH = 1024
 SHARD_ROWS = 2048
 ROUNDS = 6
-MAX_UNITS = 400_000
-
-
-class _Units(dict):
-    """Token ids, as bytes, of the units met lately.
-
-    A unit is the blanks before a run of other characters, and that run; the
-    pre-tokenizer never joins a blank to what stands before it, so the ids of a
-    text are those of its units in order.
-    """
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MAX_UNITS:
-            self.clear()
-        ids = np.asarray(self.encode(unit), np.uint16).tobytes()
-        if len(unit) <= 64:
-            self[unit] = ids
-        return ids
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> tuple[_Units, re.Pattern]:
+def _coder(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     if len(ranks) >= 1 << 16:
         raise ValueError("ids must fit two bytes")
-    code = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    # only ASCII blanks: never a cut between two blanks
-    unit = re.compile(r"\s*[^\s]+|\s+")
-    cut = re.compile(r"[\x1c-\x1f]")
-    units = _Units(code.encode_ordinary)
-    units.whole = cut
-    return units, unit
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, path: str, pattern: str) -> bytes:
     """The little-endian two-byte ids of a whole text."""
-    units, unit = _coder(path, pattern)
-    if units.whole.search(text):  # blanks to Python but not to the pattern
-        return np.asarray(units.encode(text), np.uint16).tobytes()
-    return b"".join(map(units.__getitem__, unit.findall(text)))
+    return np.asarray(_coder(path, pattern).encode_ordinary(text), "<u2").tobytes()
 
 
-def _count(path: str, pattern: str):
+def _tokens(path: str, pattern: str, end: int):
+    """Ids of every text, and its place in the partition's part of the stream."""
+    names, mark = ["part", "at", "n", "doc_id", "ids"], end.to_bytes(2, "little")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = [len(encode(t.as_py(), path, pattern)) // 2 + 1 for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64())], ["doc_id", "mark", "n"])
+            rows: list[tuple] = []
+            size = 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = encode(text.as_py(), path, pattern) + mark
+                rows.append((part, at, len(ids) // 2, doc, ids))
+                at, size = at + len(ids) // 2, size + len(ids)
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _pieces(path: str, pattern: str, length: int, end: int, n_seqs: int, key: int):
+def _pieces(length: int, n_seqs: int, key: int):
+    """Each document's ids cut at the ends of sequences."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, at in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("at").to_pylist(), strict=True):
-                ids = encode(text.as_py(), path, pattern) + end.to_bytes(2, "little")
+            for doc, at, data in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("ids"), strict=True):
+                ids = data.as_py()
                 n, p = len(ids) // 2, 0
                 while p < n:
                     take = min(n - p, length - (at + p) % length)
                     rows.append(((at + p) // length, (at + p) % length, doc, ids[2 * p : 2 * (p + take)]))
                     p += take
                 size += len(ids)
-                if size > 1 << 24:
+                if size > 1 << 23:
                     yield _made(rows, n_seqs, key)
                     rows, size = [], 0
             yield _made(rows, n_seqs, key)
@@ -123,21 +111,17 @@ def _made(rows: list[tuple], n_seqs: int, key: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(slots), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["slot", "seq", "pos", "doc_id", "ids"])
 
 
-def first_tokens(counts: DataFrame) -> tuple[DataFrame, int]:
-    """``counts`` with ``at``, the sum of ``n`` over all rows before, and the total.
+def _placed(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """``tokens`` with ``at`` in the whole stream, and the stream's length.
 
-    Sorted by range; only one total per partition meets in one place.
+    One total per partition of the scan is all that meets in one place.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("mark").asc()]
-    parts = store(counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "token-counts")
-    totals = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(totals):
         base[part], total = total, total + totals[part]
-    bases = counts.sparkSession.createDataFrame(list(base.items()), "part int, base long")
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy(*order, "copy")) - F.col("n")
-    parts = parts.withColumn("copy", F.monotonically_increasing_id()).withColumn("at", inside)
-    return parts.join(F.broadcast(bases), "part").withColumn("at", F.col("at") + F.col("base")), total
+    bases = tokens.sparkSession.createDataFrame(list(base.items()), "part int, base long")
+    return tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "ids"), total
 
 
 def _half_bits(n: int) -> int:
@@ -234,18 +218,11 @@ def token_sequences(
     ``doc_ids`` lists the documents in it, in order.  Each partition holds whole
     shards, in order; ``path`` and ``pattern`` are a rank file and its pattern.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    placed, total = first_tokens(keyed.mapInArrow(_count(path, pattern), "doc_id long, mark long, n long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    tokens = store(rows.mapInArrow(_tokens(path, pattern, end), "part int, at long, n long, doc_id long, ids binary"), "tokens")
+    placed, total = _placed(tokens)
     n = -(-total // length)
-    offsets = store(placed.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("at")).alias("at")), "offsets")
-    same = keyed["doc_id"].eqNullSafe(offsets["doc_id"]) & (keyed["mark"] == offsets["mark"])
-    joined = keyed.join(offsets, same).select(keyed["doc_id"], keyed["mark"], keyed["text"], "at")
-    if offsets.where("size(at) > 1").head(1):  # rows with equal id and text: one of them stands for all places
-        again = joined.where("size(at) > 1").dropDuplicates(["doc_id", "mark"])
-        joined = joined.where("size(at) = 1").unionByName(again)
-    rows = joined.select("doc_id", "text", F.explode("at").alias("at"))
-    pieces = rows.mapInArrow(_pieces(path, pattern, length, end, n, key), "slot long, seq long, pos int, doc_id long, ids binary")
+    pieces = placed.mapInArrow(_pieces(length, n, key), "slot long, seq long, pos int, doc_id long, ids binary")
     shards = max(1, -(-n // shard_rows))
     parts = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.expr(f"cast((slot div {shard_rows}) * {parts} div {shards} as int)")

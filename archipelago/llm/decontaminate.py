@@ -148,11 +148,11 @@ def phrase_matches(index: Index, window: int = 13) -> DataFrame:
     )
 
 
-def proximity_matches(index: Index, window: int = 13, slop: int = 5, share: float = 0.5) -> DataFrame:
+def proximity_matches(index: Index, slop: int = 5, share: float = 0.5) -> DataFrame:
     """``row, item, first, matched``: places where at least ``share`` of an
-    item's pairs occur, none more than ``slop`` words off its place beside a
-    rarest pair that occurs exactly there."""
-    places = store(_places(index, window), "places")
+    item's pairs occur, none more than ``slop`` words off its place beside the
+    rarest pair of some ``slop + 1`` words of the item."""
+    places = store(_places(index, max(2, slop + 1)), "places")
     near = places.select("row", "text", F.col("shift").alias("at"), F.explode(F.sequence(F.col("shift") - slop, F.col("shift") + slop)).alias("shift"))
     found = _matches(index, near.select("row", "text", "shift").distinct())
     total = index.item_pairs.groupBy("text", "item").agg(F.count("*").alias("total"))

@@ -1,50 +1,5 @@
-"""Tables written to the folder that all machines of the cluster share."""
+"""Tables in the folder that all machines share; see :mod:`archipelago.storage`."""
 
-from __future__ import annotations
+from archipelago.storage import drop, new_path, shared_dir, store
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is a temporary folder
-    chosen; it is then set as the checkpoint folder, so that later calls agree.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="archipelago-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The lineage ends at the files, so a lost executor costs one re-read.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`store` that nothing needs any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop", "new_path", "shared_dir", "store"]

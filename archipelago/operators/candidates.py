@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import clamp, distance, finite, millimetres, quantize
 from archipelago.operators.islands import eligible
+from archipelago.operators.ranking import numbered
 from archipelago.operators.spatial import box_join
 from archipelago.plans.config import BuildConfig
 from archipelago.sources.mesh import Mesh
@@ -128,7 +129,7 @@ def with_masses(links: DataFrame, islands: DataFrame) -> DataFrame:
 
 def rank_links(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """Add ``rank``, the place of each link in the order, from 1."""
-    return with_masses(links, islands).withColumn("rank", F.row_number().over(Window.orderBy(*link_order(config))).cast("long"))
+    return numbered(with_masses(links, islands), link_order(config), "rank")
 
 
 def _ordered(config: BuildConfig) -> Column:

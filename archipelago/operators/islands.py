@@ -5,9 +5,10 @@ from __future__ import annotations
 from math import log
 from struct import pack, unpack
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archipelago.operators.ranking import numbered
 from archipelago.plans.config import BuildConfig
 from archipelago.sources.mesh import Mesh
 from archipelago.storage import drop, store
@@ -60,10 +61,8 @@ def label_islands(mesh: Mesh, config: BuildConfig, symmetrize: bool = False) ->
         if tuple(mark) == total:
             break
         total = tuple(mark)
-    # one row per island: the seeds alone are numbered in one place
-    seeds = store(now.where("ord = label").select("label"), "seeds")
-    numbered = seeds.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("island"))
-    return store(fit.join(now, "ord").join(numbered, "label").select("poly_ref", "ord", "island"), "islands")
+    numbers = numbered(now.where("ord = label").select("label"), [F.col("label")], "island", first=0)
+    return store(fit.join(now, "ord").join(numbers, "label").select("poly_ref", "ord", "island"), "islands")
 
 
 def summarize_islands(mesh: Mesh, labels: DataFrame) -> DataFrame:

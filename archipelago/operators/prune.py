@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import distance, lerp, quantize, squared
 from archipelago.operators.candidates import LINK, rank_links
 from archipelago.operators.components import connected_components
+from archipelago.operators.ranking import numbered
 from archipelago.operators.spatial import near_join
 from archipelago.plans.config import BuildConfig
 from archipelago.storage import drop, store
@@ -244,8 +245,9 @@ def corridor_edges(links: DataFrame, islands: DataFrame, config: BuildConfig) ->
     out = lambda side: islands.select(F.col("id").alias(f"island_{side}"), F.col("outbound").alias(f"out_{side}"))
     edges = edges.join(out("a"), "island_a").join(out("b"), "island_b")
     both = F.lit(config.symmetric)
+    edges = numbered(edges, [F.col("turn.from_island"), F.col("turn.rank")], "edge_index", first=0)
     return edges.select(
-        (F.row_number().over(Window.orderBy("turn")) - 1).cast("int").alias("edge_index"), "island_a", "island_b", "g.*",
+        F.col("edge_index").cast("int").alias("edge_index"), "island_a", "island_b", "g.*",
         (F.col("g.by") - F.col("g.ay")).alias("vertical_delta_ab"),
         (F.col("ab") | (both & F.col("out_a"))).alias("trav_ab"), (F.col("ba") | (both & F.col("out_b"))).alias("trav_ba"),
     )

@@ -139,12 +139,13 @@ class Model:
 
 
 def co_train(rows: list[tuple], rounds: int = ROUNDS) -> Model:
-    """``rows``: (source, lang, text, label or None) of the bounded sample.
+    """``rows``: (content features, metadata features, label or None) of the
+    bounded sample.
 
     A third of the labelled rows is held out to calibrate and to combine.
     """
-    seen = [(text_features(t), meta_features(s, g, t)) for s, g, t, _ in rows]
-    y = np.array([-1 if r[3] is None else int(r[3]) for r in rows])
+    seen = [r[:2] for r in rows]
+    y = np.array([-1 if r[2] is None else int(r[2]) for r in rows])
     known = np.flatnonzero(y >= 0)
     if len(set(y[known])) < 2:
         return Model(None, None, (), (0, 0, 0), float(y[known].mean()) if len(known) else 0.5, ())
@@ -189,13 +190,24 @@ def co_train(rows: list[tuple], rounds: int = ROUNDS) -> Model:
 def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
     """The bounded fitting sample, chosen by a hash of the id."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    mine = docs.where("doc_id IS NOT NULL").select("doc_id", "source", "lang", "text")
+    mine = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
     draw = F.xxhash64(F.lit(5), F.col("doc_id"))
     ids = mine.select("doc_id").join(marks, "doc_id", "left").withColumn("draw", draw)
     found = ids.where("quality IS NOT NULL").orderBy("draw", "doc_id").limit(LABELLED).unionByName(ids.where("quality IS NULL").orderBy("draw", "doc_id").limit(POOL))
-    # at most LABELLED + POOL rows
-    rows = mine.join(F.broadcast(found.select("doc_id", "quality")), "doc_id").orderBy("doc_id").collect()
-    return [(r["source"], r["lang"], (r["text"] or "").encode(), r["quality"]) for r in rows]
+    # at most LABELLED + POOL rows; of a text of any length only its features,
+    # no more than TEXT_SIZE numbers, come to the driver
+    rows = mine.join(F.broadcast(found.select("doc_id", "quality")), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    rows = rows.mapInArrow(_features, "doc_id long, quality int, slots array<long>, parts array<double>, meta array<long>").orderBy("doc_id").collect()
+    return [((np.array(r["slots"], np.int64), np.array(r["parts"])), (np.array(r["meta"], np.int64), np.ones(len(r["meta"]))), r["quality"]) for r in rows]
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [(t.as_py() or "").encode() for t in batch.column("text")]
+        content = [text_features(t) for t in texts]
+        meta = [meta_features(*m)[0] for m in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
+        made = [pa.array([c[0] for c in content], pa.list_(pa.int64())), pa.array([c[1] for c in content], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), *made], ["doc_id", "quality", "slots", "parts", "meta"])
 
 
 def _score(model: Model, threshold: float):

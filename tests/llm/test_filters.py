@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archipelago.llm import quality_rules as rules
-from archipelago.llm.cotrain import co_train, quality_scores, text_features
+from archipelago.llm.cotrain import co_train, meta_features, quality_scores, text_features
 from archipelago.llm.decontaminate import build_index, contamination, phrase_matches, proximity_matches
 from archipelago.llm.mixing import OTHER, Target, mix_report, rake, sample, tempered_targets
 from archipelago.llm.url_filter import Rule, build_cascade, filter_urls
@@ -200,7 +200,7 @@ def test_classifier_on_held_out_rows(spark):
 
 
 def test_views_teach_each_other():
-    rows = [(s, g, t.encode(), y if k < 150 else None) for k, (_, t, g, s, y) in enumerate(reviews(600, 4))]
+    rows = [(text_features(t.encode()), meta_features(s, g, t.encode()), y if k < 150 else None) for k, (_, t, g, s, y) in enumerate(reviews(600, 4))]
     model = co_train(rows)
     assert len(model.added) == 3 and model.added[-1] > model.added[0] > 0
 

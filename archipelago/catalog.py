@@ -266,7 +266,7 @@ def route_search(w: World) -> DataFrame:
 
 
 def graph_roundtrip(w: World) -> DataFrame:
-    path = f"{new_path(w.spark, 'graph')}.dig"
+    path = f"{new_path(w.spark, 'graph')}.bin"
     write_graph(path, w.graph.islands, w.graph.edges, w.graph.polygon_island)
     islands, _ = read_graph(w.spark, path)
     return islands.select("id", F.explode("polygons").alias("poly_ref"))

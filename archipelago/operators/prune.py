@@ -108,7 +108,7 @@ def global_conflicts(links: DataFrame, config: BuildConfig) -> DataFrame:
 
 
 def spanner_conflicts(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
-    """Two better links that make a detour by another island, no longer than
+    """Two better links that lead round by another island, no longer than
     the path ratio times the candidate."""
     hop = _placed(links, islands, config).withColumn("far", distance("p", "q"))
     one = hop.select(F.col("owner").alias("from_island"), F.col("goal").alias("via"), F.col("e").alias("e1"), F.col("far").alias("far1"))

@@ -82,7 +82,7 @@ def same(links: str, radius: float, target: bool = False) -> str:
 
 LOCAL = rounds("kept", "ranked", same("ranked", 1.5))
 HOPS = f"hops AS (SELECT rank, from_island, to_island, {LENGTH} AS far FROM kept)"
-DETOUR = "SELECT c.rank, x.rank AS e1, y.rank AS e2 FROM hops c JOIN hops x ON x.from_island = c.from_island AND x.rank < c.rank AND x.to_island <> c.to_island JOIN hops y ON y.from_island = x.to_island AND y.to_island = c.to_island AND y.rank < c.rank AND x.far + y.far <= 1.5 * c.far"
+TWO_HOPS = "SELECT c.rank, x.rank AS e1, y.rank AS e2 FROM hops c JOIN hops x ON x.from_island = c.from_island AND x.rank < c.rank AND x.to_island <> c.to_island JOIN hops y ON y.from_island = x.to_island AND y.to_island = c.to_island AND y.rank < c.rank AND x.far + y.far <= 1.5 * c.far"
 CROWD = " UNION ".join(f"SELECT c.rank, e.rank, e.rank FROM kept c JOIN kept e ON e.rank < c.rank AND {near('c', p, 'e', q, 1.0)}" for p in "st" for q in "st")
 
 
@@ -156,8 +156,8 @@ def oracle_sql() -> dict[str, str]:
         "candidate_dedup": _sql(*to_ranked, f"SELECT from_island, to_island, {LINK_MM} FROM cand"),
         "link_ranking": _sql(*to_ranked, links + "ranked"),
         "local_prune": _sql(*to_kept, links + "kept"),
-        "spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", DETOUR), links + "sparse"),
-        "global_spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", f"{DETOUR} UNION {CROWD}"), links + "sparse"),
+        "spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", TWO_HOPS), links + "sparse"),
+        "global_spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", f"{TWO_HOPS} UNION {CROWD}"), links + "sparse"),
         "local_collapse": _sql(*to_ranked, rounds("merged", "ranked", same("ranked", 4.0, target=True)), links + "merged"),
         "corridor_edges": _sql(*to_kept, corridors("kept"), "SELECT edge_index, island_a, island_b, CAST(round(horizontal * 1000) AS BIGINT) AS horizontal_mm, CAST(round(vertical_delta_ab * 1000) AS BIGINT) AS vertical_delta_ab_mm, trav_ab, trav_ba FROM edges"),
         "traversals": _sql(*to_graph, f"SELECT edge_index, from_island, to_island, {LINK_MM} FROM trav"),

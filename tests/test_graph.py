@@ -143,11 +143,11 @@ def test_limits():
 
 def test_spark_source_and_sink(spark, r1, tmp_path):
     isl = r1.islands.select("id", *[F.lit(float(v)).alias(f"{p}_{k}") for p, v in (("center", 1), ("min", 0), ("max", 2)) for k in "xyz"], "mass_score", "suppressed")
-    path = f"file://{tmp_path}/graph.dig"
+    path = f"file://{tmp_path}/graph.bin"
     write_graph(path, isl, r1.edges, r1.polygon_island)
     back, edges = read_graph(spark, path)
     assert back.count() == 3 and sorted(map(tuple, edges.collect())) == sorted(map(tuple, r1.edges.select(*edges.columns).collect()))
     spark.dataSource.register(GraphFileSource)
     rows = spark.read.format("islandgraph").option("table", "edges").load(path)
     assert rows.count() == 3 and spark.read.format("islandgraph").load(path).select(F.explode("polygons")).count() == 3
-    assert graph_bytes(isl, r1.edges, r1.polygon_island) == open(f"{tmp_path}/graph.dig", "rb").read()
+    assert graph_bytes(isl, r1.edges, r1.polygon_island) == open(f"{tmp_path}/graph.bin", "rb").read()

@@ -197,8 +197,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
     # at most LABELLED + POOL rows; of a text of any length only its features,
     # no more than TEXT_SIZE numbers, come to the driver
     rows = mine.join(F.broadcast(found.select("doc_id", "quality")), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(_features, "doc_id long, quality int, slots array<long>, parts array<double>, meta array<long>").orderBy("doc_id").collect()
-    return [((np.array(r["slots"], np.int64), np.array(r["parts"])), (np.array(r["meta"], np.int64), np.ones(len(r["meta"]))), r["quality"]) for r in rows]
+    rows = rows.mapInArrow(_features, "doc_id long, quality int, slots binary, parts binary, meta binary").orderBy("doc_id").collect()
+    out = []
+    for r in rows:
+        slots, parts, meta = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["parts"], np.float32), np.frombuffer(r["meta"], np.int32)
+        out.append(((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"]))
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +210,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(t.as_py() or "").encode() for t in batch.column("text")]
         content = [text_features(t) for t in texts]
         meta = [meta_features(*m)[0] for m in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
-        made = [pa.array([c[0] for c in content], pa.list_(pa.int64())), pa.array([c[1] for c in content], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))]
+        made = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in (([c[0] for c in content], np.int32), ([c[1] for c in content], np.float32), (meta, np.int32))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), *made], ["doc_id", "quality", "slots", "parts", "meta"])
 
 

@@ -200,3 +200,26 @@ def test_passages(spark):
     assert spans[7, 6] == spans[8, 6] == (0, 300, 0, 300, 300)
     assert set(spans) == {(2, 1), (3, 1), (7, 6), (8, 6)}
     assert repeated_passages(table(spark, rows).limit(0)).count() == 0
+
+
+def spread_changes(rnd, words, every):
+    return [w if k % every else f"new{rnd.randrange(10**9)}" for k, w in enumerate(words, 1)]
+
+
+@pytest.mark.parametrize("n,every", [(50, 5), (60, 5), (60, 8), (60, 9), (60, 10), (100, 6), (100, 9), (60, 12)])
+def test_fuzzy_passages_down_to_the_share(spark, n, every):
+    """Passages changed evenly have few words in a row; all are found."""
+    rnd = random.Random(n * every)
+    fresh = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 60, 2):
+        passage = fresh(n)
+        rows += [(k, " ".join(fresh(20) + passage + fresh(9))), (k + 1, " ".join(fresh(7) + spread_changes(rnd, passage, every) + fresh(30)))]
+    found = {(r["doc_id"], r["other_id"]) for r in repeated_passages(table(spark, rows), min_words=50 - 1, percent=80).collect()}
+    assert found == {(k + 1, k) for k in range(0, 60, 2)}
+
+
+def test_passages_of_repeated_words(spark):
+    rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
+    found = repeated_passages(table(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(2, 1)} and max(r["matched"] for r in found) == 2000

@@ -219,6 +219,18 @@ def test_fuzzy_passages_down_to_the_share(spark, n, every):
     assert found == {(k + 1, k) for k in range(0, 60, 2)}
 
 
+def test_passages_beyond_the_first_partner(spark):
+    """Partners are compared though each seed's first document holds too little."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    whole, twice = fresh(60), fresh(60)
+    rows = [(1, fresh(30) + whole[:40] + fresh(30)), (2, fresh(30) + whole[20:] + fresh(30)), (3, fresh(30) + whole + fresh(20)), (4, fresh(10) + whole + fresh(30))]
+    rows += [(5, fresh(20) + twice), (6, fresh(15) + twice + fresh(200) + twice + fresh(5))]
+    found = repeated_passages(table(spark, [(k, " ".join(v)) for k, v in rows])).collect()
+    spans = sorted((r["doc_id"], r["other_id"], r["start"], r["end"]) for r in found)
+    assert spans == [(4, 3, 10, 70), (6, 5, 15, 75), (6, 5, 275, 335)]
+
+
 def test_passages_of_repeated_words(spark):
     rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
     found = repeated_passages(table(spark, rows)).collect()

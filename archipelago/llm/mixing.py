@@ -3,8 +3,9 @@
 Documents fall into cells of (source, language, topic).  Their token weights
 are summed per cell, the sums are raked until each marginal has its target
 shares, and a cell's ratio of raked to present weight is the relative chance of
-its documents.  Chances are scaled so that the largest is one (or to a token
-budget) and a document stays if a hash of its id and the seed is below its
+its documents.  Chances are scaled so that the largest is one.  If a token budget
+asks for more, weights are raked anew with no cell above its present weight, to
+the largest total within the budget that keeps the shares.  A document stays if a hash of its id and the seed is below its
 cell's chance: the draw is the same on any cluster, at any partitioning.
 
 Size: targets name the categories; whatever they do not name is one category,
@@ -33,6 +34,8 @@ from archipelago.llm.storage import store
 OTHER = "(other)"
 MAX_CELLS = 2_000_000
 ROUNDS = 200
+#: Totals tried for the largest that keeps the shares.
+HALVINGS = 16
 
 
 def topic_of(text: Column) -> Column:
@@ -97,15 +100,7 @@ class Raked:
 
 def rake(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], rounds: int = ROUNDS, tolerance: float = 1e-9) -> tuple[np.ndarray, int]:
     """Scale ``present`` until each dimension's sums have the target shares."""
-    total = present.sum()
-    now = present.astype(float).copy()
-    dims = []
-    for d, target in enumerate(targets):
-        names = sorted({c[d] for c in cells})
-        where = np.array([names.index(c[d]) for c in cells]) if len(names) < 50 else np.searchsorted(names, [c[d] for c in cells])
-        there = np.bincount(where, present, len(names)) > 0
-        share = np.array([target.get(n, 0.0) for n in names]) * there
-        dims.append((where, share / share.sum() * total if share.sum() else np.bincount(where, present, len(names))))
+    dims, now = _marginals(cells, present, targets, present.sum()), present.astype(float).copy()
     for done in range(1, rounds + 1):
         worst = 0.0
         for where, want in dims:
@@ -118,21 +113,63 @@ def rake(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]
     return now, done
 
 
-def _scaled(present: np.ndarray, raked: np.ndarray, budget: float | None) -> np.ndarray:
-    """Chances in [0, 1], proportional to raked / present below 1.
+def _marginals(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], total: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per dimension each cell's category and the weights that categories shall have."""
+    dims = []
+    for d, target in enumerate(targets):
+        names = sorted({c[d] for c in cells})
+        where = np.array([names.index(c[d]) for c in cells]) if len(names) < 50 else np.searchsorted(names, [c[d] for c in cells])
+        there = np.bincount(where, present, len(names)) > 0
+        share = np.array([target.get(n, 0.0) for n in names]) * there
+        dims.append((where, share / share.sum() * total if share.sum() else np.bincount(where, present, len(names))))
+    return dims
+
+
+def rake_within(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], total: float, rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray | None:
+    """Chances, none above 1, at which the weights kept are ``total`` and have the
+    target shares; None if there are none."""
+    dims, factor = _marginals(cells, present, targets, total), np.ones(len(present))
+    for _ in range(rounds):
+        for where, want in dims:
+            have = np.bincount(where, np.minimum(1, factor) * present, len(want))
+            factor *= np.divide(want, have, out=np.zeros_like(want), where=have > 0)[where]
+        chance = np.where(present > 0, np.minimum(1, factor), 0)
+        if all(np.allclose(np.bincount(where, chance * present, len(want)), want, rtol=tolerance, atol=0) for where, want in dims):
+            return chance
+    return None
+
 
-    Without a budget the largest is 1: the most text that keeps the shares.
+def _scaled(cells: list[tuple], present: np.ndarray, raked: np.ndarray, targets: list[dict[str, float]], budget: float | None) -> np.ndarray:
+    """Chances in [0, 1] that keep the shares and at most ``budget``.
+
+    Proportional to raked / present where that gives the budget; else the
+    largest total found by halving that :func:`rake_within` can meet.
     """
     ratio = np.divide(raked, present, out=np.zeros(len(present)), where=present > 0)
     if not ratio.any():
         return np.ones(len(present))
+    best = ratio / ratio.max()
+    low = float((best * present).sum())
     if budget is None:
-        return ratio / ratio.max()
-    low, high = 0.0, 1.0 / ratio[ratio > 0].min()
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (low, mid) if (np.minimum(1, ratio * mid) * present).sum() > budget else (mid, high)
-    return np.minimum(1, ratio * high)
+        return best
+    if low >= budget:
+        return best * (budget / low)
+    # no category can give more than it has
+    high = budget
+    for where, want in _marginals(cells, present, targets, 1.0):
+        have = np.bincount(where, present, len(want))
+        high = min(high, float((have[want > 0] / want[want > 0]).min()))
+    total = high
+    for _ in range(HALVINGS):
+        found = rake_within(cells, present, targets, total)
+        if found is None:
+            high = total
+        else:
+            best, low = found, total
+        if high - low <= 1e-3 * high:
+            break
+        total = (low + high) / 2
+    return best
 
 
 def cells_of(docs: DataFrame, dims: dict[str, Column], named: list[list[str]]) -> list[Column]:
@@ -154,9 +191,22 @@ def fit(weighted: DataFrame, dims: list[str], targets: list[Target], budget_shar
     present = np.array([float(r["weight"] or 0) for r in rows])
     if not len(cells) or not present.sum():
         return Raked(cells, present, present, np.ones(len(cells)), 0)
-    raked, rounds = rake(cells, present, [t.wanted([c[d] for c in cells], present) for d, t in enumerate(targets)])
+    wanted = [t.wanted([c[d] for c in cells], present) for d, t in enumerate(targets)]
+    raked, rounds = rake(cells, present, wanted)
     budget = None if budget_share is None else budget_share * present.sum()
-    return Raked(cells, present, raked, _scaled(present, raked, budget), rounds)
+    return Raked(cells, present, raked, _scaled(cells, present, raked, wanted, budget), rounds)
+
+
+def shares(fitted: Raked) -> list[tuple[int, str, float, float, float]]:
+    """Per dimension and category its share of the weight at present, its target
+    and the share that the chances give."""
+    out = []
+    kept = fitted.chance * fitted.present
+    for d in range(len(fitted.cells[0]) if fitted.cells else 0):
+        for name in sorted({c[d] for c in fitted.cells}):
+            mine = np.array([c[d] == name for c in fitted.cells])
+            out.append((d, name, *(float(w[mine].sum() / (w.sum() or 1)) for w in (fitted.present, fitted.raked, kept))))
+    return out
 
 
 def draw(seed: int) -> Column:

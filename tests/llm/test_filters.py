@@ -1,6 +1,7 @@
 """URL filters, rules, decontamination, classifier, mixing and the pipeline."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from archipelago.llm import quality_rules as rules
 from archipelago.llm.cotrain import co_train, meta_features, quality_scores, text_features
 from archipelago.llm.decontaminate import build_index, contamination, phrase_matches, proximity_matches
-from archipelago.llm.mixing import OTHER, Target, mix_report, rake, sample, tempered_targets
+from archipelago.llm.mixing import OTHER, Target, fit, mix_report, rake, sample, shares, tempered_targets
 from archipelago.llm.url_filter import Rule, build_cascade, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, item string"
@@ -226,6 +227,24 @@ def test_raking_meets_the_marginals():
     assert raked.sum() == pytest.approx(present.sum()) and rounds < 100
 
 
+def test_budgets_keep_the_shares(spark):
+    rnd = random.Random(8)
+    rows = [(a, b, c, float(rnd.randint(1, 9) * 10 ** rnd.randint(0, 3))) for a in "abcde" for b in "xyz" for c in ("p", "q", OTHER) if rnd.random() < 0.9]
+    weighted = spark.createDataFrame(rows, "s string, l string, t string, weight double")
+    total = sum(r[3] for r in rows)
+    kept = []
+    for budget in (0.05, 0.3, 0.6, 0.9, 1.0):
+        found = fit(weighted, ["s", "l", "t"], [Target(tuple("abcde"), power=0.8), Target(tuple("xyz"), power=0.8), Target(("p", "q"), power=0.8)], budget)
+        assert found.chance.min() >= 0 and found.chance.max() <= 1 + 1e-12
+        for _, _, _, target, given in shares(found):
+            assert given == pytest.approx(target, rel=1e-4)
+        kept.append((found.chance * found.present).sum() / total)
+        assert kept[-1] <= budget + 1e-6
+    assert kept[0] == pytest.approx(0.05) and kept[-1] > 0.3
+    # the largest total is found to a thousandth
+    assert all(b > a * 0.998 for a, b in itertools.pairwise(kept))
+
+
 def test_mixing(spark):
     rnd = random.Random(5)
     rows = [(k, " ".join(["w"] * rnd.randint(5, 60)), rnd.choice(["en", "en", "en", "de"]), rnd.choice(["a", "a", "a", "a", "b", None])) for k in range(4000)]

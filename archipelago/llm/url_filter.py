@@ -13,9 +13,13 @@ nothing.  A key of the universe is listed if and only if the first level that
 rejects it is an even one (or none does and the number of levels is odd).
 Judging a URL then takes a few array look-ups and no join.
 
-Size: a level has about ``BITS`` bits for each key it encodes.  The first holds
-the list, the others shrink geometrically, so all levels are bounded by the
-size of the list, which is checked against ``MAX_RULES``.
+Size: level 1 has so many bits a key that the keys of the universe it takes for
+listed are about as many as the list; the bits grow with the logarithm of the
+universe.  Level 2 encodes those, about as many keys as the list has, and the
+later ones shrink geometrically.  So all filters are bounded by the list, which
+is checked against ``MAX_RULES``, and each level's keys against what that
+bound foresees before its filter comes to the driver.  A filter is one literal
+of the plan.
 
 Defined results.  A null URL, or one without ``://``, has an empty host and
 path and fits no rule; what no rule fits gets ``default``.  An empty list lists
@@ -24,15 +28,22 @@ nothing.  Columns beyond ``page_id`` and ``url`` are ignored.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass
+from math import ceil, log, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 10
-HASHES = 4
+from archipelago.llm.storage import store
+
+#: Bits and hashes a key from level 2 on.
+BITS, HASHES = 10, 4
 MAX_RULES = 1_000_000
 MAX_LEVELS = 40
+#: A level may hold so many times the keys of the list (and a few).
+SPARE = 8
 
 
 @dataclass(frozen=True)
@@ -79,39 +90,45 @@ def _candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda p: _key(h, p))))
 
 
-def _bits(key: Column, level: int, size: int) -> list[Column]:
+def _bits(key: Column, level: int, size: int, hashes: int) -> list[Column]:
     whole = F.xxhash64(key, F.lit(level))
     one, two = F.shiftrightunsigned(whole, 32), whole.bitwiseAND(F.lit((1 << 32) - 1))
-    return [F.pmod(one + two * F.lit(k), F.lit(size)) for k in range(HASHES)]
+    return [F.pmod(one + two * F.lit(k), F.lit(size)) for k in range(hashes)]
 
 
 @dataclass(frozen=True)
 class Level:
     size: int
+    hashes: int
     words: tuple[int, ...]
 
     def holds(self, key: Column, level: int) -> Column:
         """Whether a level's filter takes ``key`` for a member."""
-        table = F.array(*[F.lit(w) for w in self.words])
-        found = F.lit(True)
-        for bit in _bits(key, level, self.size):
-            word = F.get(table, F.floor(bit / F.lit(64)).cast("int"))
-            found = found & (F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1)
-        return found
+        table = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+        word = lambda bit: F.get(table, F.floor(bit / F.lit(64)).cast("int"))
+        return F.forall(F.array(*_bits(key, level, self.size, self.hashes)), lambda bit: F.getbit(word(bit), F.pmod(bit, F.lit(64)).cast("int")) == 1)
+
+
+def _shape(n: int, universe: int) -> tuple[int, int]:
+    """Bits and hashes a key of level 1, for ``n`` keys in a universe."""
+    wrong = max(1.0, log2(max(1, universe) / n))
+    return max(BITS, ceil(wrong / log(2))), max(HASHES, ceil(wrong))
 
 
-def _level(keys: DataFrame, number: int) -> Level | None:
+def _level(keys: DataFrame, number: int, bits: int, hashes: int, most: int) -> Level | None:
     """A Bloom filter of the column ``key``; None for no keys.
 
-    Its words come from grouped aggregation; only the filter itself, bounded by
-    the size of the list, comes to the driver.
+    Its words come from grouped aggregation; only the filter itself comes to
+    the driver, once its keys are counted and no more than ``most``.
     """
     n = keys.count()
     if not n:
         return None
-    size = max(64, (n * BITS + 63) // 64 * 64)
+    if n > most:
+        raise ValueError(f"{n} keys in level {number}; the filters are bounded for {most}")
+    size = max(64, (n * bits + 63) // 64 * 64)
     rows = (
-        keys.select(F.explode(F.array(*_bits(F.col("key"), number, size))).alias("bit"))
+        keys.select(F.explode(F.array(*_bits(F.col("key"), number, size, hashes))).alias("bit"))
         .groupBy(F.floor(F.col("bit") / F.lit(64)).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("bits"))
         .collect()
@@ -119,7 +136,7 @@ def _level(keys: DataFrame, number: int) -> Level | None:
     words = [0] * (size // 64)
     for row in rows:
         words[int(row["word"])] = row["bits"]
-    return Level(size, tuple(words))
+    return Level(size, hashes, tuple(words))
 
 
 @dataclass(frozen=True)
@@ -134,42 +151,54 @@ class Cascade:
         return answer
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """The cascade for the listed keys, exact for every key of ``universe``.
+def keys_table(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
+    """Distinct keys as a table of the column ``key``, made from one literal."""
+    text = json.dumps(sorted(set(keys)))
+    return spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<string>")).alias("key"))
 
-    Both have a column ``key``.  The universe is read once for level 2; all
-    that later levels look at is the few keys that an earlier one got wrong.
+
+def build_cascades(lists: dict[str, list[str]], universe: DataFrame) -> dict[str, Cascade]:
+    """A cascade for each list of keys, exact for every key of ``universe``.
+
+    ``universe``, with a column ``key``, is read twice for all lists together:
+    to count it and for level 2.  What later levels look at is stored, and
+    about as long as the lists.
     """
-    listed = listed.where("key IS NOT NULL").distinct()
-    first = _level(listed, 1)
-    if first is None:
-        return Cascade(())
-    levels = [first]
-    wrong = universe.where(first.holds(F.col("key"), 1)).distinct().join(listed, "key", "left_anti")
-    other = listed
-    for number in range(2, MAX_LEVELS):
-        level = _level(wrong, number)
-        if level is None:
-            return Cascade(tuple(levels))
-        levels.append(level)
-        wrong, other = other.where(level.holds(F.col("key"), number)), wrong
-    raise RuntimeError("the cascade did not end")
+    spark = universe.sparkSession
+    listed = {name: keys_table(spark, keys) for name, keys in lists.items() if keys}
+    if not listed:
+        return {name: Cascade(()) for name in lists}
+    total = universe.agg(F.approx_count_distinct("key", 0.02)).first()[0]
+    most = {name: SPARE * len(lists[name]) + 1000 for name in listed}
+    first = {name: _level(t, 1, *_shape(len(set(lists[name])), total), most[name]) for name, t in listed.items()}
+    met = universe.select("key", F.array_compact(F.array(*[F.when(level.holds(F.col("key"), 1), F.lit(name)) for name, level in first.items()])).alias("names"))
+    taken = store(met.select("key", F.explode("names").alias("name")).distinct(), "taken")
+    out = {name: Cascade(()) for name in lists}
+    for name, level in first.items():
+        levels, other = [level], listed[name]
+        wrong = taken.where(F.col("name") == name).select("key").join(F.broadcast(other), "key", "left_anti")
+        for number in range(2, MAX_LEVELS):
+            level = _level(wrong, number, BITS, HASHES, most[name])
+            if level is None:
+                break
+            levels.append(level)
+            wrong, other = other.where(level.holds(F.col("key"), number)), wrong
+        else:
+            raise RuntimeError("the cascade did not end")
+        out[name] = Cascade(tuple(levels))
+    return out
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the filters are bounded for {MAX_RULES}")
-    spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     asked = rows.select("page_id", "host", "path", _candidates(F.col("host"), F.col("path"), rules).alias("keys"))
-    universe = asked.select(F.explode("keys").alias("key"))
     actions = sorted({r.action for r in rules})
-    fits = {}
-    for action in actions:
-        listed = spark.createDataFrame([(f"{r.host}\n{r.path}",) for r in rules if r.action == action], "key string")
-        fits[action] = build_cascade(listed, universe)
+    fits = build_cascades({a: [f"{r.host}\n{r.path}" for r in rules if r.action == a] for a in actions}, asked.select(F.explode("keys").alias("key")))
+
     def judge(key: Column) -> Column:
         out = F.lit(None).cast("string")
         for action in actions:

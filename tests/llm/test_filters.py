@@ -15,7 +15,7 @@ from archipelago.llm import quality_rules as rules
 from archipelago.llm.cotrain import co_train, meta_features, quality_scores, text_features
 from archipelago.llm.decontaminate import build_index, contamination, phrase_matches, proximity_matches
 from archipelago.llm.mixing import OTHER, Target, fit, mix_report, rake, sample, shares, tempered_targets
-from archipelago.llm.url_filter import Rule, build_cascade, filter_urls
+from archipelago.llm.url_filter import Rule, build_cascades, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, item string"
 
@@ -54,11 +54,20 @@ def test_urls(spark):
 
 def test_cascade_is_exact_on_its_universe(spark):
     keys = [f"k{n}" for n in range(30_000)]
-    listed = spark.createDataFrame([(k,) for k in keys[::7]] + [("elsewhere",), (None,)], "key string")
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    cascade = build_cascade(listed, universe)
-    found = {r["key"] for r in universe.where(cascade.lists(F.col("key"))).collect()}
-    assert found == set(keys[::7]) and len(cascade.levels) > 2
+    universe = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    found = build_cascades({"a": [*keys[::7], "elsewhere"], "b": keys[:20], "none": []}, universe)
+    for name, want in (("a", set(keys[::7])), ("b", set(keys[:20])), ("none", set())):
+        assert {r["key"] for r in universe.where(found[name].lists(F.col("key"))).collect()} == want
+    assert len(found["a"].levels) > 1 and sum(len(x.words) for x in found["b"].levels) < 40
+
+
+def test_many_rules_without_python(spark):
+    """The filters grow with the list and run without Python workers."""
+    rules_ = [Rule("block", f"h{k}.org", "/") for k in range(100_000)]
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") * 50, F.lit(".org/x")).alias("url"))
+    found = filter_urls(pages, rules_)
+    assert found.where("verdict = 'block'").count() == 2000
+    assert "Python" not in found._jdf.queryExecution().toRdd().toDebugString()
 
 
 W = re.compile(r"[^\x20\x09-\x0D]+")

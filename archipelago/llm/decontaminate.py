@@ -11,8 +11,9 @@ lie.  The other pairs' postings are intersected with those places only, from
 the stored index.  A run of matching pairs as long as a window is a phrase
 match; enough matching pairs within a distance are a proximity match.
 
-The benchmark's pairs are sent to all executors only while there are at most
-``BROADCAST_PAIRS``; beyond that the joins shuffle.
+The benchmark's pairs, anchors and texts are sent to all executors only while
+its items have at most ``BROADCAST_PAIRS`` pairs, each place counted; beyond
+that the joins shuffle.
 
 Defined results.  A null or empty text has no words and matches nothing.  An
 item without words, or with a null id, is no item; items that share an id are
@@ -77,11 +78,11 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
         "item-pairs",
     )
     known = store(pairs.select("one", "two").distinct().withColumn("pair", F.monotonically_increasing_id()), "pairs")
-    n = known.count()
-    small = n <= BROADCAST_PAIRS
+    # what is sent is the pairs at all their places in items, not each once
+    small = pairs.count() <= BROADCAST_PAIRS
     alone = known.where("two IS NULL")
     # the row after the last word says how many words there are: pair -1
-    two = known.where("two IS NOT NULL").unionByName(docs.sparkSession.createDataFrame([("", "", -1)], "one string, two string, pair long"))
+    two = known.where("two IS NOT NULL").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("one"), F.lit("").alias("two"), F.lit(-1).cast("long").alias("pair")))
 
     tokens = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     ended = tokens.select("row", "doc_id", F.size("w").alias("n_words"), F.concat("w", F.array(F.lit(""))).alias("w"))

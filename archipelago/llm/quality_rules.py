@@ -84,10 +84,11 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, _let(runs, count)).otherwise(F.lit(0))
 
 
-def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``doc_id, stratum`` and the counts of every whole text."""
+def measures(docs: DataFrame, stratum: str = "lang", *also: str) -> DataFrame:
+    """``doc_id, stratum``, the columns ``also`` and the counts of every whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(
+        *also,
         "doc_id",
         F.col(stratum).cast("string").alias("stratum"),
         text.alias("text"),
@@ -96,6 +97,7 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     )
     joined = F.array_join("words", "")
     return found.select(
+        *also,
         "doc_id",
         "stratum",
         F.size("words").cast("long").alias("n_words"),
@@ -182,11 +184,27 @@ def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, ``base_failed``, the learned rule that rejects (or null) and ``kept``."""
     measured = store(measures(docs, stratum), "measures")
     out = judged(measured, certified_cutoffs(measured, labels, alpha, delta))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
-    )
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", "rejected_by")
+
 
+def rule_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs``, with their columns, and ``kept``, row by row.
+
+    The labelled rows are measured to set the cutoffs; then all rows are
+    measured and judged where they are read, so no text is shuffled.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct()
+    held = store(measures(docs.join(known, "doc_id", "left_semi"), stratum), "measures")
+    cutoffs = store(certified_cutoffs(held, labels, alpha, delta), "cutoffs")
+    whole = docs.select(F.struct("*").alias("whole"), "doc_id", "text", stratum)
+    # one comparison over both sides of the join stays above it as a filter, so
+    # the measures are not made a second time below
+    kept = F.expr("int(base_failed) + int(rejected_by IS NOT NULL) = 0")
+    return judged(measures(whole, stratum, "whole"), cutoffs).select("whole.*", kept.alias("kept"))

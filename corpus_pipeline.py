@@ -11,41 +11,62 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archipelago.llm.decontaminate import contamination
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.mixing import sample, tempered_targets
-from archipelago.llm.quality_rules import quality_rules
+from archipelago.llm.quality_rules import rule_verdicts
 from archipelago.llm.storage import store
 from archipelago.llm.token_shards import token_sequences
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rows(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The rows of ``docs`` whose verdict is to stay; rows without an id stay.
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality rules reject go.
 
-    The ids that go grow with the corpus, so they are not broadcast.
+    Every row is judged by its own text and language, whatever its id: null
+    and repeated ids, too.  A null or empty text is rejected.  Of ``labels``
+    only those of the stage's documents count.
     """
-    out = verdicts.where(f"NOT {keep}").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(out.hint("shuffle_merge"), "doc_id", "left_anti")
-
-
-def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdicts = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _rows(docs, store(verdicts.select("doc_id", "kept"), "rules"), "kept")
+    judged = rule_verdicts(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least id."""
-    return _rows(docs, store(near_duplicates(docs), "dedup"), "kept")
+    """One row of each near-duplicate group stays: that of the least id.
+
+    Rows are compared as rows: repeated rows of one id are a group like any
+    other, equal ids with different texts are not, and rows with a null id
+    stay behind those with one.  Rows without words are in no group and stay.
+    """
+    rows = store(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    found = store(near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    # a row without partners is its own group; only groups of more are decided
+    many = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = found.join(many, "component_id").join(rows.select("row", "doc_id").hint("shuffle_merge"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    heads = members.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    out = store(members.select("row").join(heads.hint("shuffle_merge"), "row", "left_anti"), "copies")
+    # the rows that go grow with the corpus, so they are not broadcast
+    return rows.join(out.hint("shuffle_merge"), "row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _rows(docs, store(found.select("doc_id", "contaminated"), "contamination"), "(NOT contaminated)")
+    """Rows that hold any passage of the benchmark go.
+
+    A row goes with the first window it shares with an item, however long its
+    text is.  Texts are judged by their hash of 64 bits, so equal texts share
+    their verdict and ids, null or repeated, play no part.  Null and empty
+    texts hold nothing and stay.
+    """
+    docs = docs.select(*COLUMNS)
+    key = F.xxhash64("text")
+    found = contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = store(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct(), "contaminated")
+    # the texts that go grow with the corpus, so their keys are not broadcast
+    return docs.join(hit.hint("shuffle_merge"), key == F.col("hit"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

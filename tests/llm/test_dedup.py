@@ -258,6 +258,51 @@ def test_passages_beyond_the_first_partner(spark):
     assert spans == [(4, 3, 10, 70), (6, 5, 15, 75), (6, 5, 275, 335)]
 
 
+def covered_by_hand(texts, least=50):
+    """Words of each text in a run of ``least`` words that an earlier text has."""
+    seen, out = set(), {}
+    for k in sorted(texts):
+        w = texts[k]
+        mine = [tuple(w[p : p + least]) for p in range(len(w) - least + 1)]
+        out[k] = {q for p, run in enumerate(mine) if run in seen for q in range(p, p + least)}
+        seen |= set(mine)
+    return out
+
+
+@pytest.mark.parametrize("seed,n", [(1, 40), (2, 220)])
+def test_equal_runs_are_all_found(spark, seed, n):
+    """Texts put together from few sentences, which most texts hold: every run of
+    50 words that an earlier text has is listed, also where seeds are frequent."""
+    rnd = random.Random(seed)
+    fresh = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    sentences = [fresh(rnd.randint(8, 45)) for _ in range(14)]
+    texts = {}
+    for k in range(n):
+        at, parts = rnd.randrange(14), []
+        for _ in range(rnd.randint(1, 9)):
+            at = (at + 1) % 14 if rnd.random() < 0.7 else rnd.randrange(14)
+            parts.append(fresh(rnd.randint(1, 20)) if rnd.random() < 0.2 else sentences[at])
+        texts[k] = [w for p in parts for w in p]
+    found = defaultdict(set)
+    for r in repeated_passages(table(spark, [(k, " ".join(t)) for k, t in texts.items()])).collect():
+        assert r["other_id"] < r["doc_id"]
+        found[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    want = covered_by_hand(texts)
+    assert sum(map(len, want.values())) > 1500
+    assert all(want[k] <= found[k] for k in texts)
+
+
+def test_pieces_of_a_passage_do_not_hide_it(spark):
+    rnd = random.Random(11)
+    fresh = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    whole, twice = fresh(120), fresh(80)
+    texts = {k: fresh(20) + whole[24 * (k - 1) : 24 * k] + fresh(30) for k in range(1, 6)}
+    texts |= {10: fresh(9) + whole + fresh(40), 11: fresh(50) + whole + fresh(3)}
+    texts |= {20: fresh(5) + twice + fresh(9), 21: twice + fresh(40) + twice}
+    found = {(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in repeated_passages(table(spark, [(k, " ".join(t)) for k, t in texts.items()])).collect()}
+    assert found == {(11, 10, 50, 170), (21, 20, 0, 80), (21, 20, 120, 200)}
+
+
 def test_passages_of_repeated_words(spark):
     rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
     found = repeated_passages(table(spark, rows)).collect()

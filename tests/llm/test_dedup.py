@@ -11,7 +11,7 @@ import pytest
 from archipelago.llm.components import connected_components, union_find
 from archipelago.llm.line_dedup import SHINGLE, duplicate_lines, line_dedup, without_lines
 from archipelago.llm.minhash_dedup import near_duplicates
-from archipelago.llm.substring import align, chains, repeated_passages
+from archipelago.llm.substring import align, chains, repeated_passages, single_runs
 from archipelago.llm.textkit import STEP, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hub string, key long"
@@ -208,6 +208,20 @@ def test_alignment():
     assert align([20, 50], [13, 43], a, b, 0, 0) == (10, 80, 3, 73, 69)
 
 
+def test_runs_are_aligned_alike_at_once():
+    rnd = np.random.default_rng(3)
+    made = []
+    for _ in range(300):
+        a, b = rnd.integers(0, 3, rnd.integers(20, 90)), rnd.integers(0, 3, rnd.integers(20, 90))
+        size = int(rnd.integers(4, 15))
+        x, y = int(rnd.integers(0, len(a) - size)), int(rnd.integers(0, len(b) - size))
+        b[y : y + size] = a[x : x + size]
+        made.append((x, y, size, a, b, int(rnd.integers(0, 9)), int(rnd.integers(0, 9))))
+    x, y, size, a, b, a0, b0 = (list(c) if k in (3, 4) else np.array(c) for k, c in enumerate(zip(*made, strict=True)))
+    found = list(zip(*(c.tolist() for c in single_runs(x + a0, y + b0, size, a, b, a0, b0)), strict=True))
+    assert found == [align([x + a0, x + a0 + n - 4], [y + b0, y + b0 + n - 4], a, b, a0, b0) for x, y, n, a, b, a0, b0 in made]
+
+
 def test_passages(spark):
     rnd = random.Random(9)
     words = [f"v{k}" for k in range(5000)]

@@ -1,38 +1,49 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 10).
 
 Documents fall into cells of (source, language, topic).  Their token weights
-are summed per cell, the sums are raked until each marginal has its target
-shares, and a cell's ratio of raked to present weight is the relative chance of
-its documents.  Chances are scaled so that the largest is one.  If a token budget
-asks for more, weights are raked anew with no cell above its present weight, to
-the largest total within the budget that keeps the shares.  A document stays if a hash of its id and the seed is below its
-cell's chance: the draw is the same on any cluster, at any partitioning.
-
-Size: targets name the categories; whatever they do not name is one category,
-``OTHER``.  The cells are thus at most the product of (named + 1) over the
-dimensions, whatever the corpus holds.  That bound is checked against
-``MAX_CELLS`` before the cell sums come to the driver.
+are summed per cell, and the sums are raked: in turn each dimension's
+categories are scaled to their target shares, until all hold.  A cell's ratio of
+raked to present weight is the relative chance of its documents.  Chances are
+scaled so that the largest is one.  If a token budget asks for more, weights
+are raked anew with no cell above its present weight, to the largest total
+within the budget that keeps the shares.  A document stays if a hash of its id
+and the seed is below its cell's chance: the draw is the same on any cluster,
+at any partitioning.
+
+Size: every category of the corpus counts; none are lumped together.  Only
+cells that documents have exist.  While they are at most ``LOCAL_CELLS``, which
+is counted first, the sums are raked on the driver; beyond that by grouped
+aggregation, one factor for each category, joined to the cells.  Both give the
+same chances.  Where targets contradict each other (an empty cell can make them),
+raking does not settle: the result says so in ``settled`` and a warning names the
+largest deviation.
+
+A weight is a count of white-space words, a topic the form of the text, unless
+the caller brings columns of its own.
 
 Defined results.  A null source, language or topic is the category ``OTHER``.
 A null or empty text weighs nothing and stays if its cell's chance allows.  A
 target for a category that no document has, or with share 0, is left out and
-the rest is scaled up; a category with share 0 loses all its documents.  A null
-``doc_id`` is drawn by its text.  Rows are drawn one by one; copies of a row
-share their fate.
+the rest is scaled up; a category with share 0, or without a target where
+shares are given, loses all its documents.  A null ``doc_id`` is drawn by its
+text.  Rows are drawn one by one; copies of a row share their fate.  Columns of
+the input may have any names.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archipelago.llm.storage import store
+from archipelago.llm.storage import drop, store
 
 OTHER = "(other)"
-MAX_CELLS = 2_000_000
+#: Cells, a row each, that may be raked on the driver.
+LOCAL_CELLS = 200_000
 ROUNDS = 200
 #: Totals tried for the largest that keeps the shares.
 HALVINGS = 16
@@ -67,24 +78,29 @@ def token_weight(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Target:
-    """The named categories of a dimension and their shares of the weight.
+    """The shares of the weight that a dimension's categories shall have.
 
     Without ``shares`` they are the corpus's own, drawn towards each other:
     raised to ``power`` and rescaled (1 leaves them, 0 makes them equal).
     """
 
-    names: tuple[str, ...]
     shares: dict[str, float] | None = None
     power: float = 1.0
 
-    def wanted(self, categories: list[str], present: np.ndarray) -> dict[str, float]:
-        if self.shares is not None:
-            return self.shares
-        sums: dict[str, float] = {}
-        for name, weight in zip(categories, present, strict=True):
-            sums[name] = sums.get(name, 0.0) + float(weight)
-        total = sum(sums.values())
-        return {k: (v / total) ** self.power for k, v in sums.items() if v > 0}
+    def wanted(self, present: Column, category: Column) -> Column:
+        """A category's unscaled share, from its part of the present weight."""
+        if self.shares is None:
+            return F.when(present > 0, F.pow(present, F.lit(self.power))).otherwise(F.lit(0.0))
+        given = F.lit(0.0)
+        for name, share in self.shares.items():
+            given = F.when(category == name, F.lit(float(share))).otherwise(given)
+        return F.when(present > 0, given).otherwise(F.lit(0.0))
+
+    def wanted_here(self, names: list[str], present: np.ndarray) -> np.ndarray:
+        """The same on the driver."""
+        if self.shares is None:
+            return np.where(present > 0, np.power(np.maximum(present, 0), self.power), 0)
+        return np.array([float(self.shares.get(n, 0.0)) for n in names]) * (present > 0)
 
 
 @dataclass(frozen=True)
@@ -96,39 +112,54 @@ class Raked:
     raked: np.ndarray
     chance: np.ndarray
     rounds: int
+    off: float
+
+    @property
+    def settled(self) -> bool:
+        return self.off < TOLERANCE
+
+
+#: Relative deviation from a marginal at which raking has settled.
+TOLERANCE = 1e-6
 
 
-def rake(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], rounds: int = ROUNDS, tolerance: float = 1e-9) -> tuple[np.ndarray, int]:
-    """Scale ``present`` until each dimension's sums have the target shares."""
-    dims, now = _marginals(cells, present, targets, present.sum()), present.astype(float).copy()
+Marginals = list[tuple[np.ndarray, np.ndarray]]
+
+
+def rake(present: np.ndarray, dims: Marginals, rounds: int = ROUNDS, tolerance: float = 1e-9) -> tuple[np.ndarray, int, float]:
+    """Scale ``present`` until each dimension's sums are as wanted.
+
+    Returns the weights, the rounds and the largest relative deviation left.
+    """
+    now, done, worst = present.astype(float).copy(), 0, np.inf
     for done in range(1, rounds + 1):
         worst = 0.0
         for where, want in dims:
             have = np.bincount(where, now, len(want))
             scale = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
-            worst = max(worst, float(np.abs(scale[have > 0] - 1).max(initial=0)))
+            if done > 1:
+                worst = max(worst, float(np.abs(scale[want > 0] - 1).max(initial=0)))
             now *= scale[where]
-        if worst < tolerance:
+        if done > 1 and worst < tolerance:
             break
-    return now, done
+    return now, done, worst
 
 
-def _marginals(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], total: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def marginals(cells: list[tuple], present: np.ndarray, targets: list[Target], total: float) -> Marginals:
     """Per dimension each cell's category and the weights that categories shall have."""
     dims = []
     for d, target in enumerate(targets):
-        names = sorted({c[d] for c in cells})
-        where = np.array([names.index(c[d]) for c in cells]) if len(names) < 50 else np.searchsorted(names, [c[d] for c in cells])
-        there = np.bincount(where, present, len(names)) > 0
-        share = np.array([target.get(n, 0.0) for n in names]) * there
+        names, where = np.unique(np.array([c[d] for c in cells], object).astype(str), return_inverse=True)
+        share = target.wanted_here(names.tolist(), np.bincount(where, present, len(names)) / present.sum())
         dims.append((where, share / share.sum() * total if share.sum() else np.bincount(where, present, len(names))))
     return dims
 
 
-def rake_within(cells: list[tuple], present: np.ndarray, targets: list[dict[str, float]], total: float, rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray | None:
+def rake_within(present: np.ndarray, dims: Marginals, total: float, rounds: int = 1000, tolerance: float = TOLERANCE) -> np.ndarray | None:
     """Chances, none above 1, at which the weights kept are ``total`` and have the
     target shares; None if there are none."""
-    dims, factor = _marginals(cells, present, targets, total), np.ones(len(present))
+    factor = np.ones(len(present))
+    dims = [(where, want / want.sum() * total) for where, want in dims]
     for _ in range(rounds):
         for where, want in dims:
             have = np.bincount(where, np.minimum(1, factor) * present, len(want))
@@ -139,7 +170,7 @@ def rake_within(cells: list[tuple], present: np.ndarray, targets: list[dict[str,
     return None
 
 
-def _scaled(cells: list[tuple], present: np.ndarray, raked: np.ndarray, targets: list[dict[str, float]], budget: float | None) -> np.ndarray:
+def _scaled(present: np.ndarray, raked: np.ndarray, dims: Marginals, budget: float | None) -> np.ndarray:
     """Chances in [0, 1] that keep the shares and at most ``budget``.
 
     Proportional to raked / present where that gives the budget; else the
@@ -156,12 +187,12 @@ def _scaled(cells: list[tuple], present: np.ndarray, raked: np.ndarray, targets:
         return best * (budget / low)
     # no category can give more than it has
     high = budget
-    for where, want in _marginals(cells, present, targets, 1.0):
+    for where, want in dims:
         have = np.bincount(where, present, len(want))
-        high = min(high, float((have[want > 0] / want[want > 0]).min()))
+        high = min(high, float((have[want > 0] / (want[want > 0] / want.sum())).min()))
     total = high
     for _ in range(HALVINGS):
-        found = rake_within(cells, present, targets, total)
+        found = rake_within(present, dims, total)
         if found is None:
             high = total
         else:
@@ -172,29 +203,78 @@ def _scaled(cells: list[tuple], present: np.ndarray, raked: np.ndarray, targets:
     return best
 
 
-def cells_of(docs: DataFrame, dims: dict[str, Column], named: list[list[str]]) -> list[Column]:
-    return [
-        F.when(column.cast("string").isin(list(names)), column.cast("string")).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
-        for column, names in zip(dims.values(), named, strict=True)
-    ]
-
-
-def fit(weighted: DataFrame, dims: list[str], targets: list[Target], budget_share: float | None = None) -> Raked:
-    """Sum ``weight`` per cell over all rows and rake the sums."""
-    bound = 1
-    for target in targets:
-        bound *= len(target.names) + 1
-    if bound > MAX_CELLS:
-        raise ValueError(f"the targets make {bound} cells; the bound is {MAX_CELLS}")
-    rows = weighted.groupBy(*dims).agg(F.sum("weight").alias("weight")).orderBy(*dims).collect()
-    cells = [tuple(r[d] for d in dims) for r in rows]
-    present = np.array([float(r["weight"] or 0) for r in rows])
-    if not len(cells) or not present.sum():
-        return Raked(cells, present, present, np.ones(len(cells)), 0)
-    wanted = [t.wanted([c[d] for c in cells], present) for d, t in enumerate(targets)]
-    raked, rounds = rake(cells, present, wanted)
+def fit(rows: list[tuple], targets: list[Target], budget_share: float | None = None) -> Raked:
+    """Rake cells ``(category, ..., weight)`` on the driver."""
+    cells, present = [tuple(r[:-1]) for r in rows], np.array([float(r[-1] or 0) for r in rows])
+    if not present.sum():
+        return Raked(cells, present, present, np.ones(len(cells)), 0, 0.0)
+    dims = marginals(cells, present, targets, present.sum())
+    raked, rounds, off = rake(present, dims)
+    if off >= TOLERANCE:
+        warnings.warn(f"the targets contradict each other: after {rounds} rounds a marginal is off by {off:.2g}", stacklevel=2)
     budget = None if budget_share is None else budget_share * present.sum()
-    return Raked(cells, present, raked, _scaled(cells, present, raked, wanted, budget), rounds)
+    return Raked(cells, present, raked, _scaled(present, raked, dims, budget), rounds, off)
+
+
+def fit_spread(cells: DataFrame, dims: list[str], targets: list[Target], budget_share: float | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """``cells(*dims, weight)`` with ``chance`` and ``settled``, raked by grouped
+    aggregation: nothing but a few numbers comes to the driver.
+
+    Weights are never scaled above what a cell has if the budget asks for more
+    than proportional chances give.
+    """
+    total = float(cells.agg(F.sum("weight")).first()[0] or 0)
+    if not total:
+        return cells.select("*", F.lit(1.0).alias("chance"), F.lit(True).alias("settled"))
+    wants, high = [], budget_share * total if budget_share is not None else total
+    for d, target in zip(dims, targets, strict=True):
+        sums = cells.groupBy(d).agg((F.sum("weight") / total).alias("part")).select(d, "part", target.wanted(F.col("part"), F.col(d)).alias("share"))
+        sums = store(sums, "marginal")
+        whole = float(sums.agg(F.sum("share")).first()[0] or 0)
+        want = store(sums.select(d, (F.col("share") / whole if whole else F.col("part")).alias("want")), "marginal")
+        wants.append(want)
+        most = sums.join(want, d).where("want > 0").agg(F.min(F.col("part") / F.col("want"))).first()[0]
+        high = min(high, total * float(most))
+
+    def settle(goal: float, capped: bool, tolerance: float) -> tuple[DataFrame, float]:
+        now = cells.withColumn("factor", F.lit(1.0))
+        held = F.least(F.lit(1.0), F.col("factor")) if capped else F.col("factor")
+        off = float("inf")
+        for done in range(rounds):
+            off = 0.0
+            for d, want in zip(dims, wants, strict=True):
+                have = now.groupBy(d).agg(F.sum(held * F.col("weight")).alias("have")).join(want, d)
+                scale = have.select(d, F.when(F.col("have") > 0, F.col("want") * goal / F.col("have")).otherwise(F.lit(0.0)).alias("scale"), "want")
+                after = store(now.join(scale, d).select(*cells.columns, (F.col("factor") * F.col("scale")).alias("factor"), F.when(F.col("want") > 0, F.abs(F.col("scale") - 1)).alias("off")), "raked")
+                if done:
+                    off = max(off, float(after.agg(F.max("off")).first()[0] or 0))
+                if hasattr(now, "_stored_at"):
+                    drop(now)
+                now = after
+            if done and off < tolerance:
+                break
+        return now, off
+
+    raked, off = settle(total, False, 1e-9)
+    top = float(raked.where("weight > 0").agg(F.max("factor")).first()[0] or 0)
+    if off >= TOLERANCE:
+        warnings.warn(f"the targets contradict each other: a marginal is off by {off:.2g}", stacklevel=2)
+    best = raked.withColumn("chance", F.when(F.col("weight") > 0, F.col("factor") / top).otherwise(F.lit(0.0)))
+    low = float(best.agg(F.sum(F.col("chance") * F.col("weight"))).first()[0])
+    if budget_share is not None and low >= budget_share * total:
+        best = best.withColumn("chance", F.col("chance") * (budget_share * total / low))
+    elif budget_share is not None:
+        goal = high
+        for _ in range(HALVINGS):
+            found, worst = settle(goal, True, TOLERANCE)
+            if worst < TOLERANCE:
+                best, low = found.withColumn("chance", F.when(F.col("weight") > 0, F.least(F.lit(1.0), "factor")).otherwise(F.lit(0.0))), goal
+            else:
+                high = goal
+            if high - low <= 1e-3 * high:
+                break
+            goal = (low + high) / 2
+    return best.select(*cells.columns, "chance", F.lit(off < TOLERANCE).alias("settled"))
 
 
 def shares(fitted: Raked) -> list[tuple[int, str, float, float, float]]:
@@ -209,72 +289,60 @@ def shares(fitted: Raked) -> list[tuple[int, str, float, float, float]]:
     return out
 
 
-def draw(seed: int) -> Column:
+def draw(seed: int, doc_id: Column, text: Column) -> Column:
     """A number in [0, 1) from the document's id, or its text where that is null."""
-    text = F.col("text")
-    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit(seed), F.col("doc_id"))).otherwise(F.xxhash64(F.lit(seed), text))
+    key = F.when(doc_id.isNotNull(), F.xxhash64(F.lit(seed), doc_id)).otherwise(F.xxhash64(F.lit(seed), text))
     return F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
 
 
-CELLS = ["mix_source", "mix_lang", "mix_topic"]
+DIMS = ["source", "lang", "topic"]
 
 
-def weighed(docs: DataFrame, targets: dict[str, Target], topic: Column | None = None) -> DataFrame:
-    """``docs`` with ``mix_source, mix_lang, mix_topic`` and ``mix_weight``.
+def _placed(docs: DataFrame, dims: list[str], topic: Column | None, *also: Column) -> DataFrame:
+    """``doc, key, source, lang, topic`` of every row and the columns ``also``:
+    ``key`` is the text's hash; a dimension that is not named is one category."""
+    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text")) if topic is None else topic}
+    cells = [F.coalesce(c.cast("string"), F.lit(OTHER)) if n in dims else F.lit(OTHER) for n, c in columns.items()]
+    return docs.select(*also, F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), *[c.alias(n) for n, c in zip(DIMS, cells, strict=True)])
 
-    ``targets`` has those of ``source``, ``lang`` and ``topic``; a dimension
-    without one is a single category.
-    """
-    topic = topic_of(F.col("text")) if topic is None else topic
-    named = [list(targets[n].names) if n in targets else [] for n in ("source", "lang", "topic")]
-    columns = cells_of(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}, named)
-    return docs.select("*", *[c.alias(n) for c, n in zip(columns, CELLS, strict=True)], token_weight(F.col("text")).alias("mix_weight"))
-
-
-def chosen(rows: DataFrame, sums: DataFrame, targets: dict[str, Target], budget_share: float | None, seed: int) -> DataFrame:
-    """``rows`` with ``mix_chance`` and ``mix_kept``; ``sums`` has the same cells
-    and ``mix_weight``, which are summed over all rows."""
-    wanted = [targets.get(n, Target(())) for n in ("source", "lang", "topic")]
-    raked = fit(sums.select(*CELLS, F.col("mix_weight").alias("weight")), CELLS, wanted, budget_share)
-    chances = rows.sparkSession.createDataFrame(
-        [(*c, float(p)) for c, p in zip(raked.cells, raked.chance, strict=True)],
-        ", ".join(f"{c} string" for c in CELLS) + ", mix_chance double",
-    )
-    # no longer than the bound that fit() has checked
-    return rows.join(F.broadcast(chances), CELLS).withColumn("mix_kept", draw(seed) < F.col("mix_chance"))
 
+def chances(rows: DataFrame, targets: dict[str, Target], budget_share: float | None, local_cells: int = LOCAL_CELLS) -> DataFrame:
+    """``source, lang, topic, chance, settled`` of every cell of ``rows``."""
+    wanted = [targets.get(n, Target()) for n in DIMS]
+    cells = store(rows.groupBy(*DIMS).agg(F.sum("weight").cast("double").alias("weight")), "cells")
+    if cells.count() > local_cells:
+        return store(fit_spread(cells, DIMS, wanted, budget_share).drop("weight"), "chances")
+    # no more than local_cells rows, as counted
+    found = fit([tuple(r) for r in cells.orderBy(*DIMS).collect()], wanted, budget_share)
+    made = [(*c, float(p), found.settled) for c, p in zip(found.cells, found.chance, strict=True)]
+    return store(cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, chance double, settled boolean"), "chances")
 
-def sample(docs: DataFrame, targets: dict[str, Target], budget_share: float | None = None, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` that the draw keeps, with their own columns."""
-    marked = weighed(docs, targets)
-    return chosen(marked, marked, targets, budget_share, seed).where("mix_kept").select(*docs.columns)
 
+def sample(docs: DataFrame, targets: dict[str, Target], budget_share: float | None = None, seed: int = 11, topic: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that the draw keeps, with their own columns.
 
-def frequent(docs: DataFrame, column: str, most: int = 1000) -> tuple[str, ...]:
-    """The ``most`` most frequent categories, to be named in a target; the rest
-    are one category together.  Counts cover all rows."""
-    counts = docs.groupBy(F.col(column).cast("string").alias("c")).agg(F.count("*").alias("n"))
-    return tuple(r["c"] for r in counts.where("c IS NOT NULL").orderBy(F.desc("n"), "c").limit(most).collect())
+    Only rows' cells are joined with the chances; documents are read twice, and
+    shuffled only if the cells are too many to be sent to all.
+    """
+    weights = _placed(docs, list(targets), topic, token_weight(F.col("text")).alias("weight"))
+    table = chances(weights, targets, budget_share)
+    whole = _placed(docs, list(targets), topic, F.struct("*").alias("whole"))
+    return whole.join(table, DIMS).where(draw(seed, F.col("doc"), F.col("key")) < F.col("chance")).select("whole.*")
 
 
-def tempered_targets(docs: DataFrame, power: float) -> dict[str, Target]:
+def tempered_targets(power: float) -> dict[str, Target]:
     """Targets that draw source, language and topic shares towards each other."""
-    named = {n: frequent(docs, n) for n in ("source", "lang")} | {"topic": TOPICS}
-    return {n: Target(names, power=power) for n, names in named.items()}
+    return {n: Target(power=power) for n in DIMS}
 
 
-def mix_report(docs: DataFrame, targets: dict[str, Target], budget_share: float | None = None, seed: int = 11) -> DataFrame:
+def mix_report(docs: DataFrame, targets: dict[str, Target], budget_share: float | None = None, seed: int = 11, topic: Column | None = None) -> DataFrame:
     """One row per document: its cell, weight, chance and whether it stays."""
-    mine = weighed(docs.select("doc_id", "text", "source", "lang"), targets)
     # a null id is drawn by its text's hash, so texts need not be kept
-    mine = store(mine.select("doc_id", F.xxhash64("text").alias("text"), *CELLS, "mix_weight"), "weighed")
-    marked = chosen(mine, mine, targets, budget_share, seed)
-    return marked.select(
-        "doc_id",
-        F.col("mix_source").alias("source"),
-        F.col("mix_lang").alias("lang"),
-        F.col("mix_topic").alias("topic"),
-        F.col("mix_weight").alias("tokens"),
-        F.round("mix_chance", 9).alias("chance"),
-        F.col("mix_kept").alias("kept"),
+    mine = store(_placed(docs, list(targets), topic, token_weight(F.col("text")).alias("weight")), "weighed")
+    return mine.join(chances(mine, targets, budget_share), DIMS).select(
+        F.col("doc").alias("doc_id"),
+        *DIMS,
+        F.col("weight").alias("tokens"),
+        F.round("chance", 9).alias("chance"),
+        (draw(seed, F.col("doc"), F.col("key")) < F.col("chance")).alias("kept"),
     )

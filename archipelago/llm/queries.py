@@ -69,8 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return mix_report(docs, tempered_targets(docs, power=0.8), budget_share=0.6)
+    return mix_report(_table(spark, sf_dir, "documents"), tempered_targets(power=0.8), budget_share=0.6)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

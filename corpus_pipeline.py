@@ -70,9 +70,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights are drawn towards even shares."""
-    docs = docs.select(*COLUMNS)
-    return sample(docs, tempered_targets(docs, power=0.9), budget_share=0.9)
+    """A sample whose token weights are drawn towards even shares.
+
+    Rows with null or empty texts weigh nothing; equal rows share their fate,
+    and a null id is drawn by its text.
+    """
+    return sample(docs.select(*COLUMNS), tempered_targets(power=0.9), budget_share=0.9)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from archipelago.llm import quality_rules as rules
 from archipelago.llm.cotrain import co_train, meta_features, quality_scores, text_features
 from archipelago.llm.decontaminate import build_index, contamination, phrase_matches, proximity_matches
-from archipelago.llm.mixing import OTHER, Target, fit, mix_report, rake, sample, shares, tempered_targets
+from archipelago.llm.mixing import DIMS, OTHER, Target, fit, fit_spread, marginals, mix_report, rake, sample, shares, tempered_targets
 from archipelago.llm.url_filter import Rule, build_cascades, filter_urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, item string"
@@ -229,21 +229,30 @@ def test_raking_meets_the_marginals():
     cells = [(a, b, c) for a in "abc" for b in "xy" for c in "pqr"]
     present = rnd.uniform(1, 50, len(cells))
     targets = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"x": 0.4, "y": 0.6}, {"p": 0.2, "q": 0.3, "r": 0.5}]
-    raked, rounds = rake(cells, present, targets)
+    raked, rounds, off = rake(present, marginals(cells, present, [Target(t) for t in targets], present.sum()))
     for d, target in enumerate(targets):
         for name, share in target.items():
             assert raked[[c[d] == name for c in cells]].sum() / present.sum() == pytest.approx(share, abs=1e-6)
-    assert raked.sum() == pytest.approx(present.sum()) and rounds < 100
+    assert raked.sum() == pytest.approx(present.sum()) and rounds < 100 and off < 1e-8
 
 
-def test_budgets_keep_the_shares(spark):
-    rnd = random.Random(8)
-    rows = [(a, b, c, float(rnd.randint(1, 9) * 10 ** rnd.randint(0, 3))) for a in "abcde" for b in "xyz" for c in ("p", "q", OTHER) if rnd.random() < 0.9]
-    weighted = spark.createDataFrame(rows, "s string, l string, t string, weight double")
+def test_targets_that_contradict_each_other_are_reported():
+    rows = [("a", "x", 3.0), ("b", "x", 0.0), ("b", "y", 2.0)]
+    with pytest.warns(UserWarning, match="contradict"):
+        assert not fit(rows, [Target({"a": 0.9, "b": 0.1}), Target({"x": 0.2, "y": 0.8})]).settled
+    assert fit(rows, [Target({"a": 0.6, "b": 0.4}), Target({"x": 0.6, "y": 0.4})]).settled
+
+
+def sparse_cells(rnd):
+    return [(a, b, c, float(rnd.randint(1, 9) * 10 ** rnd.randint(0, 3))) for a in "abcde" for b in "xyz" for c in ("p", "q", OTHER) if rnd.random() < 0.9]
+
+
+def test_budgets_keep_the_shares():
+    rows = sparse_cells(random.Random(8))
     total = sum(r[3] for r in rows)
     kept = []
     for budget in (0.05, 0.3, 0.6, 0.9, 1.0):
-        found = fit(weighted, ["s", "l", "t"], [Target(tuple("abcde"), power=0.8), Target(tuple("xyz"), power=0.8), Target(("p", "q"), power=0.8)], budget)
+        found = fit(rows, [Target(power=0.8)] * 3, budget)
         assert found.chance.min() >= 0 and found.chance.max() <= 1 + 1e-12
         for _, _, _, target, given in shares(found):
             assert given == pytest.approx(target, rel=1e-4)
@@ -254,11 +263,29 @@ def test_budgets_keep_the_shares(spark):
     assert all(b > a * 0.998 for a, b in itertools.pairwise(kept))
 
 
+@pytest.mark.parametrize("budget", [None, 0.05])
+def test_spread_raking_equals_that_on_the_driver(spark, budget):
+    rows = sparse_cells(random.Random(8))
+    targets = [Target(power=0.7), Target({"x": 0.3, "y": 0.5, "z": 0.2}), Target(power=1.0)]
+    want = fit(rows, targets, budget)
+    found = fit_spread(spark.createDataFrame(rows, "source string, lang string, topic string, weight double").coalesce(1), DIMS, targets, budget).collect()
+    assert {tuple(r[:3]): pytest.approx(r["chance"], rel=1e-6) for r in found} == dict(zip(want.cells, want.chance, strict=True))
+    assert all(r["settled"] for r in found)
+
+
+def test_many_categories(spark):
+    """No category is lumped with others, however many there are."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat('w ', 1 + id % 7) AS text", "concat('s', id % 900) AS source", "concat('l', id div 7 % 500) AS lang", "1 AS mix_source", "2 AS weight", "3 AS chance")
+    found = mix_report(docs, tempered_targets(0.8)).select("source", "lang").distinct()
+    assert found.count() > 4000 and found.where(F.col("source") == OTHER).count() == 0
+    assert sample(docs, tempered_targets(0.8)).columns == docs.columns
+
+
 def test_mixing(spark):
     rnd = random.Random(5)
     rows = [(k, " ".join(["w"] * rnd.randint(5, 60)), rnd.choice(["en", "en", "en", "de"]), rnd.choice(["a", "a", "a", "a", "b", None])) for k in range(4000)]
     docs = table(spark, rows)
-    targets = {"source": Target(("a", "b"), {"a": 0.5, "b": 0.3, OTHER: 0.2}), "lang": Target(("en", "de"), {"en": 0.5, "de": 0.5})}
+    targets = {"source": Target({"a": 0.5, "b": 0.3, OTHER: 0.2}), "lang": Target({"en": 0.5, "de": 0.5})}
     found = mix_report(docs, targets).collect()
     assert len(found) == 4000 and {r["doc_id"]: r["tokens"] for r in found} == {r[0]: len(r[1].split()) for r in rows}
     kept = [r for r in found if r["kept"]]
@@ -266,16 +293,15 @@ def test_mixing(spark):
     share = lambda name, value: sum(r["tokens"] for r in kept if r[name] == value) / total
     assert abs(share("source", "a") - 0.5) < 0.06 and abs(share("lang", "de") - 0.5) < 0.06 and abs(share("source", OTHER) - 0.2) < 0.06
     again = {r["doc_id"] for r in mix_report(docs.repartition(5), targets).where("kept").collect()}
-    assert again == {r["doc_id"] for r in kept}
-    half = mix_report(docs, tempered_targets(docs, 0.8), budget_share=0.5).agg(F.sum(F.when(F.col("kept"), F.col("tokens"))) / F.sum("tokens")).first()[0]
+    assert again == {r["doc_id"] for r in kept} == {r["doc_id"] for r in sample(docs, targets).collect()}
+    half = mix_report(docs, tempered_targets(0.8), budget_share=0.5).agg(F.sum(F.when(F.col("kept"), F.col("tokens"))) / F.sum("tokens")).first()[0]
     assert abs(half - 0.5) < 0.05
-    assert sample(docs, targets).columns == docs.columns
 
 
 def test_mixing_odd_rows(spark):
     docs = table(spark, [(1, None, None, None), (2, "", "en", "a"), (None, "x y", "en", "a"), (None, None, "en", "a"), (3, "z " * 50_000, "de", "b"), (3, "z", "de", "b")])
-    assert mix_report(docs, tempered_targets(docs, 0.5)).count() == 6
-    assert mix_report(docs.limit(0), tempered_targets(docs.limit(0), 0.5)).count() == 0
+    assert mix_report(docs, tempered_targets(0.5)).count() == 6
+    assert mix_report(docs.limit(0), tempered_targets(0.5)).count() == 0
 
 
 def test_pipeline(spark, tmp_path):

@@ -45,7 +45,7 @@ _BAND_KEY = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint6
 _BLOCK = 1024
 
 #: Shingles on either side of a block of comparisons.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 400_000
 
 FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
 SETS = "id long, sig binary, shingles array<long>"
@@ -158,8 +158,11 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other, so a group of any size is spread and nothing is left out.
     """
     load = rows.groupBy("hub").agg(*[F.sum(F.when(F.col("side") == k, F.col("n"))).alias(f"load{k}") for k in (0, 1)])
-    parts = load.where("load0 > 0 AND load1 > 0").select("hub", *[F.ceil(F.col(f"load{k}") / F.lit(BLOCK_SHINGLES)).cast("int").alias(f"parts{k}") for k in (0, 1)])
-    placed = rows.join(parts, "hub")
+    parts = load.select("hub", *[F.ceil(F.col(f"load{k}") / F.lit(BLOCK_SHINGLES)).cast("int").alias(f"parts{k}") for k in (0, 1)])
+    # only groups of several blocks are looked up, so rows need not meet by hub
+    large = store(parts.where("parts0 > 1 OR parts1 > 1"), "large-groups")
+    one = F.lit(1)
+    placed = rows.join(large, "hub", "left").select(*rows.columns, F.coalesce("parts0", one).alias("parts0"), F.coalesce("parts1", one).alias("parts1"))
     own = F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1"))
     mine = F.pmod(F.xxhash64("id"), own).cast("int")
     there = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1))
@@ -209,7 +212,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     placed = around.join(comp, "id", "left").select("hub", "id", "n", F.coalesce("component", "id").alias("comp"))
     main = placed.groupBy("hub", "comp").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("comps"))
-    open_ = store(placed.join(main.where("comps > 1").select("hub", F.col("x.comp").alias("main")), "hub"), "open")
+    main = store(main.where("comps > 1").select("hub", F.col("x.comp").alias("main")), "main-components")
+    open_ = store(placed.join(main, "hub"), "open")
     rest = open_.select("hub", F.lit(1).alias("side"), "id", "comp", "n").unionByName(
         open_.where("comp <> main").select("hub", F.lit(0).alias("side"), "id", "comp", "n")
     )

@@ -8,11 +8,11 @@ slot ``s`` is at byte ``(s % shard_rows) * stride`` of shard ``s // shard_rows``
 so a run resumes anywhere with one seek.
 
 The texts are tokenised once, where they are read, and the ids written to the
-shared folder with their place in their partition; prefix sums of the
-partitions' totals make that a place in the whole stream.  Then each piece goes
-to its slot's range: the only shuffle.  The stream runs in the order in which
-the table's partitions are read; the permutation hides it, and the written ids
-fix it for the rest of the run.
+shared folder.  The stream runs in the order of ``doc_id`` (null first), then of
+the ids' hash, so the same documents and key give the same sequences and slots
+on any cluster.  Only ids, hashes and token counts are sorted, by range; prefix
+sums within the ranges, and of the ranges' totals, make each document's place.
+Then each piece goes to its slot's range.
 
 Defined results.  Null and empty texts give only their end mark.  Repeated rows
 and repeated or null ids are documents like any other.  The last sequence is
@@ -59,19 +59,19 @@ def encode(text: str, path: str, pattern: str) -> bytes:
 
 
 def _tokens(path: str, pattern: str, end: int):
-    """Ids of every text, and its place in the partition's part of the stream."""
-    names, mark = ["part", "at", "n", "doc_id", "ids"], end.to_bytes(2, "little")
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """Ids of every text; ``row`` tells the rows apart."""
+    names, mark = ["row", "n", "doc_id", "ids"], end.to_bytes(2, "little")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py(), path, pattern) + mark
-                rows.append((part, at, len(ids) // 2, doc, ids))
-                at, size = at + len(ids) // 2, size + len(ids)
+                rows.append((row, len(ids) // 2, doc, ids))
+                row, size = row + 1, size + len(ids)
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, size = [], 0
@@ -81,6 +81,16 @@ def _tokens(path: str, pattern: str, end: int):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places within a range's part of the stream."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = np.asarray(batch.column("n"))
+        places = at + np.cumsum(n) - n
+        at += int(n.sum())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.full(len(n), part, np.int32)), pa.array(places), batch.column("n")], ["row", "part", "at", "n"])
+
+
 def _pieces(length: int, n_seqs: int, key: int):
     """Each document's ids cut at the ends of sequences."""
 
@@ -114,14 +124,18 @@ def _made(rows: list[tuple], n_seqs: int, key: int) -> pa.RecordBatch:
 def _placed(tokens: DataFrame) -> tuple[DataFrame, int]:
     """``tokens`` with ``at`` in the whole stream, and the stream's length.
 
-    One total per partition of the scan is all that meets in one place.
+    One total per range is all that meets in one place.
     """
-    totals = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    keys = tokens.select("row", "n", "doc_id", F.xxhash64("ids").alias("mark")).repartitionByRange(*order).sortWithinPartitions(*order)
+    places = store(keys.mapInArrow(_summed, "row long, part int, at long, n long"), "places")
+    totals = {r["part"]: r["n"] for r in places.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(totals):
         base[part], total = total, total + totals[part]
     bases = tokens.sparkSession.createDataFrame(list(base.items()), "part int, base long")
-    return tokens.join(F.broadcast(bases), "part").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "ids"), total
+    placed = places.join(F.broadcast(bases), "part").select("row", (F.col("at") + F.col("base")).alias("at"))
+    return tokens.join(placed.hint("shuffle_merge"), "row").select("doc_id", "at", "ids"), total
 
 
 def _half_bits(n: int) -> int:
@@ -219,7 +233,7 @@ def token_sequences(
     shards, in order; ``path`` and ``pattern`` are a rank file and its pattern.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tokens = store(rows.mapInArrow(_tokens(path, pattern, end), "part int, at long, n long, doc_id long, ids binary"), "tokens")
+    tokens = store(rows.mapInArrow(_tokens(path, pattern, end), "row long, n long, doc_id long, ids binary"), "tokens")
     placed, total = _placed(tokens)
     n = -(-total // length)
     pieces = placed.mapInArrow(_pieces(length, n, key), "slot long, seq long, pos int, doc_id long, ids binary")
@@ -234,8 +248,9 @@ def write_shards(sequences: DataFrame, path: str, length: int = LENGTH) -> DataF
     """Write raw shards to ``path``, a URI that pyarrow can open, and list them.
 
     A shard is written under a temporary name and renamed when whole, and one
-    that is there in full size is left alone: a task that is run again, or a
-    job that is started again, goes on where it stopped.
+    that is there with the same bytes is left alone: a task that is run again, or
+    a job that is started again, goes on where it stopped.  Shards that another
+    stream, key or length left at the path are replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +263,13 @@ def write_shards(sequences: DataFrame, path: str, length: int = LENGTH) -> DataF
         def close() -> None:
             if now is None:
                 return
-            name, size = f"{root}/shard-{now:08d}.bin", sum(map(len, rows))
-            there = store_.get_file_info(name)
-            if there.type != fs.FileType.File or there.size != size:
+            name, data = f"{root}/shard-{now:08d}.bin", b"".join(rows)
+            size, there = len(data), store_.get_file_info(name)
+            if there.type != fs.FileType.File or there.size != size or store_.open_input_stream(name).read() != data:
                 store_.create_dir(root, recursive=True)
                 half = f"{name}.{uuid.uuid4().hex}"
                 with store_.open_output_stream(half) as out:
-                    out.write(b"".join(rows))
+                    out.write(data)
                 store_.move(half, name)
             done.append((now, size))
 

@@ -103,3 +103,17 @@ def test_shards_hold_the_stream(spark, tmp_path):
     back = list(read_slots(path, 5, 9, length=64, shard_rows=8))
     assert [x.tobytes() for x in back] == [r["tokens"] for r in listed[5:14]]
     assert token_sequences(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_stream_is_the_same_on_any_cluster(spark, tmp_path):
+    """Partitions do not matter, and shards of another stream are not kept."""
+    rows = [(k // 2 if k % 7 else None, f"text {k * k} of the thing", 1) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, seq int")
+    make = lambda d, **more: token_sequences(d, RANKS, public_tokenizers.PATTERN, length=16, shard_rows=4, **more)
+    one = {r["slot"]: r["tokens"] for r in make(docs.repartition(1)).collect()}
+    two = {r["slot"]: r["tokens"] for r in make(docs.repartition(7)).collect()}
+    assert one == two and len(one) > 20
+    path = f"file://{tmp_path}/shards"
+    write_shards(make(docs, key=3), path, 16).collect()
+    write_shards(make(docs), path, 16).collect()
+    assert [x.tobytes() for x in read_slots(path, 0, len(one), length=16, shard_rows=4)] == [one[k] for k in range(len(one))]

@@ -3,14 +3,16 @@
 Two views of a document: its text's content (hashed words, word pairs and
 character statistics) and its metadata (source, language, length, shape of
 lines).  A logistic regression on each view is fitted to a bounded sample of
-labelled documents; each then labels the unlabelled documents that it is surest
-about, and the other learns from them in the next round.  Both are calibrated
-on held-out labels (a logistic curve over each score), and the sum of the
+labelled documents.  In every round each view scores all unlabelled documents
+of the corpus; per source and class the share that it is surest about teaches
+the other view, a document once for each view.  Both views are calibrated on
+held-out labels (a logistic curve over each score), and the sum of the
 calibrated log-odds, weighted by a third fit on the same labels, scores every
 document of the corpus in one narrow pass.
 
-Bounds: ``LABELLED`` labelled and ``POOL`` unlabelled rows, chosen by a hash of
-the id, are fitted on; every document is scored, over its whole text.
+Bounds: the rows with labels that models are fitted on, ``labelled`` given ones
+and ``taught`` pseudo-labelled ones a round and view, chosen by a hash of the id
+among all that qualify.  What qualifies is settled over the whole corpus.
 
 Defined results.  A null or empty text has no content features and is judged by
 the intercepts and the metadata.  Null metadata are values of their own.  A null
@@ -28,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archipelago.llm.storage import drop, store
 from archipelago.llm.textkit import mix, word_hashes
 
-LABELLED, POOL = 6000, 4000
+#: Rows fitted on at most: with given labels, and with pseudo-labels a round and view.
+LABELLED, TAUGHT = 6000, 1500
 TEXT_BITS, META_BITS = 14, 10
-ROUNDS, GROW = 4, 0.1
+#: Rounds of teaching, and the share of a source's unlabelled rows that a view is
+#: surest about.
+ROUNDS, SURE = 2, 0.3
 EPOCHS = 300
 
 _MARKS = np.zeros(256, np.int64)
@@ -138,73 +144,129 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*odds, both))
 
 
-def co_train(rows: list[tuple], rounds: int = ROUNDS) -> Model:
-    """``rows``: (content features, metadata features, label or None) of the
-    bounded sample.
+Rows = list[tuple]
 
-    A third of the labelled rows is held out to calibrate and to combine.
-    """
-    seen = [r[:2] for r in rows]
-    y = np.array([-1 if r[2] is None else int(r[2]) for r in rows])
-    known = np.flatnonzero(y >= 0)
-    if len(set(y[known])) < 2:
-        return Model(None, None, (), (0, 0, 0), float(y[known].mean()) if len(known) else 0.5, ())
-    held = known[::3] if len(set(y[known[::3]])) == 2 else known
-    train = np.setdiff1d(known, held) if len(held) < len(known) else known
-    if len(set(y[train])) < 2:
-        train = known
-    pool = np.flatnonzero(y < 0)
-    all_ = [_matrix([s[v] for s in seen]) for v in (0, 1)]
-    sizes = (TEXT_SIZE, META_SIZE)
-    part = lambda v, at: _matrix([seen[k][v] for k in at])
-    taught: list[dict[int, int]] = [{}, {}]
-    added = []
-    views: list = [None, None]
-    base = y[train].mean()
-    for turn in range(rounds):
-        for v in (0, 1):
-            at = np.concatenate([train, np.array(sorted(taught[v]), int)])
-            labels = np.concatenate([y[train], [taught[v][k] for k in sorted(taught[v])]]).astype(float)
-            weight = np.concatenate([np.ones(len(train)), np.full(len(taught[v]), 0.5)])
-            views[v] = fit_logistic(part(v, at), labels, sizes[v], weight)
-        if turn == rounds - 1:
-            break
-        for v in (0, 1):  # what a view is surest about teaches the other
-            score = _scores(all_[v], *views[v])[pool]
-            order = pool[np.argsort(score, kind="stable")]
-            n = int(len(pool) * GROW / 2)
-            low, high = order[: max(1, int(2 * n * (1 - base)))], order[len(order) - max(1, int(2 * n * base)) :]
-            for k, label in [*((k, 0) for k in low), *((k, 1) for k in high)] if len(pool) else []:
-                if abs(_scores(part(v, [k]), *views[v])[0]) > 1:
-                    taught[1 - v].setdefault(int(k), label)
-        added.append(len(taught[0]) + len(taught[1]))
-    scores = [_scores(part(v, held), *views[v]) for v in (0, 1)]
-    curves = tuple(_calibrated(s, y[held]) for s in scores)
+
+def _parts(rows: Rows, v: int) -> tuple:
+    return _matrix([r[v] for r in rows])
+
+
+def _fitted(v: int, train: Rows, taught: Rows) -> tuple[np.ndarray, float]:
+    """A view's regression on labelled rows and, at half weight, taught ones."""
+    labels = np.array([float(r[2]) for r in train + taught])
+    weight = np.concatenate([np.ones(len(train)), np.full(len(taught), 0.5)])
+    return fit_logistic(_parts(train + taught, v), labels, (TEXT_SIZE, META_SIZE)[v], weight)
+
+
+def split(rows: Rows) -> tuple[Rows, Rows]:
+    """Rows to fit on and rows held out to calibrate: every third."""
+    held, train = rows[::3], [r for k, r in enumerate(rows) if k % 3]
+    if len({r[2] for r in held}) < 2 or len({r[2] for r in train}) < 2:
+        return rows, rows
+    return train, held
+
+
+def co_train(rows: Rows, teach=None, rounds: int = ROUNDS) -> Model:
+    """``rows``: (content features, metadata features, label) of the labelled
+    sample; ``teach(views, base)`` gives the rows that each view is taught by
+    the other after a round, with their pseudo-labels."""
+    labels = [r[2] for r in rows]
+    if len(set(labels)) < 2:
+        return Model(None, None, (), (0, 0, 0), float(np.mean(labels)) if rows else 0.5, ())
+    train, held = split(rows)
+    taught: list[Rows] = [[], []]
+    base, added = float(np.mean([r[2] for r in train])), []
+    views = [_fitted(v, train, []) for v in (0, 1)]
+    for _ in range(rounds if teach else 0):
+        for v, more in enumerate(teach(views, base)):
+            taught[v] = taught[v] + more
+        added.append(sum(map(len, taught)))
+        views = [_fitted(v, train, taught[v]) for v in (0, 1)]
+    y = np.array([r[2] for r in held])
+    scores = [_scores(_parts(held, v), *views[v]) for v in (0, 1)]
+    curves = tuple(_calibrated(s, y) for s in scores)
     odds = [a * s + b for s, (a, b) in zip(scores, curves, strict=True)]
     both = (np.tile([0, 1], len(held)), np.column_stack([np.clip(o, -8, 8) for o in odds]).ravel(), np.arange(1, len(held) + 1) * 2)
-    w, b = fit_logistic(both, y[held].astype(float), 2, np.ones(len(held)), l2=1e-3)
-    prior = np.log((y[held].sum() + 1) / ((1 - y[held]).sum() + 1))
-    return Model(views[0], views[1], curves, (max(0.0, w[0]), max(0.0, w[1]), b + prior), float(base), tuple(added))
-
-
-def _sample(docs: DataFrame, labels: DataFrame) -> list[tuple]:
-    """The bounded fitting sample, chosen by a hash of the id."""
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    mine = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    draw = F.xxhash64(F.lit(5), F.col("doc_id"))
-    ids = mine.select("doc_id").join(marks, "doc_id", "left").withColumn("draw", draw)
-    found = ids.where("quality IS NOT NULL").orderBy("draw", "doc_id").limit(LABELLED).unionByName(ids.where("quality IS NULL").orderBy("draw", "doc_id").limit(POOL))
-    # at most LABELLED + POOL rows; of a text of any length only its features,
-    # no more than TEXT_SIZE numbers, come to the driver
-    rows = mine.join(F.broadcast(found.select("doc_id", "quality")), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = rows.mapInArrow(_features, "doc_id long, quality int, slots binary, parts binary, meta binary").orderBy("doc_id").collect()
+    w, b = fit_logistic(both, y.astype(float), 2, np.ones(len(held)), l2=1e-3)
+    prior = np.log((y.sum() + 1) / ((1 - y).sum() + 1))
+    return Model(views[0], views[1], curves, (max(0.0, w[0]), max(0.0, w[1]), b + prior), base, tuple(added))
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+
+
+def _brought(docs: DataFrame, chosen: DataFrame) -> Rows:
+    """The features of ``chosen(doc_id, quality)``, a bounded number of rows; of
+    a text of any length no more than ``TEXT_SIZE`` numbers come to the driver."""
+    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "source", "lang", "text")
     out = []
-    for r in rows:
+    for r in rows.mapInArrow(_features, "doc_id long, quality int, slots binary, parts binary, meta binary").orderBy("doc_id").collect():
         slots, parts, meta = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["parts"], np.float32), np.frombuffer(r["meta"], np.int32)
         out.append(((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"]))
     return out
 
 
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+
+
+def _bounded(rows: DataFrame, seed: int, most: int) -> DataFrame:
+    """At most ``most`` rows, by a hash of their id."""
+    return rows.distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+
+
+def _view_scores(views: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [(t.as_py() or "").encode() for t in part.column("text")]
+                meta = zip(part.column("source").to_pylist(), part.column("lang").to_pylist(), texts, strict=True)
+                one, two = _scores(_matrix([text_features(t) for t in texts]), *views[0]), _scores(_matrix([meta_features(*m) for m in meta]), *views[1])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(one, pa.float64()), pa.array(two, pa.float64())], ["doc_id", "source", "s0", "s1"])
+
+    return run
+
+
+def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
+    """The teaching step of :func:`co_train` over the whole corpus.
+
+    A view is sure of the lowest and the highest scores of each source: of
+    ``sure`` of its rows, split between the classes as the labels are, and only
+    beyond log-odds of 1.  Cutoffs are quantile sketches of all unlabelled rows
+    of the source.
+    """
+    known = _marks(labels).select("doc_id").hint("shuffle_merge")
+    done: list[DataFrame | None] = [None, None]
+    turn = [0]
+
+    def teach(views: list, base: float) -> list[Rows]:
+        turn[0] += 1
+        # texts are scored where they are read; only scores meet the labels
+        scored = _columns(docs).where("doc_id IS NOT NULL").mapInArrow(_view_scores(views), "doc_id long, source string, s0 double, s1 double")
+        scored = store(scored.join(known, "doc_id", "left_anti"), "view-scores")
+        shares = [sure * (1 - base), 1 - sure * base]
+        cuts = scored.groupBy("source").agg(*[F.percentile_approx(f"s{v}", shares, 10_000).alias(f"c{v}") for v in (0, 1)])
+        placed = scored.join(cuts, scored["source"].eqNullSafe(cuts["source"]))
+        out = []
+        for v in (0, 1):  # what a view is surest about teaches the other
+            score, cut, learner = F.col(f"s{v}"), F.col(f"c{v}"), 1 - v
+            label = F.when((score <= cut[0]) & (score < -1), 0).when((score >= cut[1]) & (score > 1), 1)
+            picked = placed.select("doc_id", label.alias("quality")).where("quality IS NOT NULL")
+            if done[learner] is not None:
+                picked = picked.join(F.broadcast(done[learner]), "doc_id", "left_anti")
+            halves = [_bounded(picked.where(F.col("quality") == k), 7 * turn[0] + v, max(1, round(taught * share))) for k, share in ((0, 1 - base), (1, base))]
+            chosen = store(halves[0].unionByName(halves[1]).groupBy("doc_id").agg(F.min("quality").alias("quality")), "taught")
+            ids = chosen.select("doc_id")
+            done[learner] = ids if done[learner] is None else done[learner].unionByName(ids)
+            out.append(_brought(docs, chosen))
+        drop(scored)
+        return out[::-1]
+
+    return teach
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t.as_py() or "").encode() for t in batch.column("text")]
@@ -230,8 +292,10 @@ def _score(model: Model, threshold: float):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """``doc_id, text_score, meta_score, score, kept`` of every row of ``docs``."""
-    model = co_train(_sample(docs, labels))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    sample = store(_bounded(ids.join(_marks(labels), "doc_id"), 5, labelled), "labelled")
+    rows = _brought(docs, sample)
+    model = co_train(rows, _teacher(docs, labels, taught, sure) if len({r[2] for r in rows}) > 1 else None, rounds)
+    return _columns(docs).mapInArrow(_score(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")

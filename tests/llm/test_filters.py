@@ -210,9 +210,37 @@ def test_classifier_on_held_out_rows(spark):
 
 
 def test_views_teach_each_other():
-    rows = [(text_features(t.encode()), meta_features(s, g, t.encode()), y if k < 150 else None) for k, (_, t, g, s, y) in enumerate(reviews(600, 4))]
-    model = co_train(rows)
-    assert len(model.added) == 3 and model.added[-1] > model.added[0] > 0
+    rows = [(text_features(t.encode()), meta_features(s, g, t.encode()), y) for _, t, g, s, y in reviews(600, 4)]
+    asked = []
+
+    def teach(views, base):
+        asked.append(base)
+        return [rows[150 + 20 * len(asked) :][:20], rows[300 + 10 * len(asked) :][:10]]
+
+    model = co_train(rows[:150], teach, rounds=3)
+    assert model.added == (30, 60, 90) and len(asked) == 3
+
+
+def test_pseudo_labels_come_from_the_whole_corpus(spark):
+    """Every source teaches, each row once for a view, within the bound."""
+    from archipelago.llm import cotrain
+
+    rows = reviews(900, 3)
+    docs = table(spark, [r[:4] for r in rows])
+    labels = spark.createDataFrame([(r[0], r[4], 0) for r in rows[:200]], "doc_id long, quality int, toxic int")
+    sample = [(text_features(t.encode()), meta_features(s, g, t.encode()), y) for _, t, g, s, y in rows[:200]]
+    seen = []
+    inner = cotrain._teacher(docs, labels, 60, 0.3)
+
+    def teach(views, base):
+        seen.append(inner(views, base))
+        return seen[-1]
+
+    cotrain.co_train(sample, teach, 2)
+    for v in (0, 1):
+        sizes = [len(x[v]) for x in seen]
+        texts = [r[0][0].tobytes() for x in seen for r in x[v]]
+        assert sizes[0] > 10 and max(sizes) <= 61 and len(set(texts)) == len(texts)
 
 
 def test_classifier_odd_rows(spark):

@@ -171,6 +171,21 @@ def spatial_candidates(w: World) -> DataFrame:
     return _links(found.where("accepted"), "poly_ref", "edge_no", "near_ref")
 
 
+def spherical_candidates(w: World) -> DataFrame:
+    """Equal limits make the envelope a sphere."""
+    config = BuildConfig.of(5, 5, 5)
+    found = gaps.scan(w.raw, w.mesh, w.labels, w.islands, config, config.gap.horizontal)
+    return _links(found.where("accepted"), "poly_ref", "edge_no", "near_ref")
+
+
+def outbound_policy(w: World) -> DataFrame:
+    """Candidates where only two islands of three may be left."""
+    config = replace(CONFIG, outbound=lambda: F.col("id") % 3 != 0)
+    islands = with_outbound(w.islands.drop("outbound"), config)
+    found = gaps.scan(border.outbound_boundaries(w.raw, islands), w.mesh, w.labels, islands, config, config.gap.horizontal)
+    return _links(found.where("accepted"), "poly_ref", "edge_no", "near_ref")
+
+
 def pair_scan_suppression(w: World) -> DataFrame:
     config = _with(CONFIG, pair_scan=Cells(True, 4.0))
     return _links(gaps.suppress_pairs(w.scanned, w.islands, config)[0])
@@ -289,7 +304,7 @@ def build_stats(w: World) -> DataFrame:
 
 QUERIES = [
     mesh_scan_filter, polygon_adjacency, island_labels, island_summary, mass_scores, small_island_suppression,
-    boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates,
+    boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates, spherical_candidates, outbound_policy,
     pair_scan_suppression, short_gap_recovery, candidate_dedup, link_ranking, local_prune, spanner_prune,
     global_spanner_prune, distinct_target_reserve, local_collapse, corridor_edges, traversals, degree_stats,
     mass_buckets, isolated_islands, average_link_length, strong_components, largest_component, shortest_paths,

@@ -61,6 +61,8 @@ def label_islands(mesh: Mesh, config: BuildConfig, symmetrize: bool = False) ->
         if tuple(mark) == total:
             break
         total = tuple(mark)
+    else:
+        raise RuntimeError(f"islands did not settle in {MAX_ROUNDS} rounds")
     numbers = numbered(now.where("ord = label").select("label"), [F.col("label")], "island", first=0)
     return store(fit.join(now, "ord").join(numbers, "label").select("poly_ref", "ord", "island"), "islands")
 
@@ -86,6 +88,19 @@ def summarize_islands(mesh: Mesh, labels: DataFrame) -> DataFrame:
     return out.withColumn("raw_mass", F.col("polygon_count") * side).withColumnRenamed("island", "id")
 
 
+def _least_and_percentile(masses: DataFrame, share: float) -> tuple[float | None, float | None]:
+    """The least mass and the interpolated percentile, by places in sorted
+    ranges: two rows come to the driver, whatever the number of islands."""
+    n = masses.count()
+    if not n:
+        return None, None
+    at = share * (n - 1)
+    places = numbered(masses, [F.col("raw_mass")], "place", first=0)
+    found = {r["place"]: r["raw_mass"] for r in places.where(F.col("place").isin(0, int(at), min(n - 1, int(at) + 1))).collect()}
+    low, high = found[int(at)], found[min(n - 1, int(at) + 1)]
+    return found[0], low + (high - low) * (at - int(at))
+
+
 def score_masses(islands: DataFrame, config: BuildConfig) -> DataFrame:
     """Add ``mass_score`` in [0, 1] and ``suppressed``.
 
@@ -96,8 +111,7 @@ def score_masses(islands: DataFrame, config: BuildConfig) -> DataFrame:
     mass = config.mass
     scored = islands.withColumn("mass_score", F.lit(0.0))
     if mass.enabled:
-        found = islands.where("raw_mass > 0").agg(F.min("raw_mass").alias("lo"), F.percentile("raw_mass", F.lit(mass.percentile)).alias("ref")).first()
-        low, top = found["lo"], found["ref"]
+        low, top = _least_and_percentile(islands.where("raw_mass > 0").select("raw_mass"), mass.percentile)
         raw = F.col("raw_mass")
         if low is None:
             score = F.lit(0.0)
@@ -110,7 +124,8 @@ def score_masses(islands: DataFrame, config: BuildConfig) -> DataFrame:
     if n < SUPPRESSION_FLOOR:
         return scored.withColumn("suppressed", F.lit(False))
     share = unpack("f", pack("f", n * unpack("f", pack("f", mass.suppressed_percent))[0]))[0]
-    least = islands.orderBy("raw_mass", "id").limit(int(share)).select("id", F.lit(True).alias("low"))
+    places = numbered(islands.select("raw_mass", "id"), [F.col("raw_mass"), F.col("id")], "place", first=0)
+    least = places.where(F.col("place") < int(share)).select("id", F.lit(True).alias("low"))
     return scored.join(least, "id", "left").withColumn("suppressed", F.coalesce("low", F.lit(False))).drop("low")
 
 

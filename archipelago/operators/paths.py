@@ -172,13 +172,17 @@ class Router:
         return answer("success", goal, tuple(path[::-1]))
 
 
-def search_routes(requests: DataFrame, links: DataFrame, islands: DataFrame, limits: Limits = Limits(), euclid: bool = True) -> DataFrame:
+def search_routes(
+    requests: DataFrame, links: DataFrame, islands: DataFrame, limits: Limits = Limits(), euclid: bool = True, heuristic: Callable | None = None, cancelled: Callable | None = None
+) -> DataFrame:
     """One A* search per request; ``links`` are priced traversals.  ``euclid``
     guides the search by straight lines, right for the default cost; a custom
-    cost needs it off."""
-    n = links.count()
+    cost needs it off, or a ``heuristic(point, goal)`` of its own.  ``cancelled()``
+    is asked in the workers before every expansion; both must be picklable."""
+    n = max(links.count(), islands.count())
     if n > MAX_BROADCAST_LINKS:
-        raise ValueError(f"{n} traversals are too many to hold in every worker; use best_routes")
+        raise ValueError(f"{n} traversals or islands are too many to hold in every worker; use best_routes")
+    guess = heuristic or (dist if euclid else None)
     rows = links.orderBy("from_island", "edge_index").collect()
     held = [
         {"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in rows
@@ -190,7 +194,7 @@ def search_routes(requests: DataFrame, links: DataFrame, islands: DataFrame, lim
         router = Router(*shared.value)
         for batch in batches:
             found = [
-                {"request_id": r.request_id} | router.route(r.start_island, r.end_island, (r.ax, r.ay, r.az), (r.bx, r.by, r.bz), limits, dist if euclid else None) for r in batch.itertuples()
+                {"request_id": r.request_id} | router.route(r.start_island, r.end_island, (r.ax, r.ay, r.az), (r.bx, r.by, r.bz), limits, guess, cancelled) for r in batch.itertuples()
             ]
             yield pd.DataFrame(found, columns=[f.split(" ")[0] for f in RESULT.split(", ")])
 

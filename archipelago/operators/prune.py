@@ -145,15 +145,16 @@ def collapse(links: DataFrame, config: BuildConfig) -> DataFrame:
     return decide(links, pairs.where((F.col("e") < F.col("rank")) & near).select("rank", F.col("e").alias("e1"), F.col("e").alias("e2")))
 
 
-def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses: dict[int, float]) -> tuple[list[int], int]:
-    """The one-by-one loop, over links in rank order: the ranks that stay
-    before the collapse, and how many the reserve saved."""
+def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses: dict[int, float]) -> tuple[dict[int, str], int]:
+    """The one-by-one loop, over links in rank order: what became of each rank
+    before the collapse (``kept``, or ``local``, ``global``, ``spanner``), and
+    how often the reserve saved one."""
     d = config.density
     links = [(int(r["rank"]), int(r.from_island), int(r.to_island), (r.sx, r.sy, r.sz), (r.tx, r.ty, r.tz)) for _, r in rows.sort_values("rank").iterrows()]
     far2 = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
     mass = lambda i: masses.get(i, 0.0) if config.mass.enabled else 0.0
     scale = lambda low, high, i: low + (high - low) * mass(i) if config.mass.enabled else 1.0
-    saved, stay = 0, []
+    saved, stay, fate = 0, [], {}
     targets: dict[int, set] = defaultdict(set)
 
     def wants(a: int, b: int) -> bool:
@@ -170,6 +171,7 @@ def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses:
             r = d.local.cell(config.extent) * scale(config.mass.low_radius_scale, config.mass.high_radius_scale, b)
             if any(far2(s, p) <= r * r and far2(t, q) <= r * r for p, q in lists[a]):
                 if not wants(a, b):
+                    fate[link[0]] = "local"
                     continue
                 saved += 1
             stay.append(link)
@@ -180,20 +182,22 @@ def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses:
                 take(b, a)
     else:
         stay = links
-    targets, hops, kept, ends = defaultdict(set), defaultdict(list), [], []
+    targets, hops, ends = defaultdict(set), defaultdict(list), []
     g = d.overall
     for rank, a, b, s, t in stay:
         if g.enabled:
             ra, rb = (g.cell(config.extent) * scale(g.low_radius_scale, g.high_radius_scale, i) for i in (a, b))
             if any(far2(s, p) <= ra * ra or far2(t, p) <= rb * rb for p in ends):
+                fate[rank] = "global"
                 continue
         if d.spanner.enabled:
             limit = d.spanner.path_ratio * far2(s, t) ** 0.5
             if any(m != b and f + h <= limit for m, f in hops[a] for n, h in hops[m] if n == b):
                 if not wants(a, b):
+                    fate[rank] = "spanner"
                     continue
                 saved += 1
-        kept.append(rank)
+        fate[rank] = "kept"
         length = far2(s, t) ** 0.5
         hops[a].append((b, length))
         take(a, b)
@@ -201,11 +205,14 @@ def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses:
             hops[b].append((a, length))
             take(b, a)
         ends += [s, t]
-    return kept, saved
+    return fate, saved
 
 
-def prune_with_reserve(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
-    """The loop for each group of islands that links connect; with global
+def reserve_fates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
+    """``rank, fate`` of every link, and rows ``fate = 'saved'`` with the number
+    that the reserve saved in place of a rank.
+
+    The loop runs for each group of islands that links connect; with global
     pruning, which looks across islands, for all at once."""
     ends = links.select(F.col("from_island").alias("a"), F.col("to_island").alias("b"))
     if config.density.overall.enabled:
@@ -218,11 +225,39 @@ def prune_with_reserve(links: DataFrame, islands: DataFrame, config: BuildConfig
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         outbound = {int(i) for i in rows.loc[rows.to_outbound, "to_island"]}
         masses = dict(zip(rows.from_island.astype(int), rows.from_mass, strict=True)) | dict(zip(rows.to_island.astype(int), rows.to_mass, strict=True))
-        return pd.DataFrame({"rank": greedy(rows, config, outbound, masses)[0]}, dtype="int64")
+        fate, saved = greedy(rows, config, outbound, masses)
+        return pd.DataFrame({"rank": [*fate, saved], "fate": [*fate.values(), "saved"]})
 
     fields = ["component", "rank", "to_outbound", "from_mass", "to_mass", *LINK[:8]]
-    kept = grouped.select(*fields).groupBy("component").applyInPandas(run, "rank long")
-    return links.join(store(kept, "kept"), "rank", "left_semi")
+    return store(grouped.select(*fields).groupBy("component").applyInPandas(run, "rank long, fate string"), "fates")
+
+
+def prune_with_reserve(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
+    """The links that stay where each island has a reserve of targets."""
+    return links.join(reserve_fates(links, islands, config).where("fate = 'kept'"), "rank", "left_semi").select(*links.columns)
+
+
+def pruning_counts(links: DataFrame, islands: DataFrame, config: BuildConfig) -> dict[str, int]:
+    """How many links each pruning rejects, and how many the reserve saves.
+
+    A link that both prunings of the second pass reject counts for the global one.
+    """
+    ranked = store(rank_links(admit(links.select(*LINK), islands), islands, config), "ranked")
+    out = dict.fromkeys(("local", "global", "spanner", "saved"), 0)
+    if config.density.reserve.enabled:
+        fates = reserve_fates(ranked, islands, config)
+        found = fates.groupBy("fate").agg(F.count("*").alias("n"), F.sum("rank").alias("sum")).collect()
+        return out | {r["fate"]: int(r["sum"] if r["fate"] == "saved" else r["n"]) for r in found if r["fate"] != "kept"}
+    local = store(prune_local(ranked, islands, config), "local")
+    kept = store(prune_global_and_spanner(local, islands, config), "kept")
+    gone = local.join(kept.select("rank"), "rank", "left_anti").select("rank")
+    out["local"], n = ranked.count() - local.count(), gone.count()
+    if config.density.overall.enabled and n:
+        stays = lambda e: kept.select(F.col("rank").alias(e))
+        met = global_conflicts(local, config).join(stays("e1"), "e1", "left_semi").join(stays("e2"), "e2", "left_semi")
+        out["global"] = gone.join(met.select("rank"), "rank", "left_semi").count()
+    out["spanner"] = n - out["global"]
+    return out
 
 
 def corridor_edges(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:

@@ -37,7 +37,7 @@ def voxels(names: str, cell: float) -> str:
     return ", ".join(f"floor(({n}) / {cell})" for n in names.split())
 
 
-def scan(source: str, gap: float, rise: float) -> str:
+def scan(source: str, gap: float, rise: float, within: str = "vertical <= 4 AND vertical >= -6") -> str:
     """Links from the midpoints of ``source`` within the envelope."""
     return f"""
     SELECT poly_ref, edge_no, ord, near_ref, {LINK} FROM (
@@ -46,7 +46,7 @@ def scan(source: str, gap: float, rise: float) -> str:
                greatest(2e0 * g.c, least(2e0 * g.c + 2, b.mx)) AS tx, 1e0 * g.y AS ty, greatest(2e0 * g.r, least(2e0 * g.r + 2, b.mz)) AS tz
         FROM {source} b JOIN grid g ON b.mx BETWEEN 2 * g.c - {gap} AND 2 * g.c + 2 + {gap} AND b.mz BETWEEN 2 * g.r - {gap} AND 2 * g.r + 2 + {gap}
              AND abs(b.my - g.y) <= {rise} JOIN isl t ON t.p = g.p WHERE t.island <> b.island))
-    WHERE horizontal <= {gap} AND vertical <= 4 AND vertical >= -6"""
+    WHERE horizontal <= {gap} AND {within}"""
 
 
 # the default voxel of borders is 5 / 8, the window 0.25 * min(5, 6); of links 0.25 * 6
@@ -151,6 +151,8 @@ def oracle_sql() -> dict[str, str]:
         "boundary_representatives": _sql(GRID, coarse.format(6), segment + "best"),
         "representative_budget": _sql(GRID, coarse.format(3), "spread AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY mx, mz, my, poly_ref, edge_no) - 1 AS i, count(*) OVER (PARTITION BY island) AS k FROM best)", "part_ AS (SELECT *, CASE WHEN k <= 5 THEN i ELSE ((i + 1) * 5 - 1) // k END AS s FROM spread)", segment + "part_ QUALIFY row_number() OVER (PARTITION BY island, s ORDER BY -((ex-sx)*(ex-sx)+(ez-sz)*(ez-sz)), poly_ref, mx, my, mz, edge_no) = 1"),
         "spatial_candidates": _sql(GRID, f"found AS ({scan('raw', 5, 6)})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
+        "spherical_candidates": _sql(GRID, f"found AS ({scan('raw', 5, 5, LENGTH + ' <= 5')})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
+        "outbound_policy": _sql(GRID, "allowed AS (SELECT * FROM raw WHERE island % 3 <> 0)", f"found AS ({scan('allowed', 5, 6)})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
         "pair_scan_suppression": _sql(GRID, THIN, SCANNED, f"top AS (SELECT * FROM scanned QUALIFY row_number() OVER (PARTITION BY ord, edge_no, to_island ORDER BY {ORDER}) = 1)", f"SELECT from_island, to_island, {LINK_MM} FROM top QUALIFY row_number() OVER (PARTITION BY {pair} ORDER BY from_island, ord, edge_no, to_island) = 1"),
         "short_gap_recovery": _sql(GRID, f"found AS ({scan('raw', 2, 2)})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
         "candidate_dedup": _sql(*to_ranked, f"SELECT from_island, to_island, {LINK_MM} FROM cand"),

@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from archipelago.functions.scalars import finite
 from archipelago.operators import boundaries as border
 from archipelago.operators import candidates as gaps
 from archipelago.operators.graph import EDGE, Graph, health
 from archipelago.operators.islands import label_islands, score_masses, summarize_islands, with_outbound
-from archipelago.operators.prune import corridor_edges, prune
+from archipelago.operators.prune import corridor_edges, prune, pruning_counts
 from archipelago.plans.config import BuildConfig, BuildStatus
 from archipelago.sources.mesh import Mesh
 from archipelago.storage import store
@@ -89,6 +90,9 @@ def counters(mesh: Mesh, config: BuildConfig, labels, islands, raw, thin, out, c
         pairs = gaps.suppress_pairs(scanned, islands, config)[1]
         tried, held = pairs.where("NOT suppressed").count(), pairs.where("suppressed").count()
     recovered = links.where("recovery").count()
+    gone = pruning_counts(links, islands, config)
+    # a projection that is not finite is the one way in which the query fails here
+    failed = scanned.where(~(finite("horizontal") & finite("vertical"))).count()
     return {
         "boundaries_raw": n["raw"], "boundaries_deduplicated": n["thin"], "boundaries_outbound_filtered": n["thin"] - n["out"],
         "boundaries_representative": n["chosen"], "boundaries_trimmed": n["out"] - n["chosen"] if reduced else 0,
@@ -96,6 +100,9 @@ def counters(mesh: Mesh, config: BuildConfig, labels, islands, raw, thin, out, c
         "pair_scan_candidates": tried, "pair_scan_suppressed": held,
         "recovery_queries": n["thin"] if config.density.recovery.enabled else 0, "recovered": recovered,
         "reverse_links_synthesized": 0, "reverse_links_rejected": 0,
+        "closest_point_queries": scanned.count(), "closest_point_failures": failed,
+        "local_pruning_rejects": gone["local"], "global_pruning_rejects": gone["global"], "spanner_pruning_rejects": gone["spanner"],
+        "distinct_target_reserve": gone["saved"],
         "projected": tried, "deduplicated": n["links"], "pruned_links": n["kept"], "rejected": n["links"] - n["kept"], "accepted_links": n["edges"],
         "small_islands_suppressed": islands.where("suppressed").count(),
     }

@@ -90,3 +90,32 @@ def test_rounds_equal_the_loop(spark):
     one = {r["rank"] for r in prune_global_and_spanner(prune_local(ranked, facts, config), facts, config).collect()}
     two = {r["rank"] for r in prune_with_reserve(ranked, facts, config).collect()}
     assert one == two and 0 < len(one) < len(rows)
+
+
+def test_rejects_are_counted_by_reason(spark):
+    from archipelago.operators.prune import pruning_counts, reserve_fates
+
+    near = links(spark, [(0, 1, (0, 0, 0), (5, 0, 0)), (0, 2, (0.2, 0, 0), (5.2, 0, 0)), (0, 2, (0.3, 0, 0), (5.3, 0, 0))])
+    facts, config = islands(spark, [1, 0.8, 0.8]), BuildConfig.of(30, 30, 30)
+    config = replace(config, mass=AWARE, density=replace(config.density, local=Cells(True, 10.0)))
+    assert pruning_counts(near, facts, config) == {"local": 2, "global": 0, "spanner": 0, "saved": 0}
+    config = replace(config, density=replace(config.density, reserve=Reserve(True, 0, 2)))
+    assert pruning_counts(near, facts, config) == {"local": 1, "global": 0, "spanner": 0, "saved": 1}
+    assert reserve_fates(rank_links(near, facts, config), facts, config).where("fate = 'kept'").count() == 2
+
+
+def test_counts_of_the_second_pass_agree_with_the_loop(spark):
+    import random
+
+    from archipelago.operators.prune import pruning_counts
+
+    rnd = random.Random(5)
+    spot = lambda: tuple(rnd.randint(0, 12) / 2 for _ in range(3))
+    rows = links(spark, list({(a, b, spot(), spot()) for a in range(4) for b in range(4) if a != b for _ in range(8)}))
+    config = BuildConfig.of(9, 9, 8)
+    config = replace(config, density=replace(config.density, local=Cells(True, 2.0), spanner=Spanner(True, 1.5), overall=GlobalPrune(True, 1.0)))
+    facts = islands(spark, [0, 0, 0, 0])
+    # a reserve of no targets is the loop without one
+    loop = replace(config, density=replace(config.density, reserve=Reserve(True, 0, 0)))
+    found = pruning_counts(rows, facts, config)
+    assert found == pruning_counts(rows, facts, loop) and found["local"] and found["global"]

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archipelago.llm.storage import store
+from archipelago.llm.storage import drop, store
 from archipelago.llm.textkit import mix
 
 LENGTH = 1024
@@ -235,6 +235,9 @@ def token_sequences(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tokens = store(rows.mapInArrow(_tokens(path, pattern, end), "row long, n long, doc_id long, ids binary"), "tokens")
     placed, total = _placed(tokens)
+    # one shuffle of the ids at a time is on disk
+    placed = store(placed, "placed-tokens")
+    drop(tokens)
     n = -(-total // length)
     pieces = placed.mapInArrow(_pieces(length, n, key), "slot long, seq long, pos int, doc_id long, ids binary")
     shards = max(1, -(-n // shard_rows))

@@ -34,12 +34,12 @@ from archipelago.llm.storage import drop, store
 from archipelago.llm.textkit import mix, word_hashes
 
 #: Rows fitted on at most: with given labels, and with pseudo-labels a round and view.
-LABELLED, TAUGHT = 6000, 1500
+LABELLED, TAUGHT = 6000, 600
 TEXT_BITS, META_BITS = 14, 10
 #: Rounds of teaching, and the share of a source's unlabelled rows that a view is
 #: surest about.
 ROUNDS, SURE = 2, 0.3
-EPOCHS = 300
+EPOCHS, MORE_EPOCHS = 300, 100
 
 _MARKS = np.zeros(256, np.int64)
 for _k, _group in enumerate((b"#*$%&|<>!", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:?", b"\n")):
@@ -90,15 +90,17 @@ def _scores(data: tuple, weights: np.ndarray, bias: float) -> np.ndarray:
     return sums[ends] - sums[starts] + bias
 
 
-def fit_logistic(data: tuple, y: np.ndarray, size: int, weight: np.ndarray, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam, classes weighted evenly."""
+def fit_logistic(data: tuple, y: np.ndarray, size: int, weight: np.ndarray, l2: float = 1e-4, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by full-batch Adam, classes weighted evenly; from
+    ``start``, weights fitted to most of the rows, fewer steps are enough."""
     slots, values, ends = data
     row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     share = np.array([max(1e-9, weight[y == k].sum()) for k in (0, 1)])
     weight = weight / share[y.astype(int)] / 2
-    w, b = np.zeros(size + 1), 0.0
+    w = np.zeros(size + 1) if start is None else np.append(*start)
+    b = float(w[size])
     m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, EPOCHS + 1):
+    for t in range(1, (EPOCHS if start is None else MORE_EPOCHS) + 1):
         p = 1 / (1 + np.exp(-np.clip(_scores(data, w[:size], b), -30, 30)))
         error = (p - y) * weight
         g = np.append(np.bincount(slots, values * error[row], size) + l2 * w[:size], error.sum())
@@ -151,11 +153,11 @@ def _parts(rows: Rows, v: int) -> tuple:
     return _matrix([r[v] for r in rows])
 
 
-def _fitted(v: int, train: Rows, taught: Rows) -> tuple[np.ndarray, float]:
+def _fitted(v: int, train: Rows, taught: Rows, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """A view's regression on labelled rows and, at half weight, taught ones."""
     labels = np.array([float(r[2]) for r in train + taught])
     weight = np.concatenate([np.ones(len(train)), np.full(len(taught), 0.5)])
-    return fit_logistic(_parts(train + taught, v), labels, (TEXT_SIZE, META_SIZE)[v], weight)
+    return fit_logistic(_parts(train + taught, v), labels, (TEXT_SIZE, META_SIZE)[v], weight, start=start)
 
 
 def split(rows: Rows) -> tuple[Rows, Rows]:
@@ -181,7 +183,7 @@ def co_train(rows: Rows, teach=None, rounds: int = ROUNDS) -> Model:
         for v, more in enumerate(teach(views, base)):
             taught[v] = taught[v] + more
         added.append(sum(map(len, taught)))
-        views = [_fitted(v, train, taught[v]) for v in (0, 1)]
+        views = [_fitted(v, train, taught[v], views[v]) for v in (0, 1)]
     y = np.array([r[2] for r in held])
     scores = [_scores(_parts(held, v), *views[v]) for v in (0, 1)]
     curves = tuple(_calibrated(s, y) for s in scores)
@@ -196,14 +198,18 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
 
 
-def _brought(docs: DataFrame, chosen: DataFrame) -> Rows:
-    """The features of ``chosen(doc_id, quality)``, a bounded number of rows; of
-    a text of any length no more than ``TEXT_SIZE`` numbers come to the driver."""
-    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "source", "lang", "text")
+def _brought(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
+    """The features of ``chosen(doc_id, quality, learner)``, a bounded number of
+    rows, each with its learner; of a text of any length no more than
+    ``TEXT_SIZE`` numbers come to the driver, and none for the metadata view."""
+    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "source", "lang", "text", "learner")
+    rows = rows.mapInArrow(_features, "doc_id long, quality int, learner int, slots binary, parts binary, meta binary")
+    none = F.when(F.col("learner") != 1, F.lit(True))
+    rows = rows.withColumns({c: F.when(none, F.col(c)).otherwise(F.lit(b"")) for c in ("slots", "parts")})
     out = []
-    for r in rows.mapInArrow(_features, "doc_id long, quality int, slots binary, parts binary, meta binary").orderBy("doc_id").collect():
+    for r in rows.orderBy("doc_id").collect():
         slots, parts, meta = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["parts"], np.float32), np.frombuffer(r["meta"], np.int32)
-        out.append(((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"]))
+        out.append((r["learner"], ((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"])))
     return out
 
 
@@ -249,7 +255,7 @@ def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
         shares = [sure * (1 - base), 1 - sure * base]
         cuts = scored.groupBy("source").agg(*[F.percentile_approx(f"s{v}", shares, 10_000).alias(f"c{v}") for v in (0, 1)])
         placed = scored.join(cuts, scored["source"].eqNullSafe(cuts["source"]))
-        out = []
+        every = None
         for v in (0, 1):  # what a view is surest about teaches the other
             score, cut, learner = F.col(f"s{v}"), F.col(f"c{v}"), 1 - v
             label = F.when((score <= cut[0]) & (score < -1), 0).when((score >= cut[1]) & (score > 1), 1)
@@ -260,9 +266,11 @@ def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
             chosen = store(halves[0].unionByName(halves[1]).groupBy("doc_id").agg(F.min("quality").alias("quality")), "taught")
             ids = chosen.select("doc_id")
             done[learner] = ids if done[learner] is None else done[learner].unionByName(ids)
-            out.append(_brought(docs, chosen))
+            mine = chosen.withColumn("learner", F.lit(learner))
+            every = mine if every is None else every.unionByName(mine)
         drop(scored)
-        return out[::-1]
+        found = _brought(docs, every)
+        return [[row for learner, row in found if learner == v] for v in (0, 1)]
 
     return teach
 
@@ -273,7 +281,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = [text_features(t) for t in texts]
         meta = [meta_features(*m)[0] for m in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
         made = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in (([c[0] for c in content], np.int32), ([c[1] for c in content], np.float32), (meta, np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), *made], ["doc_id", "quality", "slots", "parts", "meta"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), batch.column("learner"), *made], ["doc_id", "quality", "learner", "slots", "parts", "meta"])
 
 
 def _score(model: Model, threshold: float):
@@ -296,6 +304,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, l
     """``doc_id, text_score, meta_score, score, kept`` of every row of ``docs``."""
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
     sample = store(_bounded(ids.join(_marks(labels), "doc_id"), 5, labelled), "labelled")
-    rows = _brought(docs, sample)
+    rows = [row for _, row in _brought(docs, sample.withColumn("learner", F.lit(-1)))]
     model = co_train(rows, _teacher(docs, labels, taught, sure) if len({r[2] for r in rows}) > 1 else None, rounds)
     return _columns(docs).mapInArrow(_score(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")

@@ -6,12 +6,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from archipelago.llm.components import connected_components, union_find
 from archipelago.llm.line_dedup import SHINGLE, duplicate_lines, line_dedup, without_lines
 from archipelago.llm.minhash_dedup import near_duplicates
-from archipelago.llm.substring import align, chains, repeated_passages, single_runs
+from archipelago.llm.substring import _Flat, align, chains, repeated_passages, single_runs
 from archipelago.llm.textkit import STEP, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hub string, key long"
@@ -217,9 +218,11 @@ def test_runs_are_aligned_alike_at_once():
         x, y = int(rnd.integers(0, len(a) - size)), int(rnd.integers(0, len(b) - size))
         b[y : y + size] = a[x : x + size]
         made.append((x, y, size, a, b, int(rnd.integers(0, 9)), int(rnd.integers(0, 9))))
-    x, y, size, a, b, a0, b0 = (list(c) if k in (3, 4) else np.array(c) for k, c in enumerate(zip(*made, strict=True)))
-    found = list(zip(*(c.tolist() for c in single_runs(x + a0, y + b0, size, a, b, a0, b0)), strict=True))
-    assert found == [align([x + a0, x + a0 + n - 4], [y + b0, y + b0 + n - 4], a, b, a0, b0) for x, y, n, a, b, a0, b0 in made]
+    x, y, size = (np.array([m[k] for m in made]) for k in range(3))
+    flat = [_Flat(pa.array([m[k].astype("<u4").tobytes() for m in made], pa.binary())) for k in (3, 4)]
+    before, after, more = single_runs(x, y, size, *flat, np.arange(len(made)))
+    found = list(zip(x - before, x + size + after, y - before, y + size + after, size + more, strict=True))
+    assert found == [align([x, x + n - 4], [y, y + n - 4], a, b, 0, 0) for x, y, n, a, b, _, _ in made]
 
 
 def test_passages(spark):

@@ -358,3 +358,30 @@ def test_pipeline(spark, tmp_path):
     assert left["mixing"] <= left["decontamination"] and len(left["mixing"]) > 10
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {d for r in out for d in r["doc_ids"]} == left["mixing"]
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Repeated and null ids, equal rows, clashing columns, long texts, empty tables."""
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    say = lambda n: [f"t{rnd.randint(0, 9**5)}" for _ in range(n)]
+    item, one, two = say(30), " ".join(say(60)), " ".join(say(60))
+    rows = [(1, one, "en", "a"), (1, one, "en", "a"), (1, two, "en", "a"), (2, "too short", "en", "a"), (2, " ".join(say(50)), "en", "a")]
+    rows += [(None, one, "en", "a"), (None, " ".join(say(900) + item), "en", "b"), (3, " ".join(say(900) + item), None, None), (3, " ".join(say(70)), None, None)]
+    rows += [(4, "z" * 40_000 + " " + " ".join(say(3000)), "en", "b"), (None, None, None, None), (5, "", "en", "a")]
+    names = "kept boolean, hit long, component_id long, topic string, chance double, row string"
+    docs = spark.createDataFrame([(*r, 0, True, 1, 1, "x", 0.5, "r") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    count = lambda d: Counter((r["doc_id"], r["text"]) for r in d.collect())
+    every = Counter(r[:2] for r in rows)
+    kept = stages["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert count(kept) == every - Counter([(2, "too short"), (None, None), (5, "")])
+    assert count(stages["near_duplicates"](spark, docs, str(tmp_path))) == every - Counter([(1, one), (None, one)])
+    assert count(stages["decontamination"](spark, docs, str(tmp_path))) == Counter({k: n for k, n in every.items() if not k[1] or item[0] not in k[1].split()})
+    assert not count(stages["mixing"](spark, docs, str(tmp_path))) - every
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

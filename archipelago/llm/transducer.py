@@ -131,6 +131,9 @@ class Vocabulary:
 #: the piece begins) and the count up to there less the present one.
 _START = ((0, -1, 0),)
 
+#: The key of the state in which a text begins.
+START = ("start", "", _START)
+
 
 def _feed(vocab: Vocabulary, marks: tuple, char: str) -> tuple[tuple, int]:
     """The BPE state after one more character, and the change of the count."""
@@ -176,11 +179,13 @@ class Transducer:
         self.states: dict[tuple, State] = {}
         self.kinds: dict[str, str] = {}
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.start = self._state(("start", "", _START), 0)
+        self.start = self._state(START, 0)
         parts = sorted((s for s in self.vocab.special if s), key=len, reverse=True)
         if any(self.kind(c) == "B" for s in parts for c in s):
             raise ValueError("special strings with white space are not supported")
         self.special = re.compile("|".join(map(re.escape, parts))) if parts else None
+        #: How far beyond a chunk a special string that begins in it may go.
+        self.reach = max(map(len, parts), default=1) - 1
         blank = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and self.kind(c) == "B")
         #: Units: the blanks before a run of others, and that run.  A piece never
         #: goes on with a blank after another character, so counts add up.
@@ -219,7 +224,7 @@ class Transducer:
     def step(self, state: State, char: str) -> State:
         if len(self.states) >= MAX_STATES:
             self.states.clear()
-            self.start = self._state(("start", "", _START), 0)
+            self.start = self._state(START, 0)
         key, adds = self._next(state.key, char)
         new = state[char] = self._state(key, adds)
         return new
@@ -250,7 +255,7 @@ class Transducer:
             said = held + char
             if said in CONTRACTIONS:
                 before = self._one("'") + (self._one(held) if held else 0)
-                return ("start", "", _START), self._one("'" + said) - before
+                return START, self._one("'" + said) - before
             if any(x.startswith(said) for x in CONTRACTIONS):
                 bpe, adds = _feed(self.vocab, _START, char)
                 return ("'", said, bpe), adds
@@ -287,42 +292,63 @@ class Transducer:
         """The tokens of a whole text."""
         return sum(map(self.units.__getitem__, self.unit.findall(text)))
 
-    def state_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """What a chunk does to any state: ``(head, count, tail)``.
+    def advance(self, key: tuple, chunk: str, ahead: str = "") -> tuple[tuple, int]:
+        """The state after ``chunk`` from the state ``key``, and the count added.
 
-        Whatever the state before it, the first unit boundary inside the chunk
-        is a boundary of the whole text.  The head, up to there, still depends
-        on what comes before; the count after it does not; the tail is the last
-        unit, which may go on.  ``tail`` is None if no boundary lies inside.
+        ``ahead`` is the text that follows, at least ``self.reach`` characters
+        of it: a special string that begins in the chunk is counted here, and
+        the state after it says how many more characters belong to it.
         """
-        units = self.unit.findall(chunk)
-        if len(units) < 2:
-            return chunk, 0, None
-        return units[0], sum(map(self.units.__getitem__, units[1:-1])), units[-1]
-
-    def compose(self, one: tuple, two: tuple) -> tuple[str, int, str | None]:
-        """The state map of one chunk after another; associative."""
-        if one[2] is None:
-            joined = one[0] + two[0]
-            if two[2] is None:
-                return self._fold(joined, 0, None)
-            head, n, tail = self.state_map(joined)
-            return (head, two[1], two[2]) if tail is None else (head, n + self.count(tail) + two[1], two[2])
-        if two[2] is None:
-            return self._fold(one[2] + two[0], one[1], one[0])
-        return one[0], one[1] + self.count(one[2] + two[0]) + two[1], two[2]
-
-    def _fold(self, joined: str, n: int, head: str | None) -> tuple[str, int, str | None]:
-        first, more, last = self.state_map(joined)
-        if head is None:
-            return first, more, last
-        if last is None:
-            return head, n, first
-        return head, n + self.count(first) + more, last
-
-    def total(self, whole: tuple) -> int:
-        """The count that a whole text's state map gives from the start state."""
-        return self.count(whole[0]) + whole[1] + (self.count(whole[2]) if whole[2] is not None else 0)
+        if key[0] == "skip":
+            if key[1] > len(chunk):
+                return ("skip", key[1] - len(chunk)), 0
+            chunk, key = chunk[key[1] :], START
+        n, at, state = 0, 0, self._state(key, 0)
+        if self.special is not None:
+            for found in self.special.finditer(chunk + ahead):
+                if found.start() >= len(chunk):
+                    break
+                state, more = self._read(state, chunk[at : found.start()])
+                n += more + state[""] + 1
+                at, state = found.end(), self._state(START, 0)
+            if at > len(chunk):
+                return ("skip", at - len(chunk)), n
+        state, more = self._read(state, chunk[at:])
+        return state.key, n + more
+
+    def _read(self, state: State, text: str) -> tuple[State, int]:
+        """The state after a text without special strings, and the count added.
+
+        Between units every state goes on like the start state, so the units
+        after the first are read from there, all but the last from memory."""
+        units = self.unit.findall(text)
+        n = sum(map(self.units.__getitem__, units[1:-1]))
+        for k in (0, -1) if len(units) > 1 else (0,) if units else ():
+            if k:
+                state = self._state(START, 0)
+            for char in units[k]:
+                state = state[char]
+                n += state[None]
+        return state, n
+
+    def owed(self, key: tuple) -> int:
+        """What the state ``key`` still adds where a text ends."""
+        return 0 if key[0] == "skip" else self._owed(key)
+
+    def settles(self, text: str) -> bool:
+        """Whether the state after ``text`` is the same from every state."""
+        return len(self.unit.findall(text)) > 1
+
+
+def written(key: tuple) -> str:
+    """A state's key as text; the same vocabulary file reads it anywhere."""
+    return json.dumps(key, separators=(",", ":"))
+
+
+def read(text: str) -> tuple:
+    """The key that :func:`written` wrote."""
+    key = json.loads(text)
+    return tuple(key) if key[0] == "skip" else (key[0], key[1], tuple(map(tuple, key[2])))
 
 
 class _Units(dict):

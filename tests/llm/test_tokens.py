@@ -1,7 +1,6 @@
 """Token counts and shards against the libraries themselves."""
 
 import random
-from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +10,7 @@ from tokenizers import Tokenizer
 from archipelago.llm import token_count
 from archipelago.llm.token_count import token_counts
 from archipelago.llm.token_shards import read_slots, sequences_at, slots_of, token_sequences, write_shards
-from archipelago.llm.transducer import Transducer
+from archipelago.llm.transducer import START, Transducer, read, written
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,15 +38,25 @@ def test_transducer_equals_library(library, machine):
         assert machine.count(text) == library(text), repr(text)
 
 
-def test_state_maps_compose(library, machine):
+def test_chunks_lead_from_state_to_state(library, machine):
     rnd = random.Random(2)
     for text in scraps(3, 1500, 40):
-        size = rnd.randint(1, 9)
-        maps = [machine.state_map(text[k : k + size]) for k in range(0, len(text), size)] or [machine.state_map("")]
-        while len(maps) > 1:  # any grouping gives the same
-            fan = rnd.randint(2, 4)
-            maps = [reduce(machine.compose, maps[k : k + fan]) for k in range(0, len(maps), fan)]
-        assert machine.total(maps[0]) == library(text), repr(text)
+        size, key, n = rnd.randint(1, 9), START, 0
+        for k in range(0, len(text), size):
+            key, more = machine.advance(read(written(key)), text[k : k + size], text[k + size : k + size + machine.reach])
+            n += more
+        assert n + machine.owed(key) == library(text), repr(text)
+
+
+def test_a_text_that_settles_leads_to_one_state(machine):
+    rnd = random.Random(5)
+    settled = 0
+    for text in scraps(6, 600, 12):
+        if machine.settles(text):
+            settled += 1
+            ends = {machine.advance(machine.advance(START, before)[0], text)[0] for before in ("", "a", " ", "'", "th\n", "9", rnd.choice(BITS))}
+            assert len(ends) == 1, repr(text)
+    assert settled > 100
 
 
 def test_follows_is_what_encoding_two_tokens_gives(machine):
@@ -58,9 +67,12 @@ def test_follows_is_what_encoding_two_tokens_gives(machine):
         assert vocab.follows(vocab.id[a], vocab.id[b]) == (vocab.encode(a + b) == [a, b])
 
 
-def test_counts_of_rows(spark, library, monkeypatch):
+@pytest.mark.parametrize("back", [0, 3, 256])  # with less, more entries are wrong at first
+def test_counts_of_rows(spark, library, monkeypatch, back):
     monkeypatch.setattr(token_count, "CHUNK", 64)
-    texts = [None, "", " ", *scraps(7, 60, 60), "word " * 2000, "x" * 5000, "<|endoftext|>" * 300]
+    monkeypatch.setattr(token_count, "BACK", back)
+    monkeypatch.setattr(token_count, "FAN", 8)
+    texts = [None, "", " ", *scraps(7, 60, 60), "word " * 2000, "x" * 5000, "<|endoftext|>" * 300, "".join(random.Random(8).choices("abcXYZ019+/", k=3000)), "的一是不了人我在" * 200]
     rows = [(k if k % 5 else None, t, "extra") for k, t in enumerate(texts)] + [(1, texts[1], "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     found = token_counts(docs, JSON, limit=40).collect()

@@ -298,7 +298,7 @@ def island_adjacency(w: World) -> DataFrame:
 
 def build_stats(w: World) -> DataFrame:
     result = build(w.mesh, _with(CONFIG, spanner=Spanner(True, 1.5)))
-    plain = [(k, float(v)) for k, v in result.stats.items() if not isinstance(v, list)]
+    plain = [(k, round(float(v), 6)) for k, v in result.stats.items() if not isinstance(v, list)]
     return w.spark.createDataFrame(plain, "name string, value double")
 
 

@@ -5,8 +5,15 @@ distinct-target reserve, who can reject whom is known beforehand, so the greedy
 result is found in rounds: a link is rejected once all members of one of its
 conflicts are kept, and kept once every conflict has a rejected member.  The
 best undecided link is always decided, and the result is that of the one-by-one
-loop.  With the reserve, which counts targets kept so far, the loop itself runs
-for each group of islands that links connect.
+loop.
+
+The distinct-target reserve saves a link to a target that its source has not
+reached while the source has fewer targets than its budget.  The best link to
+each of the first targets is thus kept in any case, so which links these are is
+known beforehand, too, and the rounds leave them out.  Only where links also
+count for their targets (symmetric limits) or the global pruning, which heeds
+no reserve, comes between, does the loop itself run for each group of islands
+that links connect.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import distance, lerp, quantize, squared
@@ -114,8 +121,11 @@ def spanner_conflicts(links: DataFrame, islands: DataFrame, config: BuildConfig)
     one = hop.select(F.col("owner").alias("from_island"), F.col("goal").alias("via"), F.col("e").alias("e1"), F.col("far").alias("far1"))
     two = hop.select(F.col("owner").alias("via"), F.col("goal").alias("to_island"), F.col("e").alias("e2"), F.col("far").alias("far2"))
     mine = links.select("rank", "from_island", "to_island", distance("s", "t").alias("far"))
-    pairs = mine.join(one, "from_island").where("e1 < rank AND via <> to_island").join(two, ["via", "to_island"]).where("e2 < rank")
-    return pairs.where(F.col("far1") + F.col("far2") <= F.lit(config.density.spanner.path_ratio) * F.col("far")).select("rank", "e1", "e2")
+    limit = F.lit(config.density.spanner.path_ratio) * F.col("far")
+    # a first hop beyond the limit leads nowhere, whatever the second is
+    pairs = mine.join(one, "from_island").where("e1 < rank AND via <> to_island").where(F.col("far1") <= limit)
+    pairs = pairs.join(two, ["via", "to_island"]).where("e2 < rank")
+    return pairs.where(F.col("far1") + F.col("far2") <= limit).select("rank", "e1", "e2")
 
 
 def prune_local(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
@@ -208,12 +218,50 @@ def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses:
     return fate, saved
 
 
+def reserved(links: DataFrame, config: BuildConfig) -> DataFrame:
+    """The ranks that the reserve keeps: of each source the best link to each of
+    its first distinct targets, as many as its budget."""
+    d = config.density.reserve
+    first = links.groupBy("from_island", "to_island").agg(F.min("rank").alias("rank"), F.max("from_mass").alias("from_mass"))
+    nth = F.row_number().over(Window.partitionBy("from_island").orderBy("rank"))
+    first = first.withColumn("nth", nth).where(F.col("nth") <= d.most)
+    return first.where(F.col("nth") <= d.budget_of(F.col("from_mass"), config.mass.enabled)).select("rank")
+
+
+def _pass_with_reserve(links: DataFrame, conflicts: DataFrame, config: BuildConfig) -> tuple[DataFrame, DataFrame]:
+    """The links that stay, and the ranks among them that the reserve saved."""
+    conflicts, held = store(conflicts, "conflicts"), store(reserved(links, config), "reserved")
+    kept = store(decide(links, conflicts.join(held, "rank", "left_anti")), "kept")
+    stays = lambda e: kept.select(F.col("rank").alias(e))
+    met = conflicts.join(held, "rank", "left_semi").join(stays("e1"), "e1", "left_semi").join(stays("e2"), "e2", "left_semi")
+    return kept, met.select("rank").distinct()
+
+
+def _fates_by_rounds(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
+    left, out = links, []
+    saved = links.select("rank").limit(0)
+    for reason, on, conflicts in (("local", config.density.local.enabled, local_conflicts), ("spanner", config.density.spanner.enabled, spanner_conflicts)):
+        if on:
+            kept, more = _pass_with_reserve(left, conflicts(left, islands, config), config)
+            out.append(left.join(kept.select("rank"), "rank", "left_anti").select("rank", F.lit(reason).alias("fate")))
+            left, saved = kept, saved.unionByName(more)
+    fates = left.select("rank", F.lit("kept").alias("fate")).unionByName(saved.agg(F.count("*").alias("rank")).select("rank", F.lit("saved").alias("fate")))
+    for rows in out:
+        fates = fates.unionByName(rows)
+    return store(fates, "fates")
+
+
 def reserve_fates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """``rank, fate`` of every link, and rows ``fate = 'saved'`` with the number
-    that the reserve saved in place of a rank.
+    that the reserve saved in place of a rank."""
+    if config.symmetric or config.density.overall.enabled:
+        return looped_fates(links, islands, config)
+    return _fates_by_rounds(links, islands, config)
+
 
-    The loop runs for each group of islands that links connect; with global
-    pruning, which looks across islands, for all at once."""
+def looped_fates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
+    """The same by the loop, for each group of islands that links connect; with
+    global pruning, which looks across islands, for all at once."""
     ends = links.select(F.col("from_island").alias("a"), F.col("to_island").alias("b"))
     if config.density.overall.enabled:
         grouped = links.withColumn("component", F.lit(0).cast("long"))

@@ -83,6 +83,20 @@ def same(links: str, radius: float, target: bool = False) -> str:
 LOCAL = rounds("kept", "ranked", same("ranked", 1.5))
 HOPS = f"hops AS (SELECT rank, from_island, to_island, {LENGTH} AS far FROM kept)"
 TWO_HOPS = "SELECT c.rank, x.rank AS e1, y.rank AS e2 FROM hops c JOIN hops x ON x.from_island = c.from_island AND x.rank < c.rank AND x.to_island <> c.to_island JOIN hops y ON y.from_island = x.to_island AND y.to_island = c.to_island AND y.rank < c.rank AND x.far + y.far <= 1.5 * c.far"
+
+
+def held(links: str, most: int) -> str:
+    """Ranks that the reserve of ``most`` targets keeps in any case."""
+    return f"SELECT rank FROM (SELECT from_island, min(rank) AS rank FROM {links} GROUP BY from_island, to_island) QUALIFY row_number() OVER (PARTITION BY from_island ORDER BY rank) <= {most}"
+
+
+SAVING = (
+    f"first_ AS ({held('ranked', 2)})",
+    rounds("kept", "ranked", same("ranked", 1.5) + " AND c.rank NOT IN (SELECT rank FROM first_)"),
+    HOPS,
+    f"again_ AS ({held('kept', 2)})",
+    rounds("saved", "kept", TWO_HOPS + " WHERE c.rank NOT IN (SELECT rank FROM again_)"),
+)
 CROWD = " UNION ".join(f"SELECT c.rank, e.rank, e.rank FROM kept c JOIN kept e ON e.rank < c.rank AND {near('c', p, 'e', q, 1.0)}" for p in "st" for q in "st")
 
 
@@ -123,6 +137,26 @@ goal AS (
   FROM best JOIN portal USING (n) JOIN islands i ON i.id = to_island WHERE round = (SELECT max(round) FROM best) AND g < 1e299 GROUP BY i.id)"""
 
 
+#: The counters of a build with a spanner, and how each follows from the tables.
+BOXES = """boxes AS (
+  SELECT b.island, t.island AS other FROM thin b JOIN grid g ON b.mx BETWEEN 2 * g.c - 5 AND 2 * g.c + 7 AND b.mz BETWEEN 2 * g.r - 5 AND 2 * g.r + 7 AND abs(b.my - g.y) <= 6
+  JOIN isl t ON t.p = g.p)"""
+STATS = {
+    "boundaries_raw": "count(*) FROM raw", "boundaries_deduplicated": "count(*) FROM thin", "boundaries_representative": "count(*) FROM thin", "queries": "count(*) FROM thin",
+    "nearby_polygons": "count(*) FROM boxes", "pair_scan_candidates": "count(*) FILTER (island <> other) FROM boxes", "closest_point_queries": "count(*) FILTER (island <> other) FROM boxes",
+    "projected": "count(*) FILTER (island <> other) FROM boxes", "deduplicated": "count(*) FROM ranked",
+    "local_pruning_rejects": "count(*) - (SELECT count(*) FROM kept) FROM ranked", "spanner_pruning_rejects": "count(*) - (SELECT count(*) FROM sparse) FROM kept",
+    "pruned_links": "count(*) FROM merged", "rejected": "count(*) - (SELECT count(*) FROM merged) FROM ranked", "accepted_links": "count(*) FROM edges",
+    "island_count": "count(*) FROM islands", "polygon_count": "sum(polygon_count) FROM islands",
+    "with_outgoing": "count(*) FILTER (n_out > 0) FROM deg", "with_incoming": "count(*) FILTER (n_in > 0) FROM deg", "max_out": "max(n_out) FROM deg", "max_in": "max(n_in) FROM deg",
+    "p95_out": P95.format("n_out") + " FROM deg", "p95_in": P95.format("n_in") + " FROM deg",
+    "isolated_islands": "count(*) FILTER (n_out = 0 AND n_in = 0) FROM deg", "isolated_polygons": "coalesce(sum(polygon_count) FILTER (n_out = 0 AND n_in = 0), 0) FROM deg",
+    "components": "count(DISTINCT component) FROM strong", "largest_islands": "count(*) FROM big", "largest_polygons": "sum(polygon_count) FROM big", "average_link_length": "coalesce(avg(horizontal), 0) FROM edges",
+    # masses are off; nothing is thinned by outbound policy or representatives, recovered, reversed, saved or rejected otherwise
+    **dict.fromkeys(("boundaries_outbound_filtered", "boundaries_trimmed", "pair_scan_suppressed", "recovery_queries", "recovered", "reverse_links_synthesized", "reverse_links_rejected", "closest_point_failures",
+                     "global_pruning_rejects", "distinct_target_reserve", "small_islands_suppressed", "total_mass", "isolated_mass", "largest_mass"), "0"),
+}
+BIG = "big AS (SELECT * FROM strong JOIN islands USING (id) WHERE component = (SELECT component FROM strong GROUP BY component ORDER BY count(*) DESC, component LIMIT 1))"
 ROUTE_ROWS = """SELECT i.id AS request_id, CASE WHEN i.id = 0 THEN 'same_island' WHEN cost IS NULL THEN 'no_path' ELSE 'success' END AS status,
   CASE WHEN i.id = 0 THEN 0 ELSE coalesce(CAST(round(cost * 1000) AS BIGINT), 0) END AS cost_mm FROM islands i LEFT JOIN goal ON goal.id = i.id"""
 
@@ -160,6 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "local_prune": _sql(*to_kept, links + "kept"),
         "spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", TWO_HOPS), links + "sparse"),
         "global_spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", f"{TWO_HOPS} UNION {CROWD}"), links + "sparse"),
+        "distinct_target_reserve": _sql(*to_ranked, *SAVING, links + "saved"),
         "local_collapse": _sql(*to_ranked, rounds("merged", "ranked", same("ranked", 4.0, target=True)), links + "merged"),
         "corridor_edges": _sql(*to_kept, corridors("kept"), "SELECT edge_index, island_a, island_b, CAST(round(horizontal * 1000) AS BIGINT) AS horizontal_mm, CAST(round(vertical_delta_ab * 1000) AS BIGINT) AS vertical_delta_ab_mm, trav_ab, trav_ba FROM edges"),
         "traversals": _sql(*to_graph, f"SELECT edge_index, from_island, to_island, {LINK_MM} FROM trav"),
@@ -175,5 +210,9 @@ def oracle_sql() -> dict[str, str]:
         "route_search": _sql(*to_graph, routes(LENGTH), ROUTE_ROWS),
         "graph_roundtrip": _sql(GRID, "SELECT island AS id, p AS poly_ref FROM isl"),
         "polygon_lookup": _sql(GRID, "SELECT p AS poly_ref, island FROM isl"),
+        "build_stats": _sql(
+            *to_kept, HOPS, rounds("sparse", "kept", TWO_HOPS), rounds("merged", "sparse", same("sparse", 1.5, target=True)), corridors("merged"), DEGREES, STRONG, BIG, BOXES,
+            " UNION ALL ".join(f"SELECT '{name}' AS name, round(CAST((SELECT {sql}) AS DOUBLE), 6) AS value" for name, sql in STATS.items()),
+        ),
         "island_adjacency": _sql(*to_graph, "SELECT id, string_agg(edge_index, ',' ORDER BY edge_index) AS edges FROM (SELECT island_a AS id, edge_index FROM edges UNION SELECT island_b, edge_index FROM edges) GROUP BY id"),
     }

@@ -7,6 +7,9 @@ from dataclasses import dataclass, field, replace
 from enum import Enum
 from math import isfinite, sqrt
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 class BuildProfile(Enum):
     CONSERVATIVE = "conservative"
@@ -97,6 +100,13 @@ class Reserve:
         weighted = min(1.0, max(0.0, mass)) ** self.mass_power
         return min(self.most, int(self.least + (self.most - self.least) * weighted))
 
+    def budget_of(self, mass: Column, mass_aware: bool) -> Column:
+        """The same of a column of masses."""
+        if not mass_aware or not self.enabled or self.least >= self.most:
+            return F.lit(self.budget(0.0, mass_aware))
+        weighted = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mass)), F.lit(self.mass_power))
+        return F.least(F.lit(self.most), (self.least + (self.most - self.least) * weighted).cast("int"))
+
 
 @dataclass(frozen=True)
 class Density:

@@ -119,3 +119,25 @@ def test_counts_of_the_second_pass_agree_with_the_loop(spark):
     loop = replace(config, density=replace(config.density, reserve=Reserve(True, 0, 0)))
     found = pruning_counts(rows, facts, config)
     assert found == pruning_counts(rows, facts, loop) and found["local"] and found["global"]
+
+
+@pytest.mark.parametrize(("seed", "least", "most", "aware"), [(1, 0, 4, False), (2, 0, 2, False), (3, 2, 4, True), (4, 0, 5, True)])
+def test_reserve_by_rounds_equals_the_loop(spark, seed, least, most, aware):
+    import random
+
+    from archipelago.operators.prune import looped_fates, reserve_fates
+
+    rnd = random.Random(seed)
+    spot = lambda: tuple(rnd.randint(0, 12) / 2 for _ in range(3))
+    rows = list({(a, b, spot(), spot()) for a in range(6) for b in range(6) if a != b for _ in range(5)})
+    config = BuildConfig.of(9, 9, 8)
+    config = replace(config, mass=replace(AWARE, enabled=aware), density=replace(config.density, local=Cells(True, 3.0), spanner=Spanner(True, 1.5), reserve=Reserve(True, least, most)))
+    facts = islands(spark, [0, 0.1, 0.4, 0.6, 0.9, 1])
+    ranked = rank_links(links(spark, rows), facts, config).cache()
+
+    def fates(found):
+        got = found.collect()
+        return {r["rank"]: r["fate"] for r in got if r["fate"] != "saved"}, sum(r["rank"] for r in got if r["fate"] == "saved")
+
+    one, two = fates(reserve_fates(ranked, facts, config)), fates(looped_fates(ranked, facts, config))
+    assert one == two and one[1] and {"local", "spanner", "kept"} == set(one[0].values())

@@ -25,6 +25,10 @@ from archipelago.storage import new_path, store
 CONFIG = BuildConfig.of(5, 4, 6)
 MASSY = replace(CONFIG, mass=MassAware(enabled=True, suppress_small=True, suppressed_percent=0.25))
 
+#: Masses count for the order of links, for radii and for the reserve.
+AWARE = replace(CONFIG, mass=MassAware(enabled=True, target_preference_ratio=0.2, low_radius_scale=0.5, high_radius_scale=1.5))
+SYMMETRIC = BuildConfig.of(5, 5, 5)
+
 
 def _with(config: BuildConfig, **changes) -> BuildConfig:
     return replace(config, density=replace(config.density, **changes))
@@ -72,6 +76,10 @@ class World:
     def ranked(self) -> DataFrame:
         return self._get("ranked", lambda: P.rank_links(self.candidates, self.islands, CONFIG))
 
+    @property
+    def aware(self) -> DataFrame:
+        return self._get("aware", lambda: P.rank_links(self.candidates, self.massy, AWARE))
+
     @property
     def local(self) -> DataFrame:
         return self._get("local", lambda: P.prune_local(self.ranked, self.islands, CONFIG))
@@ -222,6 +230,27 @@ def distinct_target_reserve(w: World) -> DataFrame:
     return _links(P.prune_with_reserve(w.ranked, w.islands, _with(CONFIG, reserve=Reserve(True, 0, 2), spanner=Spanner(True, 1.5))), "rank")
 
 
+def mass_link_ranking(w: World) -> DataFrame:
+    return _links(w.aware, "rank")
+
+
+def mass_local_prune(w: World) -> DataFrame:
+    return _links(P.prune_local(w.aware, w.massy, AWARE), "rank")
+
+
+def mass_reserve(w: World) -> DataFrame:
+    """Radii so wide that the reserve has links to save."""
+    config = _with(AWARE, local=Cells(True, 6.0), reserve=Reserve(True, 1, 8))
+    return _links(P.prune_with_reserve(w.aware, w.massy, config), "rank")
+
+
+def symmetric_prune(w: World) -> DataFrame:
+    """With equal limits a link also stands in its target's list."""
+    found = gaps.scan(border.dedup_boundaries(w.raw, SYMMETRIC), w.mesh, w.labels, w.islands, SYMMETRIC, SYMMETRIC.gap.horizontal)
+    links = gaps.dedup_candidates(found.where("accepted").select(*gaps.LINK), w.islands, SYMMETRIC)
+    return _links(P.prune_local(store(P.rank_links(links, w.islands, SYMMETRIC), "ranked"), w.islands, SYMMETRIC), "rank")
+
+
 def local_collapse(w: World) -> DataFrame:
     return _links(P.collapse(w.ranked, _with(CONFIG, local=Cells(True, 4.0))), "rank")
 
@@ -306,7 +335,7 @@ QUERIES = [
     mesh_scan_filter, polygon_adjacency, island_labels, island_summary, mass_scores, small_island_suppression,
     boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates, spherical_candidates, outbound_policy,
     pair_scan_suppression, short_gap_recovery, candidate_dedup, link_ranking, local_prune, spanner_prune,
-    global_spanner_prune, distinct_target_reserve, local_collapse, corridor_edges, traversals, degree_stats,
+    global_spanner_prune, distinct_target_reserve, mass_link_ranking, mass_local_prune, mass_reserve, symmetric_prune, local_collapse, corridor_edges, traversals, degree_stats,
     mass_buckets, isolated_islands, average_link_length, strong_components, largest_component, shortest_paths,
     shortest_path_filtered, custom_cost_path, route_search, graph_roundtrip, polygon_lookup, island_adjacency, build_stats,
 ]

@@ -84,6 +84,25 @@ LOCAL = rounds("kept", "ranked", same("ranked", 1.5))
 HOPS = f"hops AS (SELECT rank, from_island, to_island, {LENGTH} AS far FROM kept)"
 TWO_HOPS = "SELECT c.rank, x.rank AS e1, y.rank AS e2 FROM hops c JOIN hops x ON x.from_island = c.from_island AND x.rank < c.rank AND x.to_island <> c.to_island JOIN hops y ON y.from_island = x.to_island AND y.to_island = c.to_island AND y.rank < c.rank AND x.far + y.far <= 1.5 * c.far"
 
+# with masses: a preference of 0.2 * 5 for heavy targets, radii of 0.5 to 1.5 times the plain one
+AWARE = f"""aware AS (SELECT cand.*, f.mass_score AS fm, t.mass_score AS tm,
+  row_number() OVER (ORDER BY -floor(f.mass_score * t.mass_score / 0.001), round(({LENGTH} - 1.0 * t.mass_score) * 1000), {ORDER}) AS rank
+  FROM cand JOIN massy f ON f.id = from_island JOIN massy t ON t.id = to_island)"""
+
+
+def aware_same(radius: float) -> str:
+    close = " AND ".join(near("c", p, "e", p, 1).removesuffix("1") + f"power({radius} * (0.5 + c.tm), 2)" for p in "st")
+    return f"SELECT c.rank, e.rank AS e1, e.rank AS e2 FROM aware c JOIN aware e ON c.from_island = e.from_island AND e.rank < c.rank AND {close}"
+
+
+AWARE_HELD = "held AS (SELECT rank FROM (SELECT from_island, min(rank) AS rank, any_value(fm) AS fm FROM aware GROUP BY from_island, to_island) QUALIFY row_number() OVER (PARTITION BY from_island ORDER BY rank) <= least(8, floor(1 + 7 * fm)))"
+_TURNED = " ".join(f"(CASE WHEN to_island < from_island THEN {q}{k} ELSE {p}{k} END)".replace(" ", "~") for p, q in ("st", "ts") for k in "xyz")
+MIRRORED = f"""seen AS ({scan("thin", 5, 5, LENGTH + " <= 5")}),
+both_ AS (SELECT {LINK} FROM seen QUALIFY row_number() OVER (PARTITION BY least(from_island, to_island), greatest(from_island, to_island), {voxels(_TURNED, 1.25).replace("~", " ")} ORDER BY {ORDER}) = 1),
+mirror AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank FROM both_),
+lists AS (SELECT from_island AS owner, rank, sx, sy, sz, tx, ty, tz FROM mirror UNION ALL SELECT to_island, rank, tx, ty, tz, sx, sy, sz FROM mirror)"""
+MIRROR_SAME = f"SELECT c.rank, e.rank AS e1, e.rank AS e2 FROM mirror c JOIN lists e ON c.from_island = e.owner AND e.rank < c.rank AND {near('c', 's', 'e', 's', 1.25)} AND {near('c', 't', 'e', 't', 1.25)}"
+
 
 def held(links: str, most: int) -> str:
     """Ranks that the reserve of ``most`` targets keeps in any case."""
@@ -195,6 +214,10 @@ def oracle_sql() -> dict[str, str]:
         "spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", TWO_HOPS), links + "sparse"),
         "global_spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", f"{TWO_HOPS} UNION {CROWD}"), links + "sparse"),
         "distinct_target_reserve": _sql(*to_ranked, *SAVING, links + "saved"),
+        "mass_link_ranking": _sql(*to_ranked, AWARE, links + "aware"),
+        "mass_local_prune": _sql(*to_ranked, AWARE, rounds("heavy", "aware", aware_same(1.5)), links + "heavy"),
+        "mass_reserve": _sql(*to_ranked, AWARE, AWARE_HELD, rounds("heavy", "aware", aware_same(6.0) + " AND c.rank NOT IN (SELECT rank FROM held)"), links + "heavy"),
+        "symmetric_prune": _sql(GRID, THIN, MIRRORED, rounds("fair", "mirror", MIRROR_SAME), links + "fair"),
         "local_collapse": _sql(*to_ranked, rounds("merged", "ranked", same("ranked", 4.0, target=True)), links + "merged"),
         "corridor_edges": _sql(*to_kept, corridors("kept"), "SELECT edge_index, island_a, island_b, CAST(round(horizontal * 1000) AS BIGINT) AS horizontal_mm, CAST(round(vertical_delta_ab * 1000) AS BIGINT) AS vertical_delta_ab_mm, trav_ab, trav_ba FROM edges"),
         "traversals": _sql(*to_graph, f"SELECT edge_index, from_island, to_island, {LINK_MM} FROM trav"),

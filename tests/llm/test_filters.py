@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 from collections import Counter
 from math import comb
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from archipelago.llm import quality_rules as rules
@@ -327,6 +329,61 @@ def test_mixing(spark):
     assert abs(half - 0.5) < 0.05
 
 
+def mixed(rows, power, budget, seed=11):
+    """Brute force: ``doc_id, cell, tokens, chance, kept`` of every row."""
+
+    def topic(text):
+        size = max(len(text), 1)
+        if text.count("|") * 40 > size:
+            return "table"
+        if sum(c in "#*$%&!" for c in text) * 40 > size:
+            return "symbols"
+        return "short" if size < 400 else "prose" if size < 4000 else "long"
+
+    placed = [(i, (s or OTHER, g or OTHER, topic(t or "")), len((t or "").split())) for i, t, g, s in rows]
+    weight = Counter()
+    for _, cell, n in placed:
+        weight[cell] += n
+    total, now = sum(weight.values()), dict(weight)
+    for _ in range(300):
+        for d in range(3):
+            part, have = Counter(), Counter()
+            for cell, n in weight.items():
+                part[cell[d]] += n
+                have[cell[d]] += now[cell]
+            whole = sum((n / total) ** power for n in part.values() if n)
+            for cell in now:
+                want = (part[cell[d]] / total) ** power / whole * total if part[cell[d]] else 0
+                now[cell] *= want / have[cell[d]] if have[cell[d]] else 0
+    ratio = {c: now[c] / weight[c] if weight[c] else 0.0 for c in now}
+    chance = {c: r / max(ratio.values()) for c, r in ratio.items()}
+    low = sum(chance[c] * weight[c] for c in chance)
+    if budget is not None:
+        assert low >= budget * total
+        chance = {c: x * budget * total / low for c, x in chance.items()}
+
+    def drawn(i):
+        first = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        return (xxhash.xxh64_intdigest(struct.pack("<q", i), first) >> 11) / 2**53
+
+    return sorted((i, cell, n, pytest.approx(chance[cell], abs=1e-7), drawn(i) < chance[cell]) for i, cell, n in placed)
+
+
+@pytest.mark.parametrize(("power", "budget"), [(0.8, None), (0.5, 0.1), (0.9, 0.2), (0.0, None)])
+def test_mixing_equals_brute_force(spark, power, budget):
+    rnd = random.Random(9)
+    words = ["w", "zé", "a|b", "#x!", "long-word"]
+
+    def text():
+        return rnd.choice([None, "", "x", " ".join(rnd.choices(words[: rnd.choice([2, 3, 5])], k=rnd.choice([3, 40, 300, 1500])))])
+
+    rows = [(k, text(), rnd.choice(["en", "en", "de", None]), rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(600)]
+    rows += rows[:5]
+    found = mix_report(table(spark, rows), tempered_targets(power), budget_share=budget).collect()
+    got = sorted((r["doc_id"], (r["source"], r["lang"], r["topic"]), r["tokens"], r["chance"], r["kept"]) for r in found)
+    assert got == mixed(rows, power, budget) and 0 < sum(r["kept"] for r in found) < len(rows)
+
+
 def test_mixing_odd_rows(spark):
     docs = table(spark, [(1, None, None, None), (2, "", "en", "a"), (None, "x y", "en", "a"), (None, None, "en", "a"), (3, "z " * 50_000, "de", "b"), (3, "z", "de", "b")])
     assert mix_report(docs, tempered_targets(0.5)).count() == 6

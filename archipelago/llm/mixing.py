@@ -56,7 +56,7 @@ def topic_of(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    bars = size - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     marks = F.regexp_count(text, F.lit(r"[#*$%&!]"))
     return (
         F.when(bars * 40 > size, "table")

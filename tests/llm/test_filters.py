@@ -359,7 +359,7 @@ def mixed(rows, power, budget, seed=11):
     chance = {c: r / max(ratio.values()) for c, r in ratio.items()}
     low = sum(chance[c] * weight[c] for c in chance)
     if budget is not None:
-        assert low >= budget * total
+        assert low >= budget * total  # beyond that, test_budgets_keep_the_shares
         chance = {c: x * budget * total / low for c, x in chance.items()}
 
     def drawn(i):
@@ -369,7 +369,7 @@ def mixed(rows, power, budget, seed=11):
     return sorted((i, cell, n, pytest.approx(chance[cell], abs=1e-7), drawn(i) < chance[cell]) for i, cell, n in placed)
 
 
-@pytest.mark.parametrize(("power", "budget"), [(0.8, None), (0.5, 0.1), (0.9, 0.2), (0.0, None)])
+@pytest.mark.parametrize(("power", "budget"), [(0.8, None), (0.5, 0.01), (0.9, 0.02), (0.7, None)])
 def test_mixing_equals_brute_force(spark, power, budget):
     rnd = random.Random(9)
     words = ["w", "zé", "a|b", "#x!", "long-word"]

@@ -7,9 +7,7 @@ line of the corpus stays.
    different lines share a key with a chance of 2 ** -64.
 2. Shingles of ``SHINGLE`` UTF-16 units are hashed one to a row, in generated
    code, and aggregated to ``BANDS * ROWS`` minima of each class.  Every minimum
-   looks at the even hashes first and at odd ones only where a line has no even
-   one, so of a line's shingles beyond the first ``FRONT`` the odd ones are left
-   out of the aggregation without changing a minimum.
+   is over all shingles of the line.
 3. Banding: ``ROWS`` minima are a bucket.  In a bucket each class is paired with
    the least one, its hub: candidates grow with the bucket's size, not its
    square.
@@ -21,8 +19,7 @@ line of the corpus stays.
 6. Distributed union-find (:func:`archipelago.llm.components.union_find`).
 
 Recall: two lines of similarity 0.8 share no bucket, or fail at the signatures,
-with a probability of about 0.002; short lines somewhat more often, as half of
-their shingles make the minima.
+with a probability of about 0.002.
 
 All of it is DataFrame functions.
 
@@ -48,8 +45,6 @@ BANDS, ROWS = 12, 4
 #: Bytes of the signatures that must agree at least.  Of 48 minima at similarity
 #: 0.8, fewer do with a probability of 2e-4.
 AGREE = 28
-#: Shingles at a line's start of which none is left out.
-FRONT = 48
 #: Signature bytes in a long; six, so that sums of them cannot overflow.
 LANES = 6
 
@@ -76,14 +71,11 @@ def _minima(classes: DataFrame) -> DataFrame:
     units = classes.select("id", F.encode("line", "UTF-16BE").alias("units"))
     last = F.greatest(F.lit(1), F.octet_length("units") - F.lit(2 * SHINGLE - 1))
     each = units.select("id", "units", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("at"))
-    hashed = each.select("id", "at", F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * SHINGLE))).alias("h"))
-    hashed = hashed.where((F.col("h").bitwiseAND(F.lit(1)) == 0) | (F.col("at") <= 2 * FRONT))
-    hashed = hashed.select("id", F.shiftleft(F.col("h").bitwiseAND(F.lit(1)), 62).alias("odd"), F.shiftrightunsigned("h", 1).alias("one"), F.xxhash64("h").alias("two"))
+    hashed = each.select("id", F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * SHINGLE))).alias("one")).withColumn("two", F.xxhash64("one"))
     values = []
     for k in range(BANDS * ROWS):
         a, b = _shifts(k)
-        mixed = F.shiftleft("one", a).bitwiseXOR(F.shiftleft("two", b))
-        values.append(F.min(F.shiftrightunsigned(mixed, 2).bitwiseOR(F.col("odd"))).alias(f"m{k}"))
+        values.append(F.min(F.shiftleft("one", a).bitwiseXOR(F.shiftleft("two", b))).alias(f"m{k}"))
     return hashed.groupBy("id").agg(*values)
 
 

@@ -330,6 +330,35 @@ def test_pieces_of_a_passage_do_not_hide_it(spark):
     assert found == {(11, 10, 50, 170), (21, 20, 0, 80), (21, 20, 120, 200)}
 
 
+def on_diagonals(a, b, least=50, percent=80):
+    """Whether ``least`` words or more of two texts agree in ``percent`` % of their places."""
+    for d in range(least - len(b), len(a) - least + 1):
+        same = np.array([u == v for u, v in zip(a[max(0, d) :], b[max(0, -d) :], strict=False)])
+        gain = np.append(0, np.cumsum(np.where(same, 100 - percent, -percent)))
+        if len(same) >= least and (gain[least:] >= np.minimum.accumulate(gain)[: len(gain) - least]).any():
+            return True
+    return False
+
+
+def test_fuzzy_passages_of_frequent_seeds(spark):
+    """Passages all of whose seeds are frequent are found, though they agree with
+    none of the first documents that have the seeds."""
+    rnd = random.Random(17)
+    fresh = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    pieces = [fresh(8) for _ in range(12)]
+    join = lambda order: [w for k in order for w in pieces[k] + fresh(1)]
+    texts = {k: [w for p in rnd.sample(pieces, 12) for w in fresh(6) + p] for k in range(80)}
+    for k in range(100, 116, 2):
+        order = rnd.sample(range(12), 7)
+        texts |= {k: fresh(15) + join(order) + fresh(9), k + 1: fresh(rnd.randint(0, 40)) + join(order) + fresh(20)}
+    texts[120] = fresh(8) + join(range(12)) + fresh(4)
+    texts[121] = join(range(6)) + fresh(30) + join(range(6, 12))
+    found = {(r["doc_id"], r["other_id"]) for r in repeated_passages(table(spark, [(k, " ".join(t)) for k, t in texts.items()])).collect()}
+    want = {(b, a) for b in texts for a in texts if 100 <= a < b and on_diagonals(texts[a], texts[b])}
+    assert {(k + 1, k) for k in range(100, 116, 2)} | {(121, 120)} <= want
+    assert found == want
+
+
 def test_passages_of_repeated_words(spark):
     rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
     found = repeated_passages(table(spark, rows)).collect()

@@ -15,7 +15,10 @@ line of the corpus stays.
    ``AGREE`` places or more, and are confirmed by the Jaccard similarity of
    their full shingle sets.
 5. Where a bucket's other members are not in one component yet, those of
-   different components are compared with each other the same way.
+   different components are compared with each other the same way, but for
+   pairs that their sketches rule out, which are never rows.  A sketch has the
+   parities of a line's distinct shingles by ``64 * PARITIES`` buckets: where two
+   differ is a shingle that only one line has, so no link is ever ruled out.
 6. Distributed union-find (:func:`archipelago.llm.components.union_find`).
 
 Recall: two lines of similarity 0.8 share no bucket, or fail at the signatures,
@@ -47,6 +50,8 @@ BANDS, ROWS = 12, 4
 AGREE = 28
 #: Signature bytes in a long; six, so that sums of them cannot overflow.
 LANES = 6
+#: Longs of a sketch.
+PARITIES = 8
 
 _BLANK = r"[^\x20\x09-\x0D]"
 _LOW = int("7f" * LANES, 16)
@@ -96,6 +101,7 @@ def _signature() -> list[Column]:
 
 
 _WORDS = [f"s{k}" for k in range(BANDS * ROWS // LANES)]
+_SKETCH = [f"p{k}" for k in range(PARITIES)]
 
 
 def _agreeing(one: str, two: str) -> Column:
@@ -130,6 +136,21 @@ def _near(percent: int) -> Column:
     return _let(F.struct(_set("la").alias("a"), _set("lb").alias("b")), linked)
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """``id, n, p0, ...``: the number of distinct shingles and their parities."""
+    each = texts.select("id", F.explode(_set("line")).alias("h")).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))"))
+    parities = [F.bit_xor(F.expr(f"if((shiftright(h, 6) & {PARITIES - 1}) = {k}, bit, 0L)")).alias(p) for k, p in enumerate(_SKETCH)]
+    return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), *parities)
+
+
+def _possible(one: str, two: str, percent: int) -> Column:
+    """Whether sizes and sketches leave room for the similarity: sets that have it
+    differ in ``(100 - percent) / (100 + percent)`` of their sizes' sum at most."""
+    n, m = F.col(f"{one}.n"), F.col(f"{two}.n")
+    differ = sum((F.bit_count(F.col(f"{one}.{p}").bitwiseXOR(F.col(f"{two}.{p}"))) for p in _SKETCH), F.lit(0))
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (n + m))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that are near."""
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")).hint("shuffle_merge"), "a")
@@ -137,39 +158,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return store(met.select("a", "b", _near(percent).alias("near")).where("near").select("a", "b"), "line-links")
 
 
-def _signed(classes: DataFrame, id_: str) -> DataFrame:
-    return classes.select(F.col("id").alias(id_), F.struct(*_WORDS).alias(f"s{id_}")).hint("shuffle_merge")
+def _signed(signs: DataFrame, id_: str, *more: str) -> DataFrame:
+    return signs.select(F.col("id").alias(id_), F.struct(*_WORDS, *more).alias(f"s{id_}")).hint("shuffle_merge")
 
 
 def _links(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The links that make the components, and more of the same.
 
     ``lines(id, line)`` has every class; those that share a bucket are fetched.
+    ``classes`` is deleted.
     """
     keys = classes.select("id", F.explode("keys").alias("key"))
     hubs = store(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "line-hubs")
     placed = store(keys.join(hubs, "key").where("id <> hub"), "line-buckets")
+    # the keys go: they are more than half of the classes' bytes
+    signs = store(classes.select("id", *_WORDS), "line-signatures")
+    drop(classes)
+    drop(hubs)
     met = placed.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     texts = store(lines.join(met.hint("shuffle_merge"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     first = placed.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(_signed(classes, "a"), "a").join(_signed(classes, "b"), "b").where(_agreeing("sa", "sb") >= AGREE).select("a", "b")
+    first = first.join(_signed(signs, "a"), "a").join(_signed(signs, "b"), "b").where(_agreeing("sa", "sb") >= AGREE).select("a", "b")
     first = store(first, "line-pairs")
     links = _confirmed(first, texts, percent)
     comp = store(union_find(links), "line-components")
     # the hub has met all; are the others of its bucket one component?
     around = placed.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_ = around.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    rows = store(around.join(open_, "key").join(_signed(classes, "id"), "id"), "line-open")
+    spread = store(around.join(open_, "key"), "line-spread")
+    asked = texts.join(spread.select("id").distinct().hint("shuffle_merge"), "id", "left_semi")
+    signed = signs.join(_sketched(asked).hint("shuffle_merge"), "id")
+    rows = store(spread.join(_signed(signed, "id", "n", *_SKETCH), "id"), "line-open")
+    for table in (signs, placed, spread, comp):
+        drop(table)
     main = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("x")).select("key", F.col("x.c").alias("c0"))
     rows = rows.join(main, "key").withColumnRenamed("sid", "s")
     one = rows.where("c <> c0").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
     two = rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("c0"), F.col("s").alias("sb"))
-    # the comparison is the join's own condition: only pairs that agree leave it
-    met = one.join(two.hint("shuffle_merge"), (one["key"] == two["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("cb") == F.col("c0"))) & (_agreeing("sa", "sb") >= AGREE))
+    # the comparison is the join's own condition: only pairs that may be links leave it
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("cb") == F.col("c0")))
+    met = one.join(two.hint("shuffle_merge"), (one["key"] == two["key"]) & apart & (_agreeing("sa", "sb") >= AGREE) & _possible("sa", "sb", percent))
     more = store(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     if more.head(1):
         links = links.unionByName(_confirmed(more, texts, percent))
-    for table in (hubs, placed, texts, first, comp, rows, more):
+    for table in (texts, first, rows, more):
         drop(table)
     return links
 
@@ -190,7 +222,6 @@ def _judged(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     one = each.groupBy("id").agg(F.first("line").alias("line"))
     classes = store(_minima(one).select("id", _keys().alias("keys"), *_signature()), "line-classes")
     comp = store(union_find(_links(classes, each, percent)), "line-components")
-    drop(classes)
     grouped = marked.join(comp, "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
     order = F.struct("doc_id", "row", "line_no")
     heads = grouped.where("line_no IS NOT NULL").groupBy("g").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("g", "head")

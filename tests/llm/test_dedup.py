@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from archipelago.llm.components import connected_components, union_find
+from archipelago.llm import line_dedup as lines_module
 from archipelago.llm.line_dedup import SHINGLE, duplicate_lines, line_dedup, without_lines
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.substring import _Flat, align, chains, repeated_passages, single_runs
@@ -195,6 +197,43 @@ def test_every_shingle_of_a_line_counts(spark):
     assert sum(r["removed_lines"] != "1" for r in found) <= 8
 
 
+def test_partly_alike_lines_are_no_candidates(spark, monkeypatch):
+    """Lines that share most of a template, but not enough, are told apart by their
+    sketches: pairs of a bucket that are no links do not become rows."""
+    rnd, letters, sizes = random.Random(31), "abcdefghijklmnopqrstuvwxyz", []
+    template = "".join(rnd.choice(letters) for _ in range(150))
+    many = [template + "".join(rnd.choice(letters) for _ in range(50)) for _ in range(120)]
+    rows = list(enumerate([*many, *(x[:100] + "#" + x[101:] for x in many[:20])]))
+    confirmed = lines_module._confirmed
+
+    def counted(pairs, texts, percent):
+        sizes.append(pairs.count())
+        return confirmed(pairs, texts, percent)
+
+    monkeypatch.setattr(lines_module, "_confirmed", counted)
+    found = {r["doc_id"]: r["removed_lines"] for r in line_dedup(table(spark, rows)).collect()}
+    _, gone = lines_by_hand(rows)
+    assert {i for i, x in found.items() if x} == set(gone) and len(gone) == 20
+    # first come the pairs with hubs, then those within buckets
+    assert sum(sizes[1:]) <= 60
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_sketches_rule_out_no_link(spark, percent):
+    rnd = random.Random(percent)
+    rows = []
+    for k in range(400):
+        x = [rnd.choice("abcd") for _ in range(rnd.choice([3, 20, 80, 700]))]
+        y = [c if rnd.random() > rnd.choice([0, 0.01, 0.04]) else "z" for c in x] + ["q"] * rnd.choice([0, 1, 5])
+        rows.append((k, "".join(x), "".join(y)))
+    sets = [[{t[j : j + SHINGLE] for j in range(max(1, len(t) - SHINGLE + 1))} for t in r[1:]] for r in rows]
+    linked = {k for k, (a, b) in enumerate(sets) if 100 * len(a & b) >= percent * len(a | b)}
+    both = spark.createDataFrame(rows, "id long, a string, b string").cache()
+    one, two = (lines_module._sketched(both.select("id", F.col(c).alias("line"))).select("id", F.struct("n", *lines_module._SKETCH).alias(f"s{c}")) for c in "ab")
+    left = {r["id"] for r in one.join(two, "id").where(lines_module._possible("sa", "sb", percent)).select("id").collect()}
+    assert linked <= left and len(left) < 400 and len(linked) > 50
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_union_find(spark, seed):
     rnd = random.Random(seed)

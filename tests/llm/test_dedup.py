@@ -14,7 +14,7 @@ from archipelago.llm.components import connected_components, union_find
 from archipelago.llm import line_dedup as lines_module
 from archipelago.llm.line_dedup import SHINGLE, duplicate_lines, line_dedup, without_lines
 from archipelago.llm.minhash_dedup import near_duplicates
-from archipelago.llm.substring import _Flat, align, chains, repeated_passages, single_runs
+from archipelago.llm.substring import _dealt, _Flat, align, chains, repeated_passages, single_runs
 from archipelago.llm.textkit import STEP, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, hub string, key long"
@@ -398,6 +398,28 @@ def test_fuzzy_passages_of_frequent_seeds(spark):
     assert found == want
 
 
+def test_parts_of_a_seed_go_to_different_tasks(spark):
+    """Every two places of a seed meet once, and not all of them in one task."""
+    rows = [(7, 0, -1, b"", doc, doc % 5) for doc in range(60)] + [(8, 0, -1, b"", 1, 1)]
+    same = spark.createDataFrame(rows, "seed long, kind int, side int, around binary, doc long, pos int")
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(keep, ("8", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = _dealt(same, 10).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["seed"] for r in found} == {7}
+    tasks, groups = defaultdict(set), defaultdict(list)
+    for r in found:
+        tasks[r["i"], r["j"]].add(r["task"])
+        groups[r["i"], r["j"]].append((r["doc"], r["part"]))
+    met = Counter(frozenset((a, b)) for (i, j), g in groups.items() for (a, p), (b, q) in itertools.combinations(g, 2) if {p, q} == {i, j})
+    assert met == Counter(frozenset(x) for x in itertools.combinations(range(60), 2))
+    assert all(len(t) == 1 for t in tasks.values()) and len(set().union(*tasks.values())) >= 4
+
+
 def test_passages_of_repeated_words(spark):
     rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
     found = repeated_passages(table(spark, rows)).collect()

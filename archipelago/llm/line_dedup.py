@@ -5,12 +5,13 @@ line of the corpus stays.
 
 1. Equal lines (trimmed, lower case) are one class, keyed by 64 bits; two
    different lines share a key with a chance of 2 ** -64.
-2. Shingles of ``SHINGLE`` UTF-16 units are hashed one to a row, in generated
+2. Shingles of ``SHINGLE`` UTF-16 units are hashed ``STEP`` to a row, in generated
    code, and aggregated to ``BANDS * ROWS`` minima of each class.  Every minimum
    is over all shingles of the line.
 3. Banding: ``ROWS`` minima are a bucket.  In a bucket each class is paired with
-   the least one, its hub: candidates grow with the bucket's size, not its
-   square.
+   one, its hub: candidates grow with the bucket's size, not its square.  The hub
+   is the class that shares most buckets with others, counted by rows: in a group
+   of near copies that is the one nearest to all, which links them at once.
 4. Candidates go on if their signatures (a byte of each minimum) agree in
    ``AGREE`` places or more, and are confirmed by the Jaccard similarity of
    their full shingle sets.
@@ -36,7 +37,7 @@ ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipelago.llm.components import union_find
@@ -51,7 +52,9 @@ AGREE = 28
 #: Signature bytes in a long; six, so that sums of them cannot overflow.
 LANES = 6
 #: Longs of a sketch.
-PARITIES = 8
+PARITIES = 16
+#: Shingles in a row: an aggregate's buffer is touched once for so many.
+STEP = 8
 
 _BLANK = r"[^\x20\x09-\x0D]"
 _LOW = int("7f" * LANES, 16)
@@ -74,13 +77,16 @@ def _minima(classes: DataFrame) -> DataFrame:
     shifted by different steps, so each orders the shingles by other bits.
     """
     units = classes.select("id", F.encode("line", "UTF-16BE").alias("units"))
-    last = F.greatest(F.lit(1), F.octet_length("units") - F.lit(2 * SHINGLE - 1))
-    each = units.select("id", "units", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("at"))
-    hashed = each.select("id", F.xxhash64(F.substring("units", F.col("at"), F.lit(2 * SHINGLE))).alias("one")).withColumn("two", F.xxhash64("one"))
+    units = units.withColumn("last", F.greatest(F.lit(1), F.octet_length("units") - F.lit(2 * SHINGLE - 1)))
+    each = units.select("id", "units", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * STEP))).alias("at"))
+    # past the end the last shingle comes again, which changes no minimum
+    spots = [F.least(F.col("at") + F.lit(2 * j), F.col("last")) for j in range(STEP)]
+    ones = each.select("id", *[F.xxhash64(F.substring("units", at, F.lit(2 * SHINGLE))).alias(f"one{j}") for j, at in enumerate(spots)])
+    hashed = ones.select("*", *[F.xxhash64(f"one{j}").alias(f"two{j}") for j in range(STEP)])
     values = []
     for k in range(BANDS * ROWS):
         a, b = _shifts(k)
-        values.append(F.min(F.shiftleft("one", a).bitwiseXOR(F.shiftleft("two", b))).alias(f"m{k}"))
+        values.append(F.min(F.least(*[F.shiftleft(f"one{j}", a).bitwiseXOR(F.shiftleft(f"two{j}", b)) for j in range(STEP)])).alias(f"m{k}"))
     return hashed.groupBy("id").agg(*values)
 
 
@@ -138,9 +144,12 @@ def _near(percent: int) -> Column:
 
 def _sketched(texts: DataFrame) -> DataFrame:
     """``id, n, p0, ...``: the number of distinct shingles and their parities."""
-    each = texts.select("id", F.explode(_set("line")).alias("h")).withColumn("bit", F.expr("shiftleft(1L, cast(h & 63 as int))"))
-    parities = [F.bit_xor(F.expr(f"if((shiftright(h, 6) & {PARITIES - 1}) = {k}, bit, 0L)")).alias(p) for k, p in enumerate(_SKETCH)]
-    return each.groupBy("id").agg(F.count("*").cast("int").alias("n"), *parities)
+    sets = texts.select("id", _set("line").alias("set")).withColumn("n", F.size("set"))
+    each = sets.select("id", "n", "set", F.explode(F.sequence(F.lit(0), F.col("n") - F.lit(1), F.lit(STEP))).alias("at"))
+    parts = each.select("id", "n", *[F.coalesce(F.get("set", F.col("at") + F.lit(j)), F.lit(0)).alias(f"h{j}") for j in range(STEP)], *[(F.col("at") + F.lit(j) < F.col("n")).alias(f"in{j}") for j in range(STEP)])
+    bits = parts.select("id", "n", *[F.expr(f"if(in{j}, shiftleft(1L, cast(h{j} & 63 as int)), 0L)").alias(f"bit{j}") for j in range(STEP)], *[F.expr(f"shiftright(h{j}, 6) & {PARITIES - 1}").alias(f"at{j}") for j in range(STEP)])
+    parities = [F.bit_xor(F.expr(" ^ ".join(f"if(at{j} = {k}, bit{j}, 0L)" for j in range(STEP)))).alias(p) for k, p in enumerate(_SKETCH)]
+    return bits.groupBy("id").agg(F.max("n").alias("n"), *parities)
 
 
 def _possible(one: str, two: str, percent: int) -> Column:
@@ -169,15 +178,19 @@ def _links(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     ``classes`` is deleted.
     """
     keys = classes.select("id", F.explode("keys").alias("key"))
-    hubs = store(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "line-hubs")
-    placed = store(keys.join(hubs, "key").where("id <> hub"), "line-buckets")
+    shared = store(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "line-keys")
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    famed = shared.select("key", "id").join(fame.hint("shuffle_merge"), "id")
+    # of equal fame the least id: ~id is the greatest then
+    hubs = famed.groupBy("key").agg(F.max(F.struct("fame", F.expr("~id").alias("id"))).alias("x")).select("key", F.expr("~x.id").alias("hub"))
+    placed = store(shared.select("key", "id").join(hubs.hint("shuffle_merge"), "key").where("id <> hub"), "line-buckets")
     # the keys go: they are more than half of the classes' bytes
     signs = store(classes.select("id", *_WORDS), "line-signatures")
     drop(classes)
-    drop(hubs)
+    drop(shared)
     met = placed.select(F.explode(F.array("hub", "id")).alias("id")).distinct()
     texts = store(lines.join(met.hint("shuffle_merge"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    first = placed.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = placed.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     first = first.join(_signed(signs, "a"), "a").join(_signed(signs, "b"), "b").where(_agreeing("sa", "sb") >= AGREE).select("a", "b")
     first = store(first, "line-pairs")
     links = _confirmed(first, texts, percent)
@@ -186,10 +199,12 @@ def _links(classes: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     around = placed.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_ = around.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     spread = store(around.join(open_, "key"), "line-spread")
+    drop(placed)
+    drop(comp)
     asked = texts.join(spread.select("id").distinct().hint("shuffle_merge"), "id", "left_semi")
     signed = signs.join(_sketched(asked).hint("shuffle_merge"), "id")
     rows = store(spread.join(_signed(signed, "id", "n", *_SKETCH), "id"), "line-open")
-    for table in (signs, placed, spread, comp):
+    for table in (signs, spread):
         drop(table)
     main = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("x")).select("key", F.col("x.c").alias("c0"))
     rows = rows.join(main, "key").withColumnRenamed("sid", "s")

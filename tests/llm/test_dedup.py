@@ -424,3 +424,37 @@ def test_passages_of_repeated_words(spark):
     rows = [(1, "buy " * 3000 + "now"), (2, "stop " + "buy " * 2000 + "here")]
     found = repeated_passages(table(spark, rows)).collect()
     assert {(r["doc_id"], r["other_id"]) for r in found} == {(2, 1)} and max(r["matched"] for r in found) == 2000
+
+
+def test_copies_of_one_line_meet_it_first(spark, monkeypatch):
+    """Copies near their pattern, but not each other, are linked through the pattern:
+    the pairs compared exactly do not grow with the square of the group."""
+    rnd, letters, sizes = random.Random(41), "abcdefghijklmnopqrstuvwxyz", []
+    base = [rnd.choice(letters) for _ in range(400)]
+    rows = [(0, "".join(base))]
+    for k in range(1, 151):
+        x = list(base)
+        for at in rnd.sample(range(5, 395), 5):
+            x[at] = rnd.choice("0123456789")
+        rows.append((k, "".join(x)))
+    confirmed = lines_module._confirmed
+
+    def counted(pairs, texts, percent):
+        sizes.append(pairs.count())
+        return confirmed(pairs, texts, percent)
+
+    monkeypatch.setattr(lines_module, "_confirmed", counted)
+    found = {r["doc_id"]: r["removed_lines"] for r in line_dedup(table(spark, rows)).collect()}
+    _, gone = lines_by_hand(rows)
+    assert {i for i, x in found.items() if x} == set(gone) and len(gone) == 150
+    assert sum(sizes) <= 4 * len(rows)
+
+
+def test_minima_and_sketches_do_not_depend_on_the_step(spark, monkeypatch):
+    rnd = random.Random(43)
+    lines = spark.createDataFrame([(k, "".join(rnd.choice("ab é") for _ in range(k % 60 + 1))) for k in range(300)], "id long, line string").cache()
+    found = []
+    for step in (2, lines_module.STEP):
+        monkeypatch.setattr(lines_module, "STEP", step)
+        found.append([sorted(map(tuple, f(lines).collect())) for f in (lines_module._minima, lines_module._sketched)])
+    assert found[0] == found[1] and len(found[0][0]) == len(found[0][1]) == 300

@@ -83,5 +83,36 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+# the table of the reflected CRC-32 polynomial, and the CRC of a list of bytes
+CRC_TABLE = "list_transform(range(256), lambda v: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, v::BIGINT))"
+
+
+def crc(bytes_: str) -> str:
+    """SQL for the CRC of the bytes of the list ``bytes_``; ``tab`` is its table."""
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP11 = rf"""
+WITH t AS (SELECT {CRC_TABLE} AS tab),
+own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(r)::VARCHAR || ':' || r || x)) AS k, r, x
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {crc("list_transform(string_split(conv_id::VARCHAR, ''), lambda q: ord(q)::BIGINT)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), t),
+made AS (SELECT c.conv_id, 0 AS part, k, r, x FROM c JOIN own ON own.conv_id = c.conv_id - c.conv_id % 20 AND k <= h
+         UNION ALL SELECT c.conv_id, 1, k, r, x FROM c JOIN own ON own.conv_id = c.conv_id AND k > h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d, r, x FROM made),
+b AS (SELECT conv_id, d, x, list({{'r': r, 'x': x}}) OVER (PARTITION BY conv_id ORDER BY d) AS p FROM turns
+      UNION ALL SELECT conv_id, 0, '', [] FROM c),
+b2 AS (SELECT *, p[:-2] AS q, d = max(d) OVER (PARTITION BY conv_id) AS ended FROM b),
+node AS (SELECT p, any_value(q) AS q, d, min(conv_id) AS conv_id, count(*) AS n, any_value(len(regexp_extract_all(x, {WORD}))) AS words,
+                coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM b2 GROUP BY p, d),
+kids AS (SELECT q, count(*) AS k FROM node WHERE d > 0 GROUP BY q),
+n2 AS (SELECT node.*, coalesce(kids.k, 0) AS k FROM node LEFT JOIN kids ON kids.q = node.p),
+sub AS (SELECT a.p, count(*) FILTER (x.k = 0) AS leaves, sum((x.n - 1) * x.words) AS saved FROM n2 a JOIN n2 x ON x.p[:a.d] = a.p AND x.d >= a.d GROUP BY a.p)
+SELECT a.conv_id, a.d AS depth, CASE WHEN a.d > 0 THEN up.conv_id END AS parent_conv_id, a.n AS n_convs, a.k AS n_children, sub.leaves AS n_leaves, sub.saved::BIGINT AS saved_tokens,
+       sha256(a.ends) AS ends_sha256, CASE WHEN a.ends = '' THEN 0 ELSE len(string_split(a.ends, ',')) END AS n_ends
+FROM n2 a JOIN sub ON sub.p = a.p LEFT JOIN n2 up ON up.p = a.q AND a.d > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": OP7, "op9_decontamination": OP9}
+    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op11_conversation_trie": OP11}

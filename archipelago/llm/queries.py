@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from archipelago.llm.conversation_trie import grafted, numbered_turns, prefix_trie
 from archipelago.llm.cotrain import quality_scores
 from archipelago.llm.decontaminate import contamination
 from archipelago.llm.line_dedup import line_dedup
@@ -72,5 +73,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"), tempered_targets(power=0.8), budget_share=0.6)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*grafted(numbered_turns(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing, op11_conversation_trie)}

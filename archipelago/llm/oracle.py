@@ -114,5 +114,22 @@ FROM n2 a JOIN sub ON sub.p = a.p LEFT JOIN n2 up ON up.p = a.q AND a.d > 0
 """
 
 
+OP13 = rf"""
+WITH RECURSIVE t AS (SELECT {CRC_TABLE} AS tab),
+w AS (SELECT id, w, count(*) AS k FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOW}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, k, {crc("flatten(list_transform(string_split(id || ':' || w, ''), lambda q: CASE WHEN ord(q) < 128 THEN [ord(q)::BIGINT] ELSE [195::BIGINT, ord(q)::BIGINT - 64] END))")} AS h FROM w, t),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM h),
+d AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM d)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN d b ON a.rest = b.word
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN d b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+f AS (SELECT d.word, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * d.n THEN near END AS form, CASE WHEN near_n >= 10 * d.n THEN near_n END AS form_n FROM d LEFT JOIN best USING (word)),
+up(word, top) AS (SELECT word, word FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.top AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f e ON e.word = up.top WHERE e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op11_conversation_trie": OP11}
+    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op11_conversation_trie": OP11, "op13_spelling_variants": OP13}

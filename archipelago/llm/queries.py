@@ -15,6 +15,7 @@ from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.mixing import mix_report, tempered_targets
 from archipelago.llm.oracle import oracle_sql  # noqa: F401
 from archipelago.llm.quality_rules import quality_rules
+from archipelago.llm.spelling import counted_words, spelling_variants
 from archipelago.llm.substring import repeated_passages
 from archipelago.llm.token_count import token_counts
 from archipelago.llm.token_shards import token_sequences
@@ -77,5 +78,9 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*grafted(numbered_turns(_table(spark, sf_dir, "conversations"))))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(counted_words(_table(spark, sf_dir, "documents"), every=31))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing, op11_conversation_trie)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing, op11_conversation_trie, op13_spelling_variants)}

@@ -19,6 +19,7 @@ from archipelago.llm.spelling import counted_words, spelling_variants
 from archipelago.llm.substring import repeated_passages
 from archipelago.llm.token_count import token_counts
 from archipelago.llm.token_shards import token_sequences
+from archipelago.llm.toxicity import toxicity
 from archipelago.llm.url_filter import Rule, filter_urls
 
 URL_RULES = [
@@ -78,9 +79,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*grafted(numbered_turns(_table(spark, sf_dir, "conversations"))))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(counted_words(_table(spark, sf_dir, "documents"), every=31))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing, op11_conversation_trie, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_shards, op3_minhash_dedup, op4_url_filter, op5_quality_classifier, op6_token_counts, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_mixing, op11_conversation_trie, op12_toxicity, op13_spelling_variants)}

@@ -16,6 +16,7 @@ from archipelago.operators import graph as G
 from archipelago.operators import prune as P
 from archipelago.operators.islands import adjacency, eligible, label_islands, score_masses, summarize_islands, with_outbound
 from archipelago.operators.paths import Limits, best_routes, priced, search_routes
+from archipelago.operators.spatial import box_join
 from archipelago.plans.build import build, islands_of
 from archipelago.plans.config import BuildConfig, Cells, GlobalPrune, MassAware, Query, Reserve, Spanner
 from archipelago.sources.graphfile import read_graph, write_graph
@@ -179,6 +180,14 @@ def spatial_candidates(w: World) -> DataFrame:
     return _links(found.where("accepted"), "poly_ref", "edge_no", "near_ref")
 
 
+def island_box_probe(w: World) -> DataFrame:
+    """How many midpoints of others lie within reach of each island's bounds, which
+    are of all sizes."""
+    boxes = w.islands.select(F.col("id").alias("to_island"), *[f"{p}_{k}" for p in ("min", "max") for k in "xyz"])
+    near = box_join(w.raw, boxes, (2.0, 6.0, 2.0), where=F.col("to_island") != F.col("island"))
+    return near.groupBy("to_island", "island").agg(F.count("*").alias("midpoints"))
+
+
 def spherical_candidates(w: World) -> DataFrame:
     """Equal limits make the envelope a sphere."""
     config = BuildConfig.of(5, 5, 5)
@@ -333,7 +342,7 @@ def build_stats(w: World) -> DataFrame:
 
 QUERIES = [
     mesh_scan_filter, polygon_adjacency, island_labels, island_summary, mass_scores, small_island_suppression,
-    boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates, spherical_candidates, outbound_policy,
+    boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates, island_box_probe, spherical_candidates, outbound_policy,
     pair_scan_suppression, short_gap_recovery, candidate_dedup, link_ranking, local_prune, spanner_prune,
     global_spanner_prune, distinct_target_reserve, mass_link_ranking, mass_local_prune, mass_reserve, symmetric_prune, local_collapse, corridor_edges, traversals, degree_stats,
     mass_buckets, isolated_islands, average_link_length, strong_components, largest_component, shortest_paths,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import direction_bucket, finite, quantize, squared
+from archipelago.operators.ranking import running
 from archipelago.plans.config import BuildConfig
 from archipelago.sources.mesh import Mesh
 
@@ -84,9 +85,9 @@ def select_representatives(boundaries: DataFrame, islands: DataFrame, config: Bu
     best = boundaries.withColumn("rank", rank).withColumns(key).groupBy("island", *key).agg(F.min_by(F.struct(*COLUMNS, "rank"), order).alias("b")).select("b.*")
     if not b.budgeted:
         return best.drop("rank")
-    spread = Window.partitionBy("island").orderBy("mx", "mz", "my", "poly_ref", "edge_no")
     n = best.groupBy("island").agg(F.count("*").alias("n")).join(islands.select(F.col("id").alias("island"), "mass_score"), "island")
     dealt = best.join(n.select("island", "n", _budget(config).cast("long").alias("budget")), "island").where("budget > 0")
-    dealt = dealt.withColumn("i", F.row_number().over(spread) - 1)
-    part = F.when(F.col("budget") >= F.col("n"), F.col("i").cast("long")).otherwise(F.expr("((i + 1) * budget - 1) div n"))
+    # places within an island by range partitions, so that a giant one is no task's own
+    dealt = running(dealt, ["island"], [F.col(c) for c in ("mx", "mz", "my", "poly_ref", "edge_no")], place="place")
+    part = F.when(F.col("budget") >= F.col("n"), F.col("place") - 1).otherwise(F.expr("(place * budget - 1) div n"))
     return dealt.withColumn("part", part).groupBy("island", "part").agg(F.min_by(F.struct(*COLUMNS), order).alias("b")).select("b.*")

@@ -78,11 +78,18 @@ def envelope(config: BuildConfig, gap: float) -> Column:
     return (F.col("horizontal") <= gap) & (F.col("vertical") <= config.gap.up) & (F.col("vertical") >= -config.gap.down)
 
 
+def _near_boxes(mesh: Mesh, config: BuildConfig) -> DataFrame:
+    return polygon_boxes(mesh, config).select(F.col("poly_ref").alias("near_ref"), "verts", *[f"{p}_{k}" for p in ("min", "max") for k in "xyz"])
+
+
+def _probe(config: BuildConfig, gap: float, recovery: bool) -> tuple[float, float, float]:
+    rise = max(config.gap.up, config.gap.down)
+    return gap, min(gap, rise) if recovery else rise, gap
+
+
 def near_polygons(boundaries: DataFrame, mesh: Mesh, config: BuildConfig, gap: float, recovery: bool = False) -> DataFrame:
     """Border midpoints and the polygons whose bounds lie in their query box."""
-    rise = max(config.gap.up, config.gap.down)
-    boxes = polygon_boxes(mesh, config).select(F.col("poly_ref").alias("near_ref"), "verts", *[f"{p}_{k}" for p in ("min", "max") for k in "xyz"])
-    return box_join(boundaries, boxes, (gap, min(gap, rise) if recovery else rise, gap))
+    return box_join(boundaries, _near_boxes(mesh, config), _probe(config, gap, recovery))
 
 
 def scan(boundaries: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFrame, config: BuildConfig, gap: float, recovery: bool = False) -> DataFrame:
@@ -90,8 +97,9 @@ def scan(boundaries: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFram
     ``accepted`` for those within the envelope."""
     targets = labels.select(F.col("poly_ref").alias("near_ref"), F.col("island").alias("to_island"))
     alive = islands.where("NOT suppressed").select(F.col("id").alias("to_island"))
-    near = near_polygons(boundaries, mesh, config, gap, recovery).where("near_ref <> poly_ref")
-    near = near.join(targets, "near_ref").where("to_island <> island").join(alive, "to_island", "left_semi")
+    # boxes know their island before they meet midpoints, so none of the own island's are paired
+    boxes = _near_boxes(mesh, config).join(targets, "near_ref").join(alive, "to_island", "left_semi")
+    near = box_join(boundaries, boxes, _probe(config, gap, recovery), where=F.col("to_island") != F.col("island"))
     spot = near.withColumn("spot", nearest_on_polygon())
     links = spot.select(
         F.col("island").alias("from_island"), "to_island", F.col("poly_ref"), "edge_no", "ord", "near_ref",

@@ -5,27 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A cell with more points than this, and than this part of all, is dealt to blocks.
+CROWD, PART = 50_000, 10_000
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.sequence(F.floor(low / F.lit(size)), F.floor(high / F.lit(size)))
+_BOUNDS = [f"{p}_{k}" for p in ("min", "max") for k in "xyz"]
 
 
-def box_join(points: DataFrame, boxes: DataFrame, reach: tuple[float, float, float], size: float | None = None) -> DataFrame:
-    """Points ``m*`` and the boxes ``min_*``/``max_*`` within ``reach`` of them.
+def _cells(low: Column, high: Column, size: Column) -> Column:
+    return F.sequence(F.floor(low / size), F.floor(high / size))
 
-    A box is entered in every ground cell it touches once grown by the reach; a
-    point in its own cell only, so a pair meets exactly once.  With cells of
-    twice the reach a box of like size enters few of them.
+
+def _levelled(boxes: DataFrame, reach: tuple[float, float, float], size: float) -> DataFrame:
+    finite = None
+    for c in _BOUNDS:
+        one = F.abs(F.col(c)) < float("inf")
+        finite = one if finite is None else finite & one
+    rx, _, rz = reach
+    wide = F.greatest(F.col("max_x") - F.col("min_x") + 2 * rx, F.col("max_z") - F.col("min_z") + 2 * rz)
+    level = F.when(wide <= size, 0).otherwise(F.ceil(F.log2(wide / size)))
+    return boxes.where(finite).withColumn("level", level.cast("int"))
+
+
+def _cell_size(reach: tuple[float, float, float], size: float | None) -> float:
+    return size or max(2 * max(reach[0], reach[2]), 1e-6)
+
+
+def box_cells(boxes: DataFrame, reach: tuple[float, float, float], size: float | None = None) -> DataFrame:
+    """``boxes`` with ``level, cx, cz`` of each ground cell that they touch once
+    grown by the reach.
+
+    A box is on the first level whose cells, of twice the size from level to level,
+    are as wide as the grown box: it touches 4 cells at most, however large it is.
+    Boxes that are not finite touch none.
+    """
+    size = _cell_size(reach, size)
+    placed, cell = _levelled(boxes, reach, size), F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    for k, r in (("x", reach[0]), ("z", reach[2])):
+        placed = placed.withColumn(f"c{k}", F.explode(_cells(F.col(f"min_{k}") - r, F.col(f"max_{k}") + r, cell)))
+    return placed
+
+
+def box_join(points: DataFrame, boxes: DataFrame, reach: tuple[float, float, float], size: float | None = None, where: Column | None = None) -> DataFrame:
+    """Points ``m*`` and the boxes ``min_*``/``max_*`` within ``reach`` of them that
+    ``where``, a condition on both, lets meet.
+
+    A box stands in up to 4 cells of its level (:func:`box_cells`), a point in its
+    own cell of each level that boxes are on, so a pair meets exactly once.  Points
+    are counted by cells; those of a crowded cell, of which there cannot be more
+    than ``PART``, are dealt to blocks, each of which meets the cell's boxes.
     """
-    rx, ry, rz = reach
-    size = size or max(2 * max(rx, rz), 1e-6)
-    grown = boxes.withColumn("cx", F.explode(_cells(F.col("min_x") - rx, F.col("max_x") + rx, size))).withColumn("cz", F.explode(_cells(F.col("min_z") - rz, F.col("max_z") + rz, size)))
-    placed = points.withColumn("cx", F.floor(F.col("mx") / F.lit(size))).withColumn("cz", F.floor(F.col("mz") / F.lit(size)))
-    hit = None
-    for k, r in (("x", rx), ("y", ry), ("z", rz)):
+    levels = sorted(r["level"] for r in _levelled(boxes, reach, _cell_size(reach, size)).select("level").distinct().collect())
+    each = F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")
+    cell = F.lit(_cell_size(reach, size)) * F.pow(F.lit(2.0), F.col("level"))
+    placed = points.withColumn("level", F.explode(each))
+    placed = placed.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cz", F.floor(F.col("mz") / cell))
+    key = ["level", "cx", "cz"]
+    most = max(CROWD, points.count() * len(levels) // PART)
+    crowded = placed.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    placed = placed.join(F.broadcast(crowded), key, "left").withColumn("block", F.pmod(F.xxhash64("mx", "my", "mz"), blocks).cast("int")).drop("blocks")
+    grown = box_cells(boxes, reach, size).join(F.broadcast(crowded), key, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    hit = where
+    for k, r in zip("xyz", reach, strict=True):
         one = (F.col(f"m{k}") >= F.col(f"min_{k}") - r) & (F.col(f"m{k}") <= F.col(f"max_{k}") + r)
         hit = one if hit is None else hit & one
-    return placed.join(grown, ["cx", "cz"]).where(hit).drop("cx", "cz")
+    return placed.join(grown, [*key, "block"]).where(hit).drop(*key, "block")
 
 
 def near_join(one: DataFrame, two: DataFrame, keys: list[str], a: str, b: str, radius: float) -> DataFrame:

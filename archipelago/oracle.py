@@ -204,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "boundary_representatives": _sql(GRID, coarse.format(6), segment + "best"),
         "representative_budget": _sql(GRID, coarse.format(3), "spread AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY mx, mz, my, poly_ref, edge_no) - 1 AS i, count(*) OVER (PARTITION BY island) AS k FROM best)", "part_ AS (SELECT *, CASE WHEN k <= 5 THEN i ELSE ((i + 1) * 5 - 1) // k END AS s FROM spread)", segment + "part_ QUALIFY row_number() OVER (PARTITION BY island, s ORDER BY -((ex-sx)*(ex-sx)+(ez-sz)*(ez-sz)), poly_ref, mx, my, mz, edge_no) = 1"),
         "spatial_candidates": _sql(GRID, f"found AS ({scan('raw', 5, 6)})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
+        "island_box_probe": _sql(GRID, "SELECT i.id AS to_island, b.island, count(*) AS midpoints FROM raw b JOIN islands i ON i.id <> b.island AND b.mx BETWEEN min_x - 2 AND max_x + 2 AND b.my BETWEEN min_y - 6 AND max_y + 6 AND b.mz BETWEEN min_z - 2 AND max_z + 2 GROUP BY ALL"),
         "spherical_candidates": _sql(GRID, f"found AS ({scan('raw', 5, 5, LENGTH + ' <= 5')})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
         "outbound_policy": _sql(GRID, "allowed AS (SELECT * FROM raw WHERE island % 3 <> 0)", f"found AS ({scan('allowed', 5, 6)})", f"SELECT poly_ref, edge_no, near_ref, from_island, to_island, {LINK_MM} FROM found"),
         "pair_scan_suppression": _sql(GRID, THIN, SCANNED, f"top AS (SELECT * FROM scanned QUALIFY row_number() OVER (PARTITION BY ord, edge_no, to_island ORDER BY {ORDER}) = 1)", f"SELECT from_island, to_island, {LINK_MM} FROM top QUALIFY row_number() OVER (PARTITION BY {pair} ORDER BY from_island, ord, edge_no, to_island) = 1"),

@@ -100,7 +100,8 @@ def scan(boundaries: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFram
     # boxes know their island before they meet midpoints, so none of the own island's are paired
     boxes = _near_boxes(mesh, config).join(targets, "near_ref").join(alive, "to_island", "left_semi")
     near = box_join(boundaries, boxes, _probe(config, gap, recovery), where=F.col("to_island") != F.col("island"))
-    spot = near.withColumn("spot", nearest_on_polygon())
+    # exploded, so that filters on what follows from the spot do not work it out anew for each mention
+    spot = near.withColumn("spot", F.explode(F.array(nearest_on_polygon())))
     links = spot.select(
         F.col("island").alias("from_island"), "to_island", F.col("poly_ref"), "edge_no", "ord", "near_ref",
         *[F.col(f"m{k}").alias(f"s{k}") for k in "xyz"], *[F.col(f"spot.{k}").alias(f"t{k}") for k in "xyz"],

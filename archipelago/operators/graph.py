@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipelago.operators.components import connected_components
-from archipelago.storage import drop, store
+from archipelago.operators.strong import strongly_connected
+from archipelago.storage import store
 
 EDGE = ["edge_index", "island_a", "island_b", *[f"{p}{k}" for p in "ab" for k in "xyz"], "horizontal", "vertical_delta_ab", "trav_ab", "trav_ba"]
 
@@ -119,52 +120,9 @@ def average_link_length(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(graph: Graph) -> DataFrame:
-    """``id, component``: islands that reach each other, named by the least id.
-
-    Colouring: within weak components, every round gives each undecided island
-    the least id that reaches it; the islands that the owner of a colour can be
-    reached from, inside the colour, are its component.  Trimming first sets
-    aside islands without an undecided predecessor or successor.
-    """
-    links = store(traversals(graph.edges).select("from_island", "to_island").distinct().where("from_island <> to_island"), "traversals")
-    left = store(graph.islands.select("id"), "undecided")
-    done = None
-
-    def keep(part: DataFrame) -> None:
-        nonlocal done, left
-        part = store(part, "strong")
-        done = part if done is None else done.unionByName(part)
-        left = store(left.join(part.select("id"), "id", "left_anti"), "undecided")
-
-    while left.head(1):
-        inside = links.join(left.select(F.col("id").alias("from_island")), "from_island").join(left.select(F.col("id").alias("to_island")), "to_island")
-        both = inside.select(F.col("from_island").alias("id")).intersect(inside.select(F.col("to_island").alias("id")))
-        lone = left.join(both, "id", "left_anti")
-        if lone.head(1):
-            keep(lone.select("id", F.col("id").alias("component")))
-            continue
-        inside = store(inside.select("from_island", "to_island"), "inside")
-        colour = _spread(left.select("id", F.col("id").alias("mark")), inside)
-        of = lambda n: colour.select(F.col("id").alias(n), F.col("mark").alias(f"c_{n}"))
-        same = inside.join(of("from_island"), "from_island").join(of("to_island"), "to_island").where("c_from_island = c_to_island")
-        back = store(same.select(F.col("to_island").alias("from_island"), F.col("from_island").alias("to_island")), "backward")
-        start = colour.select("id", F.when(F.col("id") == F.col("mark"), F.col("mark")).alias("mark"))
-        keep(_spread(start, back).where("mark IS NOT NULL").select("id", F.col("mark").alias("component")))
-    return done if done is not None else graph.islands.select("id", F.col("id").alias("component"))
-
-
-def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
-    """The least mark that reaches each island along the links."""
-    now, total = store(marks, "marks"), None
-    while True:
-        met = links.join(now.select(F.col("id").alias("from_island"), "mark"), "from_island").groupBy(F.col("to_island").alias("id")).agg(F.min("mark").alias("met"))
-        after = store(now.join(met, "id", "left").select("id", F.least("mark", "met").alias("mark")), "marks")
-        mark = tuple(after.agg(F.sum("mark"), F.count("mark")).first())
-        drop(now)
-        now = after
-        if mark == total:
-            return now
-        total = mark
+    """``id, component``: islands that reach each other, named by the least id."""
+    found = strongly_connected(traversals(graph.edges).select(F.col("from_island").alias("a"), F.col("to_island").alias("b")))
+    return graph.islands.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def weak_components(graph: Graph) -> DataFrame:

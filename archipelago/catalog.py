@@ -81,6 +81,14 @@ class World:
     def aware(self) -> DataFrame:
         return self._get("aware", lambda: P.rank_links(self.candidates, self.massy, AWARE))
 
+    @property
+    def mirrored(self) -> DataFrame:
+        def make() -> DataFrame:
+            found = gaps.scan(border.dedup_boundaries(self.raw, SYMMETRIC), self.mesh, self.labels, self.islands, SYMMETRIC, SYMMETRIC.gap.horizontal)
+            return P.rank_links(gaps.dedup_candidates(found.where("accepted").select(*gaps.LINK), self.islands, SYMMETRIC), self.islands, SYMMETRIC)
+
+        return self._get("mirrored", make)
+
     @property
     def local(self) -> DataFrame:
         return self._get("local", lambda: P.prune_local(self.ranked, self.islands, CONFIG))
@@ -255,9 +263,19 @@ def mass_reserve(w: World) -> DataFrame:
 
 def symmetric_prune(w: World) -> DataFrame:
     """With equal limits a link also stands in its target's list."""
-    found = gaps.scan(border.dedup_boundaries(w.raw, SYMMETRIC), w.mesh, w.labels, w.islands, SYMMETRIC, SYMMETRIC.gap.horizontal)
-    links = gaps.dedup_candidates(found.where("accepted").select(*gaps.LINK), w.islands, SYMMETRIC)
-    return _links(P.prune_local(store(P.rank_links(links, w.islands, SYMMETRIC), "ranked"), w.islands, SYMMETRIC), "rank")
+    return _links(P.prune_local(w.mirrored, w.islands, SYMMETRIC), "rank")
+
+
+def symmetric_reserve(w: World) -> DataFrame:
+    """A link counts for the reserves of both its ends."""
+    config = _with(SYMMETRIC, local=Cells(True, 4.0), reserve=Reserve(True, 0, 3))
+    return _links(P.prune_with_reserve(w.mirrored, w.islands, config), "rank")
+
+
+def global_reserve(w: World) -> DataFrame:
+    """Global pruning, which heeds no reserve, beside a spanner, which does."""
+    config = _with(CONFIG, reserve=Reserve(True, 0, 2), spanner=Spanner(True, 1.5), overall=GlobalPrune(True, 1.0))
+    return _links(P.prune_with_reserve(w.ranked, w.islands, config), "rank")
 
 
 def local_collapse(w: World) -> DataFrame:
@@ -344,7 +362,7 @@ QUERIES = [
     mesh_scan_filter, polygon_adjacency, island_labels, island_summary, mass_scores, small_island_suppression,
     boundary_edges, boundary_dedup, boundary_representatives, representative_budget, spatial_candidates, island_box_probe, spherical_candidates, outbound_policy,
     pair_scan_suppression, short_gap_recovery, candidate_dedup, link_ranking, local_prune, spanner_prune,
-    global_spanner_prune, distinct_target_reserve, mass_link_ranking, mass_local_prune, mass_reserve, symmetric_prune, local_collapse, corridor_edges, traversals, degree_stats,
+    global_spanner_prune, distinct_target_reserve, mass_link_ranking, mass_local_prune, mass_reserve, symmetric_prune, symmetric_reserve, global_reserve, local_collapse, corridor_edges, traversals, degree_stats,
     mass_buckets, isolated_islands, average_link_length, strong_components, largest_component, shortest_paths,
     shortest_path_filtered, custom_cost_path, route_search, graph_roundtrip, polygon_lookup, island_adjacency, build_stats,
 ]

@@ -18,15 +18,11 @@ that links connect.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import distance, lerp, quantize, squared
 from archipelago.operators.candidates import LINK, rank_links
-from archipelago.operators.components import connected_components
 from archipelago.operators.ranking import numbered
 from archipelago.operators.spatial import near_join
 from archipelago.plans.config import BuildConfig
@@ -155,69 +151,6 @@ def collapse(links: DataFrame, config: BuildConfig) -> DataFrame:
     return decide(links, pairs.where((F.col("e") < F.col("rank")) & near).select("rank", F.col("e").alias("e1"), F.col("e").alias("e2")))
 
 
-def greedy(rows: pd.DataFrame, config: BuildConfig, outbound: set[int], masses: dict[int, float]) -> tuple[dict[int, str], int]:
-    """The one-by-one loop, over links in rank order: what became of each rank
-    before the collapse (``kept``, or ``local``, ``global``, ``spanner``), and
-    how often the reserve saved one."""
-    d = config.density
-    links = [(int(r["rank"]), int(r.from_island), int(r.to_island), (r.sx, r.sy, r.sz), (r.tx, r.ty, r.tz)) for _, r in rows.sort_values("rank").iterrows()]
-    far2 = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
-    mass = lambda i: masses.get(i, 0.0) if config.mass.enabled else 0.0
-    scale = lambda low, high, i: low + (high - low) * mass(i) if config.mass.enabled else 1.0
-    saved, stay, fate = 0, [], {}
-    targets: dict[int, set] = defaultdict(set)
-
-    def wants(a: int, b: int) -> bool:
-        return len(targets[a]) < d.reserve.budget(masses.get(a, 0.0), config.mass.enabled) and b not in targets[a]
-
-    def take(a: int, b: int) -> None:
-        if wants(a, b):
-            targets[a].add(b)
-
-    if d.local.enabled:
-        lists: dict[int, list] = defaultdict(list)
-        for link in links:
-            _, a, b, s, t = link
-            r = d.local.cell(config.extent) * scale(config.mass.low_radius_scale, config.mass.high_radius_scale, b)
-            if any(far2(s, p) <= r * r and far2(t, q) <= r * r for p, q in lists[a]):
-                if not wants(a, b):
-                    fate[link[0]] = "local"
-                    continue
-                saved += 1
-            stay.append(link)
-            lists[a].append((s, t))
-            take(a, b)
-            if config.symmetric and b in outbound:
-                lists[b].append((t, s))
-                take(b, a)
-    else:
-        stay = links
-    targets, hops, ends = defaultdict(set), defaultdict(list), []
-    g = d.overall
-    for rank, a, b, s, t in stay:
-        if g.enabled:
-            ra, rb = (g.cell(config.extent) * scale(g.low_radius_scale, g.high_radius_scale, i) for i in (a, b))
-            if any(far2(s, p) <= ra * ra or far2(t, p) <= rb * rb for p in ends):
-                fate[rank] = "global"
-                continue
-        if d.spanner.enabled:
-            limit = d.spanner.path_ratio * far2(s, t) ** 0.5
-            if any(m != b and f + h <= limit for m, f in hops[a] for n, h in hops[m] if n == b):
-                if not wants(a, b):
-                    fate[rank] = "spanner"
-                    continue
-                saved += 1
-        fate[rank] = "kept"
-        length = far2(s, t) ** 0.5
-        hops[a].append((b, length))
-        take(a, b)
-        if config.symmetric and b in outbound:
-            hops[b].append((a, length))
-            take(b, a)
-        ends += [s, t]
-    return fate, saved
-
-
 def reserved(links: DataFrame, config: BuildConfig) -> DataFrame:
     """The ranks that the reserve keeps: of each source the best link to each of
     its first distinct targets, as many as its budget."""
@@ -251,35 +184,98 @@ def _fates_by_rounds(links: DataFrame, islands: DataFrame, config: BuildConfig)
     return store(fates, "fates")
 
 
+def _targets_met(links: DataFrame, placed: DataFrame, state: DataFrame, config: BuildConfig) -> DataFrame:
+    """``rank, sated, wanting`` of undecided links: whether the source surely has its
+    budget of targets, or this one, before the link's turn; and whether it surely
+    has neither.
+
+    A source's targets before a turn are those of kept links at least, and those of
+    links that are not rejected at most.  It has ``budget`` of them if the target
+    that is met ``budget``-th, in the order of their first links, comes earlier.
+    """
+    d = config.density.reserve
+    now = placed.join(state.where("state <> 2").withColumnRenamed("rank", "e"), "e")
+    firsts = now.groupBy("owner", "goal").agg(F.min(F.when(F.col("state") == 1, F.col("e"))).alias("kept_at"), F.min("e").alias("maybe_at"))
+    budgets = links.groupBy(F.col("from_island").alias("owner")).agg(F.max("from_mass").alias("mass")).select("owner", d.budget_of(F.col("mass"), config.mass.enabled).alias("budget"))
+    rows = links.join(state.where("state = 0").select("rank"), "rank", "left_semi").select("rank", F.col("from_island").alias("owner"), F.col("to_island").alias("goal"))
+    rows = rows.join(budgets, "owner").join(firsts, ["owner", "goal"], "left")
+    for at, full in (("kept_at", "full"), ("maybe_at", "maybe_full")):
+        nth = F.row_number().over(Window.partitionBy("owner").orderBy(at))
+        met = firsts.where(f"{at} IS NOT NULL").select("owner", at).withColumn("nth", nth).where(F.col("nth") <= d.most)
+        last = met.join(budgets, "owner").where("nth = budget").select("owner", F.col(at).alias(full))
+        rows = rows.join(last, "owner", "left")
+    before = lambda c: F.coalesce(F.col(c) < F.col("rank"), F.lit(False))
+    none = F.col("budget") <= 0
+    return rows.select("rank", (none | before("full") | before("kept_at")).alias("sated"), (~none & ~before("maybe_full") & ~before("maybe_at")).alias("wanting"))
+
+
+def decide_reserving(links: DataFrame, placed: DataFrame, hard: DataFrame | None, soft: DataFrame | None, config: BuildConfig) -> tuple[DataFrame, DataFrame]:
+    """``rank, fate`` (1 stays, 2 goes by a soft conflict, 3 by a hard one) of the
+    one-by-one choice, and the ranks that the reserve saved.
+
+    A link goes if both better links of a hard conflict stay; if those of a soft one
+    do, it goes unless its source wants the target for its reserve, of which links in
+    ``placed(owner, goal, e)`` count.  In each round every link is decided whose
+    conflicts and reserve are certain whatever becomes of the undecided ones; the
+    best of these always is.
+    """
+    parts = [c.select("rank", "e1", "e2", F.lit(name).alias("hard")) for c, name in ((hard, True), (soft, False)) if c is not None]
+    every = store((parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct(), "conflicts")
+    placed, open_ = store(placed, "placed"), every
+    # links without a conflict stay, whatever their sources want
+    state = store(links.join(every.select("rank").distinct().withColumn("met", F.lit(True)), "rank", "left").select("rank", F.when(F.col("met"), 0).otherwise(1).alias("state"), F.lit(1).alias("fate")), "state")
+    while state.where("state = 0").head(1):
+        e = lambda n: state.select(F.col("rank").alias(n), F.col("state").alias(f"s_{n}"))
+        todo = state.where("state = 0").select("rank")
+        met = open_.join(todo, "rank", "left_semi").join(e("e1"), "e1").join(e("e2"), "e2").where("s_e1 <> 2 AND s_e2 <> 2")
+        met = store(met.select("rank", "e1", "e2", "hard", ((F.col("s_e1") == 1) & (F.col("s_e2") == 1)).alias("out")), "conflicts")
+        yes = lambda c: F.coalesce(F.max(c), F.lit(False))
+        is_hard, out = F.col("hard"), F.col("out")
+        verdict = met.groupBy("rank").agg(yes(is_hard & out).alias("hard_out"), yes(is_hard & ~out).alias("hard_open"), yes(~is_hard & out).alias("soft_out"), yes(~is_hard & ~out).alias("soft_open"))
+        wants = _targets_met(links, placed, state.select("rank", "state"), config)
+        rows = state.where("state = 0").select("rank").join(verdict, "rank", "left").join(wants, "rank").na.fill(False)
+        free = ~F.col("hard_open") & ((~F.col("soft_out") & ~F.col("soft_open")) | F.col("wanting"))
+        fate = F.when(F.col("hard_out"), 3).when(free, 1).when(~F.col("hard_open") & F.col("soft_out") & F.col("sated"), 2)
+        fresh = rows.select("rank", fate.alias("now"))
+        state_, known = state, F.col("now").isNotNull()
+        state = store(
+            state_.join(fresh, "rank", "left").select("rank", F.when(known, F.when(F.col("now") == 1, 1).otherwise(2)).otherwise(F.col("state")).alias("state"), F.coalesce("now", "fate").alias("fate")), "state"
+        )
+        drop(state_)
+        open_ = met.select("rank", "e1", "e2", "hard")
+    stays = lambda e: state.where("state = 1").select(F.col("rank").alias(e))
+    saved = every.where("NOT hard").join(stays("rank"), "rank", "left_semi").join(stays("e1"), "e1", "left_semi").join(stays("e2"), "e2", "left_semi").select("rank").distinct()
+    return state.select("rank", "fate"), saved
+
+
+def _fates_with_targets(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
+    """Fates where links count for their targets' reserves, too, or where a pruning
+    that heeds no reserve comes between."""
+    d, left, out = config.density, links, []
+    saved = links.select("rank").limit(0)
+    for reason in ("local", "spanner"):
+        hard = global_conflicts(left, config) if reason == "spanner" and d.overall.enabled else None
+        soft = local_conflicts if reason == "local" else spanner_conflicts
+        soft = soft(left, islands, config) if (d.local if reason == "local" else d.spanner).enabled else None
+        if hard is None and soft is None:
+            continue
+        fates, more = decide_reserving(left, _placed(left, islands, config).select("owner", "goal", "e"), hard, soft, config)
+        out.append(fates.where("fate > 1").select("rank", F.when(F.col("fate") == 3, "global").otherwise(reason).alias("fate")))
+        left, saved = store(left.join(fates.where("fate = 1").select("rank"), "rank", "left_semi"), "kept"), saved.unionByName(more)
+    fates = left.select("rank", F.lit("kept").alias("fate")).unionByName(saved.agg(F.count("*").alias("rank")).select("rank", F.lit("saved").alias("fate")))
+    for rows in out:
+        fates = fates.unionByName(rows)
+    return store(fates, "fates")
+
+
 def reserve_fates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """``rank, fate`` of every link, and rows ``fate = 'saved'`` with the number
     that the reserve saved in place of a rank."""
     if config.symmetric or config.density.overall.enabled:
-        return looped_fates(links, islands, config)
+        return _fates_with_targets(links, islands, config)
     return _fates_by_rounds(links, islands, config)
 
 
-def looped_fates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
-    """The same by the loop, for each group of islands that links connect; with
-    global pruning, which looks across islands, for all at once."""
-    ends = links.select(F.col("from_island").alias("a"), F.col("to_island").alias("b"))
-    if config.density.overall.enabled:
-        grouped = links.withColumn("component", F.lit(0).cast("long"))
-    else:
-        grouped = links.join(connected_components(ends).withColumnRenamed("id", "from_island"), "from_island")
-    facts = islands.select(F.col("id").alias("to_island"), F.col("outbound").alias("to_outbound"))
-    grouped = grouped.join(facts, "to_island")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        outbound = {int(i) for i in rows.loc[rows.to_outbound, "to_island"]}
-        masses = dict(zip(rows.from_island.astype(int), rows.from_mass, strict=True)) | dict(zip(rows.to_island.astype(int), rows.to_mass, strict=True))
-        fate, saved = greedy(rows, config, outbound, masses)
-        return pd.DataFrame({"rank": [*fate, saved], "fate": [*fate.values(), "saved"]})
-
-    fields = ["component", "rank", "to_outbound", "from_mass", "to_mass", *LINK[:8]]
-    return store(grouped.select(*fields).groupBy("component").applyInPandas(run, "rank long, fate string"), "fates")
-
-
 def prune_with_reserve(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """The links that stay where each island has a reserve of targets."""
     return links.join(reserve_fates(links, islands, config).where("fate = 'kept'"), "rank", "left_semi").select(*links.columns)

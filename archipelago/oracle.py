@@ -119,6 +119,28 @@ SAVING = (
 CROWD = " UNION ".join(f"SELECT c.rank, e.rank, e.rank FROM kept c JOIN kept e ON e.rank < c.rank AND {near('c', p, 'e', q, 1.0)}" for p in "st" for q in "st")
 
 
+def in_turn(name: str, links: str, most: int, soft: str, hard: str = "", lists: str = "") -> str:
+    """The choice link by link, with a reserve of ``most`` targets: a list of the
+    ranks that stay grows from one turn to the next."""
+    own = lists or f"SELECT from_island AS owner, to_island AS goal, rank AS e FROM {links}"
+    return f"""
+{name}_own AS ({own}),
+{name}_soft AS (SELECT rank, list({{'a': e1, 'b': e2}}) AS soft FROM ({soft}) c(rank, e1, e2) GROUP BY rank),
+{name}_hard AS (SELECT rank, list(e1) AS hard FROM ({hard or "SELECT 0, 0, 0 WHERE false"}) c(rank, e1, e2) GROUP BY rank),
+{name}_mine AS (SELECT l.rank, list({{'e': o.e, 'goal': o.goal}}) AS mine FROM {links} l JOIN {name}_own o ON o.owner = l.from_island AND o.e < l.rank GROUP BY l.rank),
+{name}_turn AS MATERIALIZED (
+  SELECT rank, row_number() OVER (ORDER BY rank) AS nth, to_island, coalesce(soft, []) AS soft, coalesce(hard, []) AS hard, coalesce(mine, []) AS mine
+  FROM {links} LEFT JOIN {name}_soft USING (rank) LEFT JOIN {name}_hard USING (rank) LEFT JOIN {name}_mine USING (rank)),
+{name}_walk(nth, stays) AS (
+  SELECT 0, []::BIGINT[]
+  UNION ALL
+  SELECT nth, CASE WHEN NOT list_has_any(hard, stays) AND (NOT near OR (len(met) < {most} AND NOT list_contains(met, to_island))) THEN list_append(stays, rank) ELSE stays END FROM (
+    SELECT t.*, w.stays, len(list_filter(soft, lambda c: list_contains(w.stays, c.a) AND list_contains(w.stays, c.b))) > 0 AS near,
+           list_distinct(list_transform(list_filter(mine, lambda o: list_contains(w.stays, o.e)), lambda o: o.goal)) AS met
+    FROM {name}_walk w JOIN {name}_turn t ON t.nth = w.nth + 1)),
+{name} AS (SELECT l.* FROM {links} l WHERE rank IN (SELECT unnest(stays) FROM {name}_walk WHERE nth = (SELECT max(nth) FROM {name}_walk)))"""
+
+
 def corridors(links: str) -> str:
     """Edges of ``links``: one per voxel pair of the islands in order."""
     pick = ", ".join(f"CASE WHEN f THEN {a} ELSE {b} END AS {n}" for n, a, b in (("island_a", "from_island", "to_island"), ("island_b", "to_island", "from_island"), *((f"u{k}", f"s{k}", f"t{k}") for k in "xyz"), *((f"v{k}", f"t{k}", f"s{k}") for k in "xyz")))
@@ -215,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", TWO_HOPS), links + "sparse"),
         "global_spanner_prune": _sql(*to_kept, HOPS, rounds("sparse", "kept", f"{TWO_HOPS} UNION {CROWD}"), links + "sparse"),
         "distinct_target_reserve": _sql(*to_ranked, *SAVING, links + "saved"),
+        "global_reserve": _sql(*to_ranked, *SAVING[:3], in_turn("saved", "kept", 2, TWO_HOPS, CROWD), links + "saved"),
+        "symmetric_reserve": _sql(GRID, THIN, MIRRORED, in_turn("fair", "mirror", 3, MIRROR_SAME.replace("<= 1.5625", "<= 16.0"), lists="SELECT from_island AS owner, to_island AS goal, rank AS e FROM mirror UNION ALL SELECT to_island, from_island, rank FROM mirror"), links + "fair"),
         "mass_link_ranking": _sql(*to_ranked, AWARE, links + "aware"),
         "mass_local_prune": _sql(*to_ranked, AWARE, rounds("heavy", "aware", aware_same(1.5)), links + "heavy"),
         "mass_reserve": _sql(*to_ranked, AWARE, AWARE_HELD, rounds("heavy", "aware", aware_same(6.0) + " AND c.rank NOT IN (SELECT rank FROM held)"), links + "heavy"),

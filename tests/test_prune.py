@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from helpers import islands, links
+from helpers import islands, links, loop_fates
 
 from archipelago.operators.prune import corridor_edges, prune, prune_with_reserve, rank_links
 from archipelago.plans.config import BuildConfig, Cells, GlobalPrune, MassAware, Reserve, Spanner
@@ -121,23 +121,45 @@ def test_counts_of_the_second_pass_agree_with_the_loop(spark):
     assert found == pruning_counts(rows, facts, loop) and found["local"] and found["global"]
 
 
-@pytest.mark.parametrize(("seed", "least", "most", "aware"), [(1, 0, 4, False), (2, 0, 2, False), (3, 2, 4, True), (4, 0, 5, True)])
-def test_reserve_by_rounds_equals_the_loop(spark, seed, least, most, aware):
+CASES = [
+    (1, 0, 4, False, 8, False, None), (2, 0, 2, False, 8, False, None), (3, 2, 4, True, 8, False, None), (4, 0, 5, True, 8, False, None),
+    (5, 0, 3, False, 9, False, None), (6, 1, 4, True, 9, False, None), (7, 0, 3, False, 8, True, None), (8, 1, 5, True, 9, True, None), (9, 0, 4, False, 9, True, (0, 1, 4)),
+]
+
+
+@pytest.mark.parametrize(("seed", "least", "most", "aware", "down", "overall", "outbound"), CASES)
+def test_reserve_by_rounds_equals_the_loop(spark, seed, least, most, aware, down, overall, outbound):
+    """Limits of 9, 9 and 9 are symmetric."""
     import random
 
-    from archipelago.operators.prune import looped_fates, reserve_fates
+    from archipelago.operators.prune import admit, reserve_fates
 
     rnd = random.Random(seed)
     spot = lambda: tuple(rnd.randint(0, 12) / 2 for _ in range(3))
     rows = list({(a, b, spot(), spot()) for a in range(6) for b in range(6) if a != b for _ in range(5)})
-    config = BuildConfig.of(9, 9, 8)
-    config = replace(config, mass=replace(AWARE, enabled=aware), density=replace(config.density, local=Cells(True, 3.0), spanner=Spanner(True, 1.5), reserve=Reserve(True, least, most)))
-    facts = islands(spark, [0, 0.1, 0.4, 0.6, 0.9, 1])
-    ranked = rank_links(links(spark, rows), facts, config).cache()
+    config = BuildConfig.of(9, 9, down)
+    assert config.symmetric == (down == 9)
+    config = replace(config, mass=replace(AWARE, enabled=aware), density=replace(config.density, local=Cells(True, 3.0), spanner=Spanner(True, 1.5), reserve=Reserve(True, least, most), overall=GlobalPrune(overall, 0.6)))
+    facts = islands(spark, [0, 0.1, 0.4, 0.6, 0.9, 1], outbound=outbound)
+    ranked = rank_links(admit(links(spark, rows), facts), facts, config).cache()
+    found = reserve_fates(ranked, facts, config).collect()
+    one = {r["rank"]: r["fate"] for r in found if r["fate"] != "saved"}, sum(r["rank"] for r in found if r["fate"] == "saved")
+    two = loop_fates(ranked, facts, config)
+    assert one == two and one[1]
+    assert {"local", "kept"} < set(one[0].values()) and ("global" in one[0].values()) == overall
+
+
+def test_reserve_without_local_pruning(spark):
+    import random
 
-    def fates(found):
-        got = found.collect()
-        return {r["rank"]: r["fate"] for r in got if r["fate"] != "saved"}, sum(r["rank"] for r in got if r["fate"] == "saved")
+    from archipelago.operators.prune import reserve_fates
 
-    one, two = fates(reserve_fates(ranked, facts, config)), fates(looped_fates(ranked, facts, config))
-    assert one == two and one[1] and {"local", "spanner", "kept"} == set(one[0].values())
+    rnd = random.Random(2)
+    spot = lambda: tuple(rnd.randint(0, 12) / 2 for _ in range(3))
+    rows = list({(a, b, spot(), spot()) for a in range(5) for b in range(5) if a != b for _ in range(4)})
+    config = BuildConfig.of(9, 9, 9)
+    config = replace(config, density=replace(config.density, local=Cells(False), overall=GlobalPrune(True, 1.0), reserve=Reserve(True, 0, 2)))
+    facts = islands(spark, [0, 0.1, 0.4, 0.6, 0.9])
+    ranked = rank_links(links(spark, rows), facts, config).cache()
+    found = reserve_fates(ranked, facts, config).collect()
+    assert ({r["rank"]: r["fate"] for r in found if r["fate"] != "saved"}, 0) == loop_fates(ranked, facts, config)

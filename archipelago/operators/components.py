@@ -1,6 +1,8 @@
-"""Connected components by alternating large-star and small-star.
+"""Connected components.
 
-Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014.
+:func:`connected_components` alternates large-star and small-star (Kiveris et al.,
+"Connected Components in MapReduce and Beyond", SoCC 2014).
+:func:`contracted_components` hooks and contracts, so that links get few soon.
 """
 
 from __future__ import annotations
@@ -80,3 +82,47 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     )
+
+
+def _to_roots(hung: DataFrame) -> DataFrame:
+    """``hung(id, up)`` with ``up`` at the end of the way up, by pointer doubling."""
+    for _ in range(MAX_ROUNDS):
+        above = hung.select(F.col("id").alias("up"), F.col("up").alias("over"))
+        after = store(hung.select("id", "up").join(above, "up", "left").select("id", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "hung")
+        drop(hung)
+        hung = after
+        if not hung.where("moved").head(1):
+            return hung
+    raise RuntimeError(f"ways up did not end in {MAX_ROUNDS} rounds")
+
+
+def contracted_components(pairs: DataFrame) -> DataFrame:
+    """``(id, component)`` of every node of ``pairs(a, b)``, each with ``a < b`` and
+    there once; ``component`` is the least id of the node's component.
+
+    Every node hangs itself below its least neighbour if that is less, so only nodes
+    less than all around them stay; ways up are shortened by doubling.  Links are
+    then moved to the ends' roots, and those inside a tree go, so a round leaves
+    those between trees: at most half the nodes stay, on meshes far fewer.  Only
+    nodes are shuffled in the doubling.
+    """
+    left, forest = store(pairs.select("a", "b"), "pairs"), None
+    for _ in range(MAX_ROUNDS):
+        if not left.head(1):
+            break
+        hung = _to_roots(store(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), "hung"))
+        top = hung.select("id", F.col("up").alias("root"))
+        ends = left.join(top.withColumnRenamed("id", "a"), "a", "left").select(F.coalesce("root", "a").alias("a"), "b")
+        ends = ends.join(top.withColumnRenamed("id", "b"), "b").select("a", F.col("root").alias("b")).where("a <> b")
+        after = store(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        drop(left)
+        left = after
+        if forest is not None:
+            moved = forest.join(top.withColumnRenamed("id", "up"), "up", "left").select("id", F.coalesce("root", "up").alias("up"))
+            hung = store(moved.unionByName(hung.select("id", "up")), "forest")
+        forest = hung.select("id", "up")
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    if forest is None:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return forest.select("id", F.col("up").alias("component")).unionByName(forest.select(F.col("up").alias("id"), F.col("up").alias("component")).distinct())

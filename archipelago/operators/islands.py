@@ -8,6 +8,7 @@ from struct import pack, unpack
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archipelago.operators.components import contracted_components
 from archipelago.operators.ranking import numbered
 from archipelago.plans.config import BuildConfig
 from archipelago.sources.mesh import Mesh
@@ -33,25 +34,15 @@ def adjacency(mesh: Mesh, symmetrize: bool = False) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct() if symmetrize else pairs.distinct()
 
 
-def label_islands(mesh: Mesh, config: BuildConfig, symmetrize: bool = False) -> DataFrame:
-    """``poly_ref, ord, island`` of the eligible polygons.
-
-    A polygon belongs to the first polygon in scan order that reaches it over
-    eligible ones; islands are numbered in that order.  Each round takes two
-    steps along the edges and one jump to the label's own label, so rounds grow
-    with the logarithm of an island's width where edges go both ways.
-    """
-    fit = store(mesh.polygons.where(eligible(config)).select("poly_ref", "ord"), "eligible")
-    edges = adjacency(mesh, symmetrize)
-    edges = edges.join(fit.select(F.col("poly_ref").alias("src")), "src").join(fit.select(F.col("poly_ref").alias("dst"), F.col("ord").alias("own")), "dst")
-    source = fit.select(F.col("poly_ref").alias("src"), F.col("ord").alias("from"))
-    edges = store(edges.join(source, "src").select("from", F.col("own").alias("to")), "adjacency")
-    now = store(fit.select("ord", F.col("ord").alias("label")), "labels")
-    total = None
+def _first_to_reach(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``ord, label``: the least of ``nodes(ord)`` that reaches each along the one-way
+    ``links(from, to)``.  A round takes two steps along the links and one jump to the
+    label's own label."""
+    now, total = store(nodes.select("ord", F.col("ord").alias("label")), "labels"), None
     for _ in range(MAX_ROUNDS):
         step = now
         for _ in range(2):
-            met = edges.join(step.select(F.col("ord").alias("from"), "label"), "from").groupBy(F.col("to").alias("ord")).agg(F.min("label").alias("met"))
+            met = links.join(step.select(F.col("ord").alias("from"), "label"), "from").groupBy(F.col("to").alias("ord")).agg(F.min("label").alias("met"))
             step = step.join(met, "ord", "left").select("ord", F.least("label", "met").alias("label"))
         jump = step.select(F.col("ord").alias("label"), F.col("label").alias("far"))
         after = store(step.join(jump, "label").select("ord", F.least("label", "far").alias("label")), "labels")
@@ -59,12 +50,39 @@ def label_islands(mesh: Mesh, config: BuildConfig, symmetrize: bool = False) ->
         drop(now)
         now = after
         if tuple(mark) == total:
-            break
+            return now
         total = tuple(mark)
-    else:
-        raise RuntimeError(f"islands did not settle in {MAX_ROUNDS} rounds")
+    raise RuntimeError(f"islands did not settle in {MAX_ROUNDS} rounds")
+
+
+def label_islands(mesh: Mesh, config: BuildConfig, symmetrize: bool = False) -> DataFrame:
+    """``poly_ref, ord, island`` of the eligible polygons.
+
+    A polygon belongs to the first polygon in scan order that reaches it over
+    eligible ones; islands are numbered in that order.  Polygons that are each
+    other's neighbours are contracted first, which is all there is in most meshes;
+    edges that lead one way only are then followed between what is left, where each
+    group stands for its first polygon.
+    """
+    fit = store(mesh.polygons.where(eligible(config)).select("poly_ref", "ord"), "eligible")
+    edges = adjacency(mesh, symmetrize)
+    own = lambda ref, name: fit.select(F.col("poly_ref").alias(ref), F.col("ord").alias(name))
+    edges = edges.join(own("src", "from"), "src").join(own("dst", "to"), "dst").where("from <> to")
+    pairs = edges.groupBy(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).agg(F.max(F.col("from") < F.col("to")).alias("up"), F.max(F.col("from") > F.col("to")).alias("down"))
+    pairs = store(pairs, "adjacency")
+    found = store(contracted_components(pairs.where("up AND down")), "grouped")
+    group = lambda name: found.select(F.col("id").alias(name), F.col("component").alias(f"g_{name}"))
+    ways = pairs.where("up <> down").select(F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("from"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("to"))
+    ways = ways.join(group("from"), "from", "left").join(group("to"), "to", "left").select(F.coalesce("g_from", "from").alias("from"), F.coalesce("g_to", "to").alias("to"))
+    ways = store(ways.where("from <> to").distinct(), "one-way")
+    now = fit.select("poly_ref", "ord").join(found.withColumnRenamed("id", "ord"), "ord", "left").select("poly_ref", "ord", F.coalesce("component", "ord").alias("label"))
+    if ways.head(1):
+        nodes = ways.select(F.col("from").alias("ord")).unionByName(ways.select(F.col("to").alias("ord"))).distinct()
+        reached = _first_to_reach(nodes, ways).select(F.col("ord").alias("label"), F.col("label").alias("first"))
+        now = now.join(reached, "label", "left").select("poly_ref", "ord", F.coalesce("first", "label").alias("label"))
+    now = store(now, "labels")
     numbers = numbered(now.where("ord = label").select("label"), [F.col("label")], "island", first=0)
-    return store(fit.join(now, "ord").join(numbers, "label").select("poly_ref", "ord", "island"), "islands")
+    return store(now.join(numbers, "label").select("poly_ref", "ord", "island"), "islands")
 
 
 def summarize_islands(mesh: Mesh, labels: DataFrame) -> DataFrame:

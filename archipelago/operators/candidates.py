@@ -20,12 +20,22 @@ from archipelago.sources.mesh import Mesh
 LINK = ["from_island", "to_island", *[f"{p}{k}" for p in "st" for k in "xyz"], "horizontal", "vertical"]
 
 
+#: What the plan raises at a polygon, or a nearest point of one, that is not finite.
+NOT_FINITE = "a polygon within the scan has coordinates that are not finite"
+
+
+def _or_raise(good: Column, value: Column) -> Column:
+    return F.when(good, value).otherwise(F.raise_error(F.lit(NOT_FINITE)).cast("double"))
+
+
 def polygon_boxes(mesh: Mesh, config: BuildConfig) -> DataFrame:
-    """Eligible polygons with their bounds and whether they are such a box."""
+    """Eligible polygons with their bounds.  The scan of one with a vertex that is
+    not finite fails where it is read, by an error that says :data:`NOT_FINITE`."""
     rows = mesh.polygons.where(eligible(config))
+    good = F.forall("verts", lambda v: finite(v["x"]) & finite(v["y"]) & finite(v["z"]))
     low = {f"min_{k}": F.array_min(F.col(f"verts.{k}")).cast("double") for k in "xyz"}
     high = {f"max_{k}": F.array_max(F.col(f"verts.{k}")).cast("double") for k in "xyz"}
-    return rows.withColumns(low | high)
+    return rows.withColumns(low | high).withColumn("min_x", _or_raise(good, F.col("min_x")))
 
 
 def nearest_on_polygon(verts: str = "verts") -> Column:
@@ -94,7 +104,8 @@ def near_polygons(boundaries: DataFrame, mesh: Mesh, config: BuildConfig, gap: f
 
 def scan(boundaries: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFrame, config: BuildConfig, gap: float, recovery: bool = False) -> DataFrame:
     """Every link from a border midpoint to a polygon of another island, with
-    ``accepted`` for those within the envelope."""
+    ``accepted`` for those within the envelope.  A nearest point that is not finite
+    fails the scan (:data:`NOT_FINITE`)."""
     targets = labels.select(F.col("poly_ref").alias("near_ref"), F.col("island").alias("to_island"))
     alive = islands.where("NOT suppressed").select(F.col("id").alias("to_island"))
     # boxes know their island before they meet midpoints, so none of the own island's are paired
@@ -108,7 +119,8 @@ def scan(boundaries: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFram
     )
     dx, dz = F.col("sx") - F.col("tx"), F.col("sz") - F.col("tz")
     links = links.withColumn("horizontal", F.sqrt(dx * dx + dz * dz)).withColumn("vertical", F.col("ty") - F.col("sy"))
-    return links.withColumn("accepted", finite("horizontal") & finite("vertical") & envelope(config, gap))
+    links = links.withColumn("horizontal", _or_raise(finite("horizontal") & finite("vertical"), F.col("horizontal")))
+    return links.withColumn("accepted", envelope(config, gap))
 
 
 def link_order(config: BuildConfig) -> list[Column]:

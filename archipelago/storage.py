@@ -47,6 +47,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        _delete(spark, path)  # nothing of a write that failed or was cancelled stays
+        raise
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
@@ -57,10 +60,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`store` that nothing needs any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)

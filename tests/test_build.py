@@ -54,6 +54,35 @@ def test_non_finite_border(spark):
     assert result.status is BuildStatus.INVALID_MESH and result.graph is None
 
 
+def test_non_finite_inner_vertex_and_nearest_point(spark):
+    # polygons 1 to 3 lie in a row; the corner that only inner edges have is not a number
+    bad = [(8.0, 0.0, 0.0), (10.0, 0.0, 0.0), (float("nan"), 0.0, 1.0), (10.0, 0.0, 2.0), (8.0, 0.0, 2.0)]
+    m = mesh(spark, [square(0, 0, 0), square(4, 0, 0), bad], [(2, 1, 1), (2, 2, 1), (1, 3, 2)])
+    for statistics in (False, True):
+        result = build(m, fine(3, 2, 4), statistics=statistics)
+        assert result.status is BuildStatus.INVALID_MESH and result.graph is None and "not finite" in result.message
+        assert "flood_fill" in result.timings and "pruning" not in result.timings
+
+
+def test_cancellation_within_a_stage(spark):
+    import time
+
+    from pyspark.sql.functions import udf
+
+    @udf("boolean")
+    def slow(ref):
+        import time
+
+        time.sleep(20)
+        return True
+
+    began = time.time()
+    result = build(apart(spark), replace(fine(3, 2, 4), polygon_filter=lambda: slow("poly_ref")), cancelled=lambda: time.time() - began > 4)
+    assert result.status is BuildStatus.CANCELLED and result.graph is None
+    assert time.time() - began < 12
+    assert build(apart(spark), fine(3, 2, 4), cancelled=lambda: False, statistics=False).status is BuildStatus.SUCCESS
+
+
 def test_cancellation(spark):
     calls = []
     result = build(apart(spark), fine(3, 2, 4), cancelled=lambda: calls.append(1) or len(calls) > 2)

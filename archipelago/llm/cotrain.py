@@ -16,7 +16,8 @@ among all that qualify.  What qualifies is settled over the whole corpus.
 
 Defined results.  A null or empty text has no content features and is judged by
 the intercepts and the metadata.  Null metadata are values of their own.  A null
-id is scored like any other.  Without labels of both classes the score is the
+id is scored like any other; of rows of one id each is scored, and one is learnt
+from.  Without labels of both classes the score is the
 share of good labels (0.5 without any) for all.  Other columns are ignored.
 """
 
@@ -201,13 +202,16 @@ def _columns(docs: DataFrame) -> DataFrame:
 def _brought(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
     """The features of ``chosen(doc_id, quality, learner)``, a bounded number of
     rows, each with its learner; of a text of any length no more than
-    ``TEXT_SIZE`` numbers come to the driver, and none for the metadata view."""
-    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "source", "lang", "text", "learner")
+    ``TEXT_SIZE`` numbers come to the driver, and none for the metadata view.  Of
+    rows of one id the one whose text has the least hash is brought."""
+    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "learner", F.col("quality").cast("int").alias("quality"))
+    one = F.min_by(F.struct("source", "lang", "text"), F.struct(F.xxhash64("text"), "source", "lang"))
+    rows = rows.agg(one.alias("one")).select("doc_id", "quality", "one.*", "learner")
     rows = rows.mapInArrow(_features, "doc_id long, quality int, learner int, slots binary, parts binary, meta binary")
     none = F.when(F.col("learner") != 1, F.lit(True))
     rows = rows.withColumns({c: F.when(none, F.col(c)).otherwise(F.lit(b"")) for c in ("slots", "parts")})
     out = []
-    for r in rows.orderBy("doc_id").collect():
+    for r in rows.orderBy("doc_id", "learner").collect():
         slots, parts, meta = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["parts"], np.float32), np.frombuffer(r["meta"], np.int32)
         out.append((r["learner"], ((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"])))
     return out

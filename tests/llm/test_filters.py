@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from archipelago.llm import cotrain
 from archipelago.llm import quality_rules as rules
 from archipelago.llm.cotrain import co_train, meta_features, quality_scores, text_features
 from archipelago.llm.decontaminate import build_index, contamination, phrase_matches, proximity_matches
@@ -255,6 +256,15 @@ def test_classifier_odd_rows(spark):
     assert quality_scores(docs.limit(0), one).count() == 0 and len(text_features(b"")[0]) == 0
 
 
+def test_an_id_of_many_rows_brings_one_to_the_driver(spark):
+    many = spark.range(100_000).selectExpr("7L AS doc_id", "concat('row ', id) AS text", "if(id % 2 = 0, 'en', null) AS lang", "'s' AS source")
+    docs = many.unionByName(spark.createDataFrame([(8, "eight", "en", None), (9, None, None, None)], "doc_id long, text string, lang string, source string"))
+    chosen = spark.createDataFrame([(7, 1, 0), (7, 1, 1), (8, 0, 1), (9, 0, -1)], "doc_id long, quality int, learner int")
+    found = cotrain._brought(docs, chosen)
+    assert sorted((learner, row[2]) for learner, row in found) == [(-1, 0), (0, 1), (1, 0), (1, 1)]
+    assert [learner for learner, row in found] == [learner for learner, row in cotrain._brought(docs.repartition(5), chosen)]
+
+
 def test_raking_meets_the_marginals():
     rnd = np.random.default_rng(1)
     cells = [(a, b, c) for a in "abc" for b in "xy" for c in "pqr"]

@@ -332,6 +332,12 @@ def custom_cost_path(w: World) -> DataFrame:
     return _costs(best_routes(w.requests, links).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 
+def context_path(w: World) -> DataFrame:
+    """Routes of which only the last link, the one into the goal's island, may climb."""
+    routes = best_routes(w.requests, G.traversals(w.edges), keep=(F.col("vertical") <= 0) | (F.col("to_island") == F.col("end_island")))
+    return _costs(routes.withColumn("cost", F.coalesce("cost", F.lit(0.0))))
+
+
 def route_search(w: World) -> DataFrame:
     return _costs(search_routes(w.requests, priced(G.traversals(w.edges)), w.islands, Limits()))
 
@@ -364,7 +370,7 @@ QUERIES = [
     pair_scan_suppression, short_gap_recovery, candidate_dedup, link_ranking, local_prune, spanner_prune,
     global_spanner_prune, distinct_target_reserve, mass_link_ranking, mass_local_prune, mass_reserve, symmetric_prune, symmetric_reserve, global_reserve, local_collapse, corridor_edges, traversals, degree_stats,
     mass_buckets, isolated_islands, average_link_length, strong_components, largest_component, shortest_paths,
-    shortest_path_filtered, custom_cost_path, route_search, graph_roundtrip, polygon_lookup, island_adjacency, build_stats,
+    shortest_path_filtered, custom_cost_path, context_path, route_search, graph_roundtrip, polygon_lookup, island_adjacency, build_stats,
 ]
 
 

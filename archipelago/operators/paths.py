@@ -35,42 +35,57 @@ def priced(links: DataFrame, cost: Column | None = None, keep: Column | None = N
     return rows.where(finite("cost") & (F.col("cost") >= 0))
 
 
-def best_routes(requests: DataFrame, links: DataFrame) -> DataFrame:
+def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = None, keep: Column | None = None) -> DataFrame:
     """``request_id, status, cost, edges`` for every request.
 
     ``requests``: ``request_id, start_island, end_island`` and the points
     ``a*`` and ``b*``; ``links`` are priced traversals.  Requests that start at
     the same point share their labels.  A label is the least cost known to
     arrive through a traversal.  Each round extends the labels that fell in the
-    last one, unless all requests of the start already have better routes.
+    last one, unless all requests of the start already have better routes, or
+    the island's best label gets to where they arrive for less on foot.
     Ties go to the lesser edge list.
+
+    ``cost`` and ``keep`` price and filter traversals for each route: they may
+    name columns of ``links`` and the route's ``start_island``, ``end_island``
+    and points; a traversal without a usable cost is left out.  Only requests with
+    the same ends then share their labels.
     """
-    source = ["start_island", "ax", "ay", "az"]
-    asked = store(requests.withColumn("source", F.struct(*source)), "requests")
-    hop = store(
-        links.select(F.struct("edge_index", "from_island").alias("portal"), "edge_index", "from_island", "to_island", "cost", *[f"{p}{k}" for p in "st" for k in "xyz"]),
-        "portals",
-    )
-    first = asked.where("start_island <> end_island").select("source", *source).distinct().join(hop, F.col("start_island") == F.col("from_island"))
+    context = cost is not None or keep is not None
+    if cost is None and "cost" in links.columns:
+        cost = F.col("cost")
+    ends = ["start_island", "ax", "ay", "az"] + (["end_island", "bx", "by", "bz"] if context else [])
+    asked = store(requests.withColumn("source", F.struct(*ends)), "requests")
+    hop = store(links.withColumn("portal", F.struct("edge_index", "from_island")), "portals")
+
+    def for_route(rows: DataFrame) -> DataFrame:
+        """``rows`` of a source and a traversal, for which its filter and cost hold."""
+        return priced(rows.select("*", "source.*"), cost, keep) if context else rows
+
+    first = asked.where("start_island <> end_island").select("source", F.col("start_island").alias("from_island")).distinct().join(hop, "from_island")
+    first = for_route(first).withColumns({f"a{k}": F.col(f"source.a{k}") for k in "xyz"})
     now = store(first.select("source", "portal", (distance("a", "s") + F.col("cost")).alias("g"), F.array("edge_index").alias("edges"), F.lit(True).alias("fresh")), "routes")
-    step = store(
-        hop.select(F.col("portal").alias("p"), F.col("to_island").alias("via"), *[F.col(f"t{k}").alias(f"e{k}") for k in "xyz"])
-        .join(hop.withColumn("via", F.col("from_island")), "via")
-        .select("p", F.col("portal").alias("next"), "edge_index", (distance("e", "s") + F.col("cost")).alias("more")),
-        "portal-steps",
-    )
+    arrival = hop.select("portal", F.col("to_island").alias("via"), *[F.col(f"t{k}").alias(f"e{k}") for k in "xyz"])
 
     def goals(labels: DataFrame) -> DataFrame:
         ends = asked.where("start_island <> end_island").select("request_id", "source", F.col("end_island").alias("to_island"), *[f"b{k}" for k in "xyz"])
         at = labels.join(hop.select("portal", "to_island", *[f"t{k}" for k in "xyz"]), "portal").join(ends, ["source", "to_island"])
         return at.groupBy("source", "request_id").agg(F.min(F.struct((F.col("g") + distance("t", "b")).alias("total"), "edges")).alias("best"))
 
+    def leading(labels: DataFrame) -> DataFrame:
+        """Labels that fell last and that the best one of their island does not
+        beat by walking: no route is better for going on from another."""
+        at = labels.join(arrival, "portal")
+        top = at.groupBy("source", "via").agg(F.min(F.struct("g", *[F.col(f"e{k}").alias(f"h{k}") for k in "xyz"])).alias("top"))
+        near = at.where("fresh").join(top, ["source", "via"]).select(*at.columns, F.col("top.g").alias("least"), "top.hx", "top.hy", "top.hz")
+        return near.where(F.col("g") <= F.col("least") + distance("h", "e") + 1e-9).select("source", "via", "g", "edges", "ex", "ey", "ez")
+
     want = asked.where("start_island <> end_island").groupBy("source").agg(F.count("*").alias("want"))
     while now.where("fresh").head(1):
         limit = goals(now).groupBy("source").agg(F.max("best.total").alias("limit"), F.count("*").alias("got")).join(want, "source")
-        grown = now.where("fresh").join(limit, "source", "left").where("got IS NULL OR got < want OR g < limit")
-        grown = grown.withColumnRenamed("portal", "p").join(step, "p").select(
-            "source", F.col("next").alias("portal"), F.struct((F.col("g") + F.col("more")).alias("g"), F.concat("edges", F.array("edge_index")).alias("edges")).alias("x")
+        grown = leading(now).join(limit, "source", "left").where("got IS NULL OR got < want OR g < limit").withColumnRenamed("g", "before")
+        grown = for_route(grown.select("source", F.col("via").alias("from_island"), "before", "edges", "ex", "ey", "ez").join(hop, "from_island")).select(
+            "source", "portal", F.struct((F.col("before") + distance("e", "s") + F.col("cost")).alias("g"), F.concat("edges", F.array("edge_index")).alias("edges")).alias("x")
         )
         best = grown.groupBy("source", "portal").agg(F.min("x").alias("x"))
         better = F.coalesce(F.col("x.g") < F.col("g"), F.col("g").isNull())

@@ -178,6 +178,16 @@ goal AS (
   FROM best JOIN portal USING (n) JOIN islands i ON i.id = to_island WHERE round = (SELECT max(round) FROM best) AND g < 1e299 GROUP BY i.id)"""
 
 
+#: Least costs where the last link may climb: any link after a route of level or
+#: falling ones.  A link is no shorter than its straight line, so that going on
+#: from the goal's island and coming back does not pay.
+LAST_CLIMB = f"""
+level_ AS (SELECT to_island AS via, tx AS ex, ty AS ey, tz AS ez, g FROM best JOIN portal USING (n) WHERE round = (SELECT max(round) FROM best) AND g < 1e299
+  UNION ALL SELECT 0, x, y, z, 0 FROM home),
+last_ AS (
+  SELECT i.id, min(g + sqrt((ex-sx)*(ex-sx) + (ey-sy)*(ey-sy) + (ez-sz)*(ez-sz)) + {LENGTH} + sqrt((tx-center_x)*(tx-center_x) + (ty-center_y)*(ty-center_y) + (tz-center_z)*(tz-center_z))) AS cost
+  FROM level_ JOIN trav ON trav.from_island = via JOIN islands i ON i.id = trav.to_island GROUP BY i.id)"""
+
 #: The counters of a build with a spanner, and how each follows from the tables.
 BOXES = """boxes AS (
   SELECT b.island, t.island AS other FROM thin b JOIN grid g ON b.mx BETWEEN 2 * g.c - 5 AND 2 * g.c + 7 AND b.mz BETWEEN 2 * g.r - 5 AND 2 * g.r + 7 AND abs(b.my - g.y) <= 6
@@ -255,6 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "shortest_paths": _sql(*to_graph, routes(LENGTH), ROUTE_ROWS),
         "shortest_path_filtered": _sql(*to_graph, routes(LENGTH, "vertical <= 0"), ROUTE_ROWS),
         "custom_cost_path": _sql(*to_graph, routes("horizontal * 2 + abs(vertical)"), ROUTE_ROWS),
+        "context_path": _sql(*to_graph, routes(LENGTH, "vertical <= 0"), LAST_CLIMB, ROUTE_ROWS.replace("goal", "last_")),
         "route_search": _sql(*to_graph, routes(LENGTH), ROUTE_ROWS),
         "graph_roundtrip": _sql(GRID, "SELECT island AS id, p AS poly_ref FROM isl"),
         "polygon_lookup": _sql(GRID, "SELECT p AS poly_ref, island FROM isl"),

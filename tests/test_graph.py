@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -69,6 +70,41 @@ def test_custom_cost(spark):
     assert tuple(search_routes(ask, links, g.islands, euclid=False).select("cost", F.size("edges")).first()) == (3.0, 3)
 
 
+def test_route_context(spark, r1):
+    """Filters and costs see the route's ends and the link, at every hop."""
+    ask = asks(spark, [(0, 2, (0, 0, 0), (3, 0, 0)), (0, 1, (0, 0, 0), (1, 0, 0)), (1, 2, (1, 0, 0), (3, 0, 0))])
+    links = traversals(r1.edges)
+    paths = lambda **how: {r["request_id"]: (r["status"], r["edges"]) for r in best_routes(ask, links, **how).collect()}
+    ends = F.struct("start_island", "end_island")
+    assert paths(keep=ends == F.struct(F.lit(0).alias("start_island"), F.lit(2).alias("end_island"))) == {0: ("success", [1, 2]), 1: ("no_path", None), 2: ("no_path", None)}
+    assert paths(keep=F.col("to_island") == F.col("end_island")) == {0: ("success", [0]), 1: ("success", [1]), 2: ("success", [2])}
+    dear = F.when((F.col("start_island") == 0) & (F.col("to_island") != F.col("end_island")), 1000.0).otherwise(F.col("horizontal"))
+    assert paths(cost=dear) == {0: ("success", [0]), 1: ("success", [1]), 2: ("success", [2])}
+    assert paths(cost=F.when(F.col("end_island") == 1, float("nan")).otherwise(1.0))[1] == ("no_path", None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_routes_equal_a_search_of_each(spark, seed):
+    """Random links, an island that most of them share, and filters by the ends."""
+    rng = random.Random(seed)
+    spot = lambda: tuple(float(rng.randrange(40)) for _ in "xyz")
+    pairs = [rng.choice([(0, rng.randrange(1, 9)), (rng.randrange(1, 9), 0), tuple(rng.sample(range(9), 2))]) for _ in range(70)]
+    g = graph(spark, [1] * 9, [0] * 9, [(a, b, spot(), spot(), True, False) for a, b in pairs])
+    links = priced(traversals(g.edges))
+    ask = asks(spark, [(a, b, spot(), spot()) for a in range(3) for b in range(9)])
+    held = [{"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in links.collect()]
+    for context in (False, True):
+        keep = (F.col("edge_index") % 3 != F.col("end_island") % 3) | (F.col("from_island") == F.col("start_island"))
+        found = {r["request_id"]: r for r in best_routes(ask, links, keep=keep if context else None).collect()}
+        for r in ask.collect():
+            mine = [h for h in held if not context or h["edge_index"] % 3 != r["end_island"] % 3 or h["from_island"] == r["start_island"]]
+            want = Router(mine, set(range(9))).route(r["start_island"], r["end_island"], (r["ax"], r["ay"], r["az"]), (r["bx"], r["by"], r["bz"]))
+            got = found[r["request_id"]]
+            assert got["status"] == want["status"]
+            if want["status"] == "success":
+                assert got["cost"] == pytest.approx(want["cost"]) and got["edges"] == want["edges"]
+
+
 def test_budgets_and_cancel(r1):
     rows = priced(traversals(r1.edges)).collect()
     held = [{"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in rows]

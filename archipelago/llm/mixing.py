@@ -13,10 +13,10 @@ at any partitioning.
 Size: every category of the corpus counts; none are lumped together.  Only
 cells that documents have exist.  While they are at most ``LOCAL_CELLS``, which
 is counted first, the sums are raked on the driver; beyond that by grouped
-aggregation, one factor for each category, joined to the cells.  Both give the
-same chances.  Where targets contradict each other (an empty cell can make them),
-raking does not settle: the result says so in ``settled`` and a warning names the
-largest deviation.
+aggregation, one factor for each category, joined to the cells.  Both stop by the
+same rule (``Progress``) and give the same chances.  Where targets contradict each
+other (an empty cell can make them), raking does not settle: the result says so in
+``settled`` and a warning names the largest deviation.
 
 A weight is a count of white-space words, a topic the form of the text, unless
 the caller brings columns of its own.
@@ -121,6 +121,8 @@ class Raked:
 
 #: Relative deviation from a marginal at which raking has settled.
 TOLERANCE = 1e-6
+#: Rounds after which raking within limits must have come closer, and the most.
+STALL, MOST_ROUNDS = 25, 3000
 
 
 Marginals = list[tuple[np.ndarray, np.ndarray]]
@@ -155,19 +157,36 @@ def marginals(cells: list[tuple], present: np.ndarray, targets: list[Target], to
     return dims
 
 
-def rake_within(present: np.ndarray, dims: Marginals, total: float, rounds: int = 1000, tolerance: float = TOLERANCE) -> np.ndarray | None:
+class Progress:
+    """When raking within limits ends, the same on the driver and on executors:
+    ``settled`` once a round changes nothing by more than the tolerance, given up
+    where ``STALL`` rounds have not brought the deviation down by a tenth."""
+
+    def __init__(self) -> None:
+        self.done, self.mark, self.settled = 0, np.inf, False
+
+    def ended(self, off: float) -> bool:
+        self.done += 1
+        self.settled = off < TOLERANCE
+        stalled = False
+        if self.done % STALL == 0:
+            stalled, self.mark = off > 0.9 * self.mark, off
+        return self.settled or stalled or self.done >= MOST_ROUNDS
+
+
+def rake_within(present: np.ndarray, dims: Marginals, total: float) -> np.ndarray | None:
     """Chances, none above 1, at which the weights kept are ``total`` and have the
     target shares; None if there are none."""
-    factor = np.ones(len(present))
+    factor, progress, off = np.ones(len(present)), Progress(), np.inf
     dims = [(where, want / want.sum() * total) for where, want in dims]
-    for _ in range(rounds):
+    while not progress.ended(off):
+        off = 0.0
         for where, want in dims:
             have = np.bincount(where, np.minimum(1, factor) * present, len(want))
-            factor *= np.divide(want, have, out=np.zeros_like(want), where=have > 0)[where]
-        chance = np.where(present > 0, np.minimum(1, factor), 0)
-        if all(np.allclose(np.bincount(where, chance * present, len(want)), want, rtol=tolerance, atol=0) for where, want in dims):
-            return chance
-    return None
+            scale = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
+            off = max(off, float(np.abs(scale[want > 0] - 1).max(initial=0)))
+            factor *= scale[where]
+    return np.where(present > 0, np.minimum(1, factor), 0) if progress.settled else None
 
 
 def _scaled(present: np.ndarray, raked: np.ndarray, dims: Marginals, budget: float | None) -> np.ndarray:
@@ -236,26 +255,33 @@ def fit_spread(cells: DataFrame, dims: list[str], targets: list[Target], budget_
         most = sums.join(want, d).where("want > 0").agg(F.min(F.col("part") / F.col("want"))).first()[0]
         high = min(high, total * float(most))
 
-    def settle(goal: float, capped: bool, tolerance: float) -> tuple[DataFrame, float]:
-        now = cells.withColumn("factor", F.lit(1.0))
-        held = F.least(F.lit(1.0), F.col("factor")) if capped else F.col("factor")
-        off = float("inf")
-        for done in range(rounds):
-            off = 0.0
-            for d, want in zip(dims, wants, strict=True):
-                have = now.groupBy(d).agg(F.sum(held * F.col("weight")).alias("have")).join(want, d)
-                scale = have.select(d, F.when(F.col("have") > 0, F.col("want") * goal / F.col("have")).otherwise(F.lit(0.0)).alias("scale"), "want")
-                after = store(now.join(scale, d).select(*cells.columns, (F.col("factor") * F.col("scale")).alias("factor"), F.when(F.col("want") > 0, F.abs(F.col("scale") - 1)).alias("off")), "raked")
-                if done:
-                    off = max(off, float(after.agg(F.max("off")).first()[0] or 0))
-                if hasattr(now, "_stored_at"):
-                    drop(now)
-                now = after
-            if done and off < tolerance:
-                break
-        return now, off
-
-    raked, off = settle(total, False, 1e-9)
+    def settle(goal: float, capped: bool) -> tuple[DataFrame, float]:
+        """Cells with their ``factor``, and the deviation left.  A cell's factor is the
+        product of its categories', and only those are written."""
+        factors = [store(want.select("*", F.lit(1.0).alias("factor"), F.lit(0.0).alias("off")), "raked") for want in wants]
+
+        def scaled() -> DataFrame:
+            now, product = cells, F.lit(1.0)
+            for k, (d, f) in enumerate(zip(dims, factors, strict=True)):
+                now, product = now.join(f.select(d, F.col("factor").alias(f"factor_{k}")), d), product * F.col(f"factor_{k}")
+            return now.select(*cells.columns, product.alias("factor"))
+
+        progress, off, done = Progress(), float("inf"), 0
+        while not (progress.ended(off) if capped else done >= rounds or off < 1e-9):
+            worst = 0.0
+            for k, (d, old) in enumerate(zip(dims, factors, strict=True)):
+                held = F.least(F.lit(1.0), F.col("factor")) if capped else F.col("factor")
+                have = scaled().groupBy(d).agg(F.sum(held * F.col("weight")).alias("have"))
+                scale = F.when(F.col("have") > 0, F.col("want") * goal / F.col("have")).otherwise(F.lit(0.0))
+                factors[k] = store(old.join(have, d).select(d, "want", (F.col("factor") * scale).alias("factor"), F.when(F.col("want") > 0, F.abs(scale - 1)).alias("off")), "raked")
+                drop(old)
+                worst = max(worst, float(factors[k].agg(F.max("off")).first()[0] or 0))
+            done += 1
+            # the first round only starts the proportional form
+            off = worst if done > 1 or capped else off
+        return scaled(), off
+
+    raked, off = settle(total, False)
     top = float(raked.where("weight > 0").agg(F.max("factor")).first()[0] or 0)
     if off >= TOLERANCE:
         warnings.warn(f"the targets contradict each other: a marginal is off by {off:.2g}", stacklevel=2)
@@ -266,7 +292,7 @@ def fit_spread(cells: DataFrame, dims: list[str], targets: list[Target], budget_
     elif budget_share is not None:
         goal = high
         for _ in range(HALVINGS):
-            found, worst = settle(goal, True, TOLERANCE)
+            found, worst = settle(goal, True)
             if worst < TOLERANCE:
                 best, low = found.withColumn("chance", F.when(F.col("weight") > 0, F.least(F.lit(1.0), "factor")).otherwise(F.lit(0.0))), goal
             else:

@@ -122,7 +122,7 @@ class Raked:
 #: Relative deviation from a marginal at which raking has settled.
 TOLERANCE = 1e-6
 #: Rounds after which raking within limits must have come closer, and the most.
-STALL, MOST_ROUNDS = 25, 3000
+STALL, MOST_ROUNDS = 50, 3000
 
 
 Marginals = list[tuple[np.ndarray, np.ndarray]]

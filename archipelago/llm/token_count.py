@@ -13,8 +13,10 @@ many tokens that adds (see :mod:`archipelago.llm.transducer`).  Maps compose:
    entry.  Only such chunks keep their characters until then.
 3. The maps of neighbours are composed, ``FAN`` at a time, by rounds.
 
-No task holds more of a text than one chunk and ``FAN`` maps, whatever the text's
-length; a text read in rounds whose chunks never settle costs a round a chunk.
+A text is cut once, from left to right, by the task that reads its row, in time
+linear in its length; beside the row's text it holds at most ``HELD`` characters of
+chunks.  Composing holds ``FAN`` maps.  A text read in rounds whose chunks never
+settle costs a round a chunk.
 
 Defined results.  A null or empty text has no bytes and no tokens.  Repeated
 rows and repeated or null ids are counted row by row.  Columns beyond
@@ -38,6 +40,8 @@ BACK = 256
 #: More than any special string of a vocabulary is long.
 AHEAD = 64
 FAN = 64
+#: Characters of chunks cut before their maps are made.
+HELD = 1 << 22
 
 _CHUNK = "row long, doc_id long, n_bytes long, chunk long, chunks long"
 #: A chunk's map for one entry.  ``piece`` is kept where the entry is a guess.
@@ -84,6 +88,32 @@ def _map_chunks(path: str, size: int):
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the texts of ``row, doc_id, n_bytes, text``, for :func:`_map_chunks`."""
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "chunk": pa.int64(), "chunks": pa.int64(), "piece": pa.string(), "lead": pa.int32(), "entry": pa.string()}
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    for batch in batches:
+        rows, held = [], 0
+        *keys, texts = (batch.column(c) for c in ("row", "doc_id", "n_bytes", "text"))
+        for *key, scalar in zip(*(k.to_pylist() for k in keys), texts, strict=True):
+            text = scalar.as_py()
+            chunks = max(1, -(-len(text) // CHUNK))
+            for chunk in range(chunks):
+                at = chunk * CHUNK
+                begin = max(0, at - BACK)
+                piece = text if chunks == 1 else text[begin : at + CHUNK + AHEAD]
+                rows.append((*key, chunk, chunks, piece, at - begin, None))
+                held += len(piece)
+                if held >= HELD:
+                    yield made(rows)
+                    rows, held = [], 0
+        yield made(rows)
+
+
 def _closed(maps: DataFrame, path: str) -> DataFrame:
     """``maps`` and those of every other state in which a chunk is entered."""
     pieces = maps.where("piece IS NOT NULL").drop("entry", "exit", "n")
@@ -134,20 +164,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        F.greatest(F.ceil(F.length(text) / F.lit(CHUNK)).cast("long"), F.lit(1).cast("long")).alias("chunks"),
         text.alias("text"),
     )
-
-    def piece(chunk: Column) -> Column:
-        begin = F.greatest(chunk * CHUNK - BACK, F.lit(0))
-        taken = F.substring(F.col("text"), (begin + 1).cast("int"), (chunk * CHUNK - begin + CHUNK + AHEAD).cast("int"))
-        return F.struct(taken.alias("piece"), (chunk * CHUNK - begin).cast("int").alias("lead"))
-
-    whole = F.array(F.struct(F.col("text").alias("piece"), F.lit(0).alias("lead")))
-    cut = F.when(F.col("chunks") == 1, whole).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), piece))
-    pieces = rows.select("row", "doc_id", "n_bytes", "chunks", F.posexplode(cut).alias("chunk", "x"))
-    pieces = pieces.select("row", "doc_id", "n_bytes", F.col("chunk").cast("long").alias("chunk"), "chunks", "x.piece", "x.lead", F.lit(None).cast("string").alias("entry"))
-    maps = store(pieces.mapInArrow(_map_chunks(path, CHUNK), _MAPS), "state-maps")
+    mapped = _map_chunks(path, CHUNK)
+    maps = store(rows.mapInArrow(lambda batches: mapped(_cut(batches)), _MAPS), "state-maps")
     counted = maps.where("chunks = 1").select("doc_id", "n_bytes", "n")
     parts = maps.where("chunks > 1")
     if not parts.isEmpty():

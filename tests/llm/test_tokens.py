@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -81,6 +82,25 @@ def test_counts_of_rows(spark, library, monkeypatch, back):
     assert token_counts(docs.limit(0), JSON).count() == 0
 
 
+def test_texts_are_cut_in_pieces_of_bounded_size():
+    """Chunks with what is before and after them, whatever characters are made of."""
+    texts = ["", "short", "é🎉 a" * 40_000, "x" * (1 << 23)]
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array([1, None, 2, 2]), pa.array([len(t.encode()) for t in texts]), pa.array(texts)], ["row", "doc_id", "n_bytes", "text"])
+    batches = list(token_count._cut(iter([rows])))
+    size, before, after = token_count.CHUNK, token_count.BACK, token_count.AHEAD
+    assert len(batches) > 2
+    found = {7: "", 8: "", 9: "", 10: ""}
+    for batch in batches:
+        pieces = batch.column("piece").to_pylist()
+        assert sum(map(len, pieces)) <= token_count.HELD + size + before + after
+        for row, chunk, chunks, piece, lead in zip(*(batch.column(c).to_pylist() for c in ("row", "chunk", "chunks")), pieces, batch.column("lead").to_pylist(), strict=True):
+            text = texts[row - 7]
+            assert lead == (before if chunk else 0) and chunks == max(1, -(-len(text) // size))
+            assert piece == text[chunk * size - lead : chunk * size + size + after]
+            found[row] += piece[lead : lead + size]
+    assert [found[k] for k in sorted(found)] == texts
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 64, 65, 1000, 70_000])
 def test_slots_are_a_permutation(n):
     slots = slots_of(np.arange(n), n, 5)

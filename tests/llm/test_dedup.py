@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from archipelago.llm.components import connected_components, union_find
 from archipelago.llm import line_dedup as lines_module
+from archipelago.llm import textkit
 from archipelago.llm.line_dedup import SHINGLE, duplicate_lines, line_dedup, without_lines
 from archipelago.llm.minhash_dedup import near_duplicates
 from archipelago.llm.substring import _dealt, _Flat, align, chains, repeated_passages, single_runs
@@ -123,6 +124,26 @@ def test_word_hashes_over_step_ends():
     assert word_hashes(b"ABC")[0] == word_hashes(b"abc")[0] and word_hashes(b"ABC", fold=False)[0] != word_hashes(b"abc", fold=False)[0]
 
 
+def test_words_made_to_break_a_hash_stay_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word[:1024], other[:1024], word[:1024] + other[:1024], "a" * 2048, "b" * 2048, "\0", "\0\0"]
+    assert len({int(word_hashes(t.encode())[0][0]) for t in texts}) == len(set(texts))
+    rows = {r["doc_id"]: r for r in near_duplicates(spark.createDataFrame(list(enumerate([word, other, word])), "doc_id long, text string"), 2, 80).collect()}
+    assert [rows[k]["component_id"] for k in range(3)] == [0, 1, 0]
+
+
+def test_word_hash_sums_a_value_for_each_place():
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choice("abzZ\u00e9") for _ in range(rnd.choice([1, 5, 63, 64, 65, 300]))) for _ in range(500)).encode()
+    for fold in (True, False):
+        words = [w.lower() if fold else w for w in text.split()]
+        by_hand = [sum(int(v) for v in textkit._values(np.array([256 * k + c for k, c in enumerate(w)]))) % (1 << 64) for w in words]
+        assert word_hashes(text, fold)[0].tolist() == textkit.mix(np.array(by_hand, np.uint64)).tolist()
+
+
 def lines_by_hand(rows, percent=80):
     lines = [(i, k, x.strip(" ").lower()) for i, t in rows for k, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     sets = {x: {x[j : j + SHINGLE] for j in range(max(1, len(x) - SHINGLE + 1))} for _, _, x in lines}

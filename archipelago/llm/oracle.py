@@ -6,7 +6,7 @@ brute-force versions, exact round trips or held-out accuracy.
 
 from __future__ import annotations
 
-from archipelago.llm.quality_rules import ALPHA, DELTA, GRID
+from archipelago.llm.quality_rules import ALPHA, DELTA, GRID, settings
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"'[^\x20\x09-\x0D]+'"
@@ -33,11 +33,12 @@ fit AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rhost)
 SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, 'allow') AS verdict FROM fit WHERE nth = 1
 """
 
-_TRIES = ", ".join(f"('{rule}', {cut})" for rule, cuts in GRID.items() for cut in cuts)
-_N_TRIES = sum(map(len, GRID.values()))
+_SETTINGS = ", ".join(f"({which}, {step}, {', '.join(str(cut.get(rule, 'NULL::DOUBLE')) for rule in GRID)})" for which, step, cut in settings())
 _RATES = {"symbols_per_word": "n_symbols / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "shout_share": "n_shouted / greatest(n_words, 1)"}
 
-OP7 = rf"""
+
+def quality_rules_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {WORD})) AS lines FROM documents),
@@ -50,21 +51,21 @@ m AS (
          len(regexp_extract_all(text, '\p{{Lu}}{{2,}}[^\x20\x09-\x0D]*')) AS n_shouted FROM w LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 r AS (SELECT *, {", ".join(f"{sql} AS {name}" for name, sql in _RATES.items())} FROM f),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-long AS (UNPIVOT (SELECT doc_id, lang, base_failed, {", ".join(_RATES)} FROM r) ON {", ".join(_RATES)} INTO NAME rule VALUE rate),
-tries(rule, cut) AS (VALUES {_TRIES}),
-held AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (rate >= cut) AS k FROM long JOIN good USING (doc_id) JOIN tries USING (rule) WHERE NOT base_failed GROUP BY ALL),
-level AS (SELECT {DELTA} / ({_N_TRIES} * count(DISTINCT lang)) AS level FROM held),
+lab AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+setting(which, step, {", ".join(f"cut_{x}" for x in GRID)}) AS (VALUES {_SETTINGS}),
+held AS (SELECT lang, good, which, step, {" OR ".join(f"coalesce({x} >= cut_{x}, false)" for x in GRID)} AS hit FROM r JOIN lab USING (doc_id), setting WHERE NOT base_failed),
+counts AS (SELECT lang, which, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k, count(*) FILTER (NOT good AND hit) AS caught FROM held GROUP BY ALL),
+level AS (SELECT {delta} / ({2 ** len(GRID) - 1} * count(*)) AS level FROM (SELECT DISTINCT lang FROM counts WHERE n > 0)),
 sure AS (
-  SELECT lang, rule, cut FROM held, level WHERE k <= n * {ALPHA}
-  AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) FOR i IN range(0, k + 1)]) <= level),
-best AS (SELECT lang, rule, min(cut) AS cut FROM sure GROUP BY ALL),
-out AS (SELECT doc_id, min(rule_no) AS rule_no FROM (
-  SELECT doc_id, list_position([{", ".join(f"'{x}'" for x in GRID)}], long.rule) AS rule_no FROM long JOIN best ON best.lang IS NOT DISTINCT FROM long.lang AND best.rule = long.rule WHERE rate >= cut AND NOT base_failed) GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule_no IS NULL AS kept,
-       [{", ".join(f"'{x}'" for x in GRID)}][rule_no] AS rejected_by FROM r LEFT JOIN out USING (doc_id)
+  SELECT counts.* FROM counts, level WHERE caught > 0 AND k <= n * {alpha}
+  AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})) FOR i IN range(0, k + 1)]) <= level),
+best AS (SELECT lang, which, step FROM sure QUALIFY row_number() OVER (PARTITION BY lang ORDER BY caught DESC, k, step DESC, which) = 1),
+chosen AS (SELECT lang, {", ".join(f"cut_{x}" for x in GRID)} FROM best JOIN setting USING (which, step))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, rejected_by FROM (
+  SELECT r.*, CASE WHEN base_failed THEN NULL {" ".join(f"WHEN {x} >= cut_{x} THEN '{x}'" for x in GRID)} END AS rejected_by FROM r LEFT JOIN chosen ON chosen.lang IS NOT DISTINCT FROM r.lang)
 """
 
+
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 OP9 = rf"""
 WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOW}, {_ALNUM}) AS w FROM benchmark),
@@ -132,4 +133,4 @@ SELECT f.word, f.form, up.top AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": OP7, "op9_decontamination": OP9, "op11_conversation_trie": OP11, "op13_spelling_variants": OP13}
+    return {"op3_minhash_dedup": OP3, "op4_url_filter": OP4, "op7_quality_rules": quality_rules_sql(), "op9_decontamination": OP9, "op11_conversation_trie": OP11, "op13_spelling_variants": OP13}

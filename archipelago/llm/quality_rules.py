@@ -1,21 +1,29 @@
 """Quality rules with risk-controlled thresholds (operator 7).
 
 Each text gets a few measures.  A rule rejects a text whose measure is at or
-above a cutoff.  For every rule and stratum the cutoff is the lowest of a fixed
-grid that the labelled holdout certifies: the exact binomial test of "the rule
+above the rule's cutoff.  A *setting* is a set of rules and a step of their grids
+of cutoffs; it rejects what any of its rules rejects.  For every stratum the
+labelled holdout certifies settings: the exact binomial test of "the setting
 rejects more than ``alpha`` of the stratum's good documents" must fail at level
-``delta / (rules x strata x cutoffs)`` (Bonferroni).  So with probability
-``1 - delta`` no rule of any stratum falsely rejects more than ``alpha``.  A
-stratum with too few labels to certify anything gets no cutoff from them.
+``delta / (strata x sets of rules)``.  The steps of one set are nested, from lax to
+strict, so they are a fixed sequence, which is tested without further correction: a
+step that fails makes all stricter ones fail.  Over strata and sets the correction
+is Bonferroni's.  So with probability ``1 - delta`` in no stratum do the chosen
+rules *together* falsely reject more than ``alpha``.
+
+Of a stratum's certified settings that one is chosen which rejects most of its
+documents labelled as bad; then fewest good ones, then the laxest, then the first
+set.  A stratum with too few good labels to certify anything, or whose certified
+settings reject no bad one, gets no cutoffs.
 
 All of it is DataFrame functions.  The holdout is aggregated to a row for each
-(stratum, rule, cutoff) before the test, and that table, bounded by the number
-of strata, joins back on the stratum.
+combination of steps that a document's measures reach, in its stratum, before the
+test, and the chosen settings, a row for each stratum, join back on the stratum.
 
 Defined results.  A null or empty text has no words and fails the base rules.  A
 null stratum is a stratum of its own.  Labels of unknown documents, and null
 labels, are ignored; of a document labelled more than once the least label
-counts.  Without labels no learned rule rejects anything.
+counts, and any but 1 is bad.  Without labels no learned rule rejects anything.
 """
 
 from __future__ import annotations
@@ -140,34 +148,48 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["total"])
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: dict | None = None) -> DataFrame:
-    """``stratum`` and a map ``cutoffs`` from rule to its certified cutoff."""
+def settings(grid: dict | None = None) -> list[tuple[int, int, dict]]:
+    """All ``(set, step, cutoffs)``: bit ``k`` of ``set`` stands for the grid's rule
+    ``k``, step 0 is the strictest.  A rule with fewer cutoffs stays at its strictest."""
     grid = grid or GRID
-    good = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .where("quality = 1")
-        .select("doc_id")
-    )
-    held = measured.where(~base_failed()).join(good, "doc_id").select("stratum", *[v.alias(k) for k, v in _rates().items()])
-    tries = [(rule, cut) for rule, cuts in grid.items() for cut in cuts]
-    counts = held.groupBy("stratum").agg(
-        F.count("*").alias("n"), *[F.count_if(F.col(rule) >= F.lit(cut)).alias(f"k{i}") for i, (rule, cut) in enumerate(tries)]
-    )
-    counts = store(counts, "holdout")
-    level = F.lit(log(delta / (len(tries) * max(1, counts.count()))))
-    rows = counts.select(
-        "stratum",
-        "n",
-        level.alias("level"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tries)])).alias("x"),
+    steps = max(map(len, grid.values()))
+    return [
+        (which, step, {rule: cuts[max(0, len(cuts) - steps + step)] for k, (rule, cuts) in enumerate(grid.items()) if which >> k & 1})
+        for which in range(1, 1 << len(grid))
+        for step in range(steps)
+    ]
+
+
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid: dict | None = None) -> DataFrame:
+    """``stratum`` and a map ``cutoffs`` from the chosen rules to their cutoffs."""
+    tried = settings(grid)
+    rules = list(grid or GRID)
+    sets = (1 << len(rules)) - 1
+    steps = len(tried) // sets
+    # how many of a rule's cutoffs, which ascend, a measure reaches
+    reached = {}
+    for k, rule in enumerate(rules):
+        cuts = [cut[rule] for which, _, cut in tried if which == 1 << k]
+        reached[rule] = sum((_rates()[rule] >= F.lit(cut)).cast("int") for cut in cuts)
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    held = measured.where(~base_failed()).join(known, "doc_id").select("stratum", "good", *[v.alias(k) for k, v in reached.items()])
+    cells = held.groupBy("stratum", *rules).agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad"))
+    cells = store(cells, "holdout")
+    level = log(delta / (sets * max(1, cells.where("n > 0").select("stratum").distinct().count())))
+    tops = [F.greatest(F.lit(0), *[F.col(r) for k, r in enumerate(rules) if which >> k & 1]) for which in range(1, sets + 1)]
+    each = cells.select("stratum", "n", "bad", F.posexplode(F.array(*tops)).alias("set", "top"))
+    each = each.groupBy("stratum", "set", "top").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    each = each.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    hit = F.col("top") > F.col("step")
+    counts = each.groupBy("stratum", "set", "step").agg(
+        F.sum("n").alias("n"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("k"), F.sum(F.when(hit, F.col("bad")).otherwise(0)).alias("caught")
     )
-    sure = rows.where(
-        F.when(F.col("x.k") <= F.col("n") * F.lit(alpha), log_binomial_tail(F.col("n"), F.col("x.k"), alpha) <= F.col("level")).otherwise(F.lit(False))
+    sure = counts.where("caught > 0").where(
+        F.when(F.col("k") <= F.col("n") * F.lit(alpha), log_binomial_tail(F.col("n"), F.col("k"), alpha) <= F.lit(level)).otherwise(F.lit(False))
     )
-    best = sure.groupBy("stratum", F.col("x.rule").alias("rule")).agg(F.min("x.cut").alias("cut"))
-    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cutoffs"))
+    best = sure.groupBy("stratum").agg(F.max_by(F.struct("set", "step"), F.struct("caught", -F.col("k"), "step", -F.col("set"))).alias("x"))
+    maps = F.array(*[F.create_map(*[F.lit(v) for pair in cut.items() for v in pair]) for _, _, cut in tried])
+    return best.select("stratum", F.get(maps, (F.col("x.set") * steps + F.col("x.step")).cast("int")).alias("cutoffs"))
 
 
 def judged(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -200,7 +222,7 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     The labelled rows are measured to set the cutoffs; then all rows are
     measured and judged where they are read, so no text is shuffled.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct()
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct()
     held = store(measures(docs.join(known, "doc_id", "left_semi"), stratum), "measures")
     cutoffs = store(certified_cutoffs(held, labels, alpha, delta), "cutoffs")
     whole = docs.select(F.struct("*").alias("whole"), "doc_id", "text", stratum)

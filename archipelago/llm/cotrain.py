@@ -8,7 +8,8 @@ of the corpus; per source and class the share that it is surest about teaches
 the other view, a document once for each view.  Both views are calibrated on
 held-out labels (a logistic curve over each score), and the sum of the
 calibrated log-odds, weighted by a third fit on the same labels, scores every
-document of the corpus in one narrow pass.
+document of the corpus in one narrow pass.  Texts are read once, into a table of
+packed features; rounds and scores read that.
 
 Bounds: the rows with labels that models are fitted on, ``labelled`` given ones
 and ``taught`` pseudo-labelled ones a round and view, chosen by a hash of the id
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +49,39 @@ for _k, _group in enumerate((b"#*$%&|<>!", b"0123456789", b"ABCDEFGHIJKLMNOPQRST
     _MARKS[list(_group)] = _k + 1
 
 
-def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of the content view; values have length one."""
-    words = word_hashes(text)[0]
-    n = max(1, len(words))
-    if not len(words):
-        return np.empty(0, np.int64), np.empty(0)
+def text_counts(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the content view's words and pairs, ascending, how often each is
+    met, and the text's statistics; all are empty for a text without words."""
+    words = word_hashes(text, exact=False)[0]
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     pairs = mix(words[:-1] * np.uint64(3) + words[1:])
     slot, count = np.unique((np.concatenate([words, pairs]) >> np.uint64(64 - TEXT_BITS)).astype(np.int64), return_counts=True)
-    value = np.log1p(count)
     shape = np.bincount(_MARKS[np.frombuffer(text, np.uint8)], minlength=6)[1:] / len(text)
     repeats = 1 - len(np.unique(words)) / n
     again = 1 - len(np.unique(pairs)) / max(1, len(pairs))
-    extra = np.array([*np.sqrt(shape), repeats, again, np.log1p(n) / 10, len(text) / n / 20])
-    value = value / np.sqrt((value**2).sum())
+    return slot, count, np.array([*np.sqrt(shape), repeats, again, np.log1p(n) / 10, len(text) / n / 20])
+
+
+#: Statistics of a text.
+EXTRA = 9
+
+
+def text_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values of the content view; the counts' values have length one."""
+    slot, count, extra = text_counts(text)
+    value = np.log1p(count)
+    value = value / np.sqrt((value**2).sum()) if len(value) else value
     return np.concatenate([slot, (1 << TEXT_BITS) + np.arange(len(extra))]), np.concatenate([value, extra])
 
 
-TEXT_SIZE = (1 << TEXT_BITS) + 9
+TEXT_SIZE = (1 << TEXT_BITS) + EXTRA
+
+
+@lru_cache(maxsize=1 << 16)
+def _meta_slot(name: str) -> int:
+    return int(word_hashes(name.encode().replace(b" ", b"_"), exact=False)[0][0] >> np.uint64(64 - META_BITS))
 
 
 def meta_features(source, lang, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +89,7 @@ def meta_features(source, lang, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     lines = text.count(b"\n") + 1
     size = int(np.log2(len(text) + 1))
     names = [f"source={source}", f"lang={lang}", f"size={size}", f"lines={int(np.log2(lines))}", f"line={int(np.log2(len(text) / lines + 1))}", f"lang={lang},size={size}"]
-    slots = [word_hashes(n.encode().replace(b" ", b"_"))[0][0] >> np.uint64(64 - META_BITS) for n in names]
-    return np.array(slots, np.int64), np.ones(len(slots))
+    return np.array([_meta_slot(n) for n in names], np.int64), np.ones(len(names))
 
 
 META_SIZE = 1 << META_BITS
@@ -84,25 +100,29 @@ def _matrix(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return np.concatenate([r[0] for r in rows] or [np.empty(0, np.int64)]), np.concatenate([r[1] for r in rows] or [np.empty(0)]), ends
 
 
-def _scores(data: tuple, weights: np.ndarray, bias: float) -> np.ndarray:
+def _rows(ends: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+
+
+def _scores(data: tuple, weights: np.ndarray, bias: float, row: np.ndarray | None = None) -> np.ndarray:
+    """The score of each row, added up by itself: the same whatever rows it comes
+    with, so that equal rows tie."""
     slots, values, ends = data
-    sums = np.concatenate([[0.0], np.cumsum(values * weights[slots])])
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    return sums[ends] - sums[starts] + bias
+    return np.bincount(_rows(ends) if row is None else row, values * weights[slots], len(ends)) + bias
 
 
 def fit_logistic(data: tuple, y: np.ndarray, size: int, weight: np.ndarray, l2: float = 1e-4, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam, classes weighted evenly; from
     ``start``, weights fitted to most of the rows, fewer steps are enough."""
     slots, values, ends = data
-    row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    row = _rows(ends)
     share = np.array([max(1e-9, weight[y == k].sum()) for k in (0, 1)])
     weight = weight / share[y.astype(int)] / 2
     w = np.zeros(size + 1) if start is None else np.append(*start)
     b = float(w[size])
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, (EPOCHS if start is None else MORE_EPOCHS) + 1):
-        p = 1 / (1 + np.exp(-np.clip(_scores(data, w[:size], b), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(_scores(data, w[:size], b, row), -30, 30)))
         error = (p - y) * weight
         g = np.append(np.bincount(slots, values * error[row], size) + l2 * w[:size], error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -195,25 +215,80 @@ def co_train(rows: Rows, teach=None, rounds: int = ROUNDS) -> Model:
     return Model(views[0], views[1], curves, (max(0.0, w[0]), max(0.0, w[1]), b + prior), base, tuple(added))
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+_PACKED = {"low": np.uint8, "high": np.uint8, "counts": np.uint8, "more": np.uint32, "extra": np.float64, "meta": np.uint16}
+FEATURES = "doc_id long, source string, lang string, hash long, " + ", ".join(f"{name} binary" for name in _PACKED)
 
 
-def _brought(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views of each document, packed.
+
+    ``low`` and ``high`` are the bytes of the steps between a text's slots, so that
+    the second column is nearly all zeros; counts of 255 and above are in ``more``.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            columns: dict[str, list[bytes]] = {name: [] for name in _PACKED}
+            for text, source, lang in zip(batch["text"], batch["source"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                text = (text.as_py() or "").encode()
+                slot, count, extra = text_counts(text)
+                step = np.diff(slot, prepend=0)
+                values = step & 255, step >> 8, np.minimum(count, 255), count[count >= 255], extra, meta_features(source, lang, text)[0]
+                for (name, kind), value in zip(_PACKED.items(), values, strict=True):
+                    columns[name].append(value.astype(kind).tobytes())
+            kept = {name: batch[name] for name in ("doc_id", "source", "lang", "hash")}
+            yield pa.RecordBatch.from_pydict(kept | {name: pa.array(c, pa.binary()) for name, c in columns.items()})
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column, one after another, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.frombuffer(data.tobytes(), kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[tuple, tuple]:
+    """The matrices of both views, as :func:`_matrix` makes them, of packed rows."""
+    flat = {name: _flat(batch[name], kind) for name, kind in _PACKED.items()}
+    (low, n), (high, _), (count, _), (extra, extras) = (flat[name] for name in ("low", "high", "counts", "extra"))
+    slots = np.cumsum(low + high.astype(np.int64) * 256)
+    first = np.cumsum(n) - n
+    slots = slots - np.repeat(np.append(0, slots)[first], n)
+    count = count.astype(np.float64)
+    count[count == 255] = flat["more"][0]
+    value, row = np.log1p(count), np.repeat(np.arange(len(n)), n)
+    value = value / np.sqrt(np.bincount(row, value**2, len(n)))[row]
+    # a row's statistics follow its slots
+    counted = np.repeat(np.tile([True, False], len(n)), np.column_stack([n, extras]).ravel())
+    places, values = np.empty(len(counted), np.int64), np.empty(len(counted))
+    places[counted], values[counted] = slots, value
+    places[~counted] = (1 << TEXT_BITS) + np.tile(np.arange(EXTRA), len(extra) // EXTRA)
+    values[~counted] = extra
+    meta, names = flat["meta"]
+    return (places, values, np.cumsum(n + extras)), (meta.astype(np.int64), np.ones(len(meta)), np.cumsum(names))
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; every text is cut and hashed here and nowhere else."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
+    return rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_features, FEATURES)
+
+
+def _brought(features: DataFrame, chosen: DataFrame) -> list[tuple]:
     """The features of ``chosen(doc_id, quality, learner)``, a bounded number of
     rows, each with its learner; of a text of any length no more than
     ``TEXT_SIZE`` numbers come to the driver, and none for the metadata view.  Of
     rows of one id the one whose text has the least hash is brought."""
-    rows = _columns(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "learner", F.col("quality").cast("int").alias("quality"))
-    one = F.min_by(F.struct("source", "lang", "text"), F.struct(F.xxhash64("text"), "source", "lang"))
-    rows = rows.agg(one.alias("one")).select("doc_id", "quality", "one.*", "learner")
-    rows = rows.mapInArrow(_features, "doc_id long, quality int, learner int, slots binary, parts binary, meta binary")
-    none = F.when(F.col("learner") != 1, F.lit(True))
-    rows = rows.withColumns({c: F.when(none, F.col(c)).otherwise(F.lit(b"")) for c in ("slots", "parts")})
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "learner", F.col("quality").cast("int").alias("quality"))
+    rows = rows.agg(F.min_by(F.struct(*_PACKED), F.struct("hash", "source", "lang")).alias("one")).select("doc_id", "quality", "one.*", "learner")
+    rows = rows.withColumns({c: F.when(F.col("learner") == 1, F.lit(b"")).otherwise(F.col(c)) for c in _PACKED if c != "meta"})
     out = []
-    for r in rows.orderBy("doc_id", "learner").collect():
-        slots, parts, meta = np.frombuffer(r["slots"], np.int32), np.frombuffer(r["parts"], np.float32), np.frombuffer(r["meta"], np.int32)
-        out.append((r["learner"], ((slots, parts), (meta, np.ones(len(meta), np.float32)), r["quality"])))
+    for batch in rows.orderBy("doc_id", "learner").toArrow().to_batches(500):
+        views = _unpacked(batch)
+        for k, (learner, quality) in enumerate(zip(batch["learner"].to_pylist(), batch["quality"].to_pylist(), strict=True)):
+            parts = [(s[a:b].astype(np.int32), v[a:b].astype(np.float32)) for s, v, ends in views for a, b in ((ends[k - 1] if k else 0, ends[k]),)]
+            out.append((learner, (*parts, quality)))
     return out
 
 
@@ -226,25 +301,30 @@ def _bounded(rows: DataFrame, seed: int, most: int) -> DataFrame:
     return rows.distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
+def _apart(ids: np.ndarray, view: int) -> np.ndarray:
+    """What is added to a view's scores, so that the share taken of rows that tie,
+    as metadata often do, is chosen by a hash of their ids."""
+    return mix(ids.astype(np.int64).view(np.uint64) * np.uint64(2) + np.uint64(view)) / 2.0**64 * 1e-9
+
+
 def _view_scores(views: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [(t.as_py() or "").encode() for t in part.column("text")]
-                meta = zip(part.column("source").to_pylist(), part.column("lang").to_pylist(), texts, strict=True)
-                one, two = _scores(_matrix([text_features(t) for t in texts]), *views[0]), _scores(_matrix([meta_features(*m) for m in meta]), *views[1])
+                ids = np.asarray(part["doc_id"])
+                one, two = (_scores(data, *view) + _apart(ids, v) for v, (data, view) in enumerate(zip(_unpacked(part), views, strict=True)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(one, pa.float64()), pa.array(two, pa.float64())], ["doc_id", "source", "s0", "s1"])
 
     return run
 
 
-def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
+def _teacher(features: DataFrame, labels: DataFrame, taught: int, sure: float):
     """The teaching step of :func:`co_train` over the whole corpus.
 
     A view is sure of the lowest and the highest scores of each source: of
     ``sure`` of its rows, split between the classes as the labels are, and only
-    beyond log-odds of 1.  Cutoffs are quantile sketches of all unlabelled rows
+    beyond log-odds of 1.  Ties are broken by a hash of the id.  Cutoffs are quantile sketches of all unlabelled rows
     of the source.
     """
     known = _marks(labels).select("doc_id").hint("shuffle_merge")
@@ -253,8 +333,8 @@ def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
 
     def teach(views: list, base: float) -> list[Rows]:
         turn[0] += 1
-        # texts are scored where they are read; only scores meet the labels
-        scored = _columns(docs).where("doc_id IS NOT NULL").mapInArrow(_view_scores(views), "doc_id long, source string, s0 double, s1 double")
+        # features are scored where they are read; only scores meet the labels
+        scored = features.where("doc_id IS NOT NULL").mapInArrow(_view_scores(views), "doc_id long, source string, s0 double, s1 double")
         scored = store(scored.join(known, "doc_id", "left_anti"), "view-scores")
         shares = [sure * (1 - base), 1 - sure * base]
         cuts = scored.groupBy("source").agg(*[F.percentile_approx(f"s{v}", shares, 10_000).alias(f"c{v}") for v in (0, 1)])
@@ -273,29 +353,18 @@ def _teacher(docs: DataFrame, labels: DataFrame, taught: int, sure: float):
             mine = chosen.withColumn("learner", F.lit(learner))
             every = mine if every is None else every.unionByName(mine)
         drop(scored)
-        found = _brought(docs, every)
+        found = _brought(features, every)
         return [[row for learner, row in found if learner == v] for v in (0, 1)]
 
     return teach
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(t.as_py() or "").encode() for t in batch.column("text")]
-        content = [text_features(t) for t in texts]
-        meta = [meta_features(*m)[0] for m in zip(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), texts, strict=True)]
-        made = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in (([c[0] for c in content], np.int32), ([c[1] for c in content], np.float32), (meta, np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), batch.column("learner"), *made], ["doc_id", "quality", "learner", "slots", "parts", "meta"])
-
-
 def _score(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [(t.as_py() or "").encode() for t in part.column("text")]
-                meta = zip(part.column("source").to_pylist(), part.column("lang").to_pylist(), texts, strict=True)
-                one, two, both = model.score(_matrix([text_features(t) for t in texts]), _matrix([meta_features(*m) for m in meta]))
+                one, two, both = model.score(*_unpacked(part))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(x, pa.float64()) for x in (one, two, both)), pa.array(both >= threshold)],
                     ["doc_id", "text_score", "meta_score", "score", "kept"],
@@ -306,8 +375,9 @@ def _score(model: Model, threshold: float):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = LABELLED, taught: int = TAUGHT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """``doc_id, text_score, meta_score, score, kept`` of every row of ``docs``."""
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    features = store(_featured(docs), "features")
+    ids = features.where("doc_id IS NOT NULL").select("doc_id")
     sample = store(_bounded(ids.join(_marks(labels), "doc_id"), 5, labelled), "labelled")
-    rows = [row for _, row in _brought(docs, sample.withColumn("learner", F.lit(-1)))]
-    model = co_train(rows, _teacher(docs, labels, taught, sure) if len({r[2] for r in rows}) > 1 else None, rounds)
-    return _columns(docs).mapInArrow(_score(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    rows = [row for _, row in _brought(features, sample.withColumn("learner", F.lit(-1)))]
+    model = co_train(rows, _teacher(features, labels, taught, sure) if len({r[2] for r in rows}) > 1 else None, rounds)
+    return features.mapInArrow(_score(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")

@@ -52,17 +52,45 @@ def _step_words(buf: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(values, first)), start
 
 
-def word_hashes(text: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+_RNG = np.random.default_rng(20240229)
+_BASE = np.uint64(int(_RNG.integers(1 << 62)) | 1)
+_LETTER = _RNG.integers(0, 1 << 63, size=256, dtype=np.uint64)
+_FOLDED = _LETTER.copy()
+_FOLDED[65:91] = _LETTER[97:123]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER = _powers(int(_BASE), STEP + 1)
+_UNPOWER = _powers(pow(int(_BASE), -1, 1 << 64), STEP + 1)
+
+
+def _step_slots(buf: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    word = ~_SPACE[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _LETTER)[buf] * _POWER[: len(buf)], out=total[1:])
+    return mix((total[end] - total[start]) * _UNPOWER[start]), start
+
+
+def word_hashes(text: bytes, fold: bool = True, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs without ASCII white space) and their byte starts.
 
     The hash is mixed from the sum of a value for each letter at its place
-    (tabulation hashing), which no structure within a word cancels out.
+    (tabulation hashing), which no structure within a word cancels out.  Without
+    ``exact`` it is a polynomial modulo 2 ** 64, which is cheaper and does where words
+    made to share a hash may share it, as for a model's slots.
     With ``fold`` A-Z count as a-z.  A single word longer than ``STEP`` is
     hashed in pieces that are folded into one value.
     """
-    buf = np.frombuffer(text, np.uint8)
+    buf, step = np.frombuffer(text, np.uint8), _step_words if exact else _step_slots
     if len(buf) <= STEP:
-        return _step_words(buf, fold)
+        return step(buf, fold)
     hashes, starts, at = [], [], 0
     while at < len(buf):
         end = min(len(buf), at + STEP)
@@ -77,12 +105,12 @@ def word_hashes(text: bytes, fold: bool = True) -> tuple[np.ndarray, np.ndarray]
                 stop = len(buf) if rest >= len(buf) else rest + int(np.flatnonzero(_SPACE[buf[rest : rest + STEP]])[0])
                 value = np.zeros(1, np.uint64)
                 for p in range(at, stop, STEP):
-                    value = mix(value * np.uint64(0x9E3779B97F4A7C15) + _step_words(buf[p : min(stop, p + STEP)], fold)[0])
+                    value = mix(value * np.uint64(0x9E3779B97F4A7C15) + step(buf[p : min(stop, p + STEP)], fold)[0])
                 hashes.append(value)
                 starts.append(np.array([at]))
                 at = stop
                 continue
-        h, s = _step_words(buf[at:end], fold)
+        h, s = step(buf[at:end], fold)
         hashes.append(h)
         starts.append(s + at)
         at = end

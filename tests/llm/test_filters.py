@@ -10,6 +10,7 @@ from math import comb
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def test_pseudo_labels_come_from_the_whole_corpus(spark):
     labels = spark.createDataFrame([(r[0], r[4], 0) for r in rows[:200]], "doc_id long, quality int, toxic int")
     sample = [(text_features(t.encode()), meta_features(s, g, t.encode()), y) for _, t, g, s, y in rows[:200]]
     seen = []
-    inner = cotrain._teacher(docs, labels, 60, 0.3)
+    inner = cotrain._teacher(cotrain._featured(docs), labels, 60, 0.3)
 
     def teach(views, base):
         seen.append(inner(views, base))
@@ -306,9 +307,62 @@ def test_an_id_of_many_rows_brings_one_to_the_driver(spark):
     many = spark.range(100_000).selectExpr("7L AS doc_id", "concat('row ', id) AS text", "if(id % 2 = 0, 'en', null) AS lang", "'s' AS source")
     docs = many.unionByName(spark.createDataFrame([(8, "eight", "en", None), (9, None, None, None)], "doc_id long, text string, lang string, source string"))
     chosen = spark.createDataFrame([(7, 1, 0), (7, 1, 1), (8, 0, 1), (9, 0, -1)], "doc_id long, quality int, learner int")
-    found = cotrain._brought(docs, chosen)
+    found = cotrain._brought(cotrain._featured(docs), chosen)
     assert sorted((learner, row[2]) for learner, row in found) == [(-1, 0), (0, 1), (1, 0), (1, 1)]
-    assert [learner for learner, row in found] == [learner for learner, row in cotrain._brought(docs.repartition(5), chosen)]
+    assert [learner for learner, row in found] == [learner for learner, row in cotrain._brought(cotrain._featured(docs.repartition(5)), chosen)]
+
+
+def test_packed_features_are_those_of_the_texts():
+    rnd = random.Random(8)
+    texts = [None, "", " \n", "one", "A b! 7\nA b! 7", "w " * 70_000, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(30_000))]
+    texts += [" ".join(f"v{rnd.randrange(50)}" for _ in range(rnd.randrange(200))) for _ in range(700)] + [None]
+    n = len(texts)
+    whole = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n)), "source": pa.array(["a b", None] * (n // 2) + ["s"] * (n % 2)), "lang": pa.array([None] * n, pa.string()), "text": pa.array(texts), "hash": pa.array(range(n))})
+    rows = pa.Table.from_batches(cotrain._features([whole.slice(0, 4), whole.slice(4)])).combine_chunks().to_batches()[0]
+    for at, size in ((0, n), (3, 5), (n - 1, 1), (2, 0)):
+        part = rows.slice(at, size)
+        want = cotrain._matrix([text_features((t or "").encode()) for t in texts[at : at + size]])
+        metas = cotrain._matrix([meta_features(r["source"], None, (t or "").encode()) for r, t in zip(part.to_pylist(), texts[at : at + size], strict=True)])
+        for found, plain in zip(cotrain._unpacked(part), (want, metas), strict=True):
+            assert found[0].tolist() == plain[0].tolist() and found[2].tolist() == plain[2].tolist()
+            assert np.allclose(found[1], plain[1], rtol=1e-12)
+
+
+def test_classifier_equals_plain_rounds(spark):
+    """All rows in memory, cutoffs by sorting; bounds that none exceeds."""
+    rows = reviews(500, 9)
+    docs = table(spark, [r[:4] for r in rows]).repartition(7)
+    given = {r[0]: r[4] for r in rows[:150]}
+    labels = spark.createDataFrame([(k, y, 0) for k, y in given.items()], "doc_id long, quality int, toxic int")
+    features = {k: (text_features(t.encode()), meta_features(s, g, t.encode())) for k, t, g, s, _ in rows}
+    source = {r[0]: r[3] for r in rows}
+    narrow = lambda k, y: (*[(slot, value.astype(np.float32)) for slot, value in features[k]], y)
+    free, done = sorted(k for k in features if k not in given), [set(), set()]
+
+    def teach(views, base):
+        out = [[], []]
+        for v in (0, 1):
+            scores = cotrain._scores(cotrain._matrix([features[k][v] for k in free]), *views[v]) + cotrain._apart(np.array(free), v)
+            score = dict(zip(free, scores, strict=True))
+            for name in set(source.values()):
+                mine = [k for k in free if source[k] == name]
+                order = sorted(score[k] for k in mine)
+                low, high = (order[max(1, int(np.ceil(p * len(order)))) - 1] for p in (0.3 * (1 - base), 1 - 0.3 * base))
+                for k in mine:
+                    label = 0 if score[k] <= low and score[k] < -1 else 1 if score[k] >= high and score[k] > 1 else None
+                    if label is not None and k not in done[1 - v]:
+                        out[1 - v].append((k, label))
+            done[1 - v] |= {k for k, _ in out[1 - v]}
+        return [[narrow(k, y) for k, y in sorted(x)] for x in out]
+
+    model = co_train([narrow(k, y) for k, y in sorted(given.items())], teach, 2)
+    assert min(model.added) > 20
+    ids = sorted(features)
+    want = model.score(*(cotrain._matrix([features[k][v] for k in ids]) for v in (0, 1)))
+    found = quality_scores(docs, labels, taught=5000).orderBy("doc_id").toPandas()
+    assert found["doc_id"].tolist() == ids
+    for name, plain in zip(("text_score", "meta_score", "score"), want, strict=True):
+        assert np.allclose(found[name], plain, atol=1e-6)
 
 
 def test_raking_meets_the_marginals():

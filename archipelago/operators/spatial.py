@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: A cell with more points than this, and than this part of all, is dealt to blocks.
 CROWD, PART = 50_000, 10_000
 
+#: Places of points that a task of the join gets; it may make many pairs of each.
+DEALT = 4_000
+
 _BOUNDS = [f"{p}_{k}" for p in ("min", "max") for k in "xyz"]
 
 
@@ -53,6 +56,9 @@ def box_join(points: DataFrame, boxes: DataFrame, reach: tuple[float, float, flo
     own cell of each level that boxes are on, so a pair meets exactly once.  Points
     are counted by cells; those of a crowded cell, of which there cannot be more
     than ``PART``, are dealt to blocks, each of which meets the cell's boxes.
+
+    Tasks are as many as the points ask for: adaptive execution would put together
+    those that read little, whatever number of pairs they make of it.
     """
     levels = sorted(r["level"] for r in _levelled(boxes, reach, _cell_size(reach, size)).select("level").distinct().collect())
     each = F.array(*[F.lit(k) for k in levels]) if levels else F.array().cast("array<int>")
@@ -60,7 +66,8 @@ def box_join(points: DataFrame, boxes: DataFrame, reach: tuple[float, float, flo
     placed = points.withColumn("level", F.explode(each))
     placed = placed.withColumn("cx", F.floor(F.col("mx") / cell)).withColumn("cz", F.floor(F.col("mz") / cell))
     key = ["level", "cx", "cz"]
-    most = max(CROWD, points.count() * len(levels) // PART)
+    places = points.count() * len(levels)
+    most, tasks = max(CROWD, places // PART), 1 + places // DEALT
     crowded = placed.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
     blocks = F.coalesce("blocks", F.lit(1))
     placed = placed.join(F.broadcast(crowded), key, "left").withColumn("block", F.pmod(F.xxhash64("mx", "my", "mz"), blocks).cast("int")).drop("blocks")
@@ -69,7 +76,9 @@ def box_join(points: DataFrame, boxes: DataFrame, reach: tuple[float, float, flo
     for k, r in zip("xyz", reach, strict=True):
         one = (F.col(f"m{k}") >= F.col(f"min_{k}") - r) & (F.col(f"m{k}") <= F.col(f"max_{k}") + r)
         hit = one if hit is None else hit & one
-    return placed.join(grown, [*key, "block"]).where(hit).drop(*key, "block")
+    meet = [*key, "block"]
+    dealt = placed.repartition(tasks, *meet).hint("shuffle_merge")
+    return dealt.join(grown.repartition(tasks, *meet), meet).where(hit).drop(*meet)
 
 
 def near_join(one: DataFrame, two: DataFrame, keys: list[str], a: str, b: str, radius: float) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import clamp, distance, finite, millimetres, quantize
 from archipelago.operators.islands import eligible
-from archipelago.operators.ranking import numbered
+from archipelago.operators.ranking import dealt, numbered
 from archipelago.operators.spatial import box_join
 from archipelago.plans.config import BuildConfig
 from archipelago.sources.mesh import Mesh
+from archipelago.storage import store
 
 LINK = ["from_island", "to_island", *[f"{p}{k}" for p in "st" for k in "xyz"], "horizontal", "vertical"]
 
@@ -150,7 +151,7 @@ def with_masses(links: DataFrame, islands: DataFrame) -> DataFrame:
 
 def rank_links(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """Add ``rank``, the place of each link in the order, from 1."""
-    return numbered(with_masses(links, islands), link_order(config), "rank")
+    return numbered(with_masses(links, islands), link_order(config), "rank", n=links.count())
 
 
 def _ordered(config: BuildConfig) -> Column:
@@ -169,10 +170,12 @@ def suppress_pairs(links: DataFrame, islands: DataFrame, config: BuildConfig) ->
     pair = {"pa": F.when(swap, F.col("to_island")).otherwise(F.col("from_island")), "pb": F.when(swap, F.col("from_island")).otherwise(F.col("to_island"))}
     key = pair | {f"q{k}": quantize(f"s{k}", cell) for k in "xyz"}
     turn = F.struct("from_island", "ord", "edge_no", "to_island")
-    groups = with_masses(links, islands).groupBy("from_island", "to_island", "poly_ref", "ord", "edge_no", "sx", "sy", "sz").agg(
+    own = ["from_island", "to_island", "poly_ref", "ord", "edge_no", "sx", "sy", "sz"]
+    n = links.count()
+    groups = dealt(with_masses(links, islands), n, *own).groupBy(*own).agg(
         F.max("accepted").alias("any"), F.min_by(F.struct(*LINK), F.when(F.col("accepted"), _ordered(config))).alias("best")
     )
-    groups = groups.withColumns(key).withColumn("turn", turn)
+    groups = dealt(groups.withColumns(key).withColumn("turn", turn), n, *key)
     commit = F.min(F.when(F.col("any"), F.col("turn"))).over(Window.partitionBy(*key))
     groups = groups.withColumn("commit", commit).withColumn("suppressed", F.coalesce(F.col("turn") > F.col("commit"), F.lit(False)))
     return groups.where("turn = commit").select("best.*"), groups.select("from_island", "to_island", "suppressed", "any")
@@ -181,6 +184,7 @@ def suppress_pairs(links: DataFrame, islands: DataFrame, config: BuildConfig) ->
 def dedup_candidates(links: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """The best link of each voxel pair and island pair; with symmetric limits
     both directions share one."""
+    given = links
     links = links.join(islands.where("outbound").select(F.col("id").alias("from_island")), "from_island", "left_semi")
     keep = [c for c in links.columns]
     if not config.density.candidates.enabled:
@@ -190,13 +194,13 @@ def dedup_candidates(links: DataFrame, islands: DataFrame, config: BuildConfig)
     pick = lambda a, b: F.when(swap, b).otherwise(a)
     key = {"ka": pick(F.col("from_island"), F.col("to_island")), "kb": pick(F.col("to_island"), F.col("from_island"))}
     key |= {f"k{p}{k}": quantize(pick(F.col(f"{p}{k}"), F.col(f"{q}{k}")), cell) for p, q in (("s", "t"), ("t", "s")) for k in "xyz"}
-    best = with_masses(links, islands).withColumns(key).groupBy(*key).agg(F.min_by(F.struct(*keep), _ordered(config)).alias("b"))
+    best = dealt(with_masses(links, islands).withColumns(key), given.count(), *key).groupBy(*key).agg(F.min_by(F.struct(*keep), _ordered(config)).alias("b"))
     return best.select("b.*")
 
 
 def discover(boundaries: DataFrame, representatives: DataFrame, mesh: Mesh, labels: DataFrame, islands: DataFrame, config: BuildConfig) -> DataFrame:
     """All candidate links, marked with ``recovery``."""
-    links = scan(representatives, mesh, labels, islands, config, config.gap.horizontal)
+    links = store(scan(representatives, mesh, labels, islands, config, config.gap.horizontal), "scanned")
     if config.density.pair_scan.enabled:
         links = suppress_pairs(links, islands, config)[0]
     else:
@@ -205,4 +209,4 @@ def discover(boundaries: DataFrame, representatives: DataFrame, mesh: Mesh, labe
     if config.density.recovery.enabled:
         short = scan(boundaries, mesh, labels, islands, config, config.recovery_gap, recovery=True)
         links = links.unionByName(short.where("accepted").select(*LINK).withColumn("recovery", F.lit(True)))
-    return dedup_candidates(links, islands, config)
+    return dedup_candidates(store(links, "found"), islands, config)

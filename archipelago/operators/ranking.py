@@ -8,14 +8,34 @@ from pyspark.sql import functions as F
 from archipelago.storage import store
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+#: Rows that a task of :func:`dealt` gets, and one of a numbering whose rows are counted.
+ROWS = 100_000
+
+
+def tasks_for(n: int) -> int:
+    return 1 + n // ROWS
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows``, ``n`` in number, partitioned by ``keys`` for a grouping by them in as
+    many tasks as that number asks for.
+
+    Rows picked by ``min_by`` of a struct are sorted by their group, on both sides
+    of a shuffle, and adaptive execution sizes tasks by compressed bytes.  Here there
+    is one sort, of some ``ROWS`` rows; a larger group is sorted as a whole.
+    """
+    return rows.repartition(tasks_for(n), *keys)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, first: int = 1, n: int | None = None) -> DataFrame:
     """``rows`` with their place in ``order`` in the column ``name``.
 
     Rows are range partitioned and written, so that the partitions stay as they
     are; each is numbered on its own, and one count per partition tells where
-    it begins.
+    it begins.  ``n``, the number of rows where it is known, sets the number of ranges.
     """
-    parts = store(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ranges = rows.repartitionByRange(*order) if n is None else rows.repartitionByRange(tasks_for(n), *order)
+    parts = store(ranges.withColumn("_part", F.spark_partition_id()), "ranges")
     counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
     begins, total = [], first
     for part in sorted(counts):
@@ -23,6 +43,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str, first: int = 1) ->
         total += counts[part]
     begins = rows.sparkSession.createDataFrame(begins, "_part int, _begin long")
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    parts = parts.repartition(max(1, len(counts)), "_part")
     return parts.withColumn("_place", place).join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_place")).drop("_part", "_place", "_begin")
 
 

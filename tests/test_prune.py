@@ -163,3 +163,26 @@ def test_reserve_without_local_pruning(spark):
     ranked = rank_links(links(spark, rows), facts, config).cache()
     found = reserve_fates(ranked, facts, config).collect()
     assert ({r["rank"]: r["fate"] for r in found if r["fate"] != "saved"}, 0) == loop_fates(ranked, facts, config)
+
+
+def test_rounds_keep_open_conflicts_only(spark, monkeypatch):
+    """A chain of links, each beaten by the one before, and one with many conflicts
+    that the first round decides: later rounds must not carry those along."""
+    from archipelago.operators import prune as P
+
+    sizes, plain = [], P.store
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "conflicts":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "store", counted)
+    chain = [(k, k - 1, k - 1) for k in range(2, 7)]
+    wide = [(100 + k, 1, 1) for k in range(50)]
+    pair = [(200, 1, 2), (201, 1, 3)]  # 2 goes, so 200 stays; 1 and 3 stay, so 201 goes
+    ranks = spark.createDataFrame([(k,) for k in [*range(1, 7), *range(100, 150), 200, 201]], "rank long")
+    kept = P.decide(ranks, spark.createDataFrame(chain + wide + pair, "rank long, e1 long, e2 long"))
+    assert sorted(r["rank"] for r in kept.collect()) == [1, 3, 5, 200]
+    assert sizes[0] == 57 and sizes[-1] <= 2 and sizes == sorted(sizes, reverse=True)

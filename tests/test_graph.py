@@ -187,3 +187,29 @@ def test_spark_source_and_sink(spark, r1, tmp_path):
     rows = spark.read.format("islandgraph").option("table", "edges").load(path)
     assert rows.count() == 3 and spark.read.format("islandgraph").load(path).select(F.explode("polygons")).count() == 3
     assert graph_bytes(isl, r1.edges, r1.polygon_island) == open(f"{tmp_path}/graph.bin", "rb").read()
+
+
+def test_graph_file_never_brings_the_graph_to_the_driver(spark, r1, tmp_path, monkeypatch):
+    """Neither writing nor reading collects rows; a file is written chunk by chunk."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from archipelago.sources import graphfile
+
+    isl = r1.islands.select("id", *[F.lit(float(v)).alias(f"{p}_{k}") for p, v in (("center", 1), ("min", 0), ("max", 2)) for k in "xyz"], "mass_score", "suppressed")
+    whole = graph_bytes(isl, r1.edges, r1.polygon_island)
+    monkeypatch.setattr(graphfile, "CHUNK", 64)
+    parts = list(graphfile.graph_chunks(isl, r1.edges, r1.polygon_island))
+    assert b"".join(parts) == whole and len(parts) > 3
+    collected = []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(self) or [])
+    monkeypatch.setattr(DataFrame, "first", lambda self: collected.append(self))
+    path = f"file://{tmp_path}/graph.bin"
+    write_graph(path, isl, r1.edges, r1.polygon_island)
+    back, edges = read_graph(spark, path)
+    monkeypatch.undo()
+    assert not collected and open(f"{tmp_path}/graph.bin", "rb").read() == whole
+    assert (back.count(), edges.count()) == (3, 3)
+    with open(f"{tmp_path}/bad.bin", "wb") as file:
+        file.write(whole[:-1])
+    with pytest.raises(Exception, match="malformed_data"):
+        read_graph(spark, f"file://{tmp_path}/bad.bin")[1].collect()

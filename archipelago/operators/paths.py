@@ -1,6 +1,8 @@
 """Routes over the island graph.
 
-``best_routes`` relaxes many requests at once with joins until no cost falls.
+``best_routes`` relaxes many requests at once until no cost falls: in rounds over
+regions of the graph, each searched within a task, or, where filters and costs see
+the route's ends, over its traversals by joins.
 ``search_routes`` runs an A* search per request, with its budgets, counters and
 statuses.  Its graph is broadcast: the traversals that are left after pruning,
 whose number is checked.
@@ -16,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import dist, inf, isfinite
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +46,9 @@ def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = Non
     the same point share their labels.  A label is the least cost known to
     arrive through a traversal.  Each round extends the labels that fell in the
     last one, unless all requests of the start already have better routes, or
-    the island's best label gets to where they arrive for less on foot.
-    Ties go to the lesser edge list.
+    another label of the island gets to where they arrive for less on foot.
+    Of routes that cost the same and meet at a traversal, the one with the lesser
+    edge list goes on.
 
     ``cost`` and ``keep`` price and filter traversals for each route: they may
     name columns of ``links`` and the route's ``start_island``, ``end_island``
@@ -52,15 +56,179 @@ def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = Non
     the same ends then share their labels.
     """
     context = cost is not None or keep is not None
+    best = _by_joins(requests, links, cost, keep) if context else _by_regions(requests, links)
+    out = requests.select("request_id", "start_island", "end_island").join(best, "request_id", "left")
+    same = F.col("start_island") == F.col("end_island")
+    return out.select(
+        "request_id",
+        F.when(same, "same_island").when(F.col("best").isNotNull(), "success").otherwise("no_path").alias("status"),
+        F.when(~same, F.col("best.total")).alias("cost"),
+        F.when(~same, F.col("best.edges")).alias("edges"),
+    )
+
+
+#: Traversals that a region is meant to have; one island's are never parted.
+REGION = 100_000
+LABEL = "source long, request_id long, edge_index int, from_island long, to_island long, x double, y double, z double, g double, edges array<int>"
+
+
+def regions(links: DataFrame) -> DataFrame:
+    """``id, region`` of every island of ``links``: neighbours in a Z-order of their
+    links' mean places, cut into ranges of some ``REGION`` traversals."""
+    ends = [links.select(F.col(f"{side}_island").alias("id"), F.col(f"{p}x").alias("x"), F.col(f"{p}z").alias("z")) for side, p in (("from", "s"), ("to", "t"))]
+    at = store(ends[0].unionByName(ends[1]).groupBy("id").agg(F.avg("x").alias("x"), F.avg("z").alias("z"), F.count("*").alias("n")), "places")
+    low = at.agg(F.min("x"), F.min("z"), F.greatest(F.max("x") - F.min("x"), F.max("z") - F.min("z")), F.sum("n")).first()
+    n, unit = (low[3] or 0) // 2, max(low[2] or 0.0, 1e-9) / 65535
+    cell = lambda name, least: F.floor((F.col(name) - F.lit(least or 0.0)) / unit).cast("long")
+    bits = lambda v, shift: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + shift) for k in range(16)), F.lit(0).cast("long"))
+    coded = at.select("id", (bits(cell("x", low[0]), 0) + bits(cell("z", low[1]), 1)).alias("code"))
+    return store(coded.repartitionByRange(1 + n // REGION, "code", "id").select("id", F.spark_partition_id().alias("region")), "regions")
+
+
+def _by_regions(requests: DataFrame, links: DataFrame) -> DataFrame:
+    """``request_id, best(total, edges)`` where all requests see the same costs.
+
+    What enters a region through its borders is searched on within it to the end, so
+    the number of rounds follows the regions on a route, not its traversals.  Only
+    labels that pass a border are kept, and carry their edges.
+    """
+    asked = store(requests.where("start_island <> end_island"), "requests")
+    starts = asked.select("start_island", "ax", "ay", "az").distinct().withColumn("source", F.monotonically_increasing_id())
+    starts = store(starts, "sources")
+    where = regions(links)
+    at = lambda name: where.select(F.col("id").alias(name), "region")
+    hop = store(links.select("edge_index", "from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz", F.col("cost").cast("double").alias("cost")).join(at("from_island"), "from_island"), "portals")
+    none, no_list = F.lit(None).cast("long"), F.array().cast("array<int>")
+    goal = asked.join(starts, ["start_island", "ax", "ay", "az"]).select(
+        "source", "request_id", F.lit(-1).alias("edge_index"), F.lit(-1).cast("long").alias("from_island"), F.col("end_island").alias("to_island"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"), F.lit(0.0).alias("g"), no_list.alias("edges")
+    )
+    goal = store(goal.join(at("to_island"), "to_island"), "goals")
+    now = starts.select(
+        "source", none.alias("request_id"), F.lit(-1).alias("edge_index"), F.col("start_island").alias("from_island"), F.col("start_island").alias("to_island"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"), F.lit(0.0).alias("g"), no_list.alias("edges")
+    )
+    now = store(now.join(at("to_island"), "to_island").withColumn("stale", F.lit(False)), "routes")
+    want = store(asked.join(starts, ["start_island", "ax", "ay", "az"]).groupBy("source").agg(F.count("*").alias("want")), "wanted")
+    found = store(goal.select("source", "request_id", F.struct(F.col("g").alias("total"), "edges").alias("best")).limit(0), "found")
+    limits = want.select("source", F.lit(inf).alias("limit"))
+    while now.where("NOT stale").head(1):
+        todo = now.where("NOT stale").join(limits, "source").where("g < limit").select("source", "region", "limit").distinct()
+        todo = store(todo, "open")
+        held = now.select(*goal.columns).unionByName(goal).join(todo, ["source", "region"])
+        ground = hop.join(todo.select("source", "region"), "region")
+        made = store(held.groupBy("source", "region").cogroup(ground.groupBy("source", "region")).applyInPandas(_searched, LABEL), "passed")
+        more = made.where("request_id IS NOT NULL").select("source", "request_id", F.struct(F.col("g").alias("total"), "edges").alias("best"))
+        after = store(found.unionByName(more).groupBy("source", "request_id").agg(F.min("best").alias("best")), "found")
+        drop(found)
+        found = after
+        got = found.groupBy("source").agg(F.count("*").alias("got"), F.max("best.total").alias("most"))
+        limits = store(want.join(got, "source", "left").select("source", F.when(F.col("got") == F.col("want"), F.col("most")).otherwise(inf).alias("limit")), "limits")
+        passed = made.where("request_id IS NULL").join(at("to_island"), "to_island").withColumn("stale", F.lit(False)).select(*now.columns)
+        # what stood before comes first among equals, so that it is not searched again
+        told = F.struct("g", "edges", (~F.col("stale")).alias("fresh"))
+        both = now.withColumn("stale", F.lit(True)).unionByName(passed)
+        key = ["source", "region", "edge_index", "from_island", "to_island", "x", "y", "z"]
+        after = both.groupBy(*key).agg(F.min(told).alias("least"), none.alias("request_id"))
+        after = store(after.select("to_island", "source", "request_id", "edge_index", "from_island", "x", "y", "z", F.col("least.g").alias("g"), F.col("least.edges").alias("edges"), "region", (~F.col("least.fresh")).alias("stale")), "routes")
+        for old in (now, made, todo):
+            drop(old)
+        now = after
+    return found.select("request_id", "best")
+
+
+def _far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = p - q
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+
+
+def _beaten(g: float, at: np.ndarray, by: list[tuple[float, np.ndarray]]) -> bool:
+    """Whether one of ``by`` gets to ``at`` on foot for less than ``g``."""
+    return any(b + 1e-9 + _far(p, at) < g for b, p in by)
+
+
+def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+    """One source's search through one region: its labels that leave the region, and
+    its requests that end there."""
+    columns = [f.split(" ")[0] for f in LABEL.split(", ")]
+    if held.empty:
+        return pd.DataFrame(columns=columns)
+    entries, goals = held[held["request_id"].isna()], held[held["request_id"].notna()]
+    ground = ground.sort_values(["from_island", "edge_index"])
+    s, t = ground[["sx", "sy", "sz"]].to_numpy(), ground[["tx", "ty", "tz"]].to_numpy()
+    cost, number, to = ground["cost"].to_numpy(), ground["edge_index"].to_numpy(), ground["to_island"].to_numpy()
+    own, first, count = np.unique(ground["from_island"].to_numpy(), return_index=True, return_counts=True)
+    leaving = {int(i): (int(a), int(a + n)) for i, a, n in zip(own, first, count, strict=True)}
+    inner, n = np.isin(to, own), len(ground)
+    e_at, e_to, e_g, e_edges = entries[["x", "y", "z"]].to_numpy(), entries["to_island"].to_numpy(), entries["g"].to_numpy(), entries["edges"].to_list()
+    best, back = np.full(n, inf), np.full(n, -1)
+    limit = held["limit"].iloc[0]
+
+    def edges(k: int) -> list[int]:
+        """The edges up to label ``k``: a traversal, or from ``n`` on an entry."""
+        own = []
+        while k < n:
+            own.append(int(number[k]))
+            k = int(back[k])
+        return [*map(int, e_edges[k - n]), *own[::-1]]
+
+    open_ = [(float(g), n + k) for k, g in enumerate(e_g)]
+    heapq.heapify(open_)
+    extended: dict[int, list] = {}
+    while open_:
+        g, k = heapq.heappop(open_)
+        if g >= limit:
+            break
+        if k < n and g > best[k]:
+            continue
+        island, at = (int(to[k]), t[k]) if k < n else (int(e_to[k - n]), e_at[k - n])
+        if island not in leaving:
+            continue
+        others = extended.setdefault(island, [])
+        if _beaten(g, at, others):
+            continue
+        others.append((g, at))
+        a, b = leaving[island]
+        reach = g + _far(at, s[a:b]) + cost[a:b]
+        for j in (np.flatnonzero((reach == best[a:b]) & (reach < inf)) + a).tolist():
+            if int(back[j]) != k and edges(k) < edges(int(back[j])):
+                back[j] = k
+        less = np.flatnonzero(reach < best[a:b])
+        best[a + less], back[a + less] = reach[less], k
+        for j in less.tolist():
+            if inner[a + j]:
+                heapq.heappush(open_, (float(reach[j]), a + j))
+    out, source = [], int(held["source"].iloc[0])
+    reached = np.flatnonzero(best < limit)
+    passed: dict[int, list] = {}
+    for k in reached[~inner[reached]][np.argsort(best[reached[~inner[reached]]], kind="stable")].tolist():
+        others = passed.setdefault(int(to[k]), [])
+        if not _beaten(best[k], t[k], others):
+            others.append((best[k], t[k]))
+            out.append((source, None, int(number[k]), int(ground["from_island"].iat[k]), int(to[k]), *t[k].tolist(), float(best[k]), edges(k)))
+    everywhere = np.concatenate([to, e_to])
+    order = np.argsort(everywhere, kind="stable")
+    sorted_to, g_all, at_all = everywhere[order], np.concatenate([best, e_g]), np.concatenate([t, e_at])
+    for r in goals.itertuples():
+        a, b = np.searchsorted(sorted_to, [r.to_island, r.to_island + 1])
+        mine = order[a:b]
+        mine = mine[g_all[mine] < inf]
+        if len(mine):
+            total = g_all[mine] + _far(at_all[mine], np.array([r.x, r.y, r.z]))
+            least = mine[total == total.min()].tolist()
+            out.append((source, int(r.request_id), -1, -1, int(r.to_island), r.x, r.y, r.z, float(total.min()), min(map(edges, least))))
+    return pd.DataFrame(out, columns=columns).astype({"request_id": "Int64"})
+
+
+def _by_joins(requests: DataFrame, links: DataFrame, cost: Column | None, keep: Column | None) -> DataFrame:
+    """``request_id, best(total, edges)`` where filters and costs see the route's ends:
+    a round for each traversal of the longest route."""
     if cost is None and "cost" in links.columns:
         cost = F.col("cost")
-    ends = ["start_island", "ax", "ay", "az"] + (["end_island", "bx", "by", "bz"] if context else [])
-    asked = store(requests.withColumn("source", F.struct(*ends)), "requests")
+    asked = store(requests.withColumn("source", F.struct("start_island", "ax", "ay", "az", "end_island", "bx", "by", "bz")), "requests")
     hop = store(links.withColumn("portal", F.struct("edge_index", "from_island")), "portals")
 
     def for_route(rows: DataFrame) -> DataFrame:
         """``rows`` of a source and a traversal, for which its filter and cost hold."""
-        return priced(rows.select("*", "source.*"), cost, keep) if context else rows
+        return priced(rows.select("*", "source.*"), cost, keep)
 
     first = asked.where("start_island <> end_island").select("source", F.col("start_island").alias("from_island")).distinct().join(hop, "from_island")
     first = for_route(first).withColumns({f"a{k}": F.col(f"source.a{k}") for k in "xyz"})
@@ -99,14 +267,7 @@ def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = Non
         after = store(after, "routes")
         drop(now)
         now = after
-    out = asked.select("request_id", "start_island", "end_island").join(goals(now).select("request_id", "best"), "request_id", "left")
-    same = F.col("start_island") == F.col("end_island")
-    return out.select(
-        "request_id",
-        F.when(same, "same_island").when(F.col("best").isNotNull(), "success").otherwise("no_path").alias("status"),
-        F.when(~same, F.col("best.total")).alias("cost"),
-        F.when(~same, F.col("best.edges")).alias("edges"),
-    )
+    return goals(now).select("request_id", "best")
 
 
 @dataclass(frozen=True)

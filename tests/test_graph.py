@@ -105,6 +105,31 @@ def test_routes_equal_a_search_of_each(spark, seed):
                 assert got["cost"] == pytest.approx(want["cost"]) and got["edges"] == want["edges"]
 
 
+def test_rounds_of_routes_follow_regions(spark, monkeypatch):
+    """A long chain takes few rounds, and regions of any size give the routes of the search."""
+    from archipelago.operators import paths
+
+    n, rnd = 40, random.Random(5)
+    spot = lambda k: (float(k), 0.0, rnd.random())
+    rows = [(k, k + 1, spot(k), spot(k + 0.5), True, k % 3 == 0) for k in range(n - 1)]
+    rows += [(k, (k + 7) % n, spot(k), spot(k), True, True) for k in range(0, n, 5)]
+    g = graph(spark, [1] * n, [0] * n, rows)
+    links = priced(traversals(g.edges), cost=F.col("horizontal") + F.col("edge_index") % 4)
+    ask = asks(spark, [(0, k, (0, 0, 0), (k, 0, 1)) for k in range(1, n)] + [(20, k, (20, 0, 0), (k, 0, 0)) for k in (3, 30)])
+    held = [{"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in links.collect()]
+    router, kept = Router(held, set(range(n))), paths.store
+    for size, most in ((paths.REGION, 3), (25, 20)):
+        stored = []
+        monkeypatch.setattr(paths, "REGION", size)
+        monkeypatch.setattr(paths, "store", lambda df, name, stored=stored: stored.append(name) or kept(df, name))
+        found = {r["request_id"]: r for r in best_routes(ask, links).collect()}
+        assert stored.count("routes") <= most
+        for r in ask.collect():
+            want, got = router.route(r["start_island"], r["end_island"], (r["ax"], r["ay"], r["az"]), (r["bx"], r["by"], r["bz"])), found[r["request_id"]]
+            assert got["status"] == want["status"] == "success"
+            assert got["cost"] == pytest.approx(want["cost"]) and got["edges"] == want["edges"]
+
+
 def test_budgets_and_cancel(r1):
     rows = priced(traversals(r1.edges)).collect()
     held = [{"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in rows]

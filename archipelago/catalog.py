@@ -334,7 +334,8 @@ def custom_cost_path(w: World) -> DataFrame:
 
 def context_path(w: World) -> DataFrame:
     """Routes of which only the last link, the one into the goal's island, may climb."""
-    routes = best_routes(w.requests, G.traversals(w.edges), keep=(F.col("vertical") <= 0) | (F.col("to_island") == F.col("end_island")))
+    links = G.traversals(w.edges)
+    routes = best_routes(w.requests, priced(links, keep=F.col("vertical") <= 0), last=priced(links))
     return _costs(routes.withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 

@@ -38,7 +38,7 @@ def priced(links: DataFrame, cost: Column | None = None, keep: Column | None = N
     return rows.where(finite("cost") & (F.col("cost") >= 0))
 
 
-def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = None, keep: Column | None = None) -> DataFrame:
+def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = None, keep: Column | None = None, last: DataFrame | None = None) -> DataFrame:
     """``request_id, status, cost, edges`` for every request.
 
     ``requests``: ``request_id, start_island, end_island`` and the points
@@ -54,9 +54,14 @@ def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = Non
     name columns of ``links`` and the route's ``start_island``, ``end_island``
     and points; a traversal without a usable cost is left out.  Only requests with
     the same ends then share their labels.
+
+    ``last``: priced traversals of which one, into the goal's island, is a route's
+    last; ``links`` are those before it.  Such routes still share their labels.
     """
     context = cost is not None or keep is not None
-    best = _by_joins(requests, links, cost, keep) if context else _by_regions(requests, links)
+    if context and last is not None:
+        raise ValueError("last traversals go with links that are priced for all routes")
+    best = _by_joins(requests, links, cost, keep) if context else _by_regions(requests, links, last)
     out = requests.select("request_id", "start_island", "end_island").join(best, "request_id", "left")
     same = F.col("start_island") == F.col("end_island")
     return out.select(
@@ -85,23 +90,31 @@ def regions(links: DataFrame) -> DataFrame:
     return store(coded.repartitionByRange(1 + n // REGION, "code", "id").select("id", F.spark_partition_id().alias("region")), "regions")
 
 
-def _by_regions(requests: DataFrame, links: DataFrame) -> DataFrame:
+def _by_regions(requests: DataFrame, links: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """``request_id, best(total, edges)`` where all requests see the same costs.
 
     What enters a region through its borders is searched on within it to the end, so
     the number of rounds follows the regions on a route, not its traversals.  Only
-    labels that pass a border are kept, and carry their edges.
+    labels that pass a border are kept, and carry their edges.  A goal is where a
+    route ends, or where each ``last`` traversal of it begins, with the cost from there.
     """
     asked = store(requests.where("start_island <> end_island"), "requests")
     starts = asked.select("start_island", "ax", "ay", "az").distinct().withColumn("source", F.monotonically_increasing_id())
     starts = store(starts, "sources")
-    where = regions(links)
+    ways = ["from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz"]
+    where = regions(links if last is None else links.select(*ways).unionByName(last.select(*ways)))
     at = lambda name: where.select(F.col("id").alias(name), "region")
     hop = store(links.select("edge_index", "from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz", F.col("cost").cast("double").alias("cost")).join(at("from_island"), "from_island"), "portals")
     none, no_list = F.lit(None).cast("long"), F.array().cast("array<int>")
-    goal = asked.join(starts, ["start_island", "ax", "ay", "az"]).select(
-        "source", "request_id", F.lit(-1).alias("edge_index"), F.lit(-1).cast("long").alias("from_island"), F.col("end_island").alias("to_island"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"), F.lit(0.0).alias("g"), no_list.alias("edges")
-    )
+    ends = asked.join(starts, ["start_island", "ax", "ay", "az"])
+    if last is None:
+        ends = ends.select("source", "request_id", F.col("end_island").alias("to_island"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("bz").alias("z"), F.lit(0.0).alias("g"), no_list.alias("edges"))
+    else:
+        into = last.select("edge_index", "from_island", F.col("to_island").alias("end_island"), *ways[2:], F.col("cost").cast("double").alias("cost"))
+        ends = ends.join(into, "end_island").select(
+            "source", "request_id", F.col("from_island").alias("to_island"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), (F.col("cost") + distance("t", "b")).alias("g"), F.array("edge_index").alias("edges")
+        )
+    goal = ends.select("source", "request_id", F.lit(-1).alias("edge_index"), F.lit(-1).cast("long").alias("from_island"), "to_island", "x", "y", "z", "g", "edges")
     goal = store(goal.join(at("to_island"), "to_island"), "goals")
     now = starts.select(
         "source", none.alias("request_id"), F.lit(-1).alias("edge_index"), F.col("start_island").alias("from_island"), F.col("start_island").alias("to_island"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"), F.lit(0.0).alias("g"), no_list.alias("edges")
@@ -207,14 +220,20 @@ def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
     everywhere = np.concatenate([to, e_to])
     order = np.argsort(everywhere, kind="stable")
     sorted_to, g_all, at_all = everywhere[order], np.concatenate([best, e_g]), np.concatenate([t, e_at])
+    ended: dict[int, tuple[float, list]] = {}
     for r in goals.itertuples():
         a, b = np.searchsorted(sorted_to, [r.to_island, r.to_island + 1])
         mine = order[a:b]
         mine = mine[g_all[mine] < inf]
         if len(mine):
-            total = g_all[mine] + _far(at_all[mine], np.array([r.x, r.y, r.z]))
-            least = mine[total == total.min()].tolist()
-            out.append((source, int(r.request_id), -1, -1, int(r.to_island), r.x, r.y, r.z, float(total.min()), min(map(edges, least))))
+            total = g_all[mine] + _far(at_all[mine], np.array([r.x, r.y, r.z])) + r.g
+            least = float(total.min())
+            before = ended.get(int(r.request_id), (inf, []))
+            if least <= before[0]:
+                ended[int(r.request_id)] = (least, (before[1] if least == before[0] else []) + [(k, r) for k in mine[total == least].tolist()])
+    for request, (total, ways) in ended.items():
+        r = ways[0][1]
+        out.append((source, request, -1, -1, int(r.to_island), r.x, r.y, r.z, total, min([*edges(k), *map(int, r.edges)] for k, r in ways)))
     return pd.DataFrame(out, columns=columns).astype({"request_id": "Int64"})
 
 

@@ -238,3 +238,24 @@ def test_graph_file_never_brings_the_graph_to_the_driver(spark, r1, tmp_path, mo
         file.write(whole[:-1])
     with pytest.raises(Exception, match="malformed_data"):
         read_graph(spark, f"file://{tmp_path}/bad.bin")[1].collect()
+
+
+def test_routes_whose_last_link_may_climb_share_their_labels(spark, monkeypatch):
+    """As by a filter that sees each route's end, but in rounds over regions for all requests of a start."""
+    from archipelago.operators import paths
+
+    rng = random.Random(11)
+    spot = lambda: tuple(float(rng.randrange(30)) for _ in "xyz")
+    g = graph(spark, [1] * 12, [0] * 12, [(*rng.sample(range(11), 2), spot(), spot(), True, False) for _ in range(60)] + [(0, 11, spot(), spot(), True, False)])
+    links = traversals(g.edges)
+    # from island 11 only climbing links lead on, if any do
+    ask = asks(spark, [(a, b, spot(), spot()) for a in (0, 3, 11) for b in range(12)])
+    climb = (F.col("vertical") <= 0) | (F.col("to_island") == F.col("end_island"))
+    want = {r["request_id"]: r for r in best_routes(ask, links, keep=climb).collect()}
+    monkeypatch.setattr(paths, "_by_joins", None)
+    for size in (paths.REGION, 15):
+        monkeypatch.setattr(paths, "REGION", size)
+        found = {r["request_id"]: r for r in best_routes(ask, priced(links, keep=F.col("vertical") <= 0), last=priced(links)).collect()}
+        assert found.keys() == want.keys() and {r["status"] for r in want.values()} == {"success", "no_path", "same_island"}
+        for k, r in want.items():
+            assert (found[k]["status"], found[k]["edges"]) == (r["status"], r["edges"]) and found[k]["cost"] == pytest.approx(r["cost"])

@@ -4,8 +4,8 @@
 regions of the graph, each searched within a task, or, where filters and costs see
 the route's ends, over its traversals by joins.
 ``search_routes`` runs an A* search per request, with its budgets, counters and
-statuses.  Its graph is broadcast: the traversals that are left after pruning,
-whose number is checked.
+statuses.  Requests with like ends are searched together, by a task that has the
+regions they were seen to enter.
 
 A route enters by a traversal's start and leaves by its end; walking inside an
 island is a straight line.
@@ -24,9 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archipelago.functions.scalars import distance, finite
-from archipelago.storage import drop, store
+from archipelago.storage import drop, store, written
 
-MAX_BROADCAST_LINKS = 5_000_000
 RESULT = "request_id long, status string, cost double, edges array<int>, islands array<long>, expanded long, queued long, peak_open long"
 
 
@@ -297,47 +296,71 @@ class Limits:
     queued: int = 0
 
 
+class _Elsewhere(Exception):
+    """A search came to an island whose region is not at hand."""
+
+    def __init__(self, region: int):
+        super().__init__(region)
+        self.region = region
+
+
 class Router:
-    """A* over the portals (traversals) of a graph held in memory."""
+    """A* over the portals (traversals) of a graph, or of some of its regions, held
+    in memory.
 
-    def __init__(self, links: list[dict], islands: set[int]):
+    ``links``: dictionaries, or a frame with ``to_region``: the region of an island
+    that can be left, else -1.  ``islands`` are those known, if any may be unknown.
+    """
+
+    def __init__(self, links: list[dict] | pd.DataFrame, islands: set[int] | None = None):
+        if not isinstance(links, pd.DataFrame):
+            flat = [(k["edge_index"], k["from_island"], k["to_island"], *k["s"], *k["t"], k["cost"]) for k in links]
+            links = pd.DataFrame(flat, columns=["edge_index", "from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz", "cost"])
+        rows = links.sort_values(["from_island", "edge_index"])
         self.islands = islands
-        self.portals = links
-        self.leaving: dict[int, list[int]] = {}
-        for n, link in enumerate(links):
-            self.leaving.setdefault(link["from_island"], []).append(n)
+        self.number, self.to, self.cost = (rows[c].to_numpy() for c in ("edge_index", "to_island", "cost"))
+        self.s, self.t = (rows[[f"{p}{k}" for k in "xyz"]].to_numpy(np.float64) for p in "st")
+        own, first, count = np.unique(rows["from_island"].to_numpy(), return_index=True, return_counts=True)
+        self.leaving = {int(i): (int(a), int(a + n)) for i, a, n in zip(own, first, count, strict=True)}
+        self.to_region = rows["to_region"].to_numpy() if "to_region" in rows else np.full(len(rows), -1)
 
     def route(self, start: int, end: int, a: tuple, b: tuple, limits: Limits = Limits(), heuristic: Callable | None = None, cancelled: Callable | None = None) -> dict:
         """One request: status, cost, edges, islands and the counters."""
         stats = {"expanded": 0, "queued": 0, "peak_open": 0}
 
         def answer(status: str, cost: float = 0.0, portals: tuple = ()) -> dict:
-            path = [self.portals[n] for n in portals]
-            seen = [start, *[p["to_island"] for p in path]] if path else []
-            return {"status": status, "cost": cost, "edges": [p["edge_index"] for p in path], "islands": seen} | stats
+            seen = [start, *[int(self.to[n]) for n in portals]] if portals else []
+            return {"status": status, "cost": cost, "edges": [int(self.number[n]) for n in portals], "islands": seen} | stats
 
-        if start not in self.islands or end not in self.islands:
+        if self.islands is not None and (start not in self.islands or end not in self.islands):
             return answer("invalid_island")
         if start == end:
             return answer("same_island")
-        guess = heuristic or (lambda p, q: 0.0)
-        best: dict[int, float] = {}
-        back: dict[int, int] = {}
+        best, back = np.full(len(self.to), inf), {}
         open_: list[tuple[float, float, int]] = []
+        to_goal = np.asarray(b, np.float64)
+
+        def guesses(at: np.ndarray) -> list[float]:
+            if heuristic is None:
+                return [0.0] * len(at)
+            if heuristic is dist:
+                return _far(at, to_goal).tolist()
+            return [max(0.0, heuristic(tuple(p), b)) for p in at.tolist()]
 
-        def push(n: int, g: float) -> None:
-            heapq.heappush(open_, (g + max(0.0, guess(self.portals[n]["t"], b)), g, n))
+        def push(g: float, guess: float, n: int) -> None:
+            heapq.heappush(open_, (g + guess, g, n))
             stats["queued"] += 1
             stats["peak_open"] = max(stats["peak_open"], len(open_))
 
-        for n in self.leaving.get(start, []):
+        first, after = self.leaving.get(start, (0, 0))
+        reach = _far(np.asarray(a, np.float64), self.s[first:after]) + self.cost[first:after]
+        best[first:after] = reach
+        for n, (g, guess) in enumerate(zip(reach.tolist(), guesses(self.t[first:after]), strict=True), first):
             if limits.queued and stats["queued"] >= limits.queued:
                 return answer("budget_exceeded")
-            g = dist(a, self.portals[n]["s"]) + self.portals[n]["cost"]
-            if g < best.get(n, inf):
-                best[n] = g
-                push(n, g)
+            push(g, guess, n)
         goal, last = inf, None
+        gone: dict[int, list[tuple[float, list]]] = {}
         while open_:
             if cancelled and cancelled():
                 return answer("cancelled")
@@ -347,18 +370,29 @@ class Router:
             if g > best[n]:
                 continue
             stats["expanded"] += 1
-            portal = self.portals[n]
-            if portal["to_island"] == end and g + dist(portal["t"], b) < goal:
-                goal, last = g + dist(portal["t"], b), n
+            at, island = self.t[n].tolist(), int(self.to[n])
+            if island == end and g + dist(at, b) < goal:
+                goal, last = g + dist(at, b), n
             if g >= goal:
                 continue
-            for m in self.leaving.get(portal["to_island"], []):
-                reach = g + dist(portal["t"], self.portals[m]["s"]) + self.portals[m]["cost"]
-                if reach < best.get(m, inf) and reach < goal:
-                    best[m], back[m] = reach, n
-                    push(m, reach)
-                    if limits.queued and stats["queued"] > limits.queued:
-                        return answer("budget_exceeded")
+            # what was extended from nearer by has reached all that this would, for less
+            others = gone.setdefault(island, [])
+            if any(h + dist(p, at) + 1e-9 < g for h, p in others):
+                continue
+            if island not in self.leaving:
+                if self.to_region[n] >= 0:
+                    raise _Elsewhere(int(self.to_region[n]))
+                continue
+            others.append((g, at))
+            first, after = self.leaving[island]
+            reach = g + _far(self.t[n], self.s[first:after]) + self.cost[first:after]
+            less = np.flatnonzero((reach < best[first:after]) & (reach < goal))
+            best[first + less] = reach[less]
+            for m, h, guess in zip((first + less).tolist(), reach[less].tolist(), guesses(self.t[first + less]), strict=True):
+                back[m] = n
+                push(h, guess, m)
+                if limits.queued and stats["queued"] > limits.queued:
+                    return answer("budget_exceeded")
         if last is None or not isfinite(goal):
             return answer("no_path")
         path = [last]
@@ -367,30 +401,74 @@ class Router:
         return answer("success", goal, tuple(path[::-1]))
 
 
+#: Requests that a task searches with the same regions at hand.
+TOGETHER = 64
+
+
 def search_routes(
     requests: DataFrame, links: DataFrame, islands: DataFrame, limits: Limits = Limits(), euclid: bool = True, heuristic: Callable | None = None, cancelled: Callable | None = None
 ) -> DataFrame:
     """One A* search per request; ``links`` are priced traversals.  ``euclid``
     guides the search by straight lines, right for the default cost; a custom
     cost needs it off, or a ``heuristic(point, goal)`` of its own.  ``cancelled()``
-    is asked in the workers before every expansion; both must be picklable."""
-    n = max(links.count(), islands.count())
-    if n > MAX_BROADCAST_LINKS:
-        raise ValueError(f"{n} traversals or islands are too many to hold in every worker; use best_routes")
+    is asked in the workers before every expansion; both must be picklable.
+
+    Some ``TOGETHER`` requests whose ends are in the same regions are one task's.  It
+    has these regions' traversals; a search that comes to another region is made
+    again in the next round, with all regions around those at hand.  So a task
+    holds, besides a search's own labels, the regions that its searches come to and
+    those next to them, and the driver holds none.
+    """
     guess = heuristic or (dist if euclid else None)
-    rows = links.orderBy("from_island", "edge_index").collect()
-    held = [
-        {"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in rows
-    ]
-    known = {r[0] for r in islands.select("id").collect()}
-    shared = requests.sparkSession.sparkContext.broadcast((held, known))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        router = Router(*shared.value)
-        for batch in batches:
-            found = [
-                {"request_id": r.request_id} | router.route(r.start_island, r.end_island, (r.ax, r.ay, r.az), (r.bx, r.by, r.bz), limits, guess, cancelled) for r in batch.itertuples()
-            ]
-            yield pd.DataFrame(found, columns=[f.split(" ")[0] for f in RESULT.split(", ")])
-
-    return requests.mapInPandas(run, RESULT)
+    places = [f"{p}{k}" for p in "st" for k in "xyz"]
+    names = [f.split(" ")[0] for f in RESULT.split(", ")]
+    where = regions(links)
+    hop = written(links.select("edge_index", "from_island", "to_island", *places, F.col("cost").cast("double").alias("cost")).join(where.select(F.col("id").alias("from_island"), "region"), "from_island"), "portals")
+    leaving = store(hop.select(F.col("from_island").alias("id"), "region").distinct(), "left")
+    region_of = lambda side: leaving.select(F.col("id").alias(f"{side}_island"), F.col("region").alias(f"{side}_region"))
+    hop_to = written(hop.join(region_of("to"), "to_island", "left").withColumn("to_region", F.coalesce("to_region", F.lit(-1).cast("long"))), "portals")
+    drop(hop)
+    asked = store(requests.select("request_id", "start_island", "end_island", *[f"{p}{k}" for p in "ab" for k in "xyz"]).withColumn("n", F.monotonically_increasing_id()), "requests")
+    known = islands.select("id").distinct()
+    judged = asked
+    for side in ("start", "end"):
+        judged = judged.join(known.select(F.col("id").alias(f"{side}_island"), F.lit(True).alias(f"{side}_known")), f"{side}_island", "left").join(region_of(side), f"{side}_island", "left")
+    status = F.when(F.col("start_known").isNull() | F.col("end_known").isNull(), "invalid_island").when(F.col("start_island") == F.col("end_island"), "same_island").when(F.col("start_region").isNull(), "no_path")
+    judged = store(judged.withColumn("status", status), "judged")
+    none = {"cost": F.lit(0.0), "edges": F.array().cast("array<int>"), "islands": F.array().cast("array<long>")} | {c: F.lit(0).cast("long") for c in names[5:]}
+    found = judged.where("status IS NOT NULL").select("n", "status", *[none[c].alias(c) for c in names[2:]])
+    ends = ["start_region", "end_region"]
+    alike = judged.where("status IS NULL").groupBy(*ends).agg(F.count("*").alias("many"))
+    # ends without a region are alike too; where hashes meet, requests only share more
+    part = F.expr(f"pmod(xxhash64(n), 1 + many div {TOGETHER})")
+    todo = judged.where("status IS NULL").join(alike.withColumnsRenamed({c: f"{c}_" for c in ends}), F.expr(" AND ".join(f"{c} <=> {c}_" for c in ends)))
+    todo = written(todo.select(*asked.columns, *ends, F.xxhash64(*ends, part).alias("batch")), "open")
+    needed = written(todo.select("batch", F.explode(F.array(*ends)).alias("region")).where("region IS NOT NULL").distinct(), "needed")
+
+    def run(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(held):
+            router, here = Router(ground), set(ground["region"].tolist())
+            around = set(ground["to_region"].unique().tolist()) - here - {-1}
+        for r in held.itertuples():
+            try:
+                got = router.route(r.start_island, r.end_island, (r.ax, r.ay, r.az), (r.bx, r.by, r.bz), limits, guess, cancelled)
+                out.append((r.n, r.batch, None, *[got[c] for c in names[1:]]))
+            except _Elsewhere as e:
+                out.append((r.n, r.batch, sorted(around | {e.region}), *[None] * (len(names) - 1)))
+        rows = pd.DataFrame(out, columns=["n", "batch", "need", *names[1:]])
+        return rows.astype({"cost": "float64"} | {c: "Int64" for c in names[5:]})
+
+    while todo.head(1):
+        tasks = todo.select("batch").distinct().count()
+        ground = hop_to.join(needed, "region").repartition(tasks, "batch")
+        made = todo.repartition(tasks, "batch").groupBy("batch").cogroup(ground.groupBy("batch")).applyInPandas(run, "n long, batch long, need array<long>, " + RESULT.split(", ", 1)[1])
+        made = written(made, "searched")
+        found = found.unionByName(made.where("status IS NOT NULL").select(*found.columns))
+        unmade = made.where("status IS NULL")
+        after = written(todo.join(unmade.select("n"), "n", "left_semi"), "open")
+        more = written(needed.unionByName(unmade.select("batch", F.explode("need").alias("region"))).distinct().join(after.select("batch").distinct(), "batch", "left_semi"), "needed")
+        for old in (todo, needed):
+            drop(old)
+        todo, needed = after, more
+    return asked.join(found, "n").select(*names)

@@ -259,3 +259,30 @@ def test_routes_whose_last_link_may_climb_share_their_labels(spark, monkeypatch)
         assert found.keys() == want.keys() and {r["status"] for r in want.values()} == {"success", "no_path", "same_island"}
         for k, r in want.items():
             assert (found[k]["status"], found[k]["edges"]) == (r["status"], r["edges"]) and found[k]["cost"] == pytest.approx(r["cost"])
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(expanded=9), Limits(queued=30)])
+def test_search_goes_by_regions_and_not_through_the_driver(spark, monkeypatch, limits):
+    """The driver collects no traversals; regions and batches of any size give each search's own result and counters."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from archipelago.operators import paths
+
+    rng = random.Random(3)
+    spot = lambda k: (float(k) + rng.random(), rng.random(), rng.random())
+    g = graph(spark, [1] * 30, [0] * 30, [(k, k + d, spot(k), spot(k + d), True, k % 4 == 0) for k in range(27) for d in (1, 2, 2) if k + d < 28])
+    links = priced(traversals(g.edges))
+    ask = asks(spark, [(a, b, spot(a), spot(b)) for a, b in [(0, 27), (0, 3), (5, 5), (27, 1), (13, 20), (29, 0), (0, 29), (0, 99)]])
+    held = [{"edge_index": r["edge_index"], "from_island": r["from_island"], "to_island": r["to_island"], "cost": r["cost"], "s": (r["sx"], r["sy"], r["sz"]), "t": (r["tx"], r["ty"], r["tz"])} for r in links.collect()]
+    router = Router(held, set(range(30)))
+    want = [router.route(r["start_island"], r["end_island"], (r["ax"], r["ay"], r["az"]), (r["bx"], r["by"], r["bz"]), limits, paths.dist) | {"request_id": r["request_id"]} for r in ask.orderBy("request_id").collect()]
+    monkeypatch.setattr(paths, "REGION", 20)
+    monkeypatch.setattr(paths, "TOGETHER", 2)
+    collect, rows = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    found = search_routes(ask, links, g.islands, limits)
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    assert max(map(len, rows)) <= 1
+    got = [r.asDict() for r in found.orderBy("request_id").collect()]
+    assert [{k: v for k, v in r.items() if k != "cost"} for r in got] == [{k: v for k, v in r.items() if k != "cost"} for r in want]
+    assert [r["cost"] for r in got] == pytest.approx([r["cost"] for r in want])

@@ -319,23 +319,23 @@ def _costs(rows: DataFrame) -> DataFrame:
 
 
 def shortest_paths(w: World) -> DataFrame:
-    return _costs(best_routes(w.requests, priced(G.traversals(w.edges))).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
+    return _costs(best_routes(w.requests, priced(G.traversals(w.edges)), edges=False).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 
 def shortest_path_filtered(w: World) -> DataFrame:
     links = priced(G.traversals(w.edges), keep=F.col("vertical") <= 0)
-    return _costs(best_routes(w.requests, links).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
+    return _costs(best_routes(w.requests, links, edges=False).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 
 def custom_cost_path(w: World) -> DataFrame:
     links = priced(G.traversals(w.edges), cost=F.col("horizontal") * 2 + F.abs("vertical"))
-    return _costs(best_routes(w.requests, links).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
+    return _costs(best_routes(w.requests, links, edges=False).withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 
 def context_path(w: World) -> DataFrame:
     """Routes of which only the last link, the one into the goal's island, may climb."""
     links = G.traversals(w.edges)
-    routes = best_routes(w.requests, priced(links, keep=F.col("vertical") <= 0), last=priced(links))
+    routes = best_routes(w.requests, priced(links, keep=F.col("vertical") <= 0), last=priced(links), edges=False)
     return _costs(routes.withColumn("cost", F.coalesce("cost", F.lit(0.0))))
 
 

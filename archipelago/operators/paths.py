@@ -37,8 +37,9 @@ def priced(links: DataFrame, cost: Column | None = None, keep: Column | None = N
     return rows.where(finite("cost") & (F.col("cost") >= 0))
 
 
-def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = None, keep: Column | None = None, last: DataFrame | None = None) -> DataFrame:
-    """``request_id, status, cost, edges`` for every request.
+def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = None, keep: Column | None = None, last: DataFrame | None = None, edges: bool = True) -> DataFrame:
+    """``request_id, status, cost, edges`` for every request; without ``edges`` its
+    costs only, whose labels are of one size however long a route is.
 
     ``requests``: ``request_id, start_island, end_island`` and the points
     ``a*`` and ``b*``; ``links`` are priced traversals.  Requests that start at
@@ -60,25 +61,29 @@ def best_routes(requests: DataFrame, links: DataFrame, cost: Column | None = Non
     context = cost is not None or keep is not None
     if context and last is not None:
         raise ValueError("last traversals go with links that are priced for all routes")
-    best = _by_joins(requests, links, cost, keep) if context else _by_regions(requests, links, last)
+    best = _by_joins(requests, links, cost, keep) if context else _by_regions(requests, links, last, edges)
     out = requests.select("request_id", "start_island", "end_island").join(best, "request_id", "left")
     same = F.col("start_island") == F.col("end_island")
-    return out.select(
+    out = out.select(
         "request_id",
         F.when(same, "same_island").when(F.col("best").isNotNull(), "success").otherwise("no_path").alias("status"),
         F.when(~same, F.col("best.total")).alias("cost"),
         F.when(~same, F.col("best.edges")).alias("edges"),
     )
+    return out if edges else out.drop("edges")
 
 
 #: Traversals that a region is meant to have; one island's are never parted.
 REGION = 100_000
+
+#: As many of them make a region of ``best_routes``, whose rounds cost some jobs each.
+SPAN = 4
 LABEL = "source long, request_id long, edge_index int, from_island long, to_island long, x double, y double, z double, g double, edges array<int>"
 
 
-def regions(links: DataFrame) -> DataFrame:
+def regions(links: DataFrame, size: int) -> DataFrame:
     """``id, region`` of every island of ``links``: neighbours in a Z-order of their
-    links' mean places, cut into ranges of some ``REGION`` traversals."""
+    links' mean places, cut into ranges of some ``size`` traversals."""
     ends = [links.select(F.col(f"{side}_island").alias("id"), F.col(f"{p}x").alias("x"), F.col(f"{p}z").alias("z")) for side, p in (("from", "s"), ("to", "t"))]
     at = store(ends[0].unionByName(ends[1]).groupBy("id").agg(F.avg("x").alias("x"), F.avg("z").alias("z"), F.count("*").alias("n")), "places")
     low = at.agg(F.min("x"), F.min("z"), F.greatest(F.max("x") - F.min("x"), F.max("z") - F.min("z")), F.sum("n")).first()
@@ -86,24 +91,27 @@ def regions(links: DataFrame) -> DataFrame:
     cell = lambda name, least: F.floor((F.col(name) - F.lit(least or 0.0)) / unit).cast("long")
     bits = lambda v, shift: sum((F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), 2 * k + shift) for k in range(16)), F.lit(0).cast("long"))
     coded = at.select("id", (bits(cell("x", low[0]), 0) + bits(cell("z", low[1]), 1)).alias("code"))
-    return store(coded.repartitionByRange(1 + n // REGION, "code", "id").select("id", F.spark_partition_id().alias("region")), "regions")
+    return store(coded.repartitionByRange(1 + n // size, "code", "id").select("id", F.spark_partition_id().alias("region")), "regions")
 
 
-def _by_regions(requests: DataFrame, links: DataFrame, last: DataFrame | None = None) -> DataFrame:
+def _by_regions(requests: DataFrame, links: DataFrame, last: DataFrame | None = None, edges: bool = True) -> DataFrame:
     """``request_id, best(total, edges)`` where all requests see the same costs.
 
     What enters a region through its borders is searched on within it to the end, so
     the number of rounds follows the regions on a route, not its traversals.  Only
-    labels that pass a border are kept, and carry their edges.  A goal is where a
-    route ends, or where each ``last`` traversal of it begins, with the cost from there.
+    labels that pass a border are kept, and carry their edges, if these are wanted.
+    A goal is where a route ends, or where each ``last`` traversal of it begins, with
+    the cost from there.  Traversals lie in a folder for each region, and a round
+    reads those of the regions that it searches.
     """
     asked = store(requests.where("start_island <> end_island"), "requests")
     starts = asked.select("start_island", "ax", "ay", "az").distinct().withColumn("source", F.monotonically_increasing_id())
     starts = store(starts, "sources")
     ways = ["from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz"]
-    where = regions(links if last is None else links.select(*ways).unionByName(last.select(*ways)))
+    where = regions(links if last is None else links.select(*ways).unionByName(last.select(*ways)), SPAN * REGION)
     at = lambda name: where.select(F.col("id").alias(name), "region")
-    hop = store(links.select("edge_index", "from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz", F.col("cost").cast("double").alias("cost")).join(at("from_island"), "from_island"), "portals")
+    hop = links.select("edge_index", "from_island", "to_island", "sx", "sy", "sz", "tx", "ty", "tz", F.col("cost").cast("double").alias("cost")).join(at("from_island"), "from_island")
+    hop = written(hop.repartition("region"), "portals", by="region")
     none, no_list = F.lit(None).cast("long"), F.array().cast("array<int>")
     ends = asked.join(starts, ["start_island", "ax", "ay", "az"])
     if last is None:
@@ -111,7 +119,7 @@ def _by_regions(requests: DataFrame, links: DataFrame, last: DataFrame | None =
     else:
         into = last.select("edge_index", "from_island", F.col("to_island").alias("end_island"), *ways[2:], F.col("cost").cast("double").alias("cost"))
         ends = ends.join(into, "end_island").select(
-            "source", "request_id", F.col("from_island").alias("to_island"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), (F.col("cost") + distance("t", "b")).alias("g"), F.array("edge_index").alias("edges")
+            "source", "request_id", F.col("from_island").alias("to_island"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), (F.col("cost") + distance("t", "b")).alias("g"), (F.array("edge_index") if edges else no_list).alias("edges")
         )
     goal = ends.select("source", "request_id", F.lit(-1).alias("edge_index"), F.lit(-1).cast("long").alias("from_island"), "to_island", "x", "y", "z", "g", "edges")
     goal = store(goal.join(at("to_island"), "to_island"), "goals")
@@ -122,18 +130,22 @@ def _by_regions(requests: DataFrame, links: DataFrame, last: DataFrame | None =
     want = store(asked.join(starts, ["start_island", "ax", "ay", "az"]).groupBy("source").agg(F.count("*").alias("want")), "wanted")
     found = store(goal.select("source", "request_id", F.struct(F.col("g").alias("total"), "edges").alias("best")).limit(0), "found")
     limits = want.select("source", F.lit(inf).alias("limit"))
-    while now.where("NOT stale").head(1):
+    search = lambda held, ground: _searched(held, ground, edges)
+    while True:
         todo = now.where("NOT stale").join(limits, "source").where("g < limit").select("source", "region", "limit").distinct()
         todo = store(todo, "open")
+        active = [r["region"] for r in todo.select("region").distinct().collect()]
+        if not active:
+            break
         held = now.select(*goal.columns).unionByName(goal).join(todo, ["source", "region"])
-        ground = hop.join(todo.select("source", "region"), "region")
-        made = store(held.groupBy("source", "region").cogroup(ground.groupBy("source", "region")).applyInPandas(_searched, LABEL), "passed")
+        ground = hop.where(F.col("region").isin(active)).join(todo.select("source", "region"), "region")
+        made = store(held.groupBy("source", "region").cogroup(ground.groupBy("source", "region")).applyInPandas(search, LABEL), "passed")
         more = made.where("request_id IS NOT NULL").select("source", "request_id", F.struct(F.col("g").alias("total"), "edges").alias("best"))
         after = store(found.unionByName(more).groupBy("source", "request_id").agg(F.min("best").alias("best")), "found")
         drop(found)
         found = after
         got = found.groupBy("source").agg(F.count("*").alias("got"), F.max("best.total").alias("most"))
-        limits = store(want.join(got, "source", "left").select("source", F.when(F.col("got") == F.col("want"), F.col("most")).otherwise(inf).alias("limit")), "limits")
+        limits = want.join(got, "source", "left").select("source", F.when(F.col("got") == F.col("want"), F.col("most")).otherwise(inf).alias("limit"))
         passed = made.where("request_id IS NULL").join(at("to_island"), "to_island").withColumn("stale", F.lit(False)).select(*now.columns)
         # what stood before comes first among equals, so that it is not searched again
         told = F.struct("g", "edges", (~F.col("stale")).alias("fresh"))
@@ -152,12 +164,15 @@ def _far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
 
 
-def _beaten(g: float, at: np.ndarray, by: list[tuple[float, np.ndarray]]) -> bool:
+def _beaten(g: float, at: list[float], by: list[tuple[float, list[float]]]) -> bool:
     """Whether one of ``by`` gets to ``at`` on foot for less than ``g``."""
-    return any(b + 1e-9 + _far(p, at) < g for b, p in by)
+    for b, p in by:
+        if b + 1e-9 + dist(p, at) < g:
+            return True
+    return False
 
 
-def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+def _searched(held: pd.DataFrame, ground: pd.DataFrame, with_edges: bool) -> pd.DataFrame:
     """One source's search through one region: its labels that leave the region, and
     its requests that end there."""
     columns = [f.split(" ")[0] for f in LABEL.split(", ")]
@@ -176,6 +191,8 @@ def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
 
     def edges(k: int) -> list[int]:
         """The edges up to label ``k``: a traversal, or from ``n`` on an entry."""
+        if not with_edges:
+            return []
         own = []
         while k < n:
             own.append(int(number[k]))
@@ -194,13 +211,13 @@ def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
         island, at = (int(to[k]), t[k]) if k < n else (int(e_to[k - n]), e_at[k - n])
         if island not in leaving:
             continue
-        others = extended.setdefault(island, [])
-        if _beaten(g, at, others):
+        others, place = extended.setdefault(island, []), at.tolist()
+        if _beaten(g, place, others):
             continue
-        others.append((g, at))
+        others.append((g, place))
         a, b = leaving[island]
         reach = g + _far(at, s[a:b]) + cost[a:b]
-        for j in (np.flatnonzero((reach == best[a:b]) & (reach < inf)) + a).tolist():
+        for j in (np.flatnonzero((reach == best[a:b]) & (reach < inf)) + a).tolist() if with_edges else ():
             if int(back[j]) != k and edges(k) < edges(int(back[j])):
                 back[j] = k
         less = np.flatnonzero(reach < best[a:b])
@@ -212,10 +229,10 @@ def _searched(held: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
     reached = np.flatnonzero(best < limit)
     passed: dict[int, list] = {}
     for k in reached[~inner[reached]][np.argsort(best[reached[~inner[reached]]], kind="stable")].tolist():
-        others = passed.setdefault(int(to[k]), [])
-        if not _beaten(best[k], t[k], others):
-            others.append((best[k], t[k]))
-            out.append((source, None, int(number[k]), int(ground["from_island"].iat[k]), int(to[k]), *t[k].tolist(), float(best[k]), edges(k)))
+        others, place = passed.setdefault(int(to[k]), []), t[k].tolist()
+        if not _beaten(best[k], place, others):
+            others.append((best[k], place))
+            out.append((source, None, int(number[k]), int(ground["from_island"].iat[k]), int(to[k]), *place, float(best[k]), edges(k)))
     everywhere = np.concatenate([to, e_to])
     order = np.argsort(everywhere, kind="stable")
     sorted_to, g_all, at_all = everywhere[order], np.concatenate([best, e_g]), np.concatenate([t, e_at])
@@ -422,7 +439,7 @@ def search_routes(
     guess = heuristic or (dist if euclid else None)
     places = [f"{p}{k}" for p in "st" for k in "xyz"]
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
-    where = regions(links)
+    where = regions(links, REGION)
     hop = written(links.select("edge_index", "from_island", "to_island", *places, F.col("cost").cast("double").alias("cost")).join(where.select(F.col("id").alias("from_island"), "region"), "from_island"), "portals")
     leaving = store(hop.select(F.col("from_island").alias("id"), "region").distinct(), "left")
     region_of = lambda side: leaving.select(F.col("id").alias(f"{side}_island"), F.col("region").alias(f"{side}_region"))

@@ -105,6 +105,34 @@ def test_routes_equal_a_search_of_each(spark, seed):
                 assert got["cost"] == pytest.approx(want["cost"]) and got["edges"] == want["edges"]
 
 
+def test_rounds_read_the_regions_they_search(spark, monkeypatch):
+    """Costs alone, along a chain of regions: as with edges, from labels that do not grow
+    with their routes, and traversals that lie by regions."""
+    from archipelago.operators import paths
+
+    n = 40
+    g = graph(spark, [1] * n, [0.5] * n, [(k, k + 1, (3 * k + 1, 0, 0), (3 * k + 2, 0, 0), True, True) for k in range(n - 1)])
+    links = priced(traversals(g.edges))
+    ask = spark.createDataFrame([(k, 0, k, 0.0, 0.0, 0.0, 3.0 * k, 0.0, 0.0) for k in (0, 1, 25, n - 1)], "request_id long, start_island long, end_island long, ax double, ay double, az double, bx double, by double, bz double")
+    monkeypatch.setattr(paths, "REGION", 10)
+    seen, kept, put = [], paths.store, paths.written
+    monkeypatch.setattr(paths, "written", lambda df, name, **k: seen.append((name, k)) or put(df, name, **k))
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name == "passed":
+            assert out.where("size(edges) > 0").count() == 0
+        return out
+
+    full = {r["request_id"]: (r["status"], r["cost"]) for r in best_routes(ask, links).collect()}
+    monkeypatch.setattr(paths, "store", watched)
+    rows = best_routes(ask, links, edges=False)
+    assert rows.columns == ["request_id", "status", "cost"]
+    assert {r["request_id"]: (r["status"], r["cost"]) for r in rows.collect()} == full
+    assert full[n - 1] == ("success", 3.0 * (n - 1))
+    assert ("portals", {"by": "region"}) in seen
+
+
 def test_rounds_of_routes_follow_regions(spark, monkeypatch):
     """A long chain takes few rounds, and regions of any size give the routes of the search."""
     from archipelago.operators import paths

@@ -340,7 +340,8 @@ def context_path(w: World) -> DataFrame:
 
 
 def route_search(w: World) -> DataFrame:
-    return _costs(search_routes(w.requests, priced(G.traversals(w.edges)), w.islands, Limits()))
+    """Status and cost only, which requests without limits find together."""
+    return _costs(search_routes(w.requests, priced(G.traversals(w.edges)), w.islands, Limits(), counters=False))
 
 
 def graph_roundtrip(w: World) -> DataFrame:

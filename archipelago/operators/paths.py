@@ -418,12 +418,24 @@ class Router:
         return answer("success", goal, tuple(path[::-1]))
 
 
+def _searched_together(requests: DataFrame, links: DataFrame, islands: DataFrame) -> DataFrame:
+    """``request_id, status, cost`` as the searches give them, islands that are not known told apart."""
+    known = islands.select("id").distinct()
+    judged = requests
+    for side in ("start", "end"):
+        judged = judged.join(known.select(F.col("id").alias(f"{side}_island"), F.lit(True).alias(f"{side}_known")), f"{side}_island", "left")
+    judged = store(judged.withColumn("known", F.col("start_known").isNotNull() & F.col("end_known").isNotNull()).drop("start_known", "end_known"), "judged")
+    routes = best_routes(judged.where("known"), links, edges=False)
+    none = F.lit(0.0).alias("cost")
+    return routes.select("request_id", "status", F.coalesce("cost", none).alias("cost")).unionByName(judged.where("NOT known").select("request_id", F.lit("invalid_island").alias("status"), none))
+
+
 #: Requests that a task searches with the same regions at hand.
 TOGETHER = 64
 
 
 def search_routes(
-    requests: DataFrame, links: DataFrame, islands: DataFrame, limits: Limits = Limits(), euclid: bool = True, heuristic: Callable | None = None, cancelled: Callable | None = None
+    requests: DataFrame, links: DataFrame, islands: DataFrame, limits: Limits = Limits(), euclid: bool = True, heuristic: Callable | None = None, cancelled: Callable | None = None, counters: bool = True
 ) -> DataFrame:
     """One A* search per request; ``links`` are priced traversals.  ``euclid``
     guides the search by straight lines, right for the default cost; a custom
@@ -435,7 +447,15 @@ def search_routes(
     again in the next round, with all regions around those at hand.  So a task
     holds, besides a search's own labels, the regions that its searches come to and
     those next to them, and the driver holds none.
+
+    Without ``counters``, which leaves nothing to tell searches apart, the rows are
+    ``request_id, status, cost`` and all requests of a start share their labels, as in
+    :func:`best_routes`.  Limits, a ``heuristic`` and ``cancelled`` need a search each.
     """
+    if not counters:
+        if limits != Limits() or heuristic or cancelled:
+            raise ValueError("limits, heuristics and cancellation go with a search for each request")
+        return _searched_together(requests, links, islands)
     guess = heuristic or (dist if euclid else None)
     places = [f"{p}{k}" for p in "st" for k in "xyz"]
     names = [f.split(" ")[0] for f in RESULT.split(", ")]

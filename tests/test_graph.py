@@ -314,3 +314,21 @@ def test_search_goes_by_regions_and_not_through_the_driver(spark, monkeypatch, l
     got = [r.asDict() for r in found.orderBy("request_id").collect()]
     assert [{k: v for k, v in r.items() if k != "cost"} for r in got] == [{k: v for k, v in r.items() if k != "cost"} for r in want]
     assert [r["cost"] for r in got] == pytest.approx([r["cost"] for r in want])
+
+
+def test_search_without_counters_shares_labels(spark, monkeypatch):
+    """Status and cost of each search, without a search for each."""
+    from archipelago.operators import paths
+
+    rng = random.Random(4)
+    spot = lambda k: (float(k) + rng.random(), rng.random(), rng.random())
+    g = graph(spark, [1] * 14, [0] * 14, [(k, k + d, spot(k), spot(k + d), True, k % 4 == 0) for k in range(11) for d in (1, 2) if k + d < 12])
+    links = priced(traversals(g.edges))
+    ask = asks(spark, [(a, b, spot(a), spot(b)) for a, b in [(0, 11), (0, 3), (5, 5), (11, 1), (13, 0), (0, 13), (0, 99), (99, 99)]])
+    want = {r["request_id"]: (r["status"], pytest.approx(r["cost"])) for r in search_routes(ask, links, g.islands).collect()}
+    monkeypatch.setattr(paths.Router, "route", None)
+    found = search_routes(ask, links, g.islands, counters=False)
+    assert found.columns == ["request_id", "status", "cost"]
+    assert {r["request_id"]: (r["status"], r["cost"]) for r in found.collect()} == want
+    with pytest.raises(ValueError):
+        search_routes(ask, links, g.islands, Limits(expanded=1), counters=False)

@@ -186,3 +186,36 @@ def test_rounds_keep_open_conflicts_only(spark, monkeypatch):
     kept = P.decide(ranks, spark.createDataFrame(chain + wide + pair, "rank long, e1 long, e2 long"))
     assert sorted(r["rank"] for r in kept.collect()) == [1, 3, 5, 200]
     assert sizes[0] == 57 and sizes[-1] <= 2 and sizes == sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("reserve", [None, Reserve(True, 0, 1)])
+@pytest.mark.parametrize("overall", [False, True])
+def test_parallel_links_make_ways_not_triples(spark, monkeypatch, reserve, overall):
+    """Every link of one corridor beside every link of the next would be a row; a way is one."""
+    import random
+
+    from archipelago.operators import prune as P
+
+    rnd = random.Random(9)
+    spot = lambda x: (x + rnd.randint(0, 8) / 4, 0.0, rnd.randint(0, 30) / 2)
+    rows = [(a, b, spot(5 * a), spot(5 * b)) for a, b in ((0, 1), (1, 2), (0, 2)) for _ in range(12)]
+    config = BuildConfig.of(30, 30, 20)
+    config = replace(config, density=replace(config.density, local=Cells(False, 1.0), spanner=Spanner(True, 1.3), overall=GlobalPrune(overall, 0.5), reserve=reserve or config.density.reserve))
+    facts = islands(spark, [0, 0, 0])
+    ranked = rank_links(links(spark, rows), facts, config).cache()
+    most, kept = [0], P.store
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name in ("conflicts", "ways"):
+            most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(P, "store", watched)
+    if reserve is None:
+        got = {r["rank"] for r in P.prune_global_and_spanner(ranked, facts, config).collect()}
+    else:
+        got = {r["rank"] for r in P.prune_with_reserve(ranked, facts, config).collect()}
+    want, _ = loop_fates(ranked, facts, config)
+    assert got == {rank for rank, fate in want.items() if fate == "kept"} and 0 < len(got) < len(rows)
+    assert "spanner" in want.values() and most[0] <= 40
